@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import fingerprints, packing, sharding, simhash, tokenfiles
+from . import chunkcodec, fingerprints, packing, quality, sharding, simhash, tokenfiles
 from .common import shared_path, table
 
 
@@ -19,6 +20,10 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars")
     return sharding.assign_shards(docs, ["doc_id"])
@@ -34,13 +39,25 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfiles.read_tokens(spark, path)
 
 
+def op8_chunk_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = chunkcodec.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return coded.select(
+        "doc_id",
+        (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2(F.col("ids"), 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_fingerprints": op1_fingerprints,
         "op2_simhash": op2_simhash,
+        "op3_quality": op3_quality,
         "op4_sharding": op4_sharding,
         "op5_packing": op5_packing,
         "op7_token_files": op7_token_files,
+        "op8_chunk_codec": op8_chunk_codec,
     }
 
 

@@ -10,8 +10,7 @@ from __future__ import annotations
 
 import os
 import re
-
-import numpy as np
+from array import array
 
 _LOOSE = re.compile(r"\s\s|\A\s|\s\Z")
 _CUT = re.compile(r"(?<=\S) (?=\S)")
@@ -19,7 +18,7 @@ _ENCODERS: dict[tuple, WordEncoder] = {}
 
 
 class WordEncoder:
-    """Ids as little-endian bytes of ``dtype``. ``held`` bounds the characters of the pieces kept."""
+    """Ids as bytes of ``dtype`` (<u2 or <u4, on little-endian machines). ``held`` bounds the characters of the pieces kept."""
 
     def __init__(self, path: str, dtype: str, held: int = 30_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -28,7 +27,7 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.dtype, self.limit = dtype, held
+        self.code, self.limit = {"<u2": "H", "<u4": "I"}[dtype], held
         self._clear()
 
     def _clear(self) -> None:
@@ -39,7 +38,7 @@ class WordEncoder:
     def _learn(self, known: dict[str, bytes], new: list[str], before: str) -> None:
         found = self.tokenizer.encode_batch_fast([before + x for x in new], add_special_tokens=False)
         for x, e in zip(new, found, strict=True):
-            known[x] = np.array(e.ids, self.dtype).tobytes()
+            known[x] = array(self.code, e.ids).tobytes()
             self.size += len(x) + 64
 
     def encode(self, texts: list[str]) -> list[bytes]:
