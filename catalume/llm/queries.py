@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chunkcodec, fingerprints, packing, quality, sharding, simhash, tokenfiles
+from . import chunkcodec, fingerprints, htmltext, neighbours, packing, quality, sharding, simhash, tokenfiles
 from .common import shared_path, table
 
 
@@ -49,6 +49,15 @@ def op8_chunk_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return neighbours.nearest(vectors, vectors.where("vec_id % 20 = 0"))
+
+
+def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.main_text(table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_fingerprints": op1_fingerprints,
@@ -58,6 +67,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_packing": op5_packing,
         "op7_token_files": op7_token_files,
         "op8_chunk_codec": op8_chunk_codec,
+        "op9_neighbours": op9_neighbours,
+        "op10_main_text": op10_main_text,
     }
 
 

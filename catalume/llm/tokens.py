@@ -10,49 +10,68 @@ from __future__ import annotations
 
 import os
 import re
-from array import array
+
+import numpy as np
 
 _LOOSE = re.compile(r"\s\s|\A\s|\s\Z")
 _CUT = re.compile(r"(?<=\S) (?=\S)")
+#: Characters for the mark between pieces; the first that is a single id is used.
+_MARKS = "§¶±~^"
 _ENCODERS: dict[tuple, WordEncoder] = {}
 
 
 class WordEncoder:
-    """Ids as bytes of ``dtype`` (<u2 or <u4, on little-endian machines). ``held`` bounds the characters of the pieces kept."""
+    """Ids as bytes of ``dtype`` (<u2 or <u4, on little-endian machines).
+
+    New pieces go to the library as one text, with a mark between them that is a single id and occurs in
+    none of them. ``held`` bounds the number of pieces kept: half of them new or met again since the
+    other half was put aside.
+    """
 
-    def __init__(self, path: str, dtype: str, held: int = 30_000_000):
+    def __init__(self, path: str, dtype: str, held: int = 1_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.code, self.limit = {"<u2": "H", "<u4": "I"}[dtype], held
-        self._clear()
-
-    def _clear(self) -> None:
-        self.first: dict[str, bytes] = {}
-        self.later: dict[str, bytes] = {}
-        self.size = 0
-
-    def _learn(self, known: dict[str, bytes], new: list[str], before: str) -> None:
-        found = self.tokenizer.encode_batch_fast([before + x for x in new], add_special_tokens=False)
-        for x, e in zip(new, found, strict=True):
-            known[x] = array(self.code, e.ids).tobytes()
-            self.size += len(x) + 64
+        if hasattr(self.tokenizer.model, "_resize_cache"):
+            self.tokenizer.model._resize_cache(0)  # words are kept here
+        self.dtype, self.half = dtype, held // 2
+        self.known: dict[str, bytes] = {}
+        self.aside: dict[str, bytes] = {}
+        ids = [self.tokenizer.encode(f"a {m} b", add_special_tokens=False).ids for m in _MARKS]
+        self.mark, self.mark_id = next(((m, x[1]) for m, x in zip(_MARKS, ids, strict=True) if len(x) == 3), ("", -1))
+
+    def _learn(self, pieces: set[str]) -> None:
+        """Pieces that aren't the first of their text: a space stands before each."""
+        if len(self.known) > self.half:
+            self.known, self.aside = {}, self.known
+        back = pieces & self.aside.keys()
+        self.known.update((x, self.aside[x]) for x in back)
+        new = list(pieces - self.known.keys())
+        alone = [x for x in new if not self.mark or self.mark in x or "<|" in x]
+        if alone:
+            held = set(alone)
+            new = [x for x in new if x not in held]
+        texts = [f" {self.mark} ".join(["", *new[i : i + 1000], ""]) for i in range(0, len(new), 1000)]
+        for i, e in enumerate(self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
+            ids = np.array(e.ids, self.dtype)
+            at, raw, size = np.flatnonzero(ids == self.mark_id) * ids.itemsize, ids.tobytes(), ids.itemsize
+            own = new[1000 * i : 1000 * (i + 1)]
+            self.known.update((x, raw[a + size : b]) for x, a, b in zip(own, at[:-1].tolist(), at[1:].tolist(), strict=True))
+        for x, e in zip(alone, self.tokenizer.encode_batch_fast([" " + x for x in alone], add_special_tokens=False), strict=True):
+            self.known[x] = np.array(e.ids, self.dtype).tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if self.size > self.limit:
-            self._clear()
         cut = [(t.split(" ") if not _LOOSE.search(t) else _CUT.split(t)) for t in texts]
-        first, later = set(), set()
+        later: set[str] = set()
         for parts in cut:
-            first.add(parts[0])
             later.update(parts[1:])
-        self._learn(self.first, list(first - self.first.keys()), "")
-        self._learn(self.later, list(later - self.later.keys()), " ")
-        get = self.later.__getitem__
-        return [self.first[p[0]] + b"".join(map(get, p[1:])) for p in cut]
+        self._learn(later)
+        heads = [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast([p[0] for p in cut], add_special_tokens=False)]
+        get = self.known.__getitem__
+        return [head + b"".join(map(get, p[1:])) for head, p in zip(heads, cut, strict=True)]
 
 
 def encoder(path: str, dtype: str) -> WordEncoder:
