@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chunkcodec, fingerprints, htmltext, neighbours, packing, quality, sharding, simhash, tokenfiles
+from . import chunkcodec, fingerprints, htmltext, neighbours, packing, privacy, quality, sharding, simhash, tokenfiles
 from .common import shared_path, table
 
 
@@ -33,6 +33,10 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op6_privacy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return privacy.report(table(spark, sf_dir, "documents"))
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_path(spark, "tokens")
     tokenfiles.write_tokens(table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"))
@@ -65,6 +69,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_quality": op3_quality,
         "op4_sharding": op4_sharding,
         "op5_packing": op5_packing,
+        "op6_privacy": op6_privacy,
         "op7_token_files": op7_token_files,
         "op8_chunk_codec": op8_chunk_codec,
         "op9_neighbours": op9_neighbours,
