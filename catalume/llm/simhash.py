@@ -23,7 +23,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialise
@@ -177,3 +177,72 @@ def near_duplicates(df: DataFrame, id: str = "doc_id", text: str = "text", words
     named = rooted.join(classes, "root").select("fp", "component_id")
     out = docs.join(named, "fp")
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+#: For duplicates by similarity: words of a shingle, least similarity, bits between whole fingerprints,
+#: partial fingerprints of a document, hashes in a sketch.
+SHINGLE, SIMILAR, NEAR_BITS, DRAWS, SKETCH = 5, 0.8, 3, 8, 256
+_ODD = np.random.default_rng(11).integers(0, 2**63, DRAWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def similarity(a: np.ndarray, b: np.ndarray, size: int = SKETCH) -> float:
+    """Jaccard similarity of two sorted sketches; exact for sets that fit in one, and 1 for two empty ones."""
+    union = np.union1d(a, b)[:size]
+    return float(np.isin(union, np.intersect1d(a, b, True), True).mean()) if len(union) else 1.0
+
+
+def similar_classes(df: DataFrame, id: str = "doc_id", text: str = "text", words: int = SHINGLE, least: float = SIMILAR, bits: int = NEAR_BITS) -> DataFrame:
+    """(row, doc_id, root) of each distinct row: near-duplicates by Jaccard similarity of their shingles.
+
+    Candidates are documents whose fingerprints differ in at most ``bits`` bits, by the index, and
+    documents that share a partial fingerprint. A partial one is the fingerprint of a single shingle, the
+    winner of a min-wise draw, so two documents share it with a probability equal to their similarity; of
+    ``DRAWS`` draws, those at ``least`` = 0.8 miss all in 3 of a million cases. Documents that share a
+    fingerprint are compared with the first of them and with one more that changes with the fingerprint,
+    not with each other, so a group of any size gives two pairs a member. Every pair is then verified on
+    the sketches (the ``SKETCH`` smallest shingle hashes: exact up to as many shingles, else an
+    estimate), and classes are connected components of what holds. ``row`` is a hash of id and text.
+    """
+    docs = df.select(F.col(id).cast("long").alias("doc_id"), F.col(text).alias("text")).withColumn("row", F.xxhash64(F.struct("doc_id", "text")))
+
+    def each(batches):
+        for batch in batches:
+            out = []
+            for row, doc, t in zip(batch["row"], batch["doc_id"].astype("Int64"), batch["text"], strict=True):
+                h = np.unique(shingle_hashes(t, words))
+                mixed = (h[:, None] ^ _ODD[None, ::-1]) * _ODD
+                draws = (mixed ^ (mixed >> np.uint64(29))).min(0).view(np.int64) if len(h) else np.zeros(0, np.int64)
+                small = np.unique((h >> np.uint64(16)).astype(np.uint32).view(np.int32))[:SKETCH]
+                out.append((row, doc, fingerprint(t, words), draws, small))
+            part = pd.DataFrame(out, columns=["row", "doc_id", "fp", "draws", "sketch"])
+            yield part.astype({"doc_id": "Int64"})
+
+    made = materialise(docs.mapInPandas(each, "row long, doc_id long, fp long, draws array<long>, sketch array<int>").dropDuplicates(["row"]), "sketches")
+    of_fp = made.groupBy("fp").agg(F.min("row").alias("row"))
+    whole = links(of_fp.select("fp"), bits)
+    first, second = of_fp.select(F.col("fp").alias("a"), F.col("row").alias("x")), of_fp.select(F.col("fp").alias("b"), F.col("row").alias("y"))
+    pairs = whole.join(first, "a").join(second, "b").select("x", "y")
+    keys = made.select("row", F.explode(F.concat(F.array(F.struct(F.lit(-1).alias("draw"), F.col("fp").alias("key"))), F.transform("draws", lambda h, i: F.struct(i.alias("draw"), h.alias("key"))))).alias("k")).select("row", "k.*")
+    heads = keys.groupBy("draw", "key").agg(F.min("row").alias("x"), F.min_by("row", F.xxhash64("row", "draw")).alias("x2"), F.count("*").alias("n")).where("n > 1")
+    shared = keys.join(heads, ["draw", "key"]).select(F.explode(F.array("x", "x2")).alias("x"), F.col("row").alias("y"))
+    pairs = pairs.unionByName(shared).where("x <> y").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
+    sketch = made.select("row", "sketch")
+    both = pairs.join(sketch.toDF("x", "sx"), "x").join(sketch.toDF("y", "sy"), "y")
+
+    def verified(batches):
+        for batch in batches:
+            held = np.array([similarity(a, b) >= least for a, b in zip(batch["sx"], batch["sy"], strict=True)], bool)
+            yield batch.loc[held, ["x", "y"]]
+
+    stars = connected_components(both.mapInPandas(verified, "x long, y long"))
+    return made.select("row", "doc_id").join(stars.withColumnRenamed("node", "row"), "row", "left").withColumn("root", F.coalesce("root", "row"))
+
+
+def deduplicate(df: DataFrame, id: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """The rows of ``df`` without near-duplicates: of each class the row with the smallest id stays, once."""
+    classes = similar_classes(df, id, text, **options)
+    stay = classes.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("s")).select(F.col("s.row").alias("__row"))
+    keyed = df.withColumn("__row", F.xxhash64(F.struct(F.col(id).cast("long").alias("doc_id"), F.col(text).alias("text"))))
+    once = Window.partitionBy("__row").orderBy("__row")
+    kept = keyed.join(stay, "__row", "left_semi").withColumn("__n", F.row_number().over(once)).where("__n = 1")
+    return kept.select(*[F.col(f"`{c}`") for c in df.columns])
