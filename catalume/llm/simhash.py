@@ -180,8 +180,9 @@ def near_duplicates(df: DataFrame, id: str = "doc_id", text: str = "text", words
 
 
 #: For duplicates by similarity: words of a shingle, least similarity, bits between whole fingerprints,
-#: partial fingerprints of a document, hashes in a sketch.
-SHINGLE, SIMILAR, NEAR_BITS, DRAWS, SKETCH = 5, 0.8, 3, 8, 256
+#: partial fingerprints of a document, hashes in a sketch, and how far an estimate may be off (over five
+#: standard deviations of a sketch of that size).
+SHINGLE, SIMILAR, NEAR_BITS, DRAWS, SKETCH, MARGIN = 5, 0.8, 3, 8, 2048, 0.05
 _ODD = np.random.default_rng(11).integers(0, 2**63, DRAWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -191,17 +192,31 @@ def similarity(a: np.ndarray, b: np.ndarray, size: int = SKETCH) -> float:
     return float(np.isin(union, np.intersect1d(a, b, True), True).mean()) if len(union) else 1.0
 
 
+def _candidates(made: DataFrame, bits: int) -> DataFrame:
+    """(x, y), x < y: rows whose whole fingerprints are near, or that share a fingerprint with a head."""
+    of_fp = made.groupBy("fp").agg(F.min("row").alias("row"))
+    whole = links(of_fp.select("fp"), bits)
+    first, second = of_fp.select(F.col("fp").alias("a"), F.col("row").alias("x")), of_fp.select(F.col("fp").alias("b"), F.col("row").alias("y"))
+    pairs = whole.join(first, "a").join(second, "b").select("x", "y")
+    keys = made.select("row", F.explode(F.concat(F.array(F.struct(F.lit(-1).alias("draw"), F.col("fp").alias("key"))), F.transform("draws", lambda h, i: F.struct(i.alias("draw"), h.alias("key"))))).alias("k")).select("row", "k.*")
+    heads = keys.groupBy("draw", "key").agg(F.min("row").alias("x"), F.min_by("row", F.xxhash64("row", "draw")).alias("x2"), F.count("*").alias("n")).where("n > 1")
+    shared = keys.join(heads, ["draw", "key"]).select(F.explode(F.array("x", "x2")).alias("x"), F.col("row").alias("y"))
+    return pairs.unionByName(shared).where("x <> y").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
+
+
 def similar_classes(df: DataFrame, id: str = "doc_id", text: str = "text", words: int = SHINGLE, least: float = SIMILAR, bits: int = NEAR_BITS) -> DataFrame:
     """(row, doc_id, root) of each distinct row: near-duplicates by Jaccard similarity of their shingles.
 
-    Candidates are documents whose fingerprints differ in at most ``bits`` bits, by the index, and
-    documents that share a partial fingerprint. A partial one is the fingerprint of a single shingle, the
-    winner of a min-wise draw, so two documents share it with a probability equal to their similarity; of
-    ``DRAWS`` draws, those at ``least`` = 0.8 miss all in 3 of a million cases. Documents that share a
-    fingerprint are compared with the first of them and with one more that changes with the fingerprint,
-    not with each other, so a group of any size gives two pairs a member. Every pair is then verified on
-    the sketches (the ``SKETCH`` smallest shingle hashes: exact up to as many shingles, else an
-    estimate), and classes are connected components of what holds. ``row`` is a hash of id and text.
+    Texts with the same set of shingles are one from the start. Candidates are documents whose
+    fingerprints differ in at most ``bits`` bits, by the index, and documents that share a partial
+    fingerprint. A partial one is the fingerprint of a single shingle, the winner of a min-wise draw, so
+    two documents share it with a probability equal to their similarity; of ``DRAWS`` draws, those at
+    ``least`` = 0.8 miss all in 3 of a million cases. Documents that share a fingerprint are compared with
+    the first of them and with one more that changes with the fingerprint, not with each other, so a
+    group of any size gives two pairs a member. Every pair is verified: on sketches (the ``SKETCH``
+    smallest shingle hashes) where these hold all shingles or the estimate is clear of ``least`` by
+    ``MARGIN``; else, unless other links tie the two, on all shingles. Classes are the connected
+    components of what holds. ``row`` is a hash of id and text.
     """
     docs = df.select(F.col(id).cast("long").alias("doc_id"), F.col(text).alias("text")).withColumn("row", F.xxhash64(F.struct("doc_id", "text")))
 
@@ -213,29 +228,48 @@ def similar_classes(df: DataFrame, id: str = "doc_id", text: str = "text", words
                 mixed = (h[:, None] ^ _ODD[None, ::-1]) * _ODD
                 draws = (mixed ^ (mixed >> np.uint64(29))).min(0).view(np.int64) if len(h) else np.zeros(0, np.int64)
                 small = np.unique((h >> np.uint64(16)).astype(np.uint32).view(np.int32))[:SKETCH]
-                out.append((row, doc, fingerprint(t, words), draws, small))
-            part = pd.DataFrame(out, columns=["row", "doc_id", "fp", "draws", "sketch"])
+                same = xxhash.xxh64_intdigest(h.tobytes()) - 2**63
+                out.append((row, doc, same, fingerprint(t, words), draws, small, len(h)))
+            part = pd.DataFrame(out, columns=["row", "doc_id", "same", "fp", "draws", "sketch", "size"])
             yield part.astype({"doc_id": "Int64"})
 
-    made = materialise(docs.mapInPandas(each, "row long, doc_id long, fp long, draws array<long>, sketch array<int>").dropDuplicates(["row"]), "sketches")
-    of_fp = made.groupBy("fp").agg(F.min("row").alias("row"))
-    whole = links(of_fp.select("fp"), bits)
-    first, second = of_fp.select(F.col("fp").alias("a"), F.col("row").alias("x")), of_fp.select(F.col("fp").alias("b"), F.col("row").alias("y"))
-    pairs = whole.join(first, "a").join(second, "b").select("x", "y")
-    keys = made.select("row", F.explode(F.concat(F.array(F.struct(F.lit(-1).alias("draw"), F.col("fp").alias("key"))), F.transform("draws", lambda h, i: F.struct(i.alias("draw"), h.alias("key"))))).alias("k")).select("row", "k.*")
-    heads = keys.groupBy("draw", "key").agg(F.min("row").alias("x"), F.min_by("row", F.xxhash64("row", "draw")).alias("x2"), F.count("*").alias("n")).where("n > 1")
-    shared = keys.join(heads, ["draw", "key"]).select(F.explode(F.array("x", "x2")).alias("x"), F.col("row").alias("y"))
-    pairs = pairs.unionByName(shared).where("x <> y").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
-    sketch = made.select("row", "sketch")
-    both = pairs.join(sketch.toDF("x", "sx"), "x").join(sketch.toDF("y", "sy"), "y")
+    made = docs.mapInPandas(each, "row long, doc_id long, same long, fp long, draws array<long>, sketch array<int>, size int")
+    made = materialise(made.dropDuplicates(["row"]), "sketches")
+    own = made.groupBy("same").agg(F.min("row").alias("row"))
+    distinct = made.join(own, ["same", "row"], "left_semi")
+    sketch = distinct.select("row", "sketch", "size")
+    both = _candidates(distinct, bits).join(sketch.toDF("x", "sx", "nx"), "x").join(sketch.toDF("y", "sy", "ny"), "y")
 
     def verified(batches):
         for batch in batches:
-            held = np.array([similarity(a, b) >= least for a, b in zip(batch["sx"], batch["sy"], strict=True)], bool)
-            yield batch.loc[held, ["x", "y"]]
-
-    stars = connected_components(both.mapInPandas(verified, "x long, y long"))
-    return made.select("row", "doc_id").join(stars.withColumnRenamed("node", "row"), "row", "left").withColumn("root", F.coalesce("root", "row"))
+            near = np.array([similarity(a, b) for a, b in zip(batch["sx"], batch["sy"], strict=True)], float)
+            doubt = (np.abs(near - least) < MARGIN) & (batch[["nx", "ny"]].max(axis=1).to_numpy() > SKETCH)
+            out = batch[["x", "y"]].assign(sure=~doubt)
+            yield out[doubt | (near >= least)]
+
+    found = materialise(both.mapInPandas(verified, "x long, y long, sure boolean"), "links")
+    sure, doubt = found.where("sure").select("x", "y"), found.where("NOT sure").select("x", "y")
+    stars = connected_components(sure)
+    if doubt.count():
+        root = lambda end: stars.select(F.col("node").alias(end), F.col("root").alias(f"r{end}"))
+        apart = doubt.join(root("x"), "x", "left").join(root("y"), "y", "left").where(F.coalesce("rx", "x") != F.coalesce("ry", "y"))
+        apart = materialise(apart.select("x", "y"), "doubts")
+
+        def whole(batches):
+            for batch in batches:
+                yield pd.DataFrame({"row": batch["row"], "all": [np.unique(shingle_hashes(t, words)).view(np.int64) for t in batch["text"]]})
+
+        def exact(batches):
+            for batch in batches:
+                held = [similarity(np.sort(a), np.sort(b), len(a) + len(b)) >= least for a, b in zip(batch["ax"], batch["ay"], strict=True)]
+                yield batch.loc[held, ["x", "y"]]
+
+        asked = apart.select(F.explode(F.array("x", "y")).alias("row")).distinct()
+        full = materialise(docs.join(asked, "row", "left_semi").dropDuplicates(["row"]).mapInPandas(whole, "row long, all array<long>"), "shingles")
+        pairs = apart.join(full.toDF("x", "ax"), "x").join(full.toDF("y", "ay"), "y").mapInPandas(exact, "x long, y long")
+        stars = connected_components(sure.unionByName(pairs))
+    rooted = own.join(stars.withColumnRenamed("node", "row"), "row", "left").select("same", F.coalesce("root", "row").alias("root"))
+    return made.select("row", "doc_id", "same").join(rooted, "same").drop("same")
 
 
 def deduplicate(df: DataFrame, id: str = "doc_id", text: str = "text", **options) -> DataFrame:
