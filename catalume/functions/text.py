@@ -7,6 +7,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 CHUNK_BYTES = 500_000
 _CODECS = {"UTF8": "utf-8", "ASCII": "utf-8", "UNICODE": "utf-8", "SJIS": "cp932", "EUCJP": "euc_jp", "JIS": "iso2022_jp"}
@@ -34,8 +35,8 @@ def encoding_of(data: bytes) -> str:
                 continue
             if name == "UTF8":
                 return name
-            kana = sum("぀" <= c <= "ヿ" or "一" <= c <= "鿿" for c in text)
-            odd = sum("｡" <= c <= "ﾟ" or "" <= c <= "" for c in text)
+            kana = sum("\u3040" <= c <= "\u30ff" or "\u4e00" <= c <= "\u9fff" for c in text)
+            odd = sum("\uff61" <= c <= "\uff9f" or "\ue000" <= c <= "\uf8ff" for c in text)
             if (score := (kana - 2 * odd) / max(1, len(text))) > most:
                 best, most = name, score
             break
@@ -46,12 +47,12 @@ def decoded(data: bytes, encoding: str) -> str:
     return data.decode(_CODECS.get(encoding, "utf-8"), "replace")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def detect_encoding(data: pd.Series) -> pd.Series:
     return data.map(lambda b: None if b is None else encoding_of(bytes(b)))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def decode_bytes(data: pd.Series, encoding: pd.Series) -> pd.Series:
     return pd.Series([None if b is None else decoded(bytes(b), e) for b, e in zip(data, encoding, strict=True)])
 
@@ -114,7 +115,7 @@ def content_chunks(df: DataFrame, limit: int = CHUNK_BYTES, most: int | None = N
 
 
 def truncate_column(c: Column, limit: int) -> Column:
-    @F.pandas_udf("string")
+    @F.pandas_udf(StringType())
     def cut(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: None if t is None else truncated(t, limit))
 

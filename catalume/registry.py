@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .plans import scalar_queries, search_queries
+from .sources.catalog import Catalog
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    found = search_queries.SPARK | scalar_queries.SPARK
+    return {name: lambda spark, sf_dir, f=f: f(Catalog(spark, sf_dir)) for name, f in found.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return search_queries.SQL | scalar_queries.SQL

@@ -71,7 +71,7 @@ def table_rows(text: str) -> list[list[str]]:
     Title rows are leading rows with at most one cell that isn't blank, where some row has more. Footer
     rows, from the bottom: the first cell is blank or begins with a known word; the header stays.
     """
-    text = text.removeprefix("﻿")
+    text = text.removeprefix("\ufeff")
     head = "\n".join(text.splitlines()[:20])
     delimiter = max(",\t;|", key=lambda d: (head.count(d), -",\t;|".index(d)))
     rows = [r for r in csv.reader(io.StringIO(text, newline=""), delimiter=delimiter) if r and any(r) or len(r) > 1]
