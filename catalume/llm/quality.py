@@ -43,7 +43,7 @@ def _index_vectors() -> tuple[np.ndarray, np.ndarray]:
 class Words:
     """Buckets of words; keeps those it has seen, up to a bound."""
 
-    def __init__(self, most: int = 400_000):
+    def __init__(self, most: int = 150_000):
         self.seen: dict[str, int] = {}
         self.most = most
 
@@ -112,7 +112,7 @@ class Pooling:
 
     def __call__(self, texts) -> np.ndarray:
         out = np.zeros((len(texts), self.size), np.float32)
-        for part, own in _portions(texts, 400_000):
+        for part, own in _portions(texts, 150_000):
             b, n = self.words.buckets(own)
             rows = np.arange(len(texts))[part][n > 0]
             if not len(b):

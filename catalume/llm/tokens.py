@@ -28,7 +28,7 @@ class WordEncoder:
     other half was put aside.
     """
 
-    def __init__(self, path: str, dtype: str, held: int = 1_000_000):
+    def __init__(self, path: str, dtype: str, held: int = 300_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
