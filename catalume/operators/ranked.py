@@ -127,7 +127,11 @@ def fragment(text: Column, q: str, size: int = 200) -> Column:
     """The stretch of ``size`` characters with the most query terms (the first of equals), marked; null without one."""
     terms = query_terms(q)
     starts = F.sequence(F.lit(0), F.greatest(F.ceil((F.length(text) - size / 2) / (size / 2)).cast("int"), F.lit(1)) - 1)
-    count = lambda s: reduce(lambda a, b: a + b, [F.size(F.filter(tokens(s), lambda w, t=t: w == t)) for t in terms], F.lit(0))
+
+    def held(piece: Column, term: str) -> Column:
+        return F.size(F.filter(tokens(piece), lambda w: w == term))
+
+    count = lambda piece: reduce(lambda a, b: a + b, [held(piece, t) for t in terms], F.lit(0))
     pieces = F.transform(starts, lambda i: F.struct(count(F.substring(text, i * (size // 2) + 1, F.lit(size))).alias("n"), (-i).alias("i")))
     best = F.array_max(pieces)
     return F.when(best["n"] > 0, highlight(F.substring(text, -best["i"] * (size // 2) + 1, F.lit(size)), q))
