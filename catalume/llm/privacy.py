@@ -130,7 +130,7 @@ def disclosing_terms(spanned: DataFrame, text: str = "text", support: int = SUPP
     asked = F.broadcast(asked) if few <= BROADCAST else asked
     entities = some.select(F.explode(F.array_distinct(F.transform("base", entity))).alias("entity")).groupBy("entity").agg(F.count("*").alias("n_entity"))
     words = spanned.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(text_or_empty(text)), F.lit(_TERM), F.lit(0)))).alias("term"))
-    terms = words.join(asked, "term").groupBy("term").agg(F.count("*").alias("n_term"))
+    terms = words.groupBy("term").agg(F.count("*").alias("n_term")).join(asked, "term")  # counted first: the join makes a row a term
     n = F.lit(float(spanned.count()))
     mutual = F.log(F.col("n_both") * n / (F.col("n_term") * F.col("n_entity")))
     # an entity in every document has no information to give away
