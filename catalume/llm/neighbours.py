@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 TREES, LEAF, SAMPLE = 8, 64, 16_384
-REACH, FEWEST, PART = 1.4, 20_000, 8_192
+REACH, FEWEST, PART = 1.4, 20_000, 32_768
 
 
 class Forest:
