@@ -23,8 +23,9 @@ _ENCODERS: dict[tuple, WordEncoder] = {}
 class WordEncoder:
     """Ids as bytes of ``dtype`` (<u2 or <u4, on little-endian machines).
 
-    New pieces go to the library as one text, with a mark between them that is a single id and occurs in
-    none of them. ``held`` bounds the number of pieces kept: half of them new or met again since the
+    New pieces go to the library as one text. Where the vocabulary's tokens carry the space before a word
+    (``Ġ``), a piece begins at each such token; elsewhere a mark stands between the pieces that is a
+    single id and occurs in none of them. ``held`` bounds the number of pieces kept: half of them new or met again since the
     other half was put aside.
     """
 
@@ -38,6 +39,10 @@ class WordEncoder:
         if hasattr(self.tokenizer.model, "_resize_cache"):
             self.tokenizer.model._resize_cache(0)  # words are kept here
         self.dtype, self.half = dtype, held // 2
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.spaced = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.spaced[[i for t, i in vocabulary.items() if t.startswith("Ġ")]] = True
+        self.carried = self.spaced[self.tokenizer.encode(" a b", add_special_tokens=False).ids].tolist() == [True, True]
         self.known: dict[str, bytes] = {}
         self.aside: dict[str, bytes] = {}
         ids = [self.tokenizer.encode(f"a {m} b", add_special_tokens=False).ids for m in _MARKS]
@@ -50,16 +55,24 @@ class WordEncoder:
         back = pieces & self.aside.keys()
         self.known.update((x, self.aside[x]) for x in back)
         new = list(pieces - self.known.keys())
-        alone = [x for x in new if not self.mark or self.mark in x or "<|" in x]
-        if alone:
+        bound = (lambda x: " " in x or "<|" in x) if self.carried else (lambda x: not self.mark or self.mark in x or "<|" in x)
+        if alone := [x for x in new if bound(x)]:
             held = set(alone)
             new = [x for x in new if x not in held]
-        texts = [f" {self.mark} ".join(["", *new[i : i + 1000], ""]) for i in range(0, len(new), 1000)]
-        for i, e in enumerate(self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
+        before, between = (" ", " ") if self.carried else (f" {self.mark} ", f" {self.mark} ")
+        after = "" if self.carried else between
+        groups = [new[i : i + 1000] for i in range(0, len(new), 1000)]
+        found = self.tokenizer.encode_batch_fast([before + between.join(g) + after for g in groups], add_special_tokens=False)
+        for own, e in zip(groups, found, strict=True):
             ids = np.array(e.ids, self.dtype)
-            at, raw, size = np.flatnonzero(ids == self.mark_id) * ids.itemsize, ids.tobytes(), ids.itemsize
-            own = new[1000 * i : 1000 * (i + 1)]
-            self.known.update((x, raw[a + size : b]) for x, a, b in zip(own, at[:-1].tolist(), at[1:].tolist(), strict=True))
+            raw, size = ids.tobytes(), ids.itemsize
+            if self.carried:
+                begins = np.flatnonzero(self.spaced[ids]) * size
+                ends = [*begins[1:].tolist(), len(raw)]
+            else:
+                at = np.flatnonzero(ids == self.mark_id) * size
+                begins, ends = at[:-1] + size, at[1:].tolist()
+            self.known.update((x, raw[a:b]) for x, a, b in zip(own, begins.tolist(), ends, strict=True))
         for x, e in zip(alone, self.tokenizer.encode_batch_fast([" " + x for x in alone], add_special_tokens=False), strict=True):
             self.known[x] = np.array(e.ids, self.dtype).tobytes()
 
