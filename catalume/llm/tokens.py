@@ -14,6 +14,8 @@ import re
 import numpy as np
 
 _LOOSE = re.compile(r"\s\s|\A\s|\s\Z")
+#: After one of these letters a full stop or comma at the end of a piece is cut off before the merges.
+_STOPPED = re.compile(r"[A-Za-zß-öø-ÿ][.,]\Z").search
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 #: Characters for the mark between pieces; the first that is a single id is used.
 _MARKS = "§¶±~^"
@@ -43,6 +45,7 @@ class WordEncoder:
         self.spaced = np.zeros(max(vocabulary.values()) + 1, bool)
         self.spaced[[i for t, i in vocabulary.items() if t.startswith("Ġ")]] = True
         self.carried = self.spaced[self.tokenizer.encode(" a b", add_special_tokens=False).ids].tolist() == [True, True]
+        self.stops = {x: np.array(self.tokenizer.encode(x, add_special_tokens=False).ids, dtype).tobytes() for x in ".,"}
         self.known: dict[str, bytes] = {}
         self.aside: dict[str, bytes] = {}
         ids = [self.tokenizer.encode(f"a {m} b", add_special_tokens=False).ids for m in _MARKS]
@@ -52,9 +55,13 @@ class WordEncoder:
         """Pieces that aren't the first of their text: a space stands before each."""
         if len(self.known) > self.half:
             self.known, self.aside = {}, self.known
-        back = pieces & self.aside.keys()
-        self.known.update((x, self.aside[x]) for x in back)
-        new = list(pieces - self.known.keys())
+        fresh = pieces - self.known.keys()
+        self._again(fresh)
+        stopped = [x for x in fresh if _STOPPED(x)] if self.carried else []
+        fresh.difference_update(stopped)
+        stems = {x[:-1] for x in stopped} - self.known.keys()
+        self._again(stems)
+        new = list(fresh | stems)
         bound = (lambda x: " " in x or "<|" in x) if self.carried else (lambda x: not self.mark or self.mark in x or "<|" in x)
         if alone := [x for x in new if bound(x)]:
             held = set(alone)
@@ -75,6 +82,13 @@ class WordEncoder:
             self.known.update((x, raw[a:b]) for x, a, b in zip(own, begins.tolist(), ends, strict=True))
         for x, e in zip(alone, self.tokenizer.encode_batch_fast([" " + x for x in alone], add_special_tokens=False), strict=True):
             self.known[x] = np.array(e.ids, self.dtype).tobytes()
+        self.known.update((x, self.known[x[:-1]] + self.stops[x[-1]]) for x in stopped)
+
+    def _again(self, pieces: set[str]) -> None:
+        """Take back those of the pieces that were put aside."""
+        back = pieces & self.aside.keys()
+        self.known.update((x, self.aside[x]) for x in back)
+        pieces.difference_update(back)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         cut = [(t.split(" ") if not _LOOSE.search(t) else _CUT.split(t)) for t in texts]
