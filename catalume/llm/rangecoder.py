@@ -223,14 +223,19 @@ def decode_blocks(payloads: list[bytes], total: int, block: int = BLOCK) -> np.n
     return grid.T.ravel()[:total]
 
 
-MAGIC = b"CMR1"
+MAGIC = b"CMR2"
+
+
+def _checksum(ids: np.ndarray, payload: bytes) -> int:
+    """Of the ids and of the bytes that hold them: the last bytes of a payload have bits that no id depends on."""
+    return zlib.crc32(payload, zlib.crc32(ids.tobytes()))
 
 
 def pack_segment(ids: np.ndarray, block: int = BLOCK) -> bytes:
-    """A segment: magic, block size, number of ids, then of each block its length and the crc32 of its ids, then the payloads."""
+    """A segment: magic, block size, number of ids, then of each block its length and checksum, then the payloads."""
     payloads = encode_blocks(ids, block)
     raw = np.ascontiguousarray(ids, "<u2")
-    heads = [(len(p), zlib.crc32(raw[i * block : (i + 1) * block].tobytes())) for i, p in enumerate(payloads)]
+    heads = [(len(p), _checksum(raw[i * block : (i + 1) * block], p)) for i, p in enumerate(payloads)]
     return MAGIC + np.array([block, len(ids)], "<u4").tobytes() + np.array(heads, "<u4").tobytes() + b"".join(payloads)
 
 
@@ -242,8 +247,9 @@ def unpack_segment(data: bytes) -> np.ndarray:
     lanes = -(-total // block)
     heads = np.frombuffer(data, "<u4", 2 * lanes, 12).reshape(lanes, 2)
     begin = 12 + 8 * lanes + np.concatenate([[0], np.cumsum(heads[:, 0], dtype=np.int64)])
-    ids = decode_blocks([data[begin[i] : begin[i + 1]] for i in range(lanes)], total, block).astype("<u2")
-    for i in range(lanes):
-        if zlib.crc32(ids[i * block : (i + 1) * block].tobytes()) != heads[i, 1]:
+    payloads = [data[begin[i] : begin[i + 1]] for i in range(lanes)]
+    ids = decode_blocks(payloads, total, block).astype("<u2")
+    for i, payload in enumerate(payloads):
+        if _checksum(ids[i * block : (i + 1) * block], payload) != heads[i, 1]:
             raise ValueError(f"block {i} does not match its checksum")
     return ids
