@@ -4,11 +4,11 @@ A page is cut into lines at block elements; scripts, styles, head, menus, header
 forms, notices, adverts and reader comments that say so by their element, role or class are left out.
 Within each host, pages are ordered by URL path; each is paired with the neighbour whose path has the
 longer common prefix (the one before, if equal). The lines that both share, as a longest common
-subsequence, are the site's own, and are deleted. Lines inside an ``article`` or ``main`` element are the
-page's by its own word and stay; where a page has such lines, its text is these alone. If a pair shares
-nearly everything (copies of a page), the other neighbour is tried; copies on both sides delete nothing.
+subsequence, are the site's own, and are deleted, whether they stand inside an ``article`` or ``main``
+element or outside; what is left is the text. If a pair shares nearly everything (copies of a page), the
+other neighbour is tried; copies on both sides delete nothing.
 
-The pairing moves only hashes of lines; the text of pages without an article crosses one join.
+The pairing moves only hashes of lines; the text of pages crosses one join.
 
 Edge cases: null html is empty; a null or odd URL counts as host '' with the URL as its path; rows equal in
 all three columns are paired once and each get the same text; a page alone on its host keeps its lines;
@@ -157,13 +157,13 @@ def _prefix(a: str | None, b: str | None) -> int:
     return next((i for i in range(n) if a[i] != b[i]), n)
 
 
-def _cut(own, inside, sizes, path, pairs) -> list[int]:
+def _cut(own, sizes, path, pairs) -> list[int]:
     """Which lines of a page to delete, given (path, lines) of its neighbours on the same host."""
     pairs = sorted(((_prefix(path, p), -i, list(h)) for i, (p, h) in enumerate(pairs)), reverse=True)
     for _, _, other in pairs:
         shared = common_lines(own, other)
         if sum(sizes[i] for i in shared) < COPY * sum(sizes):
-            return [i for i in shared if not inside[i]]
+            return shared
     return []
 
 
@@ -184,11 +184,11 @@ def main_text(pages: DataFrame) -> DataFrame:
         for batch in batches:
             out = []
             for row, url, page in zip(batch["row"], batch["url"], batch["html"], strict=True):
-                text, inside = lines(page or "")
-                out.append((row, *place(url), [xxhash.xxh64_intdigest(x.encode("utf-8", "replace")) - 2**63 for x in text], [len(x) for x in text], inside))
-            yield pd.DataFrame(out, columns=["row", "host", "path", "lines", "sizes", "inside"])
+                text, _ = lines(page or "")
+                out.append((row, *place(url), [xxhash.xxh64_intdigest(x.encode("utf-8", "replace")) - 2**63 for x in text], [len(x) for x in text]))
+            yield pd.DataFrame(out, columns=["row", "host", "path", "lines", "sizes"])
 
-    marks = rows.mapInPandas(hashed, _KEY + ", lines array<long>, sizes array<int>, inside array<boolean>").dropDuplicates(["row"])
+    marks = rows.mapInPandas(hashed, _KEY + ", lines array<long>, sizes array<int>").dropDuplicates(["row"])
     parts = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = marks.repartitionByRange(parts, "host", "path", "row").withColumn("part", F.spark_partition_id())
     ordered = materialise(ordered, "pages")
@@ -200,14 +200,14 @@ def main_text(pages: DataFrame) -> DataFrame:
     along = Window.orderBy("part")
     ends = ends.select("part", F.lag("last").over(along).alias("last_before"), F.lead("first").over(along).alias("first_after"))
     near = ordered.withColumns({"before": F.lag(seen).over(within), "after": F.lead(seen).over(within)}).join(F.broadcast(ends), "part")
-    pairs = near.select("row", "host", "path", "lines", "sizes", "inside", F.coalesce("before", "last_before").alias("before"), F.coalesce("after", "first_after").alias("after"))
-    pairs = pairs.where(~F.exists("inside", lambda x: x) & (F.size("lines") > 0))
+    pairs = near.select("row", "host", "path", "lines", "sizes", F.coalesce("before", "last_before").alias("before"), F.coalesce("after", "first_after").alias("after"))
+    pairs = pairs.where(F.size("lines") > 0)
 
     def cuts(batches):
         for batch in batches:
             out = []
-            for row, host, path, own, sizes, inside, *beside in batch.itertuples(index=False):
-                drop = _cut(list(own), list(inside), list(sizes), path, [(p["path"], p["lines"]) for p in beside if p is not None and p["host"] == host])
+            for row, host, path, own, sizes, *beside in batch.itertuples(index=False):
+                drop = _cut(list(own), list(sizes), path, [(p["path"], p["lines"]) for p in beside if p is not None and p["host"] == host])
                 if drop:
                     out.append((row, drop))
             yield pd.DataFrame(out, columns=["row", "drop"])
@@ -216,14 +216,13 @@ def main_text(pages: DataFrame) -> DataFrame:
 
     def texts(batches):
         for batch in batches:
-            found = [lines(page or "") for page in batch["html"]]
-            kept = [[x for x, i in zip(text, inside, strict=True) if i] if any(inside) else text for text, inside in found]
-            yield pd.DataFrame({"page_id": batch["page_id"].astype("Int64"), "url": batch["url"], "row": batch["row"], "lines": kept, "whole": [any(i) for _, i in found]})
+            found = [lines(page or "")[0] for page in batch["html"]]
+            yield pd.DataFrame({"page_id": batch["page_id"].astype("Int64"), "url": batch["url"], "row": batch["row"], "lines": found})
 
-    shown = rows.mapInPandas(texts, "page_id long, url string, row long, lines array<string>, whole boolean")
+    shown = rows.mapInPandas(texts, "page_id long, url string, row long, lines array<string>")
     # a small list of deletions goes to every task, a large one by a shuffle
     deleted = F.broadcast(deleted) if deleted.count() <= 20_000 else deleted
     joined = shown.join(deleted, "row", "left")
     left = F.filter("lines", lambda _, i: ~F.coalesce(F.array_contains("drop", i), F.lit(False)))
-    text = F.array_join(F.when(F.col("whole") | F.col("drop").isNull(), F.col("lines")).otherwise(left), " ")
+    text = F.array_join(F.when(F.col("drop").isNull(), F.col("lines")).otherwise(left), " ")
     return joined.select("page_id", "url", text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))

@@ -82,5 +82,19 @@ def test_whole_table_against_plain_differencing(spark):
         assert want and got[r.page_id] == (want, len(want))
 
 
+def test_lines_inside_articles_are_differenced_too(spark):
+    page = "<article><p>Follow us</p><p>{0} has a text of its own, about {0}</p></article><article>teaser {0}</article><p>also main {0}</p>"
+    got = run(spark, [(i, f"https://c.example/{i}", page.format(f"story{i}")) for i in range(6)])
+    assert got == {i: f"story{i} has a text of its own, about story{i} teaser story{i} also main story{i}" for i in range(6)}
+
+
+def test_differencing_changes_rows_of_a_whole_table(spark):
+    df = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
+    got = {r.page_id: r.text for r in htmltext.main_text(df).collect()}
+    rows = df.collect()
+    changed = sum(got[r.page_id] != " ".join(htmltext.lines(r.html)[0]) for r in rows)
+    assert len(got) == len(rows) and 100 < changed < len(rows) / 10
+
+
 def test_empty_table(spark):
     assert htmltext.main_text(spark.createDataFrame([], SCHEMA)).count() == 0
