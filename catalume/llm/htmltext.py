@@ -1,7 +1,8 @@
 """Main text of web pages by nearest-URL page differencing.
 
 A page is cut into lines at block elements; scripts, styles, head, menus, headers, footers, sidebars,
-forms, notices, adverts and reader comments that say so by their element, role or class are left out.
+forms, notices, adverts and reader comments that say so by their element, role or class are left out; an
+``article`` isn't by its class, nor is an element with ``WRAPS`` or more of the page's characters.
 Within each host, pages are ordered by URL path; each is paired with the neighbour whose path has the
 longer common prefix (the one before, if equal). The lines that both share, as a longest common
 subsequence, are the site's own, and are deleted, whether they stand inside an ``article`` or ``main``
@@ -28,8 +29,9 @@ from pyspark.sql import functions as F
 
 from .common import materialise
 
-#: Share of a page's characters from which a pair counts as copies.
-COPY = 0.8
+#: Share of a page's characters from which a pair counts as copies, and from which an element that a class
+#: word names holds the page and stays.
+COPY, WRAPS = 0.8, 0.8
 
 _MARKUP = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -38,14 +40,14 @@ _MARKUP = re.compile(
     r"|<(/?)([A-Za-z][^\s/>]*+)[^>]*+>|<[!?][^>]*+>",
     re.S | re.I,
 )
-_ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s=>"'/]++)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s>"'][^\s>]*+)))?+""")
 #: Elements without an end, elements that end no line, elements that are no main text.
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark meter nobr output q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 _OUT = frozenset("head nav header footer aside form button select dialog menu noframes".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 _OUT_CLASS = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|banner|sponsor\w*|promo\w*|cookies?|consent|gdpr|notices?|popup|modal|overlay|newsletter|subscribe|signup|login|"
+    r"(?:^|[\s_-])(?<!\bno[_-])(?<!\bhas[_-])(?<!\bwith[_-])(?<!\bwithout[_-])(?:ads?|advert\w*|adsense|banner|sponsor\w*|promo\w*|cookies?|consent|gdpr|notices?|popup|modal|overlay|newsletter|subscribe|signup|login|"
     r"nav|navbar|navigation|menus?|breadcrumbs?|sidebars?|aside|widgets?|footer|masthead|topbar|toolbar|pagination|pager|"
     r"comments?|disqus|replies|respond|share|sharing|social|related|recommended|skip)(?:$|[\s_-])",
     re.I,
@@ -53,26 +55,34 @@ _OUT_CLASS = re.compile(
 _URL = re.compile(r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)(?::\d*)?([^?#]*)")
 
 
-def _left_out(name: str, attributes: str) -> bool:
+def _left_out(name: str, attributes: str) -> str:
+    """Why an element is left out: "element" by its name, role or hiding, "class" by its class or id, or ""."""
     if name in _OUT:
-        return True
-    for key, a, b, c in _ATTRIBUTE.findall(attributes):
+        return "element"
+    why = ""
+    for key, a, b, c in _ATTRIBUTE.findall(attributes) if name not in ("html", "body", "main") else ():
         key, value = key.lower(), a or b or c
-        if key == "hidden" or key == "aria-hidden" and value == "true" or key == "role" and value in _ROLES or key in ("class", "id") and _OUT_CLASS.search(value):
-            return name not in ("html", "body", "main")
-    return False
+        if key == "hidden" or key == "aria-hidden" and value == "true" or key == "role" and value in _ROLES:
+            return "element"
+        if key in ("class", "id") and name != "article" and _OUT_CLASS.search(value):
+            why = "class"
+    return why
 
 
 def lines(page: str) -> tuple[list[str], list[bool]]:
     """The lines of a page outside what is left out, and of each whether it stands in an article."""
-    out, inside, held = [], [], []
+    out, inside, held, within = [], [], [], []
     skip, depth, article = "", 0, 0
+    # elements left out by class: of each its parent; those open now as [name, depth, number]
+    parents: list[int] = []
+    wraps: list[list] = []
 
     def end() -> None:
         if held:
             if text := " ".join(html.unescape("".join(held)).split()):
                 out.append(text)
                 inside.append(article > 0)
+                within.append(wraps[-1][2] if wraps else -1)
             held.clear()
 
     at = 0
@@ -86,29 +96,56 @@ def lines(page: str) -> tuple[list[str], list[bool]]:
                 held.append(" ") if m[1].lower() == "svg" else end()
             continue
         closing = bool(m[2] or m[5])
+        if not closing and not article and name != skip and (skip or wraps) and (name == "main" or name == "article" and not _left_out(name, m[4] or "")):
+            end()
+            skip = ""  # what was left out was never closed
+            wraps.clear()
         if skip:
             if name == skip and name not in _VOID:
                 depth += -1 if closing else 1
                 if not depth:
                     skip = ""
-            elif not closing and not article and (name == "main" or name == "article" and not _left_out(name, m[4] or "")):
-                skip = ""  # what was left out was never closed
-            if skip or closing:
-                continue
+            continue
         if name not in _INLINE:
             end()
+        if wraps and name == wraps[-1][0]:
+            wraps[-1][1] += -1 if closing else 1
+            if not wraps[-1][1]:
+                end()
+                wraps.pop()
         if closing:
             if name in ("article", "main"):
                 article = max(0, article - 1)
-        elif name not in _VOID and not (name == "header" and article) and _left_out(name, m[4] or ""):
+        elif name not in _VOID and not (name == "header" and article) and (why := _left_out(name, m[4] or "")):
             end()
-            skip, depth = name, 1
+            if why == "class":
+                if wraps and name == wraps[-1][0]:
+                    wraps[-1][1] -= 1  # its end closes this element
+                wraps.append([name, 1, len(parents)])
+                parents.append(wraps[-2][2] if len(wraps) > 1 else -1)
+            else:
+                if wraps and name == wraps[-1][0]:
+                    wraps[-1][1] -= 1
+                skip, depth = name, 1
         elif name in ("article", "main"):
             article += 1
     if not skip:
         held.append(page[at:])
     end()
-    return out, inside
+    if not parents:
+        return out, inside
+    sizes = [0] * len(parents)
+    for text, wrap in zip(out, within, strict=True):
+        if wrap >= 0:
+            sizes[wrap] += len(text)
+    for wrap in range(len(parents) - 1, -1, -1):
+        if parents[wrap] >= 0:
+            sizes[parents[wrap]] += sizes[wrap]
+    least, stays = WRAPS * sum(map(len, out)), []
+    for wrap, parent in enumerate(parents):
+        stays.append(sizes[wrap] >= least and (parent < 0 or stays[parent]))
+    keep = [i for i, wrap in enumerate(within) if wrap < 0 or stays[wrap]]
+    return [out[i] for i in keep], [inside[i] for i in keep]
 
 
 def place(url: str | None) -> tuple[str, str]:

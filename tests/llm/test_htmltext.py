@@ -34,6 +34,20 @@ def test_one_page(page, want):
     assert " ".join([x for x, i in zip(text, inside, strict=True) if i] if any(inside) else text) == want
 
 
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ("<div style='overflow:hidden'><p title='hidden treasure' data-id='nav'>text</p></div><p hidden>gone</p>", "text"),
+        ("<article class='hentry category-social'><p>one</p></article><article class='post comments-open' style='overflow:hidden'>two</article>", "one two"),
+        ("<div class='content no-sidebar'><p>body of the page</p></div><p>end</p>", "body of the page end"),
+        ("<div class='page widget'><p>a long body of the page</p><div class='sidebar'>side</div></div>", "a long body of the page"),
+        ("<div id=share><div>x</div>y</div><div class='sidebar'><div class='menu'>m</div>s</div><p>the text of the page is longer</p>", "the text of the page is longer"),
+    ],
+)
+def test_main_text_is_not_left_out_by_loose_words(page, want):
+    assert " ".join(htmltext.lines(page)[0]) == want
+
+
 def longest(a, b):
     table = np.zeros((len(a) + 1, len(b) + 1), int)
     for i, x in enumerate(a):
