@@ -5,13 +5,17 @@ overlap; matches that fail the kind's test (parts at most 255; 12 to 19 digits w
 15 digits) are dropped.
 
 The method then asks the corpus which other terms reveal a protected entity, as one that always stands
-next to one address does. For each entity (kind and value) the terms within ``REACH`` words on the same
-line are counted by documents; for each such term, the documents that hold it at all are counted over the
-whole corpus. The pointwise mutual information of term and entity, divided by the entity's own
-information content, is log(n(t,e) N / (n(t) n(e))) / log(N / n(e)): 1 if the term never occurs without
-the entity. A term that occurs with an entity in ``SUPPORT`` documents or more, and whose ratio is at
-least ``DISCLOSES``, is a term span (kind ``term``) wherever it occurs outside base spans. Sanitising
-generalises every span to its kind, as in ``[EMAIL]`` or ``[TERM]``.
+in documents with one address does. For each entity (kind and value) and each term that stands outside the
+base spans of a document with the entity, documents with both are counted; so are, over the whole corpus,
+the documents of the term and of the entity. The pointwise mutual information of term and entity, divided
+by the entity's own information content, is log(P(e|t) / P(e)) / log(1 / P(e)): 1 if the term never occurs
+without the entity. P(e|t) is (n(t,e) + A P(e)) / (n(t) + A) with A = ``PRIOR`` documents, so that a term
+of few documents is drawn towards no information; no count is too low to be asked. A term whose ratio is
+at least ``DISCLOSES`` for some entity is a term span (kind ``term``) wherever it occurs outside base
+spans. Sanitising generalises every span to its kind, as in ``[EMAIL]`` or ``[TERM]``.
+
+Counting is bounded without a loss: a term in more documents than an entity could ever answer for at that
+ratio is left out before pairs are made, and of the entities of a single document one stands for all.
 
 Everything is DataFrame functions. A term is counted once a document by partial sums; the list of
 disclosing terms is broadcast only if it is short, and joined by a shuffle otherwise.
@@ -39,7 +43,7 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 _PART = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
-REACH, SUPPORT, DISCLOSES = 3, 5, 0.9
+PRIOR, DISCLOSES = 1.0, 0.9
 #: Terms that are written into the plan, or sent to every task; beyond these numbers they are joined.
 LISTED, BROADCAST = 2_000, 50_000
 _OPEN, _CLOSE = "", ""  # marks around a match; where a text holds them they count as "|"
@@ -106,48 +110,59 @@ def _sorted(spans: Column) -> Column:
     return F.transform(F.array_sort(keyed), lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["match"].alias("match")))
 
 
-def _context(text: Column, span: Column) -> Column:
-    """The terms within ``REACH`` words of a span on its line, in lower case."""
-    begin = F.greatest(span["start"] - 200, F.lit(0))
-    left = F.regexp_extract(F.substring(text, begin + 1, span["start"] - begin), r"[^\n]*\z", 0)
-    right = F.regexp_extract(F.substring(text, span["end"] + 1, F.lit(200)), r"\A[^\n]*", 0)
-    before, after = (F.regexp_extract_all(F.lower(x), F.lit(_TERM), F.lit(0)) for x in (left, right))
-    return F.concat(F.slice(before, F.greatest(F.size(before) - REACH + 1, F.lit(1)), REACH), F.slice(after, 1, REACH))
+def _replaced(text: Column, spans: str, by) -> Column:
+    """A text with its spans replaced; of overlapping spans the first counts."""
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts"))
+
+    def step(acc: Column, s: Column) -> Column:
+        more = F.array(F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), by(s))
+        return F.when(s["start"] >= acc["at"], F.struct(s["end"].alias("at"), F.concat(acc["parts"], more).alias("parts"))).otherwise(acc)
+
+    return F.aggregate(spans, start, step, lambda acc: F.concat(F.array_join(acc["parts"], ""), F.substring(text, acc["at"] + 1, F.length(text))))
+
 
+def _words(text: Column) -> Column:
+    """The distinct terms of a text, in lower case."""
+    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(_TERM), F.lit(0)))
 
-def disclosing_terms(spanned: DataFrame, text: str = "text", support: int = SUPPORT, discloses: float = DISCLOSES) -> DataFrame:
+
+def disclosing_terms(spanned: DataFrame, text: str = "text", prior: float = PRIOR, discloses: float = DISCLOSES) -> DataFrame:
     """(term, ratio) of the terms that reveal an entity; ``spanned`` has ``base`` spans."""
-    some = spanned.where(F.size("base") > 0)
     entity = lambda s: F.concat_ws(":", s["kind"], F.lower(s["match"]))
-    near = F.flatten(F.transform("base", lambda s: F.transform(_context(F.col(text), s), lambda t: F.struct(entity(s).alias("entity"), t.alias("term")))))
-    pairs = some.select(F.explode(F.array_distinct(near)).alias("p")).select("p.*")
-    together = pairs.groupBy("entity", "term").agg(F.count("*").alias("n_both")).where(F.col("n_both") >= support)
-    together = materialise(together, "terms")
-    asked = together.select("term").distinct()
-    few = asked.count()
-    if not few:
-        return together.select("term", F.lit(1.0).alias("ratio"))
-    asked = F.broadcast(asked) if few <= BROADCAST else asked
-    entities = some.select(F.explode(F.array_distinct(F.transform("base", entity))).alias("entity")).groupBy("entity").agg(F.count("*").alias("n_entity"))
-    words = spanned.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(text_or_empty(text)), F.lit(_TERM), F.lit(0)))).alias("term"))
-    terms = words.groupBy("term").agg(F.count("*").alias("n_term")).join(asked, "term")  # counted first: the join makes a row a term
-    n = F.lit(float(spanned.count()))
-    mutual = F.log(F.col("n_both") * n / (F.col("n_term") * F.col("n_entity")))
+    bare = _words(_replaced(text_or_empty(text), "base", lambda s: F.lit(" ")))
+    docs = spanned.where(F.size("base") > 0).select(F.monotonically_increasing_id().alias("doc"), F.array_distinct(F.transform("base", entity)).alias("entities"), bare.alias("terms"))
+    docs = materialise(docs, "entities")  # numbered once
+    held = docs.select("doc", F.explode("entities").alias("entity"))
+    n_entity = held.groupBy("entity").agg(F.count("*").alias("n_entity"))
+    n = float(spanned.count())
     # an entity in every document has no information to give away
-    ratio = F.when(F.col("n_entity") < n, mutual / F.log(n / F.col("n_entity"))).otherwise(F.lit(0.0))
-    scored = together.join(entities, "entity").join(terms, "term").withColumn("ratio", ratio)
+    asked = held.join(n_entity.where(F.col("n_entity") < n), "entity")
+    once = F.when(F.col("n_entity") == 1, F.lit("")).otherwise(F.col("entity"))
+    asked = asked.groupBy("doc", once.alias("same")).agg(F.min("entity").alias("entity"), F.min("n_entity").alias("n_entity"))
+    # the most documents that a term may have: P(e|t) >= P(e) ** (1 - discloses), with n(t,e) <= n(e)
+    share = F.col("n_entity") / F.lit(n)
+    asked = asked.withColumn("most", (F.col("n_entity") + prior * share) / F.pow(share, F.lit(1 - discloses)) - prior + 1e-6)
+    asked = materialise(asked.select("doc", "entity", "n_entity", "most"), "asked")
+    bound = asked.agg(F.max("most")).first()[0]
+    words = spanned.select(F.explode(_words(text_or_empty(text))).alias("term"))
+    terms = words.groupBy("term").agg(F.count("*").alias("n_term")).where(F.col("n_term") <= F.lit(0.0 if bound is None else bound))
+    rare = docs.select("doc", F.explode("terms").alias("term")).join(terms, "term")
+    pairs = rare.join(asked, "doc").where(F.col("n_term") <= F.col("most"))
+    together = pairs.groupBy("entity", "term").agg(F.count("*").alias("n_both"), F.first("n_entity").alias("n_entity"), F.first("n_term").alias("n_term"))
+    given = (F.col("n_both") + prior * share) / (F.col("n_term") + F.lit(prior))
+    scored = together.withColumn("ratio", F.log(given / share) / F.log(1 / share))
     return scored.groupBy("term").agg(F.max("ratio").alias("ratio")).where(F.col("ratio") >= discloses)
 
 
-def all_spans(df: DataFrame, text: str = "text", support: int = SUPPORT, discloses: float = DISCLOSES) -> DataFrame:
+def all_spans(df: DataFrame, text: str = "text", prior: float = PRIOR, discloses: float = DISCLOSES) -> DataFrame:
     """``df`` with ``base`` and ``spans`` (base and term spans): arrays of (kind, start, end, match).
 
     Columns of these names are replaced.
     """
     spanned = base_spans(df.drop("base", "spans"), text)
-    terms = materialise(disclosing_terms(spanned, text, support, discloses), "terms")
+    terms = materialise(disclosing_terms(spanned, text, prior, discloses), "terms")
     n = terms.count()
-    words = F.array_distinct(F.regexp_extract_all(F.lower(text_or_empty(text)), F.lit(_TERM), F.lit(0)))
+    words = _words(text_or_empty(text))
     if not n:
         return spanned.withColumn("spans", F.col("base"))
     if n <= LISTED:  # a list in the plan; no shuffle
@@ -175,13 +190,7 @@ def sanitise(df: DataFrame, text: str = "text", **options) -> DataFrame:
     Of overlapping spans the first is replaced. Columns keep their names and order; null texts stay null.
     """
     spanned = all_spans(df, text, **options)
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts"))
-
-    def step(acc: Column, s: Column) -> Column:
-        more = F.array(F.substring(F.col(text), acc["at"] + 1, s["start"] - acc["at"]), F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")))
-        return F.when(s["start"] >= acc["at"], F.struct(s["end"].alias("at"), F.concat(acc["parts"], more).alias("parts"))).otherwise(acc)
-
-    whole = F.aggregate("spans", start, step, lambda acc: F.concat(F.array_join(acc["parts"], ""), F.substring(F.col(text), acc["at"] + 1, F.length(text))))
+    whole = _replaced(F.col(text), "spans", lambda s: F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")))
     return spanned.withColumn(text, F.when(F.size("spans") > 0, whole).otherwise(F.col(text))).select(*[F.col(f"`{c}`") for c in df.columns])
 
 

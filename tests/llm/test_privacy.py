@@ -106,6 +106,36 @@ def test_sanitise_replaces_spans_and_keeps_columns(revealing):
     assert texts[100] == "Please ask anyone about order 0. The weather is fine via ship."
 
 
+def test_terms_of_an_entity_are_found_in_its_whole_documents_and_at_low_counts(spark):
+    rows = [(i, f"Write to q@corp.example now.\n{'filler ' * 60}\nQuorra signs number {i}.") for i in range(3)]
+    rows += [(100 + i, f"Write filler now, anyone signs number {i}.") for i in range(2000)]
+    rows += [(5000, "Quorra again."), (5001, "Call +1 (202) 555-0147 and filler.\nVesper waits."), (5002, "Write again.")]
+    got = {r.doc_id: r.spans for r in privacy.report(documents(spark, rows)).collect()}
+    assert got[5000] == "term:0:6" and "term" in got[0]
+    assert "term:35:41" in got[5001]  # one document of the entity and of the term
+    assert got[5002] == got[100] == ""
+
+
+def test_ratios_equal_a_plain_count(spark):
+    import math
+    from collections import Counter
+
+    rows = [(i, f"w{i % 7} v{i % 50} u{i} common " + (f"e{i % 50}@x.y f{i % 7}@x.y" if i % 3 == 0 else "")) for i in range(300)]
+    spanned = privacy.base_spans(documents(spark, rows).drop("base"))
+    got = {r.term: r.ratio for r in privacy.disclosing_terms(spanned, discloses=0.3).collect()}
+    n, nt, ne, both = len(rows), Counter(), Counter(), Counter()
+    for _, t in rows:
+        words, mails = set(re.findall(r"[a-z]\w*", t)), set(re.findall(r"\w+@x\.y", t))
+        bare = set(re.findall(r"[a-z]\w*", re.sub(r"\w+@x\.y", " ", t)))
+        nt.update(words), ne.update(mails), both.update((e, w) for e in mails for w in bare)
+    want: dict = {}
+    for (e, w), k in both.items():
+        p = ne[e] / n
+        want[w] = max(want.get(w, -9), math.log((k + p) / (nt[w] + 1) / p) / math.log(1 / p))
+    want = {w: v for w, v in want.items() if v >= 0.3}
+    assert got.keys() == want.keys() and all(abs(got[w] - v) < 1e-9 for w, v in want.items())
+
+
 def test_empty_table(spark):
     assert privacy.report(documents(spark, [])).count() == 0
     assert privacy.sanitise(documents(spark, [])).where(F.col("text").isNotNull()).count() == 0
