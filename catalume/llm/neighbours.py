@@ -125,7 +125,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, top: int = 20, id: str = "ve
     rows, asked = rows.where(F.size("v") == size), asked.where(F.size("v") == size)
     n, n_asked = rows.count(), asked.count()
     copy = Window.partitionBy("v").orderBy("vec_id")
-    kept = rows.withColumn("copy", F.row_number().over(copy)).where(F.col("copy") <= top + 1).drop("copy").dropDuplicates()
+    kept = rows.dropDuplicates().withColumn("copy", F.row_number().over(copy)).where(F.col("copy") <= top + 1).drop("copy")
 
     leaves = len(forest.shares)
     group = max(1, round(PART * leaves / len(forest.roots) / max(n, 1)))  # leaves to a part

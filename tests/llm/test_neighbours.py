@@ -64,3 +64,10 @@ def test_many_copies_and_empty(spark):
     got = neighbours.nearest(df, df.where("vec_id = 400")).orderBy("rank").collect()
     assert [r.vec_id for r in got] == [1000, *range(19)]
     assert neighbours.nearest(df.limit(0), df).count() == 0
+
+
+def test_repeated_rows_take_no_place_of_other_ids_with_the_same_vector(spark):
+    rows = [(7, [1.0, 1.0])] * 25 + [(8, [1.0, 1.0]), (9, [1.0, 1.0]), (20, [1.0, 1.0]), (30, [0.5, 0.0])]
+    df = spark.createDataFrame([(*r, 0, 1, 2) for r in rows], SCHEMA)
+    got = neighbours.nearest(df, df.where("vec_id = 20")).orderBy("rank").collect()
+    assert [r.vec_id for r in got] == [7, 8, 9, 30]
