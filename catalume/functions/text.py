@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-CHUNK_BYTES = 500_000
+CHUNK_BYTES = 500 * 1024
 _CODECS = {"UTF8": "utf-8", "ASCII": "utf-8", "UNICODE": "utf-8", "SJIS": "cp932", "EUCJP": "euc_jp", "JIS": "iso2022_jp"}
 _DECLARED = re.compile(rb"""<\?xml[^>]*encoding=["']([A-Za-z0-9_.:-]+)["']""", re.I)
 _NAMES = {"utf-8": "UTF8", "utf8": "UTF8", "shift_jis": "SJIS", "shift-jis": "SJIS", "sjis": "SJIS", "windows-31j": "SJIS", "euc-jp": "EUCJP", "iso-2022-jp": "JIS"}

@@ -34,7 +34,7 @@ def html_lines(c: Catalog):
 
 def chunks(c: Catalog):
     docs = c.raw("documents").select(F.col("doc_id").cast("string").alias("resource_id"), F.col("source").alias("package_id"), F.lit("text").alias("content_type"), "text")
-    return text.content_chunks(docs, 2_000).select("resource_id", "chunk_index", "chunk_size")
+    return text.content_chunks(docs).select("resource_id", "chunk_index", "chunk_size")
 
 
 def rate_limit(c: Catalog):
@@ -50,6 +50,7 @@ SPARK = {
     "scalar_hashes": lambda c: c.raw("documents").select("doc_id", s.prefixed_sha256(F.col("text").cast("binary")).alias("hash"), F.octet_length("text").cast("long").alias("bytes")),
     "scalar_html_lines": html_lines,
     "scalar_strip_tags": lambda c: c.raw("documents").select("doc_id", s.strip_tags_but_mark(F.concat(F.lit("<p class='x'><mark>"), F.substring("text", 1, 40), F.lit("</mark></p>"))).alias("text")),
+    "scalar_strip_tags_whole": lambda c: c.raw("documents").select("doc_id", s.strip_tags_but_mark(F.concat(F.lit("<p class='x'><mark>"), F.col("text"), F.lit("</mark></p>"))).alias("text")),
     "scalar_json": lambda c: c.raw("events").select("event_id", F.get_json_object("props", "$.k").alias("k"), F.get_json_object(s.json_merge(F.col("props"), F.lit('{"etag":"e1"}')), "$.etag").alias("etag")),
     "scalar_json_rows": lambda c: c.raw("events").select("event_id", F.explode(s.json_rows(F.col("props"))).alias("e")).select("event_id", "e.key", "e.value"),
     "scalar_groups": lambda c: c.grp.select("id", F.explode(s.parse_groups(F.concat("name", F.lit(":"), "title", F.lit(":x,plain")))).alias("g")).select("id", "g.name", "g.title"),

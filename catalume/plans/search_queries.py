@@ -101,6 +101,7 @@ SPARK = {
     "list_next_position": listing.next_position,
     "list_positions": lambda c: c.resource_positions.select("id", F.col("position").cast("long").alias("position")),
     "detail_packages": lambda c: listing.package_detail(c, c.package_core.where("owner_org = '3'")).select("id", F.array_join("tags", ",").alias("tags"), F.array_join("groups", ",").alias("groups"), F.array_join(F.transform("resources", lambda r: r["resource_id"]), ",").alias("resources"), F.col("organization.name").alias("organization")),
+    "detail_packages_all": lambda c: listing.package_detail(c, c.package_core).select("id", F.array_join("tags", ",").alias("tags"), F.array_join("groups", ",").alias("groups"), F.array_join(F.transform("resources", lambda r: r["resource_id"]), ",").alias("resources"), F.col("organization.name").alias("organization")),
     "list_compat": lambda c: listing.compat(c.package).select("id", "metadata_created", "metadata_modified", "owner_organization", "license_title"),
     # statistics
     "stats_jobs": lambda c: admin.job_counts(c.pipeline),
