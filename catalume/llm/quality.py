@@ -15,7 +15,9 @@ depends on.
 
 Edge cases: null and empty texts have features zero and are scored like any other; a null id counts as
 the empty text where folds are dealt; of a document with several labels each counts; repeated rows are
-all scored; without two kinds of label every score is the share of label 1 (0.5 without labels).
+all scored, and equal texts alike to the last bit; without two kinds of label every score is the share of
+label 1 (0.5 without labels); an empty table gives an empty result; a very long text is a portion of its
+own; ``score`` keeps other columns, but for one with the name of the result, which is replaced.
 """
 
 from __future__ import annotations
@@ -164,8 +166,13 @@ class Network:
         return self
 
     def logit(self, x: np.ndarray) -> np.ndarray:
+        """Summed feature by feature, so that a row's logit doesn't depend on the rows beside it to the last bit."""
         p = self.p
-        return np.tanh(((x - self.mean) / self.scale) @ p[0] + p[1]) @ p[2] + p[3]
+        z = (x - self.mean) / self.scale
+        h = np.tile(p[1], (len(x), 1))
+        for i, weights in enumerate(p[0]):
+            h += z[:, i : i + 1] * weights
+        return (np.tanh(h) * p[2]).sum(1) + p[3]
 
     def score(self, x: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.logit(x) / self.temperature, -40, 40)))

@@ -54,3 +54,15 @@ def test_score_replaces_a_clashing_column(spark, odd_rows):
     pool = quality.Pooling(*quality.word_vectors(docs))
     out = quality.score(docs, pool, quality.Network().fit(np.zeros((1, pool.size)), np.full(1, 0.5)))
     assert dict(out.dtypes)["score"] == "double" and out.count() == len(odd_rows)
+
+
+def test_equal_texts_score_alike_to_the_last_bit_in_any_batch(spark, odd_rows):
+    docs = documents(spark, odd_rows)
+    labels = spark.createDataFrame([(4, 1), (5, 0), (6, 1), (8, 1), (9, 0), (11, 1), (12, 0)], "doc_id long, quality int")
+    pool, network = quality.fit(docs, labels)
+    texts = [t for _, t in odd_rows if len(t or "") < 10_000]
+    whole = network.score(pool(texts * 40))
+    for size in (1, 2, 3, 7, 64):
+        for i in range(0, len(texts) * 2, size):
+            got = network.score(pool((texts * 2)[i : i + size]))
+            assert (got == whole[i : i + size][: len(got)]).all()
