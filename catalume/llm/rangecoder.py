@@ -1,18 +1,18 @@
 """An adaptive context-mixing range coder for token ids, in independent blocks.
 
-Model of a block, learned from nothing as it goes: order 2 and order 1 each predict the id that last
-followed the last two ids, or the last id (a small hashed table with a confidence from 0 to 3; the
-chance of a hit is learned for each confidence). Order 0 learns how often ids of each size class occur.
-The three distributions are mixed with weights that are multiplied by how well each foretold the last
-id. The coder takes the mixture in two steps: which prediction holds, if any; then the class and the
-remaining bits of an id that neither predicts.
+Order 2 and order 1 each foretell the id that last followed the last two ids, or the last id (a small
+hashed table of the block, with a confidence from 0 to 3). Order 0 has two parts: the ids that the block
+has had lately, in hashed slots that are all as likely, and the shares of all ids in the segment, which
+its head holds in 16 bits each, so that a block begins with more than nothing. The three orders are mixed
+with weights that are multiplied by how well each foretold the last id; how often an id comes from the
+slots is learned too. Each block begins anew with the head's shares and needs nothing else.
 
 The blocks of a segment are coded in lockstep, one array element a block, so the work for one id is a
-few numpy operations over all blocks. Only additions, multiplications and divisions of IEEE numbers
-are used, in a fixed order, so every machine decodes what another wrote.
+few numpy operations over all blocks, and one step of the coder. Only additions, multiplications and
+divisions of IEEE numbers are used, in a fixed order, so every machine decodes what another wrote.
 
-Coder: 64-bit low and range; below 2**32 the upper 32 bits of low go out. A carry is added to the word
-before and settled at the end of the block.
+Coder: 64-bit low and range, 32 bits for a chance; below 2**32 the upper 32 bits of low go out. A carry
+is added to the word before and settled at the end of the block.
 """
 
 from __future__ import annotations
@@ -22,147 +22,135 @@ import zlib
 import numpy as np
 
 BLOCK = 1024
-_T1, _T2 = 10, 11
-_CLASSES = 32
-_NONE = np.uint32(0x3FFFF)  # no id of 16 bits
-_RENEW = 32
+#: Bits of the tables of a block: order 1, order 2, and the slots of order 0.
+_T1, _T2, _SLOTS = 9, 10, 7
+_NONE = 0x3FFFF << 2  # no id of 16 bits, confidence 0
+_CHANCE = np.array([0.08, 0.35, 0.6, 0.85], np.float32)  # of a foretold id, by confidence
 _ONE, _LOW32, _S32 = np.uint64(1), np.uint64(0xFFFFFFFF), np.uint64(32)
 
 
-def _classes() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of each 16-bit id its class; of each class its first id and its number of further bits."""
-    ids = np.arange(1 << 16, dtype=np.int64)
-    top = np.frexp(np.maximum(ids, 1))[1] - 1
-    half = np.where(top > 0, (ids >> np.maximum(top - 1, 0)) & 1, 0)
-    kind = np.where(ids < 2, ids, 2 * top + half)
-    first = np.array([np.argmax(kind == c) if (kind == c).any() else 0 for c in range(_CLASSES)])
-    bits = np.array([max(0, (c >> 1) - 1) if c > 1 else 0 for c in range(_CLASSES)])
-    return kind.astype(np.int64), first.astype(np.int64), bits.astype(np.int64)
-
-
-_KIND, _FIRST, _BITS = _classes()
+def shares_of(ids: np.ndarray) -> np.ndarray:
+    """Of each 16-bit id its share of 65,536 in a segment: one at least if it occurs, zero if not."""
+    counts = np.bincount(ids, minlength=1 << 16)
+    out = (counts > 0).astype(np.int64)
+    if len(ids):
+        out += counts * ((1 << 16) - int(out.sum())) // len(ids)
+        out[np.argmax(counts)] += (1 << 16) - out.sum()
+    return out
 
 
 class _Model:
-    def __init__(self, lanes: int):
-        self.n = lanes
+    """The state of all blocks of a segment at one step."""
+
+    def __init__(self, lanes: int, shares: np.ndarray):
         lane = np.arange(lanes, dtype=np.int64)
-        self.base1, self.base2, self.base4, self.base_c, self.base_s = lane << _T1, lane << _T2, lane * 4, lane * _CLASSES, lane * (_CLASSES + 1)
-        self.tab1 = np.full(lanes << _T1, _NONE << np.uint32(2), np.uint32)
-        self.tab2 = np.full(lanes << _T2, _NONE << np.uint32(2), np.uint32)
-        self.hit1 = np.tile(np.array([0.1, 0.3, 0.5, 0.7], np.float32), lanes)
-        self.hit2 = self.hit1.copy()
-        self.w = [np.full(lanes, 1 / 3, np.float32) for _ in range(3)]
-        self.count = np.ones(lanes * _CLASSES, np.float32)
-        self.prev1 = np.zeros(lanes, np.int64)
-        self.prev2 = np.zeros(lanes, np.int64)
-        self.step = 0
+        self.base1, self.base2, self.base0 = lane << _T1, lane << _T2, lane << _SLOTS
+        self.tab1 = np.full(lanes << _T1, _NONE, np.int32)
+        self.tab2 = np.full(lanes << _T2, _NONE, np.int32)
+        self.slots = np.full(lanes << _SLOTS, -1, np.int32)
+        self.w1, self.w2, self.w0 = (np.full(lanes, 1 / 3, np.float32) for _ in range(3))
+        self.lately = np.full(lanes, 0.25, np.float32)
+        self.i1, self.i2 = self.base1, self.base2
+        self.last = np.zeros(lanes, np.int64)
+        self.shares, self.starts = shares, np.concatenate([[0], np.cumsum(shares)[:-1]])
 
     def predict(self) -> None:
-        """Sets id, confidence and share of 2**16 of both predictions, and sometimes the class shares."""
-        if self.step % _RENEW == 0:
-            c = self.count.reshape(self.n, _CLASSES)
-            share = np.floor(c * (np.float32(4096 - _CLASSES) / c.sum(1, dtype=np.float32))[:, None]).astype(np.int64) + 1
-            share[:, -1] += 4096 - share.sum(1)
-            cum = np.zeros((self.n, _CLASSES + 1), np.int64)
-            np.cumsum(share, axis=1, out=cum[:, 1:])
-            self.cum = cum.ravel()
-        self.step += 1
-        a = self.prev1 * 40503
-        self.i1 = self.base1 + ((a & 0xFFFF) >> (16 - _T1))
-        self.i2 = self.base2 + (((a + self.prev2 * 30011) & 0xFFFF) >> (16 - _T2))
-        self.v1, self.v2 = self.tab1[self.i1], self.tab2[self.i2]
+        """Sets what order 1 and 2 foretell, and the shares of 65,536 of both, of the slots, and of the rest."""
+        self.v1, self.v2 = self.tab1.take(self.i1), self.tab2.take(self.i2)
         self.p1, self.p2 = self.v1 >> 2, self.v2 >> 2
-        self.j1, self.j2 = self.base4 + (self.v1 & 3), self.base4 + (self.v2 & 3)
-        self.q1, self.q2 = self.hit1[self.j1], self.hit2[self.j2]
-        f2 = (self.w[0] * self.q2 * np.float32(64000)).astype(np.int64) + 1
-        f1 = (self.w[1] * self.q1 * np.float32(64000)).astype(np.int64) + 1
+        self.c1, self.c2 = self.v1 & 3, self.v2 & 3
+        self.q1, self.q2 = _CHANCE.take(self.c1), _CHANCE.take(self.c2)
+        self.e1, self.e2 = self.w1 * self.q1, self.w2 * self.q2
+        f2 = (self.e2 * np.float32(64000)).astype(np.int64)
+        f1 = (self.e1 * np.float32(64000)).astype(np.int64)
         same = self.p1 == self.p2
-        self.f2 = f2 + same * f1
-        self.f1 = f1 * ~same
-
-    def learn(self, ids: np.ndarray, kinds: np.ndarray) -> None:
-        x = ids.astype(np.uint32)
-        is1, is2 = x == self.p1, x == self.p2
-        for is_, v, i, tab, j, hit, q in ((is1, self.v1, self.i1, self.tab1, self.j1, self.hit1, self.q1), (is2, self.v2, self.i2, self.tab2, self.j2, self.hit2, self.q2)):
-            c = v & 3
-            tab[i] = np.where(is_, v + (c < 3), np.where(c > 0, v - 1, x << 2))
-            hit[j] = q + (is_ - q) * np.float32(0.06)
-        w2 = self.w[0] * np.where(is2, self.q2 * np.float32(256), 1 - self.q2)
-        w1 = self.w[1] * np.where(is1, self.q1 * np.float32(256), 1 - self.q1)
-        w0 = self.w[2]
-        s = np.float32(0.96) / (w2 + w1 + w0)
-        self.w = [w2 * s + np.float32(0.0133), w1 * s + np.float32(0.0133), w0 * s + np.float32(0.0133)]
-        self.count[self.base_c + kinds] += np.float32(1)
-        self.prev2, self.prev1 = self.prev1, ids
-
-
-def encode_blocks(ids: np.ndarray, block: int = BLOCK) -> list[bytes]:
+        f2 += 1 + f1 * same
+        f1 += 1
+        self.f1, self.f2 = f1 * ~same, f2
+        self.both = self.f1 + f2
+        rest = 65536 - self.both
+        self.fs = (self.lately * rest).astype(np.int64) + 1
+        self.fe = rest - self.fs
+
+    def learn(self, x: np.ndarray, is1: np.ndarray, is2: np.ndarray, slot: np.ndarray, held: np.ndarray) -> None:
+        """Takes in the ids ``x``; ``slot`` is the place of each among the slots, ``held`` whether it stood there."""
+        x32 = x.astype(np.int32)
+        new = x32 << 2
+        for is_, v, c, i, tab in ((is1, self.v1, self.c1, self.i1, self.tab1), (is2, self.v2, self.c2, self.i2, self.tab2)):
+            tab[i] = np.where(is_, v + (c < 3), np.where(c > 0, v - 1, new))
+        w2 = np.where(is2, self.e2 * np.float32(256), self.w2 - self.e2)
+        w1 = np.where(is1, self.e1 * np.float32(256), self.w1 - self.e1)
+        s = np.float32(0.96) / (w2 + w1 + self.w0)
+        self.w2, self.w1, self.w0 = w2 * s + np.float32(0.0133), w1 * s + np.float32(0.0133), self.w0 * s + np.float32(0.0133)
+        self.lately += (held * np.float32(0.9) + np.float32(0.02) - self.lately) * np.float32(0.03)
+        self.slots[slot] = x32
+        hashed = x * 40503
+        self.i1 = self.base1 + ((hashed & 0xFFFF) >> (16 - _T1))
+        self.i2 = self.base2 + (((hashed + self.last * 30011) & 0xFFFF) >> (16 - _T2))
+        self.last = x
+
+    def slot_of(self, x: np.ndarray) -> np.ndarray:
+        return self.base0 + (((x * 25173) & 0xFFFF) >> (16 - _SLOTS))
+
+
+def encode_blocks(ids: np.ndarray, block: int = BLOCK, shares: np.ndarray | None = None) -> list[bytes]:
     """The payload of each block of a segment's ids (each below 2**16)."""
     lanes = -(-len(ids) // block)
     if not lanes:
         return []
+    shares = shares_of(ids) if shares is None else shares
     steps = min(block, len(ids))
-    padded = np.zeros(lanes * steps, np.int64)
+    padded = np.full(lanes * steps, ids[-1], np.int64)
     padded[: len(ids)] = ids
     grid = np.ascontiguousarray(padded.reshape(lanes, steps).T)
-    kinds = _KIND[grid]
-    m = _Model(lanes)
+    m = _Model(lanes, shares)
     low, rng = np.zeros(lanes, np.uint64), np.full(lanes, 0xFFFFFFFFFFFFFFFF, np.uint64)
-    out = np.zeros((lanes, steps * 2 + 4), np.uint64)
-    pos = np.ones(lanes, np.int64)  # word 0 takes a carry that can't come
-    flat, row = out.ravel(), np.arange(lanes) * out.shape[1]
-
-    def narrow(at, start, share, r):
-        """The interval of the lanes ``at`` (all: None) becomes share/r of itself, from start on; then words go out."""
-        nonlocal low, rng
-        old = low if at is None else low[at]
-        new = old + r * start.astype(np.uint64)
-        got = r * share.astype(np.uint64)
-        lanes_ = np.flatnonzero(new < old)
-        if len(lanes_):
-            l_ = lanes_ if at is None else at[lanes_]
-            flat[row[l_] + pos[l_] - 1] += _ONE
-        small = np.flatnonzero(got <= _LOW32)
-        if len(small):
-            l_ = small if at is None else at[small]
-            flat[row[l_] + pos[l_]] = new[small] >> _S32
-            pos[l_] += 1
-            new[small] <<= _S32
-            got[small] <<= _S32
-        if at is None:
-            low, rng = new, got
-        else:
-            low[at], rng[at] = new, got
-
+    width = steps * 2 + 4
+    out = np.zeros(lanes * width, np.uint64)
+    row = np.arange(lanes) * width
+    pos = row + 1  # word 0 takes a carry that can't come
     for t in range(steps):
-        x, k = grid[t], kinds[t]
+        x = grid[t]
         m.predict()
         is2 = m.p2 == x
         is1 = (m.p1 == x) & ~is2
-        no = ~(is1 | is2)
-        start = is1 * m.f2 + no * (m.f1 + m.f2)
-        share = np.where(is2, m.f2, np.where(is1, m.f1, 65536 - m.f1 - m.f2))
-        narrow(None, start, share, rng >> np.uint64(16))
-        at = np.flatnonzero(no)
-        if len(at):
-            kk = k[at]
-            i = m.base_s[at] + kk
-            begin = m.cum[i]
-            narrow(at, begin, m.cum[i + 1] - begin, rng[at] >> np.uint64(12))
-            narrow(at, x[at] - _FIRST[kk], np.ones(len(at)), rng[at] >> _BITS[kk].astype(np.uint64))
-        m.learn(x, k)
+        slot = m.slot_of(x)
+        plain = m.fe * shares.take(x)
+        held = (m.slots.take(slot) == x) & ((m.fs << 8) >= plain)
+        low_end = m.both << 16
+        start = np.where(held, low_end + (slot - m.base0) * (m.fs << 8), low_end + (m.fs << 16) + m.fe * m.starts.take(x))
+        share = np.where(held, m.fs << 8, plain)
+        told = is1 | is2
+        start = np.where(told, np.where(is2, 0, m.f2 << 16), start)
+        share = np.where(told, np.where(is2, m.f2, m.f1) << 16, share)
+        r = rng >> _S32
+        new = low + r * start.view(np.uint64)
+        rng = r * share.view(np.uint64)
+        carry = np.flatnonzero(new < low)
+        if len(carry):
+            out[pos[carry] - 1] += _ONE
+        small = np.flatnonzero(rng <= _LOW32)
+        if len(small):
+            at = pos[small]
+            out[at] = new[small] >> _S32
+            pos[small] = at + 1
+            new[small] <<= _S32
+            rng[small] <<= _S32
+        low = new
+        m.learn(x, m.p1 == x, is2, slot, held & ~told)
     for _ in range(2):
-        flat[row + pos] = low >> _S32
+        out[pos] = low >> _S32
         low <<= _S32
         pos += 1
+    pos -= row
+    out = out.reshape(lanes, width)
     for c in range(int(pos.max()) - 1, 0, -1):
         out[:, c - 1] += out[:, c] >> _S32
     words = out.astype("<u4")
     return [words[i, 1 : pos[i]].tobytes() for i in range(lanes)]
 
 
-def decode_blocks(payloads: list[bytes], total: int, block: int = BLOCK) -> np.ndarray:
+def decode_blocks(payloads: list[bytes], total: int, block: int, shares: np.ndarray) -> np.ndarray:
     """The ids of a segment from its payloads."""
     lanes = len(payloads)
     if not lanes:
@@ -172,58 +160,43 @@ def decode_blocks(payloads: list[bytes], total: int, block: int = BLOCK) -> np.n
     words = np.zeros((lanes, width), np.uint64)
     for i, p in enumerate(payloads):
         words[i, : len(p) // 4] = np.frombuffer(p, "<u4")
-    flat, row = words.ravel(), np.arange(lanes) * width
-    m = _Model(lanes)
+    flat = words.ravel()
+    m = _Model(lanes, shares)
+    id_at = np.repeat(np.arange(1 << 16, dtype=np.int64), shares)  # of each of 65,536 places the id
     rng = np.full(lanes, 0xFFFFFFFFFFFFFFFF, np.uint64)
     code = (words[:, 0] << _S32) | words[:, 1]
-    pos = np.full(lanes, 2, np.int64)
+    pos = np.arange(lanes) * width + 2
     grid = np.zeros((steps, lanes), np.int64)
-
-    def narrow(at, start, share, r):
-        nonlocal code, rng
-        new = (code if at is None else code[at]) - r * start.astype(np.uint64)
-        got = r * share.astype(np.uint64)
-        small = np.flatnonzero(got <= _LOW32)
-        if len(small):
-            l_ = small if at is None else at[small]
-            new[small] = (new[small] << _S32) | flat[row[l_] + pos[l_]]
-            pos[l_] += 1
-            got[small] <<= _S32
-        if at is None:
-            code, rng = new, got
-        else:
-            code[at], rng[at] = new, got
-
     for t in range(steps):
         m.predict()
-        r = rng >> np.uint64(16)
-        v = np.minimum(code // r, np.uint64(65535)).astype(np.int64)
-        both = m.f1 + m.f2
-        is2, no = v < m.f2, v >= both
-        x = np.where(is2, m.p2, m.p1).astype(np.int64)
-        start = np.where(is2, 0, np.where(no, both, m.f2))
-        narrow(None, start, np.where(is2, m.f2, np.where(no, 65536 - both, m.f1)), r)
-        at = np.flatnonzero(no)
-        if len(at):
-            r = rng[at] >> np.uint64(12)
-            v = np.minimum(code[at] // r, np.uint64(4095)).astype(np.int64)
-            base = m.base_s[at]
-            kk = np.zeros(len(at), np.int64)
-            for bit in (16, 8, 4, 2, 1):
-                kk += bit * (m.cum[base + kk + bit] <= v)
-            begin = m.cum[base + kk]
-            narrow(at, begin, m.cum[base + kk + 1] - begin, r)
-            bits = _BITS[kk].astype(np.uint64)
-            r = rng[at] >> bits
-            rest = np.minimum(code[at] // r, (_ONE << bits) - _ONE)
-            narrow(at, rest, np.ones(len(at)), r)
-            x[at] = _FIRST[kk] + rest.astype(np.int64)
+        r = rng >> _S32
+        v = np.minimum(code // r, _LOW32).view(np.int64)
+        top = v >> 16
+        is2, told = top < m.f2, top < m.both
+        slot_end = m.both + m.fs
+        held = (top < slot_end) & ~told
+        low_end = m.both << 16
+        in_slot = np.minimum(np.maximum(v - low_end, 0) // (m.fs << 8), (1 << _SLOTS) - 1)
+        plain = id_at.take(np.minimum(np.maximum(v - (slot_end << 16), 0) // m.fe, 65535))
+        x = np.where(told, np.where(is2, m.p2, m.p1), np.where(held, m.slots.take(m.base0 + in_slot), plain))
+        start = np.where(held, low_end + in_slot * (m.fs << 8), (slot_end << 16) + m.fe * m.starts.take(plain))
+        share = np.where(held, m.fs << 8, m.fe * shares.take(plain))
+        start = np.where(told, np.where(is2, 0, m.f2 << 16), start)
+        share = np.where(told, np.where(is2, m.f2, m.f1) << 16, share)
+        code = code - r * start.view(np.uint64)
+        rng = r * share.view(np.uint64)
+        small = np.flatnonzero(rng <= _LOW32)
+        if len(small):
+            at = pos[small]
+            code[small] = (code[small] << _S32) | flat.take(at, mode="clip")
+            pos[small] = at + 1
+            rng[small] <<= _S32
         grid[t] = x
-        m.learn(x, _KIND[x])
+        m.learn(x, m.p1 == x, m.p2 == x, m.slot_of(x), held)
     return grid.T.ravel()[:total]
 
 
-MAGIC = b"CMR2"
+MAGIC = b"CMR3"
 
 
 def _checksum(ids: np.ndarray, payload: bytes) -> int:
@@ -231,24 +204,41 @@ def _checksum(ids: np.ndarray, payload: bytes) -> int:
     return zlib.crc32(payload, zlib.crc32(ids.tobytes()))
 
 
+def _pack_shares(shares: np.ndarray) -> bytes:
+    ids = np.flatnonzero(shares)
+    return zlib.compress(np.diff(ids, prepend=0).astype("<u2").tobytes() + (shares[ids] - 1).astype("<u2").tobytes())
+
+
+def _unpack_shares(data: bytes) -> np.ndarray:
+    gaps, less = np.frombuffer(zlib.decompress(data), "<u2").astype(np.int64).reshape(2, -1)
+    shares = np.zeros(1 << 16, np.int64)
+    shares[np.cumsum(gaps)] = less + 1
+    return shares
+
+
 def pack_segment(ids: np.ndarray, block: int = BLOCK) -> bytes:
-    """A segment: magic, block size, number of ids, then of each block its length and checksum, then the payloads."""
-    payloads = encode_blocks(ids, block)
+    """A segment: magic, block size, number of ids, length and checksum of the shares, the shares, then of each block its length and checksum, then the payloads."""
+    shares = shares_of(np.asarray(ids, np.int64))
+    payloads, known = encode_blocks(np.asarray(ids, np.int64), block, shares), _pack_shares(shares)
     raw = np.ascontiguousarray(ids, "<u2")
     heads = [(len(p), _checksum(raw[i * block : (i + 1) * block], p)) for i, p in enumerate(payloads)]
-    return MAGIC + np.array([block, len(ids)], "<u4").tobytes() + np.array(heads, "<u4").tobytes() + b"".join(payloads)
+    numbers = [block, len(ids), len(known), zlib.crc32(known)]
+    return b"".join([MAGIC, np.array(numbers, "<u4").tobytes(), known, np.array(heads, "<u4").tobytes(), *payloads])
 
 
 def unpack_segment(data: bytes) -> np.ndarray:
-    """The ids of a segment as unsigned 16-bit numbers; a block that doesn't match its checksum is an error."""
+    """The ids of a segment as unsigned 16-bit numbers; what doesn't match its checksum is an error."""
     if data[:4] != MAGIC:
         raise ValueError("not a token segment")
-    block, total = map(int, np.frombuffer(data, "<u4", 2, 4))
+    block, total, size, check = map(int, np.frombuffer(data, "<u4", 4, 4))
+    known, at = data[20 : 20 + size], 20 + size
+    if zlib.crc32(known) != check:
+        raise ValueError("the shares of the segment do not match their checksum")
     lanes = -(-total // block)
-    heads = np.frombuffer(data, "<u4", 2 * lanes, 12).reshape(lanes, 2)
-    begin = 12 + 8 * lanes + np.concatenate([[0], np.cumsum(heads[:, 0], dtype=np.int64)])
+    heads = np.frombuffer(data[at : at + 8 * lanes], "<u4").reshape(lanes, 2)
+    begin = at + 8 * lanes + np.concatenate([[0], np.cumsum(heads[:, 0], dtype=np.int64)])
     payloads = [data[begin[i] : begin[i + 1]] for i in range(lanes)]
-    ids = decode_blocks(payloads, total, block).astype("<u2")
+    ids = decode_blocks(payloads, total, block, _unpack_shares(known)).astype("<u2")
     for i, payload in enumerate(payloads):
         if _checksum(ids[i * block : (i + 1) * block], payload) != heads[i, 1]:
             raise ValueError(f"block {i} does not match its checksum")

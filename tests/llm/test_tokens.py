@@ -5,41 +5,82 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow.parquet as pq
 import pytest
 from conftest_llm import PROSE, documents
 from hypothesis import given, settings
 from hypothesis import strategies as st
-from tokenizers import Tokenizer
 
 from catalume.llm import chunkcodec, queries, rangecoder, tokenfiles
-from catalume.llm.tokens import WordEncoder
+from catalume.llm.tokens import ByteEncoder, WordEncoder, encoder, library
 
 BYTES, WORDS = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
 HARD = ["<|endoftext|> a <|startoftext|>", "don't can't I'll  two  spaces ", "a b 　 c", "Ünï ́ combining", "tab\tnew\nline \r\n x", "1234567 890", "§ ¶ ± ~ ^ § §§", " lead", "trail ", "ＡＢＣ ﬁ İ ß ſ"]
 
 
-def library(path):
-    t = Tokenizer.from_file(path)
-    t.no_truncation()
-    t.no_padding()
-    return t
+ENCODERS = {BYTES: encoder(BYTES, "<u4"), WORDS: WordEncoder(WORDS, "<u4"), "library": encoder(WORDS, "<u4")}
+PLAIN = {BYTES: library(BYTES), WORDS: library(WORDS), "library": library(WORDS)}
 
 
-@pytest.mark.parametrize("path", [BYTES, WORDS])
-def test_words_alone_give_the_same_ids(path, odd_rows):
-    texts = [*HARD, *(t or "" for _, t in odd_rows)]
-    held, plain = WordEncoder(path, "<u4"), library(path)
-    assert held.encode(texts) == [np.array(plain.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+def by_library(plain, text):
+    return np.array(plain.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
-_HELD = {p: (WordEncoder(p, "<u4"), library(p)) for p in (BYTES, WORDS)}
+@pytest.mark.parametrize("name", ENCODERS)
+def test_encoders_give_the_ids_of_the_library(name, odd_rows):
+    texts = [*HARD, *(t or "" for _, t in odd_rows), "y" * 300_000, " \n" * 200_000 + "end"]
+    assert ENCODERS[name].encode(texts) == [by_library(PLAIN[name], t) for t in texts]
+    assert isinstance(ENCODERS[BYTES], ByteEncoder)
+
+
+def test_ranks_give_the_ids_of_the_library_for_every_character():
+    texts = [f"a{c}b 1{c}2 {c} .{c}. {c}{c}x\n{c} " for c in map(chr, range(0x30000)) if not "\ud800" <= c < "\ue000"]
+    got = ENCODERS[BYTES].encode(texts)
+    want = PLAIN[BYTES].encode_batch_fast(texts, add_special_tokens=False)
+    assert all(a == np.array(e.ids, "<u4").tobytes() for a, e in zip(got, want, strict=True))
+
+
+def test_whole_table_against_the_library():
+    texts = [t or "" for t in pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"])["text"].to_pylist()]
+    for name in (BYTES, WORDS):
+        assert ENCODERS[name].encode(texts) == [by_library(PLAIN[name], t) for t in texts]
+    held = chunkcodec.ChunkEncoder(WORDS)
+    assert held.encode(texts) == ENCODERS[WORDS].encode(texts)
+
+
+ANY = st.lists(st.text(st.sampled_from(" \n\t ab'É1§<|>.漢\U0001f600́s"), max_size=30), max_size=5)
 
 
 @settings(max_examples=150, deadline=None)
-@given(st.lists(st.text(st.sampled_from(" \n\t ab'É1§<|>.漢\U0001f600́s"), max_size=30), max_size=5))
-def test_words_alone_give_the_same_ids_for_any_text(texts):
-    for held, plain in _HELD.values():
-        assert held.encode(texts) == [np.array(plain.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+@given(ANY)
+def test_encoders_give_the_ids_of_the_library_for_any_text(texts):
+    for name, held in ENCODERS.items():
+        assert held.encode(texts) == [by_library(PLAIN[name], t) for t in texts]
+
+
+@settings(max_examples=100, deadline=None)
+@given(ANY, st.integers(0, 2))
+def test_chunks_give_the_ids_of_the_library_for_any_text(texts, bits):
+    """Many cuts: a short window, and chunks of a few bytes."""
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(chunkcodec, "_MASK", np.uint32(((1 << bits) - 1) << (32 - bits)))
+        m.setattr(chunkcodec, "LEAST", 1)
+        held = chunkcodec.ChunkEncoder.__new__(chunkcodec.ChunkEncoder)
+        held.words, held.known, held.joins, held.encoded, held.repaired = ENCODERS[WORDS], chunkcodec.Store(50), chunkcodec.Store(6), 0, 0
+        for t in (texts, [" ".join(texts) * 3, *texts]):
+            assert held.encode(t) == [by_library(PLAIN[WORDS], x) for x in t]
+
+
+def test_joins_are_repaired_by_wider_windows(monkeypatch):
+    """Where no narrow window agrees, wider ones are asked, and the whole text last."""
+    text = " ".join(f"word{i * i % 7919}" for i in range(900))
+    for fails in (0, 1, 3, 10**9):
+        asked, plain = [], chunkcodec._between
+        monkeypatch.setattr(chunkcodec, "_between", lambda ids, a, b: asked.append(1) or (None if len(asked) <= fails else plain(ids, a, b)))
+        held = chunkcodec.ChunkEncoder(WORDS)
+        assert held.encode([text]) == [by_library(PLAIN[WORDS], text)]
+        assert len(asked) > held.repaired > 3 or not fails
+        monkeypatch.undo()
 
 
 def test_range_coder_round_trip():
@@ -54,8 +95,13 @@ def test_range_coder_round_trip():
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(0, 65535), max_size=300), st.integers(1, 40))
 def test_range_coder_round_trip_of_anything(ids, block):
-    payloads = rangecoder.encode_blocks(np.array(ids, np.int64), block)
-    assert rangecoder.decode_blocks(payloads, len(ids), block).tolist() == ids
+    ids = np.array(ids, np.int64)
+    shares = rangecoder.shares_of(ids)
+    payloads = rangecoder.encode_blocks(ids, block, shares)
+    assert shares.sum() in (0, 65536) and rangecoder.decode_blocks(payloads, len(ids), block, shares).tolist() == ids.tolist()
+    for k in range(len(payloads)):  # each block by itself
+        own = ids[k * block : (k + 1) * block]
+        assert rangecoder.decode_blocks(payloads[k : k + 1], len(own), block, shares).tolist()[: len(own)] == own.tolist() or len(own) < min(block, len(ids))
 
 
 def test_blocks_are_independent_and_checked():
@@ -64,10 +110,24 @@ def test_blocks_are_independent_and_checked():
     data[-7] ^= 1
     with pytest.raises(ValueError, match="block"):
         rangecoder.unpack_segment(bytes(data))
+    data[-7] ^= 1
+    data[25] ^= 1
+    with pytest.raises(ValueError, match="shares"):
+        rangecoder.unpack_segment(bytes(data))
+    data[25] ^= 1
+    assert (rangecoder.unpack_segment(bytes(data)) == ids).all()
     with pytest.raises(ValueError):
         rangecoder.unpack_segment(b"XXXX" + bytes(data[4:]))
 
 
+def test_blocks_are_smaller_than_deflated_ones():
+    texts = [t or "" for t in pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"])["text"].to_pylist()]
+    ids = np.frombuffer(b"".join(ENCODERS[BYTES].encode(texts)), "<u4").astype("<u2")
+    deflated = sum(len(zlib.compress(ids[i : i + rangecoder.BLOCK].tobytes(), 9)) for i in range(0, len(ids), rangecoder.BLOCK))
+    data = rangecoder.pack_segment(ids)
+    assert (rangecoder.unpack_segment(data) == ids).all() and len(data) < 0.85 * deflated
+
+
 def test_token_files_round_trip(spark, odd_rows, tmp_path):
     path = str(tmp_path / "tokens")
     tokenfiles.write_tokens(documents(spark, odd_rows), path, BYTES, segment=2000)
@@ -99,9 +159,10 @@ def test_shared_chunks_are_encoded_once():
     held = chunkcodec.ChunkEncoder(WORDS)
     passage = " ".join(f"word{i * i % 7919}" for i in range(3000))
     held.encode(["first words before it " + passage])
-    once = held.encoded
+    once, joins = held.encoded, held.repaired
     held.encode([f"number {k} goes before " + passage + f" and {k} after" for k in range(5)])
     assert once > 10 and held.encoded - once < 0.25 * 5 * once
+    assert held.repaired - joins < 0.35 * 5 * joins
 
 
 def test_empty_tables(spark, tmp_path):
