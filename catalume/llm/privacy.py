@@ -7,21 +7,30 @@ overlap; matches that fail the kind's test (parts at most 255; 12 to 19 digits w
 The method then asks the corpus which other terms reveal a protected entity, as one that always stands
 in documents with one address does. For each entity (kind and value) and each term that stands outside the
 base spans of a document with the entity, documents with both are counted; so are, over the whole corpus,
-the documents of the term and of the entity. The pointwise mutual information of term and entity, divided
-by the entity's own information content, is log(P(e|t) / P(e)) / log(1 / P(e)): 1 if the term never occurs
-without the entity. P(e|t) is (n(t,e) + A P(e)) / (n(t) + A) with A = ``PRIOR`` documents, so that a term
-of few documents is drawn towards no information; no count is too low to be asked. A term whose ratio is
-at least ``DISCLOSES`` for some entity is a term span (kind ``term``) wherever it occurs outside base
-spans. Sanitising generalises every span to its kind, as in ``[EMAIL]`` or ``[TERM]``.
-
-Counting is bounded without a loss: a term in more documents than an entity could ever answer for at that
-ratio is left out before pairs are made, and of the entities of a single document one stands for all.
-
-Everything is DataFrame functions. A term is counted once a document by partial sums; the list of
-disclosing terms is broadcast only if it is short, and joined by a shuffle otherwise.
+the documents of the term and of the entity. P(e|t) is (n(t,e) + A P(e)) / (n(t) + A) with A = ``PRIOR``
+documents, so that a term of few documents is drawn towards no information; no count is too low to be
+asked. The pointwise mutual information of term and entity, divided by the entity's own information
+content, is log(P(e|t) / P(e)) / log(1 / P(e)): 1 if the term never occurs without the entity. A term
+discloses an entity if this ratio is at least ``DISCLOSES`` and the term leaves at most ``LEFT`` bits,
+-log2 P(e|t), of the entity open; the second bound holds alike however many documents there are. Such a
+term is a term span (kind ``term``) wherever it occurs outside base spans. Sanitising generalises every
+span to its kind, as in ``[EMAIL]`` or ``[TERM]``.
+
+Counting is bounded without a loss: a term in more documents than an entity could ever answer for is left
+out before pairs are made, and of the entities of a single document one stands for all. The terms'
+places are found without spreading the corpus: documents with entities are known from the count; the
+others are searched only for terms that occur outside of those, and only words that pass a sieve go
+through a shuffle. A sieve is a table of ``CELLS`` x 64 bits, whatever the data, with a bit set for each
+key; it keeps all keys and few others, and the join behind it decides. Texts that hold such a term pass
+a sieve likewise, so the rest of the corpus isn't shuffled.
+
+Everything is DataFrame functions. A term is counted once a document by partial sums. Texts are told apart
+by 128 bits of hash.
 
 Edge cases: null and empty texts have no spans; a null id is kept; equal texts count as often as they
-occur; a text may be one long line or one long word; positions are code points, ends exclusive.
+occur; a text may be one long line or one long word; positions are code points, ends exclusive; an empty
+table gives an empty result; other columns are kept as they are by ``all_spans`` and ``sanitise``, but
+for ``base`` and ``spans``, which ``all_spans`` replaces.
 """
 
 from __future__ import annotations
@@ -43,9 +52,9 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 _PART = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
-PRIOR, DISCLOSES = 1.0, 0.9
-#: Terms that are written into the plan, or sent to every task; beyond these numbers they are joined.
-LISTED, BROADCAST = 2_000, 50_000
+PRIOR, DISCLOSES, LEFT = 1.0, 0.9, 1.0
+#: A sieve has this many words of 64 bits.
+CELLS = 1 << 18
 _OPEN, _CLOSE = "", ""  # marks around a match; where a text holds them they count as "|"
 _TERM = r"\p{L}[\p{L}\p{M}\p{N}_]*+"
 
@@ -126,11 +135,33 @@ def _words(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(_TERM), F.lit(0)))
 
 
-def disclosing_terms(spanned: DataFrame, text: str = "text", prior: float = PRIOR, discloses: float = DISCLOSES) -> DataFrame:
-    """(term, ratio) of the terms that reveal an entity; ``spanned`` has ``base`` spans."""
+def _text_key(text: Column) -> list[Column]:
+    return [F.xxhash64(text).alias("k1"), F.xxhash64(F.lit(1), text).alias("k2")]
+
+
+def _sieved(rows: DataFrame, key: Column, keys: DataFrame) -> DataFrame:
+    """``rows`` with ``__maybe``: true for every row whose hash ``key`` is among the column ``key`` of ``keys``, and for few others."""
+
+    def cell(k: Column) -> Column:
+        return F.pmod(k, F.lit(CELLS))
+
+    def bit(k: Column) -> Column:
+        return F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.shiftright(k, 32), F.lit(64)).cast("int"))
+
+    marks = keys.groupBy(cell(F.col("key")).alias("__cell")).agg(F.bit_or(bit(F.col("key"))).alias("__mark"))  # at most CELLS rows
+    held = rows.withColumn("__key", key).withColumn("__cell", cell(F.col("__key")))
+    held = held.join(F.broadcast(marks), "__cell", "left")
+    return held.withColumn("__maybe", F.coalesce(F.col("__mark").bitwiseAND(bit(F.col("__key"))) != 0, F.lit(False))).drop("__cell", "__mark", "__key")
+
+
+def _counted(spanned: DataFrame, text: str, prior: float, discloses: float, left: float) -> tuple[DataFrame, DataFrame]:
+    """(k1, k2, term, n_term) of the documents with entities, for terms that may disclose one; (term, n_term, ratio, n_held) of those that do.
+
+    ``n_held`` is in how many documents with entities the term stands outside base spans.
+    """
     entity = lambda s: F.concat_ws(":", s["kind"], F.lower(s["match"]))
     bare = _words(_replaced(text_or_empty(text), "base", lambda s: F.lit(" ")))
-    docs = spanned.where(F.size("base") > 0).select(F.monotonically_increasing_id().alias("doc"), F.array_distinct(F.transform("base", entity)).alias("entities"), bare.alias("terms"))
+    docs = spanned.where(F.size("base") > 0).select(F.monotonically_increasing_id().alias("doc"), *_text_key(F.col(text)), F.array_distinct(F.transform("base", entity)).alias("entities"), bare.alias("terms"))
     docs = materialise(docs, "entities")  # numbered once
     held = docs.select("doc", F.explode("entities").alias("entity"))
     n_entity = held.groupBy("entity").agg(F.count("*").alias("n_entity"))
@@ -139,45 +170,55 @@ def disclosing_terms(spanned: DataFrame, text: str = "text", prior: float = PRIO
     asked = held.join(n_entity.where(F.col("n_entity") < n), "entity")
     once = F.when(F.col("n_entity") == 1, F.lit("")).otherwise(F.col("entity"))
     asked = asked.groupBy("doc", once.alias("same")).agg(F.min("entity").alias("entity"), F.min("n_entity").alias("n_entity"))
-    # the most documents that a term may have: P(e|t) >= P(e) ** (1 - discloses), with n(t,e) <= n(e)
+    # the most documents that a term may have: P(e|t) >= the least that discloses, with n(t,e) <= n(e)
     share = F.col("n_entity") / F.lit(n)
-    asked = asked.withColumn("most", (F.col("n_entity") + prior * share) / F.pow(share, F.lit(1 - discloses)) - prior + 1e-6)
+    enough = F.greatest(F.pow(share, F.lit(1 - discloses)), F.lit(2.0**-left))
+    asked = asked.withColumn("most", (F.col("n_entity") + prior * share) / enough - prior + 1e-6)
     asked = materialise(asked.select("doc", "entity", "n_entity", "most"), "asked")
     bound = asked.agg(F.max("most")).first()[0]
     words = spanned.select(F.explode(_words(text_or_empty(text))).alias("term"))
     terms = words.groupBy("term").agg(F.count("*").alias("n_term")).where(F.col("n_term") <= F.lit(0.0 if bound is None else bound))
-    rare = docs.select("doc", F.explode("terms").alias("term")).join(terms, "term")
+    rare = materialise(docs.select("doc", "k1", "k2", F.explode("terms").alias("term")).join(terms, "term"), "rare")
     pairs = rare.join(asked, "doc").where(F.col("n_term") <= F.col("most"))
     together = pairs.groupBy("entity", "term").agg(F.count("*").alias("n_both"), F.first("n_entity").alias("n_entity"), F.first("n_term").alias("n_term"))
     given = (F.col("n_both") + prior * share) / (F.col("n_term") + F.lit(prior))
-    scored = together.withColumn("ratio", F.log(given / share) / F.log(1 / share))
-    return scored.groupBy("term").agg(F.max("ratio").alias("ratio")).where(F.col("ratio") >= discloses)
+    scored = together.withColumn("ratio", F.log(given / share) / F.log(1 / share)).where((F.col("ratio") >= discloses) & (-F.log2(given) <= left + 1e-9))
+    found = scored.groupBy("term").agg(F.max("ratio").alias("ratio"))
+    n_held = rare.groupBy("term").agg(F.first("n_term").alias("n_term"), F.count("*").alias("n_held"))
+    return rare.drop("doc"), found.join(n_held, "term")
+
+
+def disclosing_terms(spanned: DataFrame, text: str = "text", prior: float = PRIOR, discloses: float = DISCLOSES, left: float = LEFT) -> DataFrame:
+    """(term, ratio) of the terms that reveal an entity; ``spanned`` has ``base`` spans."""
+    return _counted(spanned, text, prior, discloses, left)[1].select("term", "ratio")
 
 
-def all_spans(df: DataFrame, text: str = "text", prior: float = PRIOR, discloses: float = DISCLOSES) -> DataFrame:
+def all_spans(df: DataFrame, text: str = "text", prior: float = PRIOR, discloses: float = DISCLOSES, left: float = LEFT) -> DataFrame:
     """``df`` with ``base`` and ``spans`` (base and term spans): arrays of (kind, start, end, match).
 
     Columns of these names are replaced.
     """
-    spanned = base_spans(df.drop("base", "spans"), text)
-    terms = materialise(disclosing_terms(spanned, text, prior, discloses), "terms")
-    n = terms.count()
-    words = _words(text_or_empty(text))
-    if not n:
-        return spanned.withColumn("spans", F.col("base"))
-    if n <= LISTED:  # a list in the plan; no shuffle
-        listed = F.split(F.lit("\n".join(sorted(r["term"] for r in terms.select("term").collect()))), "\n")
-        hit = spanned.withColumn("__hits", F.array_intersect(words, listed))
-    else:
-        keyed = spanned.withColumn("__row", F.xxhash64(F.struct(*[F.col(f"`{c}`") for c in df.columns if c not in ("base", "spans")])))
-        few = F.broadcast(terms) if n <= BROADCAST else terms
-        found = keyed.select("__row", F.explode(words).alias("term")).distinct().join(few.select("term"), "term").groupBy("__row").agg(F.collect_set("term").alias("__hits"))
-        hit = keyed.join(found, "__row", "left").drop("__row").withColumn("__hits", F.coalesce("__hits", F.array().cast("array<string>")))
+    df = df.drop("base", "spans")
+    rare, terms = _counted(base_spans(df, text), text, prior, discloses, left)
+    terms = materialise(terms, "terms")
+    inside = rare.join(terms.select("term"), "term").select("k1", "k2", "term")
+    # terms of other documents too: these are searched
+    abroad = materialise(terms.where("n_held < n_term").select("term", F.xxhash64("term").alias("key")), "abroad")
+    words = df.select(*_text_key(F.col(text)), F.explode(_words(text_or_empty(text))).alias("term"))
+    outside = _sieved(words, F.xxhash64("term"), abroad).where("__maybe").select("k1", "k2", "term").join(abroad.select("term"), "term")
+    hits = inside.unionByName(outside.select("k1", "k2", "term")).distinct().groupBy("k1", "k2").agg(F.collect_list("term").alias("__hits"))
+    hits = materialise(hits, "hits")
+    k1, k2 = _text_key(F.col(text))
+    sieved = _sieved(df, k1, hits.select(F.col("k1").alias("key")))
+    clear = base_spans(sieved.where("NOT __maybe").drop("__maybe"), text).withColumn("spans", F.col("base"))
+    keyed = sieved.where("__maybe").drop("__maybe").select("*", k1.alias("__k1"), k2.alias("__k2"))
+    held = keyed.join(hits.withColumnsRenamed({"k1": "__k1", "k2": "__k2"}), ["__k1", "__k2"], "left").drop("__k1", "__k2")
     own = F.filter(
         _found(F.replace(F.replace(text_or_empty(text), F.lit(_OPEN), F.lit("|")), F.lit(_CLOSE), F.lit("|")), "term", _TERM, lambda m: F.array_contains("__hits", F.lower(m))),
         lambda s: ~F.exists("base", lambda b: (s["start"] < b["end"]) & (b["start"] < s["end"])),
     )
-    return hit.withColumn("spans", F.when(F.size("__hits") > 0, _sorted(F.concat("base", own))).otherwise(F.col("base"))).drop("__hits")
+    marked = base_spans(held, text).withColumn("spans", F.when(F.size("__hits") > 0, _sorted(F.concat("base", own))).otherwise(F.col("base"))).drop("__hits")
+    return clear.unionByName(marked)
 
 
 def joined(spans: Column) -> Column:

@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 
 import pytest
@@ -90,14 +91,57 @@ def test_a_revealing_term_is_found_wherever_it_stands(revealing):
     assert got[100] == "" and got[301] == ""
 
 
-def test_the_three_ways_of_marking_agree(revealing, monkeypatch):
+def test_a_crowded_sieve_changes_nothing(revealing, monkeypatch):
     want = sorted((r.doc_id, r.spans) for r in privacy.report(revealing).collect())
-    monkeypatch.setattr(privacy, "LISTED", 0)
-    assert sorted((r.doc_id, r.spans) for r in privacy.report(revealing).collect()) == want
-    monkeypatch.setattr(privacy, "BROADCAST", 0)
+    monkeypatch.setattr(privacy, "CELLS", 1)
     assert sorted((r.doc_id, r.spans) for r in privacy.report(revealing).collect()) == want
 
 
+def plain_spans(rows):
+    """Spans by a plain count over the documents, for texts whose words are separate."""
+    import math
+    from collections import Counter
+
+    mails = [[(m.start(), m.end(), m.group().lower()) for m in re.finditer(r"\w+@x\.y", t)] for _, t in rows]
+    words = [[(m.start(), m.end(), m.group().lower()) for m in re.finditer(r"[a-zA-Z]\w*", t)] for _, t in rows]
+    free = [[w for w in ws if not any(w[0] < e and s < w[1] for s, e, _ in ms)] for ws, ms in zip(words, mails, strict=True)]
+    n, nt, ne, both = len(rows), Counter(), Counter(), Counter()
+    for ws, fs, ms in zip(words, free, mails, strict=True):
+        own = {m for _, _, m in ms}
+        nt.update({w for *_, w in ws}), ne.update(own), both.update((e, w) for e in own for w in {w for *_, w in fs})
+    given = {(e, w): (k + ne[e] / n) / (nt[w] + 1) for (e, w), k in both.items()}
+    terms = {w for (e, w), g in given.items() if ne[e] < n and g >= 0.5 - 1e-12 and math.log(g * n / ne[e]) / math.log(n / ne[e]) >= 0.9}
+    out = []
+    for (i, _), fs, ms in zip(rows, free, mails, strict=True):
+        spans = sorted([(s, 0, e, "email") for s, e, _ in ms] + [(s, 1, e, "term") for s, e, w in fs if w in terms])
+        out.append((i, ",".join(f"{kind}:{s}:{e}" for s, _, e, kind in spans)))
+    return sorted(out), terms
+
+
+def test_spans_equal_a_plain_count(spark):
+    rng = random.Random(5)
+    rows = []
+    for i in range(1500):
+        words = [f"w{int(rng.paretovariate(0.7))}" for _ in range(12)]
+        if i % 9 == 0:
+            e = rng.randrange(60)
+            words[3:3] = [f"Name{e}", f"e{e}@x.y"]
+        if i % 50 == 1:
+            words.append(f"name{rng.randrange(60)}")
+        rows.append((i, " ".join(words)))
+    rows += [(i, rows[i][1]) for i in range(0, 90, 9)]  # repeated rows
+    want, terms = plain_spans(rows)
+    got = sorted((r.doc_id, r.spans) for r in privacy.report(documents(spark, rows)).collect())
+    assert got == want and any("term" in s for i, s in got if i % 50 == 1 and i % 9) and len(terms) > 40
+
+
+def test_a_word_of_two_documents_stays_in_the_one_without_an_entity_at_every_size(spark):
+    for n in (300, 20_000):
+        rows = [(i, f"common words here and v{i % 97}") for i in range(n)] + [(-1, "tullow a@b.example.org"), (-2, "tullow alone")]
+        got = {r.doc_id: r.spans for r in privacy.report(documents(spark, rows)).collect() if r.doc_id < 0}
+        assert got == {-1: "email:7:22", -2: ""}
+
+
 def test_sanitise_replaces_spans_and_keeps_columns(revealing):
     out = privacy.sanitise(revealing)
     assert out.columns == revealing.columns
@@ -122,7 +166,7 @@ def test_ratios_equal_a_plain_count(spark):
 
     rows = [(i, f"w{i % 7} v{i % 50} u{i} common " + (f"e{i % 50}@x.y f{i % 7}@x.y" if i % 3 == 0 else "")) for i in range(300)]
     spanned = privacy.base_spans(documents(spark, rows).drop("base"))
-    got = {r.term: r.ratio for r in privacy.disclosing_terms(spanned, discloses=0.3).collect()}
+    got = {r.term: r.ratio for r in privacy.disclosing_terms(spanned, discloses=0.3, left=1e3).collect()}
     n, nt, ne, both = len(rows), Counter(), Counter(), Counter()
     for _, t in rows:
         words, mails = set(re.findall(r"[a-z]\w*", t)), set(re.findall(r"\w+@x\.y", t))
