@@ -3,9 +3,11 @@
 Each tree splits a bounded sample of the vectors (``SAMPLE``, those with the smallest hashes of their
 ids) at the median of their projections on the difference of two random ones, down to ``LEAF`` vectors.
 Every row is then assigned to a leaf of every tree. A query walks all trees through one shared priority
-queue: the nearer side at once, the farther side at the price of the squared margins crossed on the way;
-it visits leaves until they hold ``REACH`` times the rows (a row counts once a tree), ``FEWEST`` rows at
-least. The rows in those leaves are scored exactly, in double precision, and the best are kept.
+queue: the nearer side at once, the farther side at the price of the squared margins crossed on the way.
+It visits leaves until they hold enough rows, a row counted once a tree: ``REACH`` times as many as there
+are at ``AT`` rows, and a share that falls with the fifth root of the number of rows from there, as nearest
+neighbours stand out the more the more rows there are; ``top`` + 1 rows in every tree at least. The rows in
+those leaves are scored exactly, in double precision, and the best are kept.
 
 Leaves are grouped to parts of about ``PART`` rows (a larger leaf is split), queries to blocks of
 ``PART``, so a task holds one part and one block. Of equal vectors only the ``top`` + 1 smallest ids can
@@ -13,7 +15,9 @@ be among anyone's nearest, so only those are indexed: copies make no hot leaf, a
 
 Edge cases: vectors that are null, zero, hold null or non-finite components, or have another length than
 the most frequent one in the sample take no part; a null id neither; rows with the query's id are its
-own; a repeated row counts once, and one id with several vectors is answered for each.
+own; a repeated row counts once, and one id with several vectors is answered for each; equal scores go by
+the smaller id; an empty table, or one without such vectors, gives an empty result; columns other than the
+id and the vector are not read.
 """
 
 from __future__ import annotations
@@ -24,9 +28,10 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
 TREES, LEAF, SAMPLE = 8, 64, 16_384
-REACH, FEWEST, PART = 1.4, 20_000, 32_768
+REACH, AT, PART = 1.2, 2_000, 32_768
 
 
 class Forest:
@@ -112,10 +117,16 @@ def _best(scores: np.ndarray, q: np.ndarray, x: np.ndarray, ids: np.ndarray, top
     return ids[rows][order], exact[order]
 
 
+def reach_of(n: int, trees: int, top: int, reach: float = REACH) -> float:
+    """How many times ``n`` rows a query visits, a row counted once a tree."""
+    return min(trees, max(reach * (AT / max(n, 1)) ** 0.2, trees * (top + 1) / max(n, 1)))
+
+
 def nearest(vectors: DataFrame, queries: DataFrame, top: int = 20, id: str = "vec_id", vector: str = "embedding", reach: float = REACH, sample: int = SAMPLE) -> DataFrame:
     """(query_id, rank, vec_id, score) of the ``top`` largest inner products found for each row of ``queries``."""
-    rows = vectors.select(F.col(id).cast("long").alias("vec_id"), F.col(vector).cast("array<float>").alias("v")).where(F.col("vec_id").isNotNull() & usable("v"))
-    asked = queries.select(F.col(id).cast("long").alias("query_id"), F.col(vector).cast("array<float>").alias("v")).where(F.col("query_id").isNotNull() & usable("v"))
+    numbers = "array<float>" if vectors.schema[vector].dataType == ArrayType(FloatType(), vectors.schema[vector].dataType.containsNull) else "array<double>"
+    rows = vectors.select(F.col(id).cast("long").alias("vec_id"), F.col(vector).cast(numbers).alias("v")).where(F.col("vec_id").isNotNull() & usable("v"))
+    asked = queries.select(F.col(id).cast("long").alias("query_id"), F.col(vector).cast(numbers).alias("v")).where(F.col("query_id").isNotNull() & usable("v"))
     schema = "query_id long, rank int, vec_id long, score double"
     drawn = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).toPandas()  # a bounded sample
     if not len(drawn):
@@ -133,7 +144,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, top: int = 20, id: str = "ve
     blocks = max(1, -(-n_asked // PART))
     first = np.array([np.argmax(forest.tree_of == t) for t in range(len(forest.roots))])
     part_of = forest.tree_of * 1_000_000 + (np.arange(leaves) - first[forest.tree_of]) // group  # a part is of one tree
-    far = max(reach, min(len(forest.roots), FEWEST / max(n, 1)))
+    far = reach_of(n, len(forest.roots), top, reach)
 
     def index(batches):
         for batch in batches:
@@ -175,8 +186,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, top: int = 20, id: str = "ve
                     out.append(pd.DataFrame({"query_id": query, "q": [own["v"].iloc[k].tobytes()] * len(got), "vec_id": got, "score": exact}))
         return pd.concat(out) if out else pd.DataFrame(columns=["query_id", "q", "vec_id", "score"])
 
-    members = kept.mapInPandas(index, "part int, piece int, block int, leaf int, vec_id long, v array<float>").groupBy("part", "piece", "block")
-    routed = asked.dropDuplicates().mapInPandas(route, "part int, piece int, block int, leaves array<int>, query_id long, v array<float>").groupBy("part", "piece", "block")
+    members = kept.mapInPandas(index, f"part int, piece int, block int, leaf int, vec_id long, v {numbers}").groupBy("part", "piece", "block")
+    routed = asked.dropDuplicates().mapInPandas(route, f"part int, piece int, block int, leaves array<int>, query_id long, v {numbers}").groupBy("part", "piece", "block")
     hits = members.cogroup(routed).applyInPandas(search, "query_id long, q binary, vec_id long, score double")
     hits = hits.groupBy("query_id", "q", "vec_id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id", "q").orderBy(F.desc("score"), "vec_id")
