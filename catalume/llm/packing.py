@@ -6,7 +6,8 @@ numbers) go to the driver. It plans best-fit decreasing over counts: the longest
 of equal pieces goes to the fullest open sequences that hold it, as many at a time as fit, and to new
 sequences when none does. The plan is a bounded list of runs: pieces of this length and these ranks go
 to these sequences at this offset. Pieces are then ranked within their length and joined with the runs.
-The rank is by hash buckets within the length, so a length that many documents share is no single task.
+The rank is by hash buckets within the length, so a length that many documents share is no single task;
+the buckets grow with the largest length's count.
 
 Edge cases: a null text is empty and becomes the end id alone; a null id is kept; repeated rows are
 packed as often as they occur; an empty table gives an empty result; other columns are not read.
@@ -26,8 +27,8 @@ from .common import materialise
 from .tokens import encode_series
 
 CAPACITY, END_ID = 1024, 2
-#: Within a length, pieces are ranked in this many buckets.
-BUCKETS = 256
+#: Within a length, pieces are ranked in this many buckets, or as many as leave about ``BUCKET_ROWS`` pieces to each.
+BUCKETS, BUCKET_ROWS = 256, 200_000
 
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -103,18 +104,19 @@ def plan(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int
 RUN = "length long, first_rank long, last_rank long, first_sequence long, each long, from_offset long"
 
 
-def place(pieces: DataFrame, capacity: int = CAPACITY, buckets: int = BUCKETS) -> DataFrame:
+def place(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """``pieces`` with ``sequence_id`` and ``offset``. They are read three times: hand in a written table."""
     spark = pieces.sparkSession
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most `capacity` rows
     runs = spark.createDataFrame(plan(counts, capacity), RUN)
+    buckets = max(BUCKETS, -(-max(counts.values(), default=0) // BUCKET_ROWS))
     bucketed = pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(buckets)).cast("int"))
     of = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     before = bucketed.groupBy("length", "bucket").agg(F.count("*").alias("n")).select("length", "bucket", F.coalesce(F.sum("n").over(of), F.lit(0)).alias("before"))
     within = Window.partitionBy("length", "bucket").orderBy("doc_id", "piece", "ids_crc32")
     ranked = bucketed.withColumn("rank", F.row_number().over(within) - 1)
-    # both lookups have a fixed bound: capacity x buckets rows, and the plan's runs
-    ranked = ranked.join(F.broadcast(before), ["length", "bucket"]).withColumn("rank", F.col("rank") + F.col("before"))
+    # the ranks before a bucket are joined where the bucket is; the plan's runs are bounded by the capacity alone
+    ranked = ranked.join(before, ["length", "bucket"]).withColumn("rank", F.col("rank") + F.col("before"))
     r, at = F.broadcast(runs.withColumnRenamed("length", "run_length")), F.col("rank") - F.col("first_rank")
     placed = ranked.join(r, (F.col("length") == F.col("run_length")) & F.col("rank").between(F.col("first_rank"), F.col("last_rank")))
     return placed.select(
