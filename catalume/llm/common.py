@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -47,3 +47,26 @@ def materialise(df: DataFrame, kind: str) -> DataFrame:
 
 def text_or_empty(column: str = "text"):
     return F.coalesce(F.col(column), F.lit(""))
+
+
+#: A sieve has this many words of 64 bits, whatever the data.
+CELLS = 1 << 18
+
+
+def sieved(rows: DataFrame, key: Column, keys: DataFrame) -> DataFrame:
+    """``rows`` with ``__maybe``: true for every row whose hash ``key`` is among the column ``key`` of ``keys``, and for few others.
+
+    The sieve is a table of at most ``CELLS`` x 64 bits with a bit for each key, so it may be sent to all
+    tasks; the more keys there are, the more rows pass, and a join behind it decides.
+    """
+
+    def cell(k: Column) -> Column:
+        return F.pmod(k, F.lit(CELLS))
+
+    def bit(k: Column) -> Column:
+        return F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.shiftright(k, 32), F.lit(64)).cast("int"))
+
+    marks = keys.groupBy(cell(F.col("key")).alias("__cell")).agg(F.bit_or(bit(F.col("key"))).alias("__mark"))
+    held = rows.withColumn("__key", key).withColumn("__cell", cell(F.col("__key")))
+    held = held.join(F.broadcast(marks), "__cell", "left")
+    return held.withColumn("__maybe", F.coalesce(F.col("__mark").bitwiseAND(bit(F.col("__key"))) != 0, F.lit(False))).drop("__cell", "__mark", "__key")

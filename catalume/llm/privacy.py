@@ -40,7 +40,7 @@ import functools
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, text_or_empty
+from .common import materialise, sieved, text_or_empty
 
 #: Kinds in order, and their patterns. Each start is tried where a run begins (or the last
 #: match ended) and runs aren't given back: the same matches as the plain patterns, in linear time.
@@ -53,8 +53,6 @@ PATTERNS = {
 }
 _PART = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 PRIOR, DISCLOSES, LEFT = 1.0, 0.9, 1.0
-#: A sieve has this many words of 64 bits.
-CELLS = 1 << 18
 _OPEN, _CLOSE = "", ""  # marks around a match; where a text holds them they count as "|"
 _TERM = r"\p{L}[\p{L}\p{M}\p{N}_]*+"
 
@@ -139,21 +137,6 @@ def _text_key(text: Column) -> list[Column]:
     return [F.xxhash64(text).alias("k1"), F.xxhash64(F.lit(1), text).alias("k2")]
 
 
-def _sieved(rows: DataFrame, key: Column, keys: DataFrame) -> DataFrame:
-    """``rows`` with ``__maybe``: true for every row whose hash ``key`` is among the column ``key`` of ``keys``, and for few others."""
-
-    def cell(k: Column) -> Column:
-        return F.pmod(k, F.lit(CELLS))
-
-    def bit(k: Column) -> Column:
-        return F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.shiftright(k, 32), F.lit(64)).cast("int"))
-
-    marks = keys.groupBy(cell(F.col("key")).alias("__cell")).agg(F.bit_or(bit(F.col("key"))).alias("__mark"))  # at most CELLS rows
-    held = rows.withColumn("__key", key).withColumn("__cell", cell(F.col("__key")))
-    held = held.join(F.broadcast(marks), "__cell", "left")
-    return held.withColumn("__maybe", F.coalesce(F.col("__mark").bitwiseAND(bit(F.col("__key"))) != 0, F.lit(False))).drop("__cell", "__mark", "__key")
-
-
 def _counted(spanned: DataFrame, text: str, prior: float, discloses: float, left: float) -> tuple[DataFrame, DataFrame]:
     """(k1, k2, term, n_term) of the documents with entities, for terms that may disclose one; (term, n_term, ratio, n_held) of those that do.
 
@@ -205,11 +188,11 @@ def all_spans(df: DataFrame, text: str = "text", prior: float = PRIOR, discloses
     # terms of other documents too: these are searched
     abroad = materialise(terms.where("n_held < n_term").select("term", F.xxhash64("term").alias("key")), "abroad")
     words = df.select(*_text_key(F.col(text)), F.explode(_words(text_or_empty(text))).alias("term"))
-    outside = _sieved(words, F.xxhash64("term"), abroad).where("__maybe").select("k1", "k2", "term").join(abroad.select("term"), "term")
+    outside = sieved(words, F.xxhash64("term"), abroad).where("__maybe").select("k1", "k2", "term").join(abroad.select("term"), "term")
     hits = inside.unionByName(outside.select("k1", "k2", "term")).distinct().groupBy("k1", "k2").agg(F.collect_list("term").alias("__hits"))
     hits = materialise(hits, "hits")
     k1, k2 = _text_key(F.col(text))
-    sieved = _sieved(df, k1, hits.select(F.col("k1").alias("key")))
+    sieved = sieved(df, k1, hits.select(F.col("k1").alias("key")))
     clear = base_spans(sieved.where("NOT __maybe").drop("__maybe"), text).withColumn("spans", F.col("base"))
     keyed = sieved.where("__maybe").drop("__maybe").select("*", k1.alias("__k1"), k2.alias("__k2"))
     held = keyed.join(hits.withColumnsRenamed({"k1": "__k1", "k2": "__k2"}), ["__k1", "__k2"], "left").drop("__k1", "__k2")

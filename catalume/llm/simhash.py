@@ -15,7 +15,10 @@ over a tree of that shard's members. No pair within the limit is lost, and no ot
 Edge cases: null and empty texts, and those of white space alone, have fingerprint zero, which links
 like any other; texts with fewer words than a shingle are hashed whole; copies share a fingerprint and
 are searched once; a null id takes no part in the choice of the smallest id of its class; repeated rows
-are all returned.
+are all returned; a text of any length is hashed whole; an empty table gives an empty result; columns
+other than the id and the text are not read. ``deduplicate`` keeps other columns as they are, one of
+several equal rows, and a row with a null id only if its class has no other; texts without words are one
+class.
 """
 
 from __future__ import annotations
@@ -26,13 +29,15 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, sieved
 from .components import connected_components
 
 WORDS, BITS, SEED = 3, 2, 42
 FAN, SHARD, MAX_SHARDS = 16, 1024, 65_536
 #: The queries of a shard are spread over this many tasks, each with a copy of its members.
 SPREAD = 8
+#: Rows that share a key are joined with it in this many parts.
+SALTS = 16
 
 
 def shingle_hashes(text: str | None, words: int) -> np.ndarray:
@@ -175,14 +180,23 @@ def near_duplicates(df: DataFrame, id: str = "doc_id", text: str = "text", words
     rooted = codes.join(stars.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     classes = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = rooted.join(classes, "root").select("fp", "component_id")
-    out = docs.join(named, "fp")
+    out = _spread_join(docs, named, "fp")
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def _spread_join(many: DataFrame, one: DataFrame, key: str) -> DataFrame:
+    """``many`` with the columns of ``one``, which has a row for each key: a key of many copies goes to ``SALTS`` tasks."""
+    salted = one.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    dealt = many.withColumn("__salt", F.pmod(F.xxhash64(*many.columns), F.lit(SALTS)).cast("int"))
+    return dealt.join(salted, [key, "__salt"]).drop("__salt")
+
+
 #: For duplicates by similarity: words of a shingle, least similarity, bits between whole fingerprints,
-#: partial fingerprints of a document, hashes in a sketch, and how far an estimate may be off (over five
-#: standard deviations of a sketch of that size).
-SHINGLE, SIMILAR, NEAR_BITS, DRAWS, SKETCH, MARGIN = 5, 0.8, 3, 8, 2048, 0.05
+#: partial fingerprints of a document, hashes in a sketch, how far an estimate may be off (five standard
+#: deviations of a sketch of that size), and members of a group of which every two are compared.
+SHINGLE, SIMILAR, NEAR_BITS, DRAWS, SKETCH, MARGIN, SMALL = 5, 0.8, 3, 8, 1024, 0.0625, 12
+#: Cells of the counts of shingles.
+COUNTS = 1 << 18
 _ODD = np.random.default_rng(11).integers(0, 2**63, DRAWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -192,16 +206,99 @@ def similarity(a: np.ndarray, b: np.ndarray, size: int = SKETCH) -> float:
     return float(np.isin(union, np.intersect1d(a, b, True), True).mean()) if len(union) else 1.0
 
 
-def _candidates(made: DataFrame, bits: int) -> DataFrame:
-    """(x, y), x < y: rows whose whole fingerprints are near, or that share a fingerprint with a head."""
+def _near_fingerprints(made: DataFrame, bits: int) -> DataFrame:
+    """(x, y), x < y: rows whose whole fingerprints are near, one row for each fingerprint."""
     of_fp = made.groupBy("fp").agg(F.min("row").alias("row"))
-    whole = links(of_fp.select("fp"), bits)
     first, second = of_fp.select(F.col("fp").alias("a"), F.col("row").alias("x")), of_fp.select(F.col("fp").alias("b"), F.col("row").alias("y"))
-    pairs = whole.join(first, "a").join(second, "b").select("x", "y")
-    keys = made.select("row", F.explode(F.concat(F.array(F.struct(F.lit(-1).alias("draw"), F.col("fp").alias("key"))), F.transform("draws", lambda h, i: F.struct(i.alias("draw"), h.alias("key"))))).alias("k")).select("row", "k.*")
-    heads = keys.groupBy("draw", "key").agg(F.min("row").alias("x"), F.min_by("row", F.xxhash64("row", "draw")).alias("x2"), F.count("*").alias("n")).where("n > 1")
-    shared = keys.join(heads, ["draw", "key"]).select(F.explode(F.array("x", "x2")).alias("x"), F.col("row").alias("y"))
-    return pairs.unionByName(shared).where("x <> y").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
+    return links(of_fp.select("fp"), bits).join(first, "a").join(second, "b").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
+
+
+def _ordered(x: str, y: str) -> list:
+    return [F.least(x, y).alias("x"), F.greatest(x, y).alias("y")]
+
+
+def _compared(members: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(x, y) to compare of groups (row, draw, key), and the members of groups of more than ``SMALL``, with their heads."""
+    heads = members.groupBy("draw", "key").agg(F.min("row").alias("h"), F.min_by("row", F.xxhash64("row", "draw")).alias("h2"), F.count("*").alias("n")).where("n > 1")
+    members = members.join(heads, ["draw", "key"])
+    few = members.where(F.col("n") <= SMALL).groupBy("draw", "key").agg(F.array_sort(F.collect_list("row")).alias("rows"))
+    two = F.flatten(F.transform("rows", lambda x, i: F.transform(F.slice("rows", i + 2, SMALL), lambda y: F.struct(x.alias("x"), y.alias("y")))))
+    pairs = few.select(F.explode(two).alias("p")).select("p.x", "p.y")
+    many = members.where(F.col("n") > SMALL)
+    return pairs.unionByName(many.select(F.explode(F.array("h", "h2")).alias("head"), "row").where("head <> row").select(*_ordered("head", "row"))), many
+
+
+def _refused(many: DataFrame, found: DataFrame) -> DataFrame:
+    """The members that neither head of their group accepts."""
+    sure = found.where("sure")
+    both = sure.select(F.col("x").alias("head"), F.col("y").alias("row")).unionByName(sure.select(F.col("y").alias("head"), F.col("x").alias("row")))
+    rest = many.where((F.col("row") != F.col("h")) & (F.col("row") != F.col("h2")))
+    for head in ("h", "h2"):
+        rest = rest.join(both.withColumnRenamed("head", head), [head, "row"], "left_anti")
+    return rest
+
+
+def _rare_keys(sketches: DataFrame, least: float) -> DataFrame:
+    """(row, key): the rarest shingles of each sketch, of which two sets that reach ``least`` share one.
+
+    Rare is by counts in ``COUNTS`` cells, so the order is one for all rows, however good the counts are. A
+    set in which ``least`` of the shingles have to be in the other needs the first n - least n + 1; of a
+    set that its sketch doesn't hold, or that may meet such a one, ``MARGIN`` more are taken.
+    """
+
+    def counted(batches):
+        table = np.zeros(COUNTS, np.int64)
+        for batch in batches:
+            for h in batch["sketch"]:
+                np.add.at(table, h % COUNTS, 1)
+        at = np.flatnonzero(table)
+        yield pd.DataFrame({"cell": at, "n": table[at]})
+
+    found = sketches.select("sketch").mapInPandas(counted, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()  # COUNTS rows at most
+    counts = np.zeros(COUNTS, np.int64)
+    counts[found["cell"]] = found["n"]
+
+    def rarest(batches):
+        for batch in batches:
+            rows, keys = [], []
+            for row, h, size in zip(batch["row"], batch["sketch"], batch["size"], strict=True):
+                share = least if size <= least * SKETCH else least - MARGIN
+                own = h[np.lexsort((h, counts[h % COUNTS]))][: len(h) - int(np.ceil(share * len(h) - 1e-9)) + 1]
+                rows.append(np.full(len(own), row))
+                keys.append(own)
+            yield pd.DataFrame({"row": np.concatenate([np.zeros(0, np.int64), *rows]), "key": np.concatenate([np.zeros(0, np.int64), *keys])})
+
+    return sketches.select("row", "sketch", "size").mapInPandas(rarest, "row long, key long")
+
+
+def _found_links(made: DataFrame, bits: int, least: float, sketches_of, check) -> DataFrame:
+    """(x, y, sure) of candidates that hold or are in doubt; ``check`` says which of a frame of pairs (x, y) do.
+
+    Rows that share a fingerprint, whole or partial, form a group. In a group of at most ``SMALL`` every
+    two are compared; in a larger one each member with two heads, the smallest row and one by hash. All
+    members of larger groups in which a head refuses one (as those that a common passage has brought
+    together) are then grouped by their rarest shingles, which no similar pair can avoid to share, and
+    compared likewise. What the heads refuse there is dealt anew, by the group and a draw, until none is left.
+    """
+    fp, draws = F.struct(F.lit(-1).alias("draw"), F.col("fp").alias("key")), F.transform("draws", lambda h, i: F.struct(i.alias("draw"), h.alias("key")))
+    pairs, many = _compared(made.select("row", F.explode(F.concat(F.array(fp), draws)).alias("k")).select("row", "k.draw", "k.key"))
+    found = materialise(check(pairs.unionByName(_near_fingerprints(made, bits)).where("x <> y").distinct()), "links")
+    mixed = _refused(many, found).select("draw", "key").distinct()
+    mixed = materialise(many.join(mixed, ["draw", "key"], "left_semi").select("row").distinct(), "mixed")
+    out, turn = found, 0
+    if not mixed.take(1):
+        return out
+    keys = _rare_keys(sketches_of(mixed), least).withColumn("draw", F.lit(0))
+    while True:
+        keys = materialise(keys.select("row", "draw", "key"), "keys")
+        if not keys.take(1):
+            return out
+        pairs, many = _compared(keys)
+        found = materialise(check(pairs.where("x <> y").distinct().join(out.where("sure"), ["x", "y"], "left_anti")), "links")
+        out = out.unionByName(found)
+        further = F.element_at("draws", F.lit(turn % DRAWS + 1))
+        keys = _refused(many, out).select("row", "draw", "key").join(made.select("row", "draws"), "row").select("row", "draw", F.xxhash64("key", further).alias("key"))
+        turn += 1
 
 
 def similar_classes(df: DataFrame, id: str = "doc_id", text: str = "text", words: int = SHINGLE, least: float = SIMILAR, bits: int = NEAR_BITS) -> DataFrame:
@@ -211,12 +308,11 @@ def similar_classes(df: DataFrame, id: str = "doc_id", text: str = "text", words
     fingerprints differ in at most ``bits`` bits, by the index, and documents that share a partial
     fingerprint. A partial one is the fingerprint of a single shingle, the winner of a min-wise draw, so
     two documents share it with a probability equal to their similarity; of ``DRAWS`` draws, those at
-    ``least`` = 0.8 miss all in 3 of a million cases. Documents that share a fingerprint are compared with
-    the first of them and with one more that changes with the fingerprint, not with each other, so a
-    group of any size gives two pairs a member. Every pair is verified: on sketches (the ``SKETCH``
-    smallest shingle hashes) where these hold all shingles or the estimate is clear of ``least`` by
-    ``MARGIN``; else, unless other links tie the two, on all shingles. Classes are the connected
-    components of what holds. ``row`` is a hash of id and text.
+    ``least`` = 0.8 miss all in 3 of a million cases. How a group is compared says ``_found_links``. Every
+    pair is verified: on sketches (the ``SKETCH`` smallest shingle hashes, 64 bits each) where these hold
+    all shingles or the estimate is clear of ``least`` by ``MARGIN``; else, unless other links tie the
+    two, on all shingles. Classes are the connected components of what holds. ``row`` is a hash of id
+    and text.
     """
     docs = df.select(F.col(id).cast("long").alias("doc_id"), F.col(text).alias("text")).withColumn("row", F.xxhash64(F.struct("doc_id", "text")))
 
@@ -227,27 +323,37 @@ def similar_classes(df: DataFrame, id: str = "doc_id", text: str = "text", words
                 h = np.unique(shingle_hashes(t, words))
                 mixed = (h[:, None] ^ _ODD[None, ::-1]) * _ODD
                 draws = (mixed ^ (mixed >> np.uint64(29))).min(0).view(np.int64) if len(h) else np.zeros(0, np.int64)
-                small = np.unique((h >> np.uint64(16)).astype(np.uint32).view(np.int32))[:SKETCH]
+                small = h[:SKETCH].view(np.int64)
                 same = xxhash.xxh64_intdigest(h.tobytes()) - 2**63
                 out.append((row, doc, same, fingerprint(t, words), draws, small, len(h)))
             part = pd.DataFrame(out, columns=["row", "doc_id", "same", "fp", "draws", "sketch", "size"])
             yield part.astype({"doc_id": "Int64"})
 
-    made = docs.mapInPandas(each, "row long, doc_id long, same long, fp long, draws array<long>, sketch array<int>, size int")
-    made = materialise(made.dropDuplicates(["row"]), "sketches")
+    made = docs.mapInPandas(each, "row long, doc_id long, same long, fp long, draws array<long>, sketch array<long>, size int")
+    made = materialise(made, "sketches")
     own = made.groupBy("same").agg(F.min("row").alias("row"))
-    distinct = made.join(own, ["same", "row"], "left_semi")
-    sketch = distinct.select("row", "sketch", "size")
-    both = _candidates(distinct, bits).join(sketch.toDF("x", "sx", "nx"), "x").join(sketch.toDF("y", "sy", "ny"), "y")
+    distinct = made.select("row", "same", "fp", "draws").join(own, ["same", "row"], "left_semi").dropDuplicates(["row"])
+    distinct = materialise(distinct.select("row", "fp", "draws"), "distinct")
+
+    def sketches_of(rows: DataFrame) -> DataFrame:
+        """The sketches of some rows; the others' don't go through a shuffle."""
+        held = sieved(made.select("row", "sketch", "size"), F.col("row"), rows.select(F.col("row").alias("key"))).where("__maybe").drop("__maybe")
+        return held.join(rows, "row", "left_semi").dropDuplicates(["row"])
 
     def verified(batches):
         for batch in batches:
-            near = np.array([similarity(a, b) for a, b in zip(batch["sx"], batch["sy"], strict=True)], float)
+            near = np.array([similarity(a.view(np.uint64), b.view(np.uint64)) for a, b in zip(batch["sx"], batch["sy"], strict=True)], float)
             doubt = (np.abs(near - least) < MARGIN) & (batch[["nx", "ny"]].max(axis=1).to_numpy() > SKETCH)
             out = batch[["x", "y"]].assign(sure=~doubt)
             yield out[doubt | (near >= least)]
 
-    found = materialise(both.mapInPandas(verified, "x long, y long, sure boolean"), "links")
+    def check(pairs: DataFrame) -> DataFrame:
+        pairs = materialise(pairs, "pairs")
+        sketch = sketches_of(pairs.select(F.explode(F.array("x", "y")).alias("row")).distinct())
+        both = pairs.join(sketch.toDF("x", "sx", "nx"), "x").join(sketch.toDF("y", "sy", "ny"), "y")
+        return both.mapInPandas(verified, "x long, y long, sure boolean")
+
+    found = materialise(_found_links(distinct, bits, least, sketches_of, check).distinct(), "found")
     sure, doubt = found.where("sure").select("x", "y"), found.where("NOT sure").select("x", "y")
     stars = connected_components(sure)
     if doubt.count():
@@ -269,7 +375,7 @@ def similar_classes(df: DataFrame, id: str = "doc_id", text: str = "text", words
         pairs = apart.join(full.toDF("x", "ax"), "x").join(full.toDF("y", "ay"), "y").mapInPandas(exact, "x long, y long")
         stars = connected_components(sure.unionByName(pairs))
     rooted = own.join(stars.withColumnRenamed("node", "row"), "row", "left").select("same", F.coalesce("root", "row").alias("root"))
-    return made.select("row", "doc_id", "same").join(rooted, "same").drop("same")
+    return _spread_join(made.select("row", "doc_id", "same"), rooted, "same").select("row", "doc_id", "root").dropDuplicates(["row"])
 
 
 def deduplicate(df: DataFrame, id: str = "doc_id", text: str = "text", **options) -> DataFrame:

@@ -6,7 +6,7 @@ import pytest
 from conftest_llm import documents
 from pyspark.sql import functions as F
 
-from catalume.llm import privacy
+from catalume.llm import common, privacy
 
 PLAIN = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
@@ -93,7 +93,7 @@ def test_a_revealing_term_is_found_wherever_it_stands(revealing):
 
 def test_a_crowded_sieve_changes_nothing(revealing, monkeypatch):
     want = sorted((r.doc_id, r.spans) for r in privacy.report(revealing).collect())
-    monkeypatch.setattr(privacy, "CELLS", 1)
+    monkeypatch.setattr(common, "CELLS", 1)
     assert sorted((r.doc_id, r.spans) for r in privacy.report(revealing).collect()) == want
 
 

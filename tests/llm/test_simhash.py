@@ -1,6 +1,9 @@
+import math
 import re
+from collections import Counter
 
 import numpy as np
+import pytest
 import xxhash
 from conftest_llm import PROSE, documents
 from pyspark.sql import functions as F
@@ -103,3 +106,65 @@ def test_planted_copies_of_a_large_group_fall_in_one_class(spark):
 def test_empty_table(spark):
     empty = documents(spark, [])
     assert simhash.near_duplicates(empty).count() == 0 and simhash.deduplicate(empty).count() == 0
+
+
+def shingle_set(text, k=5):
+    lower = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+    words = re.findall(r"[^\x20\x09-\x0D]+", lower)
+    k = min(k, len(words))
+    return frozenset(" ".join(words[i : i + k]) for i in range(len(words) - k + 1)) if words else frozenset()
+
+
+def plain_classes(rows, least=0.8):
+    """Classes of the distinct texts' sets by every pair that reaches ``least``.
+
+    Two sets that reach it share one of the rarest shingles of each: the first len - ceil(least * len) + 1 in any one order.
+    """
+    sets = {}
+    for i, t in rows:
+        sets.setdefault(shingle_set(t), []).append(i)
+    keys = list(sets)
+    count = Counter(s for k in keys for s in k)
+    at, pairs = {}, []
+    for n, k in enumerate(keys):
+        order = sorted(k, key=lambda s: (count[s], s))
+        seen = set()
+        for s in order[: len(order) - math.ceil(least * len(order)) + 1]:
+            seen.update(at.setdefault(s, []))
+            at[s].append(n)
+        pairs += [(m, n) for m in seen if len(keys[m] & k) >= least * len(keys[m] | k)]
+    root = classes(pairs, range(len(keys)))
+    out = {}
+    for n, k in enumerate(keys):
+        out.setdefault(root[n], set()).update(sets[k])
+    return sorted(map(sorted, out.values())), len(pairs)
+
+
+def found_classes(df):
+    out = {}
+    for r in simhash.similar_classes(df).collect():
+        out.setdefault(r.root, set()).add(r.doc_id)
+    return sorted(map(sorted, out.values()))
+
+
+def test_mixed_groups_of_a_common_passage_lose_no_link(spark):
+    """Many documents are mostly one passage; each has a partner whose likeness lies in what is its own."""
+    rng = np.random.default_rng(12)
+    passage = " ".join(f"common{i}" for i in range(120))
+    rows = []
+    for i in range(150):
+        own = [f"own{i}x{j}" for j in range(70)]
+        rows.append((2 * i, f"{passage} {' '.join(own)}"))
+        own[int(rng.integers(0, 70))] = f"edit{i}"
+        own[int(rng.integers(0, 70))] = f"other{i}"
+        rows.append((2 * i + 1, f"{passage} {' '.join(own)}"))
+    want, pairs = plain_classes(rows)
+    assert pairs >= 100 and len(want) > 100
+    assert found_classes(documents(spark, rows)) == want
+
+
+@pytest.mark.parametrize("size", ["sf0.01", "sf0.1"])
+def test_classes_of_whole_tables_equal_plain_ones(spark, size):
+    df = spark.read.parquet(f"/root/testdata/{size}/documents.parquet").select("doc_id", "text")
+    want, pairs = plain_classes([tuple(r) for r in df.collect()])
+    assert found_classes(df) == want and pairs
