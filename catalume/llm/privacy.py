@@ -192,9 +192,9 @@ def all_spans(df: DataFrame, text: str = "text", prior: float = PRIOR, discloses
     hits = inside.unionByName(outside.select("k1", "k2", "term")).distinct().groupBy("k1", "k2").agg(F.collect_list("term").alias("__hits"))
     hits = materialise(hits, "hits")
     k1, k2 = _text_key(F.col(text))
-    sieved = sieved(df, k1, hits.select(F.col("k1").alias("key")))
-    clear = base_spans(sieved.where("NOT __maybe").drop("__maybe"), text).withColumn("spans", F.col("base"))
-    keyed = sieved.where("__maybe").drop("__maybe").select("*", k1.alias("__k1"), k2.alias("__k2"))
+    passed = sieved(df, k1, hits.select(F.col("k1").alias("key")))
+    clear = base_spans(passed.where("NOT __maybe").drop("__maybe"), text).withColumn("spans", F.col("base"))
+    keyed = passed.where("__maybe").drop("__maybe").select("*", k1.alias("__k1"), k2.alias("__k2"))
     held = keyed.join(hits.withColumnsRenamed({"k1": "__k1", "k2": "__k2"}), ["__k1", "__k2"], "left").drop("__k1", "__k2")
     own = F.filter(
         _found(F.replace(F.replace(text_or_empty(text), F.lit(_OPEN), F.lit("|")), F.lit(_CLOSE), F.lit("|")), "term", _TERM, lambda m: F.array_contains("__hits", F.lower(m))),
