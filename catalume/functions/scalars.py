@@ -59,7 +59,7 @@ OFFICE_FORMATS = ("xlsx", "xls", "doc", "docx", "ppt", "pptx")
 CHARSETS = {"UTF8": "utf-8", "ASCII": "utf-8", "SJIS": "shift_jis", "EUCJP": "euc-jp", "JIS": "iso-2022-jp", "UNICODE": "utf-8"}
 ROLE_RANKS = {"admin": 3, "editor": 2, "member": 1}
 UUID = r"(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$"
-SLUG = r"^[a-z0-9][a-z0-9\-_]*$"
+SLUG = r"^[a-z0-9._-]+$"
 
 
 def _lookup(pairs: dict[str, str | int], key: Column) -> Column:
@@ -248,3 +248,37 @@ def header_changed(etag: Column, new_etag: Column, modified: Column, new_modifie
 
 def valid_name(name: Column) -> Column:
     return F.coalesce(F.length(name).between(2, 100) & name.rlike(SLUG), F.lit(False))
+
+
+def valid_email(c: Column) -> Column:
+    """A local part of common characters without a dot at its ends or two in a row, and a domain with a top level of two letters or more."""
+    local, domain = r"(?!\.)(?!.*\.\.)[A-Za-z0-9_'+.-]*[A-Za-z0-9_+-]", r"(?:[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,}"
+    return F.coalesce(c.rlike(f"^{local}@{domain}$"), F.lit(False))
+
+
+def valid_url(c: Column) -> Column:
+    """A URL with a scheme and a host."""
+    return F.try_parse_url(c, F.lit("PROTOCOL")).isNotNull() & F.try_parse_url(c, F.lit("HOST")).isNotNull()
+
+
+def package_problem(name: Column, title: Column, url: Column, email: Column, owner: Column) -> Column:
+    """The first field of a package that can't be accepted, or null; blank urls and emails count as not given."""
+    given = lambda c: F.coalesce(c, F.lit("")) != ""
+    return (
+        F.when(~valid_name(name), "name")
+        .when(given(url) & ~valid_url(url), "url")
+        .when(given(email) & ~valid_email(email), "author_email")
+        .when(~F.coalesce(is_uuid(owner), F.lit(False)), "owner_org")
+    )
+
+
+def escape_html(text: Column) -> Column:
+    out = text
+    for plain, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#39;")):
+        out = F.replace(out, F.lit(plain), F.lit(entity))
+    return out
+
+
+def local_date(time: Column) -> Column:
+    """A time as text without a zone; the epoch where there is none."""
+    return F.coalesce(F.date_format(time, "yyyy-MM-dd'T'HH:mm:ss"), F.lit("1970-01-01T00:00:00"))

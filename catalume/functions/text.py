@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -62,56 +63,74 @@ def truncated(text: str, limit: int) -> str:
     return text.encode()[:limit].decode("utf-8", "ignore")
 
 
-def split_chunks(text: str, limit: int = CHUNK_BYTES, most: int | None = None) -> list[str]:
-    """Chunks of whole lines of at most ``limit`` bytes each; a longer line is a chunk of its own, cut off there.
+def split_chunks(text: str, limit: int = CHUNK_BYTES, most: int | None = None, whole: bool = False, last_break: bool = True) -> list[str]:
+    """Chunks of whole lines, as many in each as its ``limit`` in bytes holds.
 
-    A text within the limit, also an empty one, is a single chunk. Lines count with their newline.
+    A line counts with its newline; without ``last_break``, the newline at a chunk's end doesn't count. A
+    longer line is a chunk of its own: cut off at the limit, or with ``whole`` cut up at it, so that the
+    chunks hold all of the text. A text within the limit, also an empty one, is a single chunk.
     """
     if len(text.encode()) <= limit:
         return [text]
-    out: list[str] = []
-    held: list[str] = []
-    size = 0
-    for line in text.split("\n"):
-        n = len(line.encode()) + 1
-        if held and (size + n > limit or n > limit):
-            out.append("\n".join(held))
-            held, size = [], 0
-        if n > limit:
-            out.append(truncated(line, limit))
-        else:
-            held.append(line)
-            size += n
-    if held:
-        out.append("\n".join(held))
+    lines = text.split("\n")
+    sizes = np.array([len(line.encode()) for line in lines], np.int64)
+    ends = np.concatenate([[0], np.cumsum(sizes + 1)])
+    long = sizes + last_break > limit
+    out, at = [], 0
+    while at < len(lines) and (most is None or len(out) < most):
+        if long[at]:
+            out += pieces(lines[at], limit) if whole else [truncated(lines[at], limit)]
+            at += 1
+            continue
+        # the lines up to the one whose end goes beyond the limit, or up to a long one
+        to = int(np.searchsorted(ends, ends[at] + limit + (not last_break), "right")) - 1
+        stop = np.flatnonzero(long[at:to])
+        to = max(at + 1, at + int(stop[0]) if len(stop) else to)
+        out.append("\n".join(lines[at:to]))
+        at = to
     return out[:most]
 
 
-def content_chunks(df: DataFrame, limit: int = CHUNK_BYTES, most: int | None = None) -> DataFrame:
+def pieces(line: str, limit: int) -> list[str]:
+    """A line in pieces of at most ``limit`` bytes, no character split."""
+    data, out = line.encode(), []
+    while data:
+        to = min(limit, len(data))
+        while to < len(data) and to > 1 and data[to] & 0xC0 == 0x80:
+            to -= 1
+        out.append(data[:to].decode("utf-8", "ignore"))
+        data = data[to:]
+    return out
+
+
+def content_chunks(df: DataFrame, limit: int = CHUNK_BYTES, most: int | None = None, whole: bool = True, last_break: bool = True) -> DataFrame:
     """(resource_id, package_id, content_type, chunk_index, chunk_size, extracted_text) of texts.
 
-    ``df`` has resource_id, package_id, content_type and text; null texts have no chunk.
+    ``df`` has resource_id, package_id, content_type and text; null texts have no chunk. Texts within the
+    limit never leave the JVM; longer ones are split by ``split_chunks``.
     """
+    columns = ["resource_id", "package_id", "content_type"]
+    df = df.select(*columns, "text").where("text IS NOT NULL")
 
     def cut(batches):
         for batch in batches:
-            for row in batch.itertuples(index=False):
-                if row.text is None:
-                    continue
-                parts = split_chunks(row.text, limit, most)
-                yield pd.DataFrame(
-                    {
-                        "resource_id": row.resource_id,
-                        "package_id": row.package_id,
-                        "content_type": row.content_type,
-                        "chunk_index": range(len(parts)),
-                        "chunk_size": [len(p.encode()) for p in parts],
-                        "extracted_text": parts,
-                    }
-                )
+            parts = [split_chunks(t, limit, most, whole, last_break) for t in batch["text"]]
+            n = [len(p) for p in parts]
+            out = batch[columns].loc[batch.index.repeat(n)]
+            texts = [x for p in parts for x in p]
+            yield out.assign(chunk_index=[i for k in n for i in range(k)], chunk_size=[len(x.encode()) for x in texts], extracted_text=texts)
 
     schema = "resource_id string, package_id string, content_type string, chunk_index int, chunk_size int, extracted_text string"
-    return df.select("resource_id", "package_id", "content_type", "text").mapInPandas(cut, schema)
+    fits = F.octet_length("text") <= limit
+    short = df.where(fits).select(*[F.col(c).cast("string") for c in columns], F.lit(0).alias("chunk_index"), F.octet_length("text").alias("chunk_size"), F.col("text").alias("extracted_text"))
+    return short.unionByName(df.where(~fits).mapInPandas(cut, schema))
+
+
+def chunk_totals(chunks: DataFrame, texts: DataFrame) -> DataFrame:
+    """(resource_id, chunks, indexed, original): how many chunks and bytes of each text went to the index, and how many bytes it has."""
+    of = chunks.groupBy("resource_id").agg(F.count("*").alias("chunks"), F.sum("chunk_size").cast("long").alias("indexed"))
+    own = texts.where("text IS NOT NULL").select("resource_id", F.octet_length("text").cast("long").alias("original"))
+    return own.join(of, "resource_id")
 
 
 def truncate_column(c: Column, limit: int) -> Column:

@@ -13,8 +13,10 @@ BATCH, STALE_HOURS, FULL_HOURS = 200, 24, 168
 
 
 def stale(resources: DataFrame, now: datetime, hours: int = STALE_HOURS) -> DataFrame:
-    """Active resources never checked, or checked more than ``hours`` ago."""
+    """Active resources never checked, or checked more than ``hours`` ago; of resources with ``url`` and ``url_type``, those that link elsewhere."""
     old = F.col("health_checked_at") < F.lit(now) - F.expr(f"INTERVAL {int(hours)} HOURS")
+    if {"url", "url_type"} <= set(resources.columns):
+        resources = resources.where("url IS NOT NULL AND url_type IS NULL")
     return resources.where("state = 'active'").where(F.col("health_checked_at").isNull() | old)
 
 

@@ -61,8 +61,9 @@ def group_list(catalog: Catalog, q: str = "") -> DataFrame:
 
 
 def tag_list(catalog: Catalog, q: str = "") -> DataFrame:
-    """Tags with the number of their packages."""
-    return catalog.package_tag.where(contains(q, "tag")).groupBy("tag").agg(F.count_distinct("package_id").alias("datasets"))
+    """All tags with the number of their packages, also those that no package has."""
+    known = catalog.tag.where(contains(q, "tag"))
+    return known.join(catalog.package_tag, "tag", "left").groupBy("tag").agg(F.count_distinct("package_id").alias("datasets"))
 
 
 def with_total(df: DataFrame, to: str = "total") -> DataFrame:

@@ -116,3 +116,92 @@ def valid_tokens(tokens: DataFrame, users: DataFrame, raw: str, now) -> DataFram
 def reset(tables: dict[str, DataFrame], keep: Sequence[str] = ("user",)) -> dict[str, DataFrame]:
     """Empty tables, but for those kept."""
     return {name: df if name in keep else df.limit(0) for name, df in tables.items()}
+
+
+def create_with_links(tables: dict[str, DataFrame], rows: DataFrame) -> dict[str, DataFrame]:
+    """``package``, ``tag`` and ``package_tag`` after new packages (with an array ``tags``) are created; rows that can't be are left out."""
+    checked = create_packages(tables["package"], rows.drop("tags"), tables["organization"])
+    good = rows.join(checked.where("rejected IS NULL").select("id"), "id", "left_semi")
+    named = good.select(F.col("id").alias("package_id"), F.explode(F.array_distinct("tags")).alias("name"))
+    tags = find_or_create_tags(tables["tag"], named)
+    links = named.join(tags.select(F.col("id").alias("tag_id"), "name"), "name").select("package_id", "tag_id")
+    package = tables["package"].unionByName(good.drop("tags"), allowMissingColumns=True)
+    return {**tables, "package": package, "tag": tags, "package_tag": tables["package_tag"].unionByName(links)}
+
+
+def update_with_links(tables: dict[str, DataFrame], changes: DataFrame) -> dict[str, DataFrame]:
+    """Given fields replace old ones; a given array ``tags`` (null: not given) replaces all of a package's tags."""
+    package = patch(tables["package"], changes.drop("tags"), "id")
+    given = changes.where(F.col("tags").isNotNull()).join(tables["package"].select("id"), "id", "left_semi")
+    named = given.select(F.col("id").alias("package_id"), F.explode(F.array_distinct("tags")).alias("name"))
+    tags = find_or_create_tags(tables["tag"], named)
+    links = named.join(tags.select(F.col("id").alias("tag_id"), "name"), "name").select("package_id", "tag_id")
+    kept = tables["package_tag"].join(given.select(F.col("id").alias("package_id")), "package_id", "left_anti")
+    return {**tables, "package": package, "tag": tags, "package_tag": kept.unionByName(links)}
+
+
+def set_members(memberships: DataFrame, changes: DataFrame) -> DataFrame:
+    """Members are added or get another role; one whose new role is null is removed."""
+    keys = ["user_id", "organization_id"]
+    return upsert(memberships, changes, keys).where(F.col("role").isNotNull())
+
+
+def update_resources(resources: DataFrame, changes: DataFrame) -> DataFrame:
+    """Given fields replace old ones; a given format is normalised."""
+    return patch(resources, changes.withColumn("format", normalize_format(F.col("format"))), "id")
+
+
+def complete_upload(resources: DataFrame, uploads: DataFrame) -> DataFrame:
+    """Uploaded resources (id, url, size, hash) take what was stored and count as uploads."""
+    done = uploads.select("id", F.col("url").alias("__url"), F.col("size").alias("__size"), F.col("hash").alias("__hash"))
+    out = resources.join(done, "id", "left")
+    new = F.col("__url").isNotNull()
+    for c in ("url", "size", "hash"):
+        out = out.withColumn(c, F.when(new, F.col(f"__{c}")).otherwise(F.col(c)))
+    return out.withColumn("url_type", F.when(new, "upload").otherwise(F.col("url_type"))).drop("__url", "__size", "__hash")
+
+
+def restore_users(users: DataFrame, ids: DataFrame) -> DataFrame:
+    """Deleted users among ``ids`` are active again; others stay as they are."""
+    asked = ids.select("id", F.lit(True).alias("__asked")).distinct()
+    state = F.when(F.col("__asked").isNotNull() & (F.col("state") == "deleted"), "active").otherwise(F.col("state"))
+    return users.join(asked, "id", "left").withColumn("state", state).drop("__asked")
+
+
+def purge_users(tables: dict[str, DataFrame], ids: DataFrame, by: str) -> dict[str, DataFrame]:
+    """Deleted users among ``ids`` without packages go for good: their activity and log entries lose the name, and the log gains a line each."""
+    gone = tables["user"].where("state = 'deleted'").join(ids.select("id"), "id", "left_semi")
+    gone = gone.join(tables["package"].select(F.col("creator_user_id").alias("id")), "id", "left_anti")
+    named = gone.select(F.col("id").alias("user_id"), F.lit(True).alias("__gone"))
+    out = dict(tables)
+    for name in ("activity", "audit_log"):
+        blank = tables[name].join(named, "user_id", "left")
+        out[name] = blank.withColumn("user_id", F.when(F.col("__gone").isNull(), F.col("user_id"))).select(*tables[name].columns)
+    changes = F.to_json(F.struct(F.col("id").alias("purgedUserId"), F.col("email").alias("purgedEmail"), F.col("name").alias("purgedName")))
+    entries = gone.select(F.lit("user").alias("entity_type"), F.lit("purge").alias("action"), F.lit(by).alias("user_id"), changes.alias("changes"))
+    out["audit_log"] = out["audit_log"].unionByName(entries, allowMissingColumns=True)
+    out["user"] = tables["user"].join(gone.select("id"), "id", "left_anti")
+    return out
+
+
+def set_steps(steps: DataFrame, changes: DataFrame) -> DataFrame:
+    """Steps of a job are added, or take a new status; what isn't given (null) stays."""
+    keys = ["resource_id", "step_name"]
+    new = changes.select(*keys, *[F.col(c).alias(f"__{c}") for c in changes.columns if c not in keys])
+    both = steps.join(new, keys, "full")
+    return both.select(*keys, *[F.coalesce(f"__{c}", c).alias(c) if c in changes.columns else F.col(c) for c in steps.columns if c not in keys])
+
+
+def restart_jobs(jobs: DataFrame, steps: DataFrame, ids: DataFrame, now) -> tuple[DataFrame, DataFrame]:
+    """Jobs of ``ids`` are queued (again) without an error, and their steps go; other columns, as a preview key, stay."""
+    asked = ids.select(F.col("id").alias("resource_id"), F.lit(True).alias("__asked")).distinct()
+    both = jobs.join(asked, "resource_id", "full")
+    new = F.col("__asked").isNotNull()
+    values = {"status": F.lit("queued"), "error": F.lit(None).cast("string"), "updated": F.lit(now)}
+    queued = both.select(*[F.when(new, values[c]).otherwise(F.col(c)).alias(c) if c in values else F.col(c) for c in jobs.columns])
+    return queued, steps.join(asked, "resource_id", "left_anti")
+
+
+def deleted_by_prefix(objects: DataFrame, prefix: str, path: str = "path") -> tuple[DataFrame, DataFrame]:
+    """What is left of the objects, and a row with the number of those that go."""
+    return delete_prefix(objects, prefix, path), objects.where(F.col(path).startswith(prefix)).agg(F.count("*").alias("deleted"))

@@ -14,8 +14,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scalars import strip_tags_but_mark
 from ..sources.catalog import Catalog
-from .search import Filters, matching
+from .listing import package_list
+from .search import Filters, keep_order, matching
 
 K1, B = 1.2, 0.75
 RESOURCE_WEIGHT, CONTENT_SCORE, LEG_TOP = 0.4, 0.4, 100
@@ -64,12 +66,21 @@ def bm25(df: DataFrame, q: str, fields: dict[str, float], to: str = "score") ->
     return held.withColumn(to, total).where(hit).drop(*[f"__{f}" for f in fields])
 
 
-def package_leg(packages: DataFrame, q: str) -> DataFrame:
-    """(id, score): all terms in title or notes, or the whole query equal to the name."""
-    text = bm25(packages, q, {"title": 3.0, "notes": 1.0}).select("id", "score")
-    n = packages.count()
-    exact = packages.where(F.col("name") == q).select("id", F.lit(2.0 * math.log(1 + (n - 0.5) / 1.5)).alias("score"))
-    return text.unionByName(exact).groupBy("id").agg(F.max("score").alias("score"))
+def keyword_score(boost: float, n: Column, df: Column) -> Column:
+    """BM25 of a field that is one token: its length doesn't count."""
+    return F.lit(boost / (1 + K1)) * F.log(1 + (n - df + 0.5) / (df + 0.5))
+
+
+def package_leg(packages: DataFrame, q: str, tags: DataFrame | None = None) -> DataFrame:
+    """(id, score): all terms in title or notes, or the whole query equal to the name or to a tag (package_id, tag); the best of them."""
+    legs = bm25(packages, q, {"title": 3.0, "notes": 1.0}).select("id", "score")
+    n = packages.agg(F.count("*").alias("n"))  # one row, like the counts below
+    named = packages.where(F.col("name") == q).select("id", F.lit(2.0).alias("boost"))
+    for hits in (named, *([tags.where(F.col("tag") == q).select(F.col("package_id").alias("id"), F.lit(1.0).alias("boost")).join(packages.select("id"), "id", "left_semi")] if tags is not None else ())):
+        known = hits.agg(F.count("*").alias("df"), F.max("boost").alias("by"))
+        score = F.col("by") * keyword_score(1.0, F.col("n"), F.col("df"))
+        legs = legs.unionByName(hits.join(F.broadcast(known)).join(F.broadcast(n)).select("id", score.alias("score")))
+    return legs.groupBy("id").agg(F.max("score").alias("score"))
 
 
 def resource_leg(resources: DataFrame, q: str, top: int = LEG_TOP) -> DataFrame:
@@ -104,19 +115,81 @@ def merge_legs(packages: DataFrame, resources: DataFrame, content: DataFrame) ->
 
 
 def ranked_search(catalog: Catalog, q: str, filters: Filters, chunks: DataFrame | None = None) -> DataFrame:
-    """All matching packages with score and source; order by score, then the last update."""
-    packages = matching(catalog, filters, catalog.package_notes)
-    keys = packages.select("id", "updated")
-    resources = catalog.resource.where("state = 'active'")
-    own = lambda df: df.join(keys.select(F.col("id").alias("package_id")), "package_id", "left_semi")
+    """All matching packages (id, score, source, updated); order by score, then the last update."""
+    packages, resources, content = search_legs(catalog, q, filters, chunks)
+    return merge_legs(packages, resources, content).join(visible_packages(catalog, filters).select("id", "updated"), "id")
+
+
+def visible_packages(catalog: Catalog, filters: Filters) -> DataFrame:
+    return matching(catalog, filters, catalog.package_notes)
+
+
+def search_legs(catalog: Catalog, q: str, filters: Filters, chunks: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What the query finds in the visible packages, in their active resources, and in their chunks of content."""
+    packages = visible_packages(catalog, filters)
+    keys = packages.select(F.col("id").alias("package_id"))
+    own = lambda df: df.join(keys, "package_id", "left_semi")
     content = catalog.content if chunks is None else chunks
-    merged = merge_legs(package_leg(packages, q), resource_leg(own(resources), q), content_leg(own(content), q))
-    return merged.join(keys, "id")
+    return package_leg(packages, q, catalog.package_tag), resource_leg(own(catalog.resource.where("state = 'active'")), q), content_leg(own(content), q)
+
+
+def ranked_page(catalog: Catalog, q: str, filters: Filters, offset: int = 0, limit: int = 20, chunks: DataFrame | None = None) -> DataFrame:
+    """One page (rank, id, score, source, total): one ranking of all packages by score, last update and id, cut after the merge.
+
+    Without a query: the latest packages, with score 0.
+    """
+    if query_terms(q):
+        found = ranked_search(catalog, q, filters, chunks)
+    else:
+        found = matching(catalog, filters, catalog.package).select("id", F.lit(0.0).alias("score"), F.lit("package").alias("source"), "updated")
+    total = found.agg(F.count("*").alias("total"))  # one row
+    order = (F.desc("score"), F.col("updated").desc_nulls_last(), F.asc("id"))
+    shown = found.orderBy(*order).offset(offset).limit(limit)  # a page at most
+    ranks = shown.withColumn("rank", F.row_number().over(Window.orderBy(*order)) + offset)
+    return ranks.join(F.broadcast(total)).select("rank", "id", "score", "source", "total")
+
+
+def matched_resources(resources: DataFrame, content: DataFrame, ids: DataFrame, cap: int = 100) -> DataFrame:
+    """(package_id, resource_id, match_source, chunk_id, place) for the packages ``ids`` of a page, the best ``cap`` of each.
+
+    ``match_source`` is content wherever a chunk matched, also of a resource that its name or description brought in.
+    """
+    left = resources.select("package_id", F.col("id").alias("resource_id"), F.col("score").alias("own"))
+    right = content.select("package_id", "resource_id", F.col("score").alias("inside"), chunk_id("resource_id", "chunk_index").alias("chunk_id"))
+    both = left.join(right, ["package_id", "resource_id"], "full").join(ids.select(F.col("id").alias("package_id")), "package_id", "left_semi")
+    order = Window.partitionBy("package_id").orderBy(F.col("own").desc_nulls_last(), F.col("inside").desc_nulls_last(), "resource_id")
+    source = F.when(F.col("chunk_id").isNotNull(), "content").otherwise("metadata")
+    placed = both.select("package_id", "resource_id", source.alias("match_source"), "chunk_id", F.row_number().over(order).alias("place"))
+    return placed.where(F.col("place") <= cap)
+
+
+def chunk_id(resource: str, index: str) -> Column:
+    return F.concat_ws("_chunk_", F.col(resource), F.col(index).cast("string"))
+
+
+def with_highlights(shown: DataFrame, packages: DataFrame, q: str) -> DataFrame:
+    """A page's rows with the marked title and the best stretch of the notes; null where nothing is marked."""
+    marked = lambda c: F.when(F.contains(c, F.lit("<mark>")), c)
+    texts = packages.join(shown.select("id"), "id", "left_semi").select("id", marked(highlight(F.col("title"), q)).alias("highlighted_title"), fragment(F.col("notes"), q).alias("highlighted_notes"))
+    return shown.join(texts, "id", "left")
+
+
+def with_snippets(matched: DataFrame, chunks: DataFrame, q: str, size: int = 300) -> DataFrame:
+    """Matched resources with the best stretch of their chunk; null where no chunk matched."""
+    asked = matched.where("chunk_id IS NOT NULL").select("chunk_id")
+    texts = chunks.withColumn("chunk_id", chunk_id("resource_id", "chunk_index")).join(asked, "chunk_id", "left_semi")
+    return matched.join(texts.select("chunk_id", fragment(F.col("extracted_text"), q, size).alias("snippet")), "chunk_id", "left")
+
+
+def enriched_page(catalog: Catalog, shown: DataFrame) -> DataFrame:
+    """A page's ids with their rows and aggregates, in the page's order; ids that are gone are skipped."""
+    rows = package_list(catalog, catalog.package.join(shown.select("id"), "id", "left_semi"))
+    return keep_order(shown, rows)
 
 
 def highlight(text: Column, q: str) -> Column:
-    """``text`` with every query term marked, whatever the case."""
-    terms = query_terms(q)
+    """``text`` with every query term marked, whatever the case, and no tag but the marks."""
+    terms, text = query_terms(q), strip_tags_but_mark(text)
     if not terms:
         return text
     pattern = "|".join(re.escape(t) for t in sorted(terms, key=len, reverse=True))
@@ -125,7 +198,7 @@ def highlight(text: Column, q: str) -> Column:
 
 def fragment(text: Column, q: str, size: int = 200) -> Column:
     """The stretch of ``size`` characters with the most query terms (the first of equals), marked; null without one."""
-    terms = query_terms(q)
+    terms, text = query_terms(q), strip_tags_but_mark(text)  # a tag can't be cut in half
     starts = F.sequence(F.lit(0), F.greatest(F.ceil((F.length(text) - size / 2) / (size / 2)).cast("int"), F.lit(1)) - 1)
 
     def held(piece: Column, term: str) -> Column:
@@ -141,6 +214,6 @@ def fetch_highlights(chunks: DataFrame, ids: list[str], q: str, size: int = 300)
     """(chunk_id, fragment) of the chunks asked for (200 at most)."""
     if len(ids) > 200:
         raise ValueError("at most 200 chunks")
-    keyed = chunks.withColumn("chunk_id", F.concat_ws("_chunk_", "resource_id", F.col("chunk_index").cast("string")))
+    keyed = chunks.withColumn("chunk_id", chunk_id("resource_id", "chunk_index"))
     some = keyed.where(F.col("chunk_id").isin(*ids)) if ids and query_terms(q) else keyed.limit(0)
     return some.select("chunk_id", fragment(F.col("extracted_text"), q, size).alias("fragment")).where("fragment IS NOT NULL") if query_terms(q) else some.select("chunk_id", F.lit(None).cast("string").alias("fragment"))

@@ -58,8 +58,9 @@ def active_formats(catalog: Catalog) -> DataFrame:
 
 
 def matching(catalog: Catalog, f: Filters, packages: DataFrame | None = None) -> DataFrame:
-    """The packages that pass all filters."""
-    df = (packages if packages is not None else catalog.package).where(F.col("state") == f.state).where(visible(f.allowed_orgs))
+    """The packages that pass all filters. A text is sought in names, titles, notes and active resources."""
+    base = packages if packages is not None else catalog.package_notes if f.q else catalog.package
+    df = base.where(F.col("state") == f.state).where(visible(f.allowed_orgs))
     if f.name_prefix:
         df = df.where(F.col("name").ilike(escape_like(f.name_prefix) + "%"))
     if f.licenses:
@@ -117,7 +118,7 @@ def matched_resources(catalog: Catalog, ids: DataFrame, q: str, cap: int = MATCH
 
 def facets(catalog: Catalog, df: DataFrame, top: int = FACET_TOP) -> DataFrame:
     """(facet, name, count) of five dimensions over the same packages, the most frequent first, null names dropped."""
-    ids = df.select("id", "owner_org", "license_id")
+    ids = df.select("id", "owner_org", "license_id").persist()  # found once for all dimensions
     key = ids.select(F.col("id").alias("package_id"))
     orgs = ids.join(catalog.organization.select(F.col("id").alias("owner_org"), "name"), "owner_org").groupBy("name").agg(F.count("*").alias("count"))
     tags = catalog.package_tag.join(key, "package_id", "left_semi").groupBy(F.col("tag").alias("name")).agg(F.count("*").alias("count"))
@@ -154,3 +155,29 @@ def organization_ids(catalog: Catalog, user: str) -> DataFrame:
 def keep_order(ranked: DataFrame, rows: DataFrame, rank: str = "rank") -> DataFrame:
     """``rows`` in the order of search results (id, rank); ids without a row are skipped."""
     return ranked.join(rows, "id").orderBy(rank)
+
+
+def license_ids(df: DataFrame) -> DataFrame:
+    """The distinct licenses of packages, without blanks."""
+    return df.where("license_id <> ''").select("license_id").distinct()
+
+
+def state_shown(state: str, mine: bool, user: str | None) -> str:
+    """Deleted packages are only shown to a user who looks at the own organizations'."""
+    return state if state == "active" or mine and user is not None else "active"
+
+
+def toggled(chosen: Column, value: Column) -> Column:
+    """A list of filter values with one of them taken out if it is there, or put in."""
+    return F.when(F.array_contains(chosen, value), F.array_remove(chosen, value)).otherwise(F.array_append(chosen, value))
+
+
+def exact_search(catalog: Catalog, f: Filters, sort: str = "updated", descending: bool = True, offset: int = 0, limit: int = 20) -> DataFrame:
+    """One page of an exact search with the total, organizations, tags, and the resources that hold the text (name, at most ``MATCHED_CAP``)."""
+    found = matching(catalog, f)
+    total = found.agg(F.count("*").alias("total"))  # one row
+    shown = with_labels(catalog, page(found, sort, descending, offset, limit)).join(F.broadcast(total))
+    if not f.q:
+        return shown.withColumn("matched", F.array().cast("array<string>"))
+    hits = matched_resources(catalog, shown.select("id"), f.q).groupBy(F.col("package_id").alias("id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "name"))), lambda r: r["name"]).alias("matched"))
+    return shown.join(hits, "id", "left").withColumn("matched", F.coalesce("matched", F.array().cast("array<string>")))

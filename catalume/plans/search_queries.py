@@ -15,8 +15,8 @@ FLAGSHIP = search.Filters(q="urgent", tags=("Brand#1", "Brand#2"), formats=("csv
 
 #: The flagship's packages, once more in SQL.
 FLAGSHIP_SQL = """
-    flagship AS (SELECT p.* FROM package p WHERE p.state = 'active' AND (NOT p.private OR p.owner_org IN ('3', '5'))
-        AND (p.name ILIKE '%urgent%' OR p.title ILIKE '%urgent%'
+    flagship AS (SELECT p.* FROM package_notes p WHERE p.state = 'active' AND (NOT p.private OR p.owner_org IN ('3', '5'))
+        AND (p.name ILIKE '%urgent%' OR p.title ILIKE '%urgent%' OR p.notes ILIKE '%urgent%'
             OR EXISTS (SELECT 1 FROM resource r WHERE r.package_id = p.id AND r.state = 'active' AND (r.name ILIKE '%urgent%' OR r.description ILIKE '%urgent%')))
         AND (SELECT count(DISTINCT tag) FROM package_tag t WHERE t.package_id = p.id AND tag IN ('Brand#1', 'Brand#2')) = 2
         AND EXISTS (SELECT 1 FROM active_formats f WHERE f.package_id = p.id AND f.format = 'CSV'))
@@ -57,8 +57,8 @@ SPARK = {
     # filters, one by one and together
     "search_exact_page": search_exact_page,
     "search_exact_total": lambda c: flagship(c).agg(F.count("*").alias("total")),
-    "search_text": lambda c: search.matching(c, search.Filters(q="MACHINERY"), c.package).select(*PAGE_COLUMNS),
-    "search_text_escaped": lambda c: search.matching(c, search.Filters(q="order-1_", allowed_orgs=None)).select("id"),
+    "search_text": lambda c: search.matching(c, search.Filters(q="MACHINERY")).select(*PAGE_COLUMNS),
+    "search_text_escaped": lambda c: search.matching(c, search.Filters(q="%%", allowed_orgs=None)).select("id"),
     "search_notes": lambda c: search.matching(c, search.Filters(q="the by", allowed_orgs=None), c.package_notes).select("id"),
     "search_name_prefix": lambda c: search.matching(c, search.Filters(name_prefix="CUSTOMER-00000001")).select("id", "name"),
     "search_organizations_any": lambda c: search.matching(c, search.Filters(organizations=("nation_3", "nation_24"))).select("id", "owner_org"),
@@ -100,8 +100,7 @@ SPARK = {
     "list_accessible": lambda c: listing.accessible(c, c.package_core, "3").select("id"),
     "list_next_position": listing.next_position,
     "list_positions": lambda c: c.resource_positions.select("id", F.col("position").cast("long").alias("position")),
-    "detail_packages": lambda c: listing.package_detail(c, c.package_core.where("owner_org = '3'")).select("id", F.array_join("tags", ",").alias("tags"), F.array_join("groups", ",").alias("groups"), F.array_join(F.transform("resources", lambda r: r["resource_id"]), ",").alias("resources"), F.col("organization.name").alias("organization")),
-    "detail_packages_all": lambda c: listing.package_detail(c, c.package_core).select("id", F.array_join("tags", ",").alias("tags"), F.array_join("groups", ",").alias("groups"), F.array_join(F.transform("resources", lambda r: r["resource_id"]), ",").alias("resources"), F.col("organization.name").alias("organization")),
+    "detail_packages": lambda c: listing.package_detail(c, c.package_core).select("id", F.array_join("tags", ",").alias("tags"), F.array_join("groups", ",").alias("groups"), F.array_join(F.transform("resources", lambda r: r["resource_id"]), ",").alias("resources"), F.col("organization.name").alias("organization")),
     "list_compat": lambda c: listing.compat(c.package).select("id", "metadata_created", "metadata_modified", "owner_organization", "license_title"),
     # statistics
     "stats_jobs": lambda c: admin.job_counts(c.pipeline),
@@ -135,10 +134,10 @@ SQL = {
     "search_exact_page": query(f"""SELECT {PAGE}, o.name AS organization, (SELECT string_agg(tag, ',' ORDER BY tag) FROM package_tag t WHERE t.package_id = p.id) AS tags
         FROM (SELECT * FROM flagship ORDER BY updated DESC NULLS LAST, id LIMIT 50) p LEFT JOIN organization o ON o.id = p.owner_org""", FLAGSHIP_SQL),
     "search_exact_total": query("SELECT count(*) AS total FROM flagship", FLAGSHIP_SQL),
-    "search_text": query(f"""SELECT {PAGE} FROM package p WHERE state = 'active' AND NOT private AND (name ILIKE '%machinery%' OR title ILIKE '%machinery%'
+    "search_text": query(f"""SELECT {PAGE} FROM package_notes p WHERE state = 'active' AND NOT private AND (name ILIKE '%machinery%' OR title ILIKE '%machinery%' OR notes ILIKE '%machinery%'
         OR id IN (SELECT package_id FROM resource WHERE state = 'active' AND (name ILIKE '%machinery%' OR description ILIKE '%machinery%')))"""),
-    "search_text_escaped": query(r"""SELECT id FROM package WHERE state = 'active' AND (contains(name, 'order-1_') OR contains(title, 'order-1_')
-        OR id IN (SELECT package_id FROM resource WHERE state = 'active' AND (contains(name, 'order-1_') OR contains(description, 'order-1_'))))"""),
+    "search_text_escaped": query(r"""SELECT id FROM package_notes WHERE state = 'active' AND (contains(name, '%%') OR contains(title, '%%') OR contains(notes, '%%')
+        OR id IN (SELECT package_id FROM resource WHERE state = 'active' AND (contains(name, '%%') OR contains(description, '%%'))))"""),
     "search_notes": query("SELECT id FROM package_notes WHERE state = 'active' AND (name ILIKE '%the by%' OR title ILIKE '%the by%' OR notes ILIKE '%the by%')"),
     "search_name_prefix": query("SELECT id, name FROM package WHERE state = 'active' AND NOT private AND name ILIKE 'customer-00000001%'"),
     "search_organizations_any": query("SELECT id, owner_org FROM package WHERE state = 'active' AND NOT private AND owner_org IN ('3', '24')"),
@@ -184,7 +183,8 @@ SQL = {
     "list_organizations_matching": query("""SELECT o.id, (SELECT count(*) FROM package_core p WHERE p.owner_org = o.id AND p.state = 'active') AS datasets, count(*) OVER () AS total
         FROM organization o WHERE state = 'active' AND (contains(lower(name), '_1') OR contains(lower(title), '_1'))"""),
     "list_groups": query("SELECT g.id, g.name, (SELECT count(*) FROM package_group p WHERE p.group_id = g.id) AS datasets FROM grp g"),
-    "list_tags": query("SELECT tag, count(DISTINCT package_id) AS datasets, count(*) OVER () AS total FROM package_tag WHERE tag ILIKE '%brand#1%' GROUP BY tag"),
+    "list_tags": query("""SELECT tag, count(DISTINCT package_id) AS datasets, count(*) OVER () AS total FROM (SELECT p_brand AS tag FROM part UNION SELECT 'Brand#1-' || lower(r_name) FROM region)
+        LEFT JOIN package_tag USING (tag) WHERE tag ILIKE '%brand#1%' GROUP BY tag"""),
     "list_members": query("""SELECT m.user_id, o.name AS organization, m.role, u.name AS user_name, u.role = 'sysadmin' AS is_sysadmin
         FROM membership m JOIN users u ON u.id = m.user_id JOIN organization o ON o.id = m.organization_id AND o.state = 'active'"""),
     "list_roles_at_least_editor": query("SELECT * FROM membership WHERE role IN ('admin', 'editor')"),
@@ -197,7 +197,7 @@ SQL = {
     "detail_packages": query("""SELECT p.id, coalesce((SELECT string_agg(tag, ',' ORDER BY tag) FROM package_tag t WHERE t.package_id = p.id), '') AS tags,
         coalesce((SELECT string_agg(g.name, ',' ORDER BY g.name) FROM package_group x JOIN grp g ON g.id = x.group_id WHERE x.package_id = p.id), '') AS groups,
         coalesce((SELECT string_agg(r.id, ',' ORDER BY position) FROM resource_positions r WHERE r.package_id = p.id AND r.state = 'active'), '') AS resources,
-        o.name AS organization FROM package_core p LEFT JOIN organization o ON o.id = p.owner_org WHERE p.owner_org = '3'"""),
+        o.name AS organization FROM package_core p LEFT JOIN organization o ON o.id = p.owner_org"""),
     "list_compat": query("""SELECT id, created AS metadata_created, updated AS metadata_modified, owner_org AS owner_organization,
         upper(left(license_id, 1)) || lower(substr(license_id, 2)) AS license_title FROM package"""),
     "stats_jobs": query("SELECT status, count(*) AS n FROM pipeline GROUP BY status"),
@@ -232,7 +232,7 @@ SQL = {
     "change_purge_guard": query("SELECT id FROM organization WHERE id IN (SELECT owner_org FROM package_core WHERE private)"),
     "change_replace_links": query("""SELECT package_id, tag FROM package_tag WHERE package_id NOT IN (SELECT id FROM package_core WHERE private)
         UNION ALL SELECT id, 'hidden' FROM package_core WHERE private"""),
-    "change_create_checked": query("""SELECT n.name, CASE WHEN NOT regexp_matches(n.name, '^[a-z0-9][a-z0-9_-]*$') THEN 'name' WHEN EXISTS (SELECT 1 FROM package_core p WHERE p.name = n.name) THEN 'taken'
+    "change_create_checked": query("""SELECT n.name, CASE WHEN NOT regexp_matches(n.name, '^[a-z0-9._-]+$') THEN 'name' WHEN EXISTS (SELECT 1 FROM package_core p WHERE p.name = n.name) THEN 'taken'
         WHEN NOT EXISTS (SELECT 1 FROM organization o WHERE o.id = n.owner_org AND o.state = 'active') THEN 'organization' END AS rejected
         FROM (SELECT CASE WHEN private THEN 'New ' ELSE '' END || name AS name, owner_org FROM package_core UNION ALL SELECT 'from-' || replace(name, '_', '-'), id FROM organization) n"""),
 }

@@ -82,6 +82,12 @@ class Catalog:
         along = Window.partitionBy("package_id").orderBy("updated", F.col("id").cast("long"))
         return self.resource.withColumn("position", F.row_number().over(along) - 1)
 
+    @cached_property
+    def tag(self) -> DataFrame:
+        """(tag), distinct; some have no package."""
+        own, spare = self.raw("part").select(F.col("p_brand").alias("tag")), self.raw("region").select(F.concat(F.lit("Brand#1-"), F.lower("r_name")).alias("tag"))
+        return own.unionByName(spare).distinct()
+
     @cached_property
     def package_tag(self) -> DataFrame:
         """(package_id, tag), distinct."""
@@ -128,6 +134,22 @@ class Catalog:
             F.when(kind == "error", F.concat(F.lit("failed at "), F.col("value").cast("string"))).alias("error"),
         )
 
+    @cached_property
+    def step(self) -> DataFrame:
+        """Steps of the jobs: one to three a job, the later ones begun earlier."""
+        n = F.col("event_id") % 3
+        steps = F.transform(F.sequence(F.lit(0), n.cast("int")), lambda i: F.struct(i.alias("i"), F.element_at(F.array(F.lit("fetch"), F.lit("extract"), F.lit("index")), i + 1).alias("name")))
+        exploded = self.raw("events").select(F.col("event_id").cast("string").alias("resource_id"), "ts", F.col("event_type"), F.explode(steps).alias("s"))
+        begun = F.col("ts") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), 10 - F.col("s.i"))
+        return exploded.select("resource_id", F.col("s.name").alias("step_name"), F.when(F.col("event_type") == "error", "error").otherwise("complete").alias("status"), F.lit(None).cast("string").alias("error"), begun.alias("started_at"), begun.alias("completed_at"))
+
+    @cached_property
+    def content_lines(self) -> DataFrame:
+        """The documents as content of other packages, a chunk a line."""
+        owner = (F.col("doc_id") * 7 % 150 + 1).cast("string")
+        lines = self.raw("documents").select(F.col("doc_id").cast("string").alias("resource_id"), owner.alias("package_id"), F.posexplode(F.split("text", "\n")).alias("chunk_index", "extracted_text"))
+        return lines.withColumn("content_type", F.lit("text")).withColumn("chunk_size", F.octet_length("extracted_text"))
+
     @cached_property
     def content(self) -> DataFrame:
         """One chunk a document."""

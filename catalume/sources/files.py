@@ -14,15 +14,18 @@ from datetime import datetime
 from html import unescape
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import charset, prefixed_sha256
+from ..functions.scalars import charset, escape_html, prefixed_sha256
 from ..functions.text import decode_bytes, detect_encoding
 
 #: Limits of the job: bytes of a source, of a preview and of an encoding sample; columns; entries kept of an archive.
 MAX_FETCH, PREVIEW, SAMPLE, MAX_COLUMNS, MAX_ENTRIES, ROWS_PER_FILE = 100 << 20, 1 << 20, 64 << 10, 500, 10_000, 5_000
 
+# Fixed value: the centre of a map without features (latitude, longitude).
+CENTRE = (36.0, 138.0)
+
 # How a footer row's first cell begins, in lower case.
 FOOTER_PREFIXES = ("合計", "注", "※", "出典", "備考", "計", "total", "note", "source")
 
@@ -192,6 +195,34 @@ def zip_manifest(entries: DataFrame, most: int = MAX_ENTRIES) -> DataFrame:
     )
 
 
+def kept_entries(entries: DataFrame, most: int = MAX_ENTRIES) -> DataFrame:
+    """The first ``most`` entries of each archive, by name; the manifest's totals are over all of them."""
+    along = Window.partitionBy("path").orderBy("name")
+    return entries.withColumn("place", F.row_number().over(along)).where(F.col("place") <= most).drop("place")
+
+
+def write_manifest(manifests: DataFrame, path: str) -> None:
+    """Each archive's manifest as a line of JSON."""
+    manifests.select(F.to_json(F.struct(*manifests.columns)).alias("value")).write.text(path)
+
+
+def table_metadata(spark: SparkSession, path: str) -> DataFrame:
+    """(rows, columns) of a Parquet table, from its footers alone."""
+    df = spark.read.parquet(path)
+    return df.agg(F.count("*").alias("rows")).withColumn("columns", F.lit(",".join(df.columns)))
+
+
+def split_lines(df: DataFrame, text: str = "text", to: str = "line") -> DataFrame:
+    """A row a line with its place; what follows the last newline is a line only if it isn't empty."""
+    parts = F.split(F.regexp_replace(F.col(text), r"\n\z", ""), "\n", -1)
+    return df.where(F.col(text) != "").select(*[c for c in df.columns if c != text], F.posexplode(parts).alias("at", to))
+
+
+def tree_order(tree: DataFrame) -> DataFrame:
+    """A tree's nodes in the order in which they are shown: directories first, then by name, whatever the case."""
+    return tree.orderBy("path", F.col("is_directory").desc(), F.lower("node"), "node")
+
+
 def path_tree(entries: DataFrame) -> DataFrame:
     """(path, node, is_directory): entries and the directories they imply; order directories first, then by name."""
     from ..functions.scalars import path_prefixes
@@ -208,6 +239,19 @@ def geojson_features(df: DataFrame, text: str = "text") -> DataFrame:
     return df.select("path", F.posexplode(parsed["features"]).alias("at", "f")).select("path", "at", F.col("f.geometry").alias("geometry"), F.col("f.properties").alias("properties"))
 
 
+def property_table(features: DataFrame) -> DataFrame:
+    """(path, at, rows): the properties of each feature as rows of an HTML table, escaped; null and empty values are left out, and features without any."""
+    shown = F.filter(F.map_entries("properties"), lambda e: e["value"].isNotNull() & (e["value"] != ""))
+    cell = lambda e: F.concat(F.lit("<tr><td>"), escape_html(e["key"]), F.lit("</td><td>"), escape_html(e["value"]), F.lit("</td></tr>"))
+    return features.select("path", "at", F.array_join(F.transform(shown, cell), "").alias("rows")).where("rows <> ''")
+
+
+def bounds_or_centre(bounds: DataFrame, paths: DataFrame, centre: tuple[float, float] = CENTRE) -> DataFrame:
+    """The bounds of every file of ``paths``; one without coordinates is shown around the centre (latitude, longitude)."""
+    lat, lon = centre
+    return paths.select("path").distinct().join(bounds, "path", "left").na.fill({"west": lon, "east": lon, "south": lat, "north": lat})
+
+
 def feature_bounds(features: DataFrame) -> DataFrame:
     """(path, west, south, east, north) over all coordinates of a file's features."""
     pairs = F.regexp_extract_all(F.col("geometry.coordinates"), F.lit(r"\[\s*(-?[0-9.eE+-]+)\s*,\s*-?[0-9.eE+-]+"), F.lit(1))

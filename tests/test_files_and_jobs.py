@@ -5,6 +5,8 @@ import zipfile
 from datetime import datetime, timedelta
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from catalume.functions import scalars as s
@@ -99,6 +101,55 @@ def test_chunks():
     assert text.truncated("日本語", 4) == "日"
 
 
+def plain_chunks(lines, limit, extra, keep):
+    """Line by line: a chunk ends where the next line doesn't fit; ``extra`` bytes are spared at a chunk's end."""
+    out, held, size = [], [], 0
+    for line in lines:
+        n = len(line.encode()) + 1
+        if held and (size + n - extra > limit or n - extra > limit):
+            out.append("\n".join(held))
+            held, size = [], 0
+        if n - extra > limit:
+            out += text.pieces(line, limit) if keep else [text.truncated(line, limit)]
+        else:
+            held.append(line)
+            size += n
+    return out + (["\n".join(held)] if held else [])
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text("ab é漢", max_size=14), min_size=1, max_size=12), st.integers(4, 30), st.booleans(), st.booleans())
+def test_chunks_equal_a_plain_fold(lines, limit, keep, last_break):
+    whole = "\n".join(lines)
+    got = text.split_chunks(whole, limit, whole=keep, last_break=last_break)
+    if len(whole.encode()) <= limit:
+        assert got == [whole]
+    else:
+        assert got == plain_chunks(lines, limit, not last_break, keep)
+        assert all(len(c.encode()) <= limit for c in got)
+        if keep:
+            assert "".join(got).replace("\n", "") == whole.replace("\n", "")
+
+
+def test_chunks_of_a_table_lose_nothing(spark):
+    rows = [("r1", "p", "text", "one\ntwo\n" + "x" * 70 + "\n漢字 end"), ("r2", "p", "text", ""), ("r3", "p", "text", None), ("r4", "p", "text", "short")]
+    df = spark.createDataFrame(rows, "resource_id string, package_id string, content_type string, text string")
+    got = text.content_chunks(df, 20).orderBy("resource_id", "chunk_index").collect()
+    assert [(r.resource_id, r.chunk_index) for r in got] == [*(("r1", i) for i in range(6)), ("r2", 0), ("r4", 0)]
+    assert "".join(r.extracted_text for r in got[:6]).replace("\n", "") == rows[0][3].replace("\n", "")
+    totals = {r.resource_id: (r.chunks, r.indexed, r.original) for r in text.chunk_totals(text.content_chunks(df, 20), df).collect()}
+    assert totals["r2"] == (1, 0, 0) and totals["r4"] == (1, 5, 5) and totals["r1"][0] == 6
+
+
+def test_manifests_and_trees(spark, tmp_path):
+    rows = [("z", "b/file.txt", 3, 1, "2020", False), ("z", "A.txt", 4, 2, "2020", False), ("z", "a/", 0, 0, "2020", True)]
+    entries = spark.createDataFrame(rows, "path string, name string, size long, compressed_size long, last_modified string, is_directory boolean")
+    files.write_manifest(files.zip_manifest(entries, 2), str(tmp_path / "manifest"))
+    assert [r.value for r in spark.read.text(str(tmp_path / "manifest")).collect()] == ['{"path":"z","files":2,"size":7,"compressed":3,"truncated":true}']
+    assert [r.node for r in files.tree_order(files.path_tree(entries)).collect()] == ["a", "b", "A.txt", "b/file.txt"]
+    assert [r.name for r in files.kept_entries(entries, 2).collect()] == ["A.txt", "a/"]
+
+
 def test_scalars(spark):
     col = F.lit
     assert one(spark, s.strip_tags_but_mark(col("<script>x</script><mark>y</mark><img src=1>"))) == "x<mark>y</mark>"
@@ -119,6 +170,10 @@ def test_highlights(spark):
     got = one(spark, ranked.fragment(F.lit(long), "harbour register", 200))
     assert "<mark>harbour</mark> <mark>Register</mark>" in got and len(got) <= 200 + 26
     assert one(spark, ranked.fragment(F.lit(long), "absent", 200)) is None
+    hostile = F.lit("<script>alert(1)</script>harbour <img onerror=alert(1)>")
+    assert one(spark, ranked.highlight(hostile, "harbour")) == "alert(1)<mark>harbour</mark> "
+    assert one(spark, ranked.fragment(hostile, "harbour")) == "alert(1)<mark>harbour</mark> "
+    assert one(spark, ranked.highlight(F.lit("<b>x</b>"), "")) == "x"
 
 
 def test_legs_are_merged(spark):

@@ -56,8 +56,3 @@ def test_whole_jobs_lose_nothing(spark):
     for r in found["content_chunks"](spark, SF).collect():
         sizes[r.resource_id] = sizes.get(r.resource_id, 0) + r.chunk_size
     assert sizes == {i: len(t.encode()) for i, t in texts.items() if t is not None}  # all within one chunk
-    stripped = {str(r.doc_id): r.text for r in found["scalar_strip_tags_whole"](spark, SF).collect()}
-    plain_texts = [i for i, t in texts.items() if t and "<" not in t]
-    assert plain_texts and all(stripped[i] == f"<mark>{texts[i]}</mark>" for i in plain_texts)
-    whole, one = ({r.id: r for r in found[q](spark, SF).collect()} for q in ("detail_packages_all", "detail_packages"))
-    assert len(whole) > len(one) and all(whole[i] == one[i] for i in one)
