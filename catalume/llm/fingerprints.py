@@ -1,8 +1,8 @@
 """Document fingerprints from closed syncmers of words.
 
-A text is cut into tokens: runs without white space, or single characters where the text takes two or
-more bytes a character on average (scripts that are mostly written without spaces). Of every five-token k-mer, the four
-two-token s-mers inside it are hashed; the k-mer is an anchor (a closed syncmer) if its smallest
+A text is cut into tokens: each character of a script that is written without spaces is one, and so is
+each run of other characters without white space, whatever else the text holds. Of every five-token k-mer,
+the four two-token s-mers inside it are hashed; the k-mer is an anchor (a closed syncmer) if its smallest
 s-mer is the first or the last one. That depends on nothing outside the k-mer, so two texts that share
 a passage share its anchors wherever the passage stands. About half of all k-mers are anchors.
 
@@ -13,6 +13,12 @@ by the hash of its whole token sequence; a text without tokens (null, empty, whi
 fingerprint. Two empty fingerprints have likeness 1, an empty and another one 0.
 
 Everything is DataFrame functions; the text crosses one shuffle, for the neighbour in document order.
+
+Edge cases: equal ids go by their texts where the next document is sought, and a null id comes last;
+repeated rows are all returned, and each is the other's neighbour; a very long text has a fingerprint of
+the same bounded size; an empty table gives an empty result; columns other than the id and the text are
+not read by ``fingerprint_edits``, and ``sketch``, ``anchors`` and ``likeness`` replace a column of the
+name they are given.
 """
 
 from __future__ import annotations
@@ -28,13 +34,15 @@ SKETCH = 128
 ROWS_PER_BLOCK, MAX_BLOCKS = 64, 16_384
 
 _LOWEST = -(2**63)
+#: Scripts that are written without spaces between words.
+_DENSE = "".join(rf"\p{{Is{x}}}" for x in ("Han", "Hiragana", "Katakana", "Thai", "Lao", "Khmer", "Myanmar", "Tibetan"))
 
 
 def _hashes(df: DataFrame, text: str, to: str) -> DataFrame:
     """``to``_w: hashes of the tokens, ``to``_s: of the s-mers."""
     t = F.col(text)
-    dense = F.octet_length(t) >= 2 * F.length(t)
-    tokens = F.when(dense, F.split(F.regexp_replace(t, r"\s+", ""), "")).otherwise(F.split(t, r"\s+"))
+    found = F.regexp_extract_all(t, F.lit(rf"[{_DENSE}]|[^\s{_DENSE}]++"), F.lit(0))
+    tokens = F.when(F.octet_length(t) == F.length(t), F.split(t, r"\s+")).otherwise(found)  # the same for plain letters, in less time
     df = df.withColumn(f"{to}_w", F.transform(F.array_remove(tokens, ""), lambda w: F.xxhash64(w)))
     w = F.col(f"{to}_w")
     pairs = F.zip_with(w, F.slice(w, 2, F.greatest(F.size(w) - 1, F.lit(0))), lambda a, b: F.xxhash64(a, b))

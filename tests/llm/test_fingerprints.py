@@ -1,6 +1,8 @@
 import hashlib
+import unicodedata
 
 import numpy as np
+import xxhash
 from conftest_llm import PROSE, documents
 
 from catalume.llm import fingerprints as fp
@@ -50,6 +52,56 @@ def test_likeness_follows_shared_text(spark):
     assert 0.35 < second.near < 0.65 and second.far == 0
 
 
+def plain_sketch(text):
+    """Closed syncmers by the rule, with plain XXH64: the smallest distinct hashes of a text, as signed numbers."""
+    mask = 2**64 - 1
+    signed = lambda h: h - 2**64 if h >> 63 else h
+
+    def chain(numbers):
+        h = 42
+        for n in numbers:
+            h = xxhash.xxh64_intdigest((n & mask).to_bytes(8, "little"), h)
+        return signed(h)
+
+    dense = lambda c: any(w in unicodedata.name(c, "") for w in ("CJK UNIFIED", "HIRAGANA", "KATAKANA", "THAI"))
+    tokens, run = [], ""
+    for c in (text or "") + " ":
+        if c in " \t\n\x0b\f\r" or dense(c):
+            tokens += [run] * bool(run) + [c] * dense(c)
+            run = ""
+        else:
+            run += c
+    w = [signed(xxhash.xxh64_intdigest(x.encode(), 42)) for x in tokens]
+    s = [chain(p) for p in zip(w, w[1:], strict=False)]
+    found = {chain((s[i], s[i + 2], w[i + 4])) for i in range(len(w) - 4) if min(s[i], s[i + 3]) <= min(s[i + 1], s[i + 2])}
+    if not found:
+        found = {chain(w)} if w else set()
+    return sorted(found)[: fp.SKETCH]
+
+
+def plain_likeness(a, b):
+    union = sorted(set(a) | set(b))[: fp.SKETCH]
+    return len([h for h in union if h in a and h in b]) / len(union) if union else 1.0
+
+
+def test_fingerprints_and_likenesses_by_brute_force(spark, odd_rows):
+    rows = [*odd_rows, *((100 + i, " ".join(f"w{i * j % 41}" for j in range(n))) for i, n in enumerate((4, 5, 6, 30, 900))), (200, "漢字かなカナの文 with words ไทย in it 漢字かなカナの文")]
+    hexed = lambda sk: "".join(f"{h & (2**64 - 1):016x}" for h in sk)
+    want = []
+    for i, t, e, nxt in edited(rows):
+        a, b, c = plain_sketch(t), plain_sketch(e), plain_sketch(nxt)
+        want.append((str(i), hashlib.sha256(e.encode()).hexdigest(), hexed(a), hexed(b), round(plain_likeness(a, b), 9), round(plain_likeness(a, c), 9)))
+    got = [(str(r.doc_id), r.edited_sha256, r.fingerprint, r.edited_fingerprint, round(r.near_edited, 9), round(r.near_next, 9)) for r in fp.fingerprint_edits(documents(spark, rows)).collect()]
+    assert sorted(got) == sorted(want)
+
+
+def test_a_passage_keeps_its_anchors_in_a_text_of_another_script(spark):
+    passage = "".join(chr(0x4E00 + i * 37 % 3000) for i in range(150))
+    df = spark.createDataFrame([(passage,), (passage + " latin words follow it here" * 60,)], "text string")
+    a, b = ({h.hash for h in r.anchors} for r in fp.anchors(df).collect())
+    assert len(a) > 40 and a <= b
+
+
 def test_anchors_are_context_free(spark):
     passage = " ".join(f"q{i * i % 997}" for i in range(120))
     df = spark.createDataFrame([("x y z " * 5 + passage,), ("other words before it " * 9 + passage + " and after",)], "text string")

@@ -12,6 +12,26 @@ def test_every_slot_is_claimed_in_turn():
     assert len(table) == sharding.TABLE_SIZE and max(counts.values()) - min(counts.values()) <= 1
 
 
+def test_the_claiming_order_by_whole_permutations():
+    """Each shard's order written out, and turns taken over it."""
+    import hashlib
+
+    names, size = [f"n{i}" for i in range(7)], 211
+    number = lambda text: int.from_bytes(hashlib.md5(text.encode()).digest()[:8], "big") >> 4
+    orders = []
+    for name in names:
+        offset, skip = number(f"{name}/offset") % size, number(f"{name}/skip") % (size - 1) + 1
+        orders.append([(offset + k * skip) % size for k in range(size)])
+        assert sorted(orders[-1]) == list(range(size))
+    owner: dict = {}
+    while len(owner) < size:
+        for shard, order in enumerate(orders):
+            wanted = [slot for slot in order if slot not in owner]
+            if wanted:
+                owner[wanted[0]] = shard
+    assert sharding.lookup_table(names, size) == [owner[i] for i in range(size)]
+
+
 def test_few_slots_move_when_a_shard_goes():
     names = [f"n{i}" for i in range(20)]
     before, after = sharding.lookup_table(names, 10_007), sharding.lookup_table(names[:-1], 10_007)
