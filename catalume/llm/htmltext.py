@@ -1,13 +1,17 @@
 """Main text of web pages by nearest-URL page differencing.
 
-A page is cut into lines at block elements; scripts, styles, head, menus, headers, footers, sidebars,
-forms, notices, adverts and reader comments that say so by their element, role or class are left out; an
-``article`` isn't by its class, nor is an element with ``WRAPS`` or more of the page's characters.
-Within each host, pages are ordered by URL path; each is paired with the neighbour whose path has the
-longer common prefix (the one before, if equal). The lines that both share, as a longest common
-subsequence, are the site's own, and are deleted, whether they stand inside an ``article`` or ``main``
-element or outside; what is left is the text. If a pair shares nearly everything (copies of a page), the
-other neighbour is tried; copies on both sides delete nothing.
+A page is cut into lines at block elements, menus and footers included. Within each host, pages are
+ordered by URL path; each is paired with the neighbour whose path has the longer common prefix (the one
+before, if equal). The lines that both share, as a longest common subsequence of all lines, are the site's
+own, and are deleted; a line in a menu or advert and one of the text are different lines. Of lines inside an ``article`` or ``main`` element, whose sentences may be quoted by
+another page, only those are that both neighbours share, where there are two. If a pair shares nearly all
+of what could be text (copies of a page), that neighbour isn't asked; copies on both sides delete nothing.
+
+Lines that no neighbour shares may still be the site's: those of a page alone on its host, and what
+changes from page to page (adverts, reader comments, links to other pages). Of these the ones go that
+stand in a menu, header, footer, sidebar, form, notice, advert or comment by their element, role or class;
+an ``article`` isn't left out by its class, nor is an element with ``WRAPS`` or more of the page's
+characters. What is left is the text.
 
 The pairing moves only hashes of lines; the text of pages crosses one join.
 
@@ -69,9 +73,9 @@ def _left_out(name: str, attributes: str) -> str:
     return why
 
 
-def lines(page: str) -> tuple[list[str], list[bool]]:
-    """The lines of a page outside what is left out, and of each whether it stands in an article."""
-    out, inside, held, within = [], [], [], []
+def lines(page: str) -> tuple[list[str], list[bool], list[bool]]:
+    """The lines of a page; of each whether it stands in an article, and whether in something that is no main text by its element, role or class."""
+    out, inside, held, within, left = [], [], [], [], []
     skip, depth, article = "", 0, 0
     # elements left out by class: of each its parent; those open now as [name, depth, number]
     parents: list[int] = []
@@ -82,13 +86,13 @@ def lines(page: str) -> tuple[list[str], list[bool]]:
             if text := " ".join(html.unescape("".join(held)).split()):
                 out.append(text)
                 inside.append(article > 0)
+                left.append(bool(skip))
                 within.append(wraps[-1][2] if wraps else -1)
             held.clear()
 
     at = 0
     for m in _MARKUP.finditer(page):
-        if not skip:
-            held.append(page[at : m.start()])
+        held.append(page[at : m.start()])
         at = m.end()
         name = (m[3] or m[6] or "").lower()
         if not name:
@@ -100,14 +104,14 @@ def lines(page: str) -> tuple[list[str], list[bool]]:
             end()
             skip = ""  # what was left out was never closed
             wraps.clear()
+        if name not in _INLINE or name == skip:
+            end()
         if skip:
             if name == skip and name not in _VOID:
                 depth += -1 if closing else 1
                 if not depth:
                     skip = ""
             continue
-        if name not in _INLINE:
-            end()
         if wraps and name == wraps[-1][0]:
             wraps[-1][1] += -1 if closing else 1
             if not wraps[-1][1]:
@@ -129,23 +133,21 @@ def lines(page: str) -> tuple[list[str], list[bool]]:
                 skip, depth = name, 1
         elif name in ("article", "main"):
             article += 1
-    if not skip:
-        held.append(page[at:])
+    held.append(page[at:])
     end()
     if not parents:
-        return out, inside
+        return out, inside, left
     sizes = [0] * len(parents)
-    for text, wrap in zip(out, within, strict=True):
-        if wrap >= 0:
+    for text, wrap, gone in zip(out, within, left, strict=True):
+        if wrap >= 0 and not gone:
             sizes[wrap] += len(text)
     for wrap in range(len(parents) - 1, -1, -1):
         if parents[wrap] >= 0:
             sizes[parents[wrap]] += sizes[wrap]
-    least, stays = WRAPS * sum(map(len, out)), []
+    least, stays = WRAPS * sum(len(x) for x, gone in zip(out, left, strict=True) if not gone), []
     for wrap, parent in enumerate(parents):
         stays.append(sizes[wrap] >= least and (parent < 0 or stays[parent]))
-    keep = [i for i, wrap in enumerate(within) if wrap < 0 or stays[wrap]]
-    return [out[i] for i in keep], [inside[i] for i in keep]
+    return out, inside, [gone or wrap >= 0 and not stays[wrap] for gone, wrap in zip(left, within, strict=True)]
 
 
 def place(url: str | None) -> tuple[str, str]:
@@ -194,14 +196,20 @@ def _prefix(a: str | None, b: str | None) -> int:
     return next((i for i in range(n) if a[i] != b[i]), n)
 
 
-def _cut(own, sizes, path, pairs) -> list[int]:
-    """Which lines of a page to delete, given (path, lines) of its neighbours on the same host."""
-    pairs = sorted(((_prefix(path, p), -i, list(h)) for i, (p, h) in enumerate(pairs)), reverse=True)
-    for _, _, other in pairs:
-        shared = common_lines(own, other)
-        if sum(sizes[i] for i in shared) < COPY * sum(sizes):
-            return shared
-    return []
+def _cut(own, sizes, inside, path, pairs) -> list[int]:
+    """Which lines of a page are the site's, given (path, lines) of its neighbours on the same host.
+
+    ``sizes`` is 0 for lines that are no main text anyway; ``inside`` tells lines of an article.
+    """
+    shared = []
+    for _, _, other in sorted(((_prefix(path, p), -i, list(h)) for i, (p, h) in enumerate(pairs)), reverse=True):
+        at = common_lines(own, other)
+        if sum(sizes[i] for i in at) < COPY * sum(sizes) or not any(sizes):
+            shared.append(at)
+    if not shared:
+        return []
+    both = set(shared[-1])
+    return [i for i in shared[0] if i in both or not inside[i]]
 
 
 _KEY = "row long, host string, path string"
@@ -221,11 +229,12 @@ def main_text(pages: DataFrame) -> DataFrame:
         for batch in batches:
             out = []
             for row, url, page in zip(batch["row"], batch["url"], batch["html"], strict=True):
-                text, _ = lines(page or "")
-                out.append((row, *place(url), [xxhash.xxh64_intdigest(x.encode("utf-8", "replace")) - 2**63 for x in text], [len(x) for x in text]))
-            yield pd.DataFrame(out, columns=["row", "host", "path", "lines", "sizes"])
+                text, inside, left = lines(page or "")
+                marks = [xxhash.xxh64_intdigest(x.encode("utf-8", "replace"), gone) - 2**63 for x, gone in zip(text, left, strict=True)]
+                out.append((row, *place(url), marks, [0 if gone else len(x) for x, gone in zip(text, left, strict=True)], inside))
+            yield pd.DataFrame(out, columns=["row", "host", "path", "lines", "sizes", "inside"])
 
-    marks = rows.mapInPandas(hashed, _KEY + ", lines array<long>, sizes array<int>").dropDuplicates(["row"])
+    marks = rows.mapInPandas(hashed, _KEY + ", lines array<long>, sizes array<int>, inside array<boolean>").dropDuplicates(["row"])
     parts = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = marks.repartitionByRange(parts, "host", "path", "row").withColumn("part", F.spark_partition_id())
     ordered = materialise(ordered, "pages")
@@ -237,15 +246,15 @@ def main_text(pages: DataFrame) -> DataFrame:
     along = Window.orderBy("part")
     ends = ends.select("part", F.lag("last").over(along).alias("last_before"), F.lead("first").over(along).alias("first_after"))
     near = ordered.withColumns({"before": F.lag(seen).over(within), "after": F.lead(seen).over(within)}).join(F.broadcast(ends), "part")
-    pairs = near.select("row", "host", "path", "lines", "sizes", F.coalesce("before", "last_before").alias("before"), F.coalesce("after", "first_after").alias("after"))
+    pairs = near.select("row", "host", "path", "lines", "sizes", "inside", F.coalesce("before", "last_before").alias("before"), F.coalesce("after", "first_after").alias("after"))
     pairs = pairs.where(F.size("lines") > 0)
 
     def cuts(batches):
         for batch in batches:
             out = []
-            for row, host, path, own, sizes, *beside in batch.itertuples(index=False):
-                drop = _cut(list(own), list(sizes), path, [(p["path"], p["lines"]) for p in beside if p is not None and p["host"] == host])
-                if drop:
+            for row, host, path, own, sizes, inside, *beside in batch.itertuples(index=False):
+                drop = _cut(list(own), list(sizes), list(inside), path, [(p["path"], p["lines"]) for p in beside if p is not None and p["host"] == host])
+                if drop := [i for i in drop if sizes[i]]:  # the others go by what they stand in
                     out.append((row, drop))
             yield pd.DataFrame(out, columns=["row", "drop"])
 
@@ -253,7 +262,7 @@ def main_text(pages: DataFrame) -> DataFrame:
 
     def texts(batches):
         for batch in batches:
-            found = [lines(page or "")[0] for page in batch["html"]]
+            found = [[None if gone else x for x, gone in zip(text, left, strict=True)] for text, _, left in (lines(page or "") for page in batch["html"])]
             yield pd.DataFrame({"page_id": batch["page_id"].astype("Int64"), "url": batch["url"], "row": batch["row"], "lines": found})
 
     shown = rows.mapInPandas(texts, "page_id long, url string, row long, lines array<string>")
@@ -261,5 +270,5 @@ def main_text(pages: DataFrame) -> DataFrame:
     deleted = F.broadcast(deleted) if deleted.count() <= 20_000 else deleted
     joined = shown.join(deleted, "row", "left")
     left = F.filter("lines", lambda _, i: ~F.coalesce(F.array_contains("drop", i), F.lit(False)))
-    text = F.array_join(F.when(F.col("drop").isNull(), F.col("lines")).otherwise(left), " ")
+    text = F.array_join(F.when(F.col("drop").isNull(), F.col("lines")).otherwise(left), " ")  # nulls are skipped
     return joined.select("page_id", "url", text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))

@@ -1,3 +1,5 @@
+import os
+
 import numpy as np
 import pytest
 
@@ -11,6 +13,11 @@ def run(spark, pages):
     return {r.page_id: r.text for r in htmltext.main_text(df).collect()}
 
 
+def kept(page):
+    text, inside, left = htmltext.lines(page)
+    return [x for x, gone in zip(text, left, strict=True) if not gone], [i for i, gone in zip(inside, left, strict=True) if not gone]
+
+
 @pytest.mark.parametrize(
     ("page", "want"),
     [
@@ -30,7 +37,7 @@ def run(spark, pages):
     ],
 )
 def test_one_page(page, want):
-    text, inside = htmltext.lines(page or "")
+    text, inside = kept(page or "")
     assert " ".join([x for x, i in zip(text, inside, strict=True) if i] if any(inside) else text) == want
 
 
@@ -45,7 +52,7 @@ def test_one_page(page, want):
     ],
 )
 def test_main_text_is_not_left_out_by_loose_words(page, want):
-    assert " ".join(htmltext.lines(page)[0]) == want
+    assert " ".join(kept(page)[0]) == want
 
 
 def longest(a, b):
@@ -91,7 +98,7 @@ def test_whole_table_against_plain_differencing(spark):
     rows = df.collect()
     assert len(got) == len(rows)
     for r in rows:
-        text, inside = htmltext.lines(r.html)
+        text, inside = kept(r.html)
         want = " ".join(x for x, i in zip(text, inside, strict=True) if i)
         assert want and got[r.page_id] == (want, len(want))
 
@@ -102,12 +109,46 @@ def test_lines_inside_articles_are_differenced_too(spark):
     assert got == {i: f"story{i} has a text of its own, about story{i} teaser story{i} also main story{i}" for i in range(6)}
 
 
-def test_differencing_changes_rows_of_a_whole_table(spark):
-    df = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
+def paired(rows):
+    """Of each page by brute force over its host: (id, lines, inside, left out, neighbours' lines by nearness)."""
+    pages = sorted((*htmltext.place(r["url"]), r["page_id"], *htmltext.lines(r["html"] or "")) for r in rows)
+    for k, (host, path, page, text, inside, left) in enumerate(pages):
+        beside = [(-len(os.path.commonprefix([path, pages[j][1]])), n, list(zip(pages[j][3], pages[j][5], strict=True))) for n, j in enumerate((k - 1, k + 1)) if 0 <= j < len(pages) and pages[j][0] == host]
+        yield page, text, inside, left, [x for *_, x in sorted(beside)]
+
+
+def in_common(a, b):
+    """Places in ``a`` of a longest common subsequence, by the plain table."""
+    table = np.zeros((len(a) + 1, len(b) + 1), int)
+    for i in range(len(a) - 1, -1, -1):
+        for j in range(len(b) - 1, -1, -1):
+            table[i, j] = table[i + 1, j + 1] + 1 if a[i] == b[j] else max(table[i + 1, j], table[i, j + 1])
+    return int(table[0, 0])
+
+
+def test_whole_table_against_differencing_by_brute_force(spark):
+    """The deleted lines are shared with the paired page, as many as can be, and inside articles with both neighbours."""
+    df = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
     got = {r.page_id: r.text for r in htmltext.main_text(df).collect()}
-    rows = df.collect()
-    changed = sum(got[r.page_id] != " ".join(htmltext.lines(r.html)[0]) for r in rows)
-    assert len(got) == len(rows) and 100 < changed < len(rows) / 10
+    rows = [r.asDict() for r in df.collect()]
+    shared = 0
+    for page, text, inside, left, beside in paired(rows):
+        free = [i for i, gone in enumerate(left) if not gone]
+        asked = [b for b in beside if sum(len(text[i]) for i in free if (text[i], False) in b) < htmltext.COPY * sum(len(text[i]) for i in free)]
+        stays = [text[i] for i in free if not asked or (text[i], False) not in asked[0] or inside[i] and any((text[i], False) not in b for b in asked)]
+        most = [text[i] for i in free]
+        assert len(" ".join(stays)) <= len(got[page]) <= len(" ".join(most))
+        if not any((text[i], False) in b for b in asked for i in free):
+            assert got[page] == " ".join(most)
+        shared += sum(in_common(list(zip(text, left, strict=True)), b) for b in asked[:1])
+    assert len(got) == len(rows) and shared > 20
+
+
+def test_sentences_that_one_page_quotes_stay_in_an_article(spark):
+    page = "<div>Site line</div><article><p>Follow us</p><p>{0} has a text of its own</p>{1}</article>"
+    quote = "<p>A sentence that two pages hold</p>"
+    got = run(spark, [(i, f"https://d.example/{i}", page.format(f"story{i}", quote if i in (2, 3) else "")) for i in range(6)])
+    assert got == {i: f"story{i} has a text of its own" + (" A sentence that two pages hold" if i in (2, 3) else "") for i in range(6)}
 
 
 def test_empty_table(spark):
