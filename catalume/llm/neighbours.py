@@ -5,7 +5,7 @@ ids) at the median of their projections on the difference of two random ones, do
 Every row is then assigned to a leaf of every tree. A query walks all trees through one shared priority
 queue: the nearer side at once, the farther side at the price of the squared margins crossed on the way.
 It visits leaves until they hold enough rows, a row counted once a tree: ``REACH`` times as many as there
-are at ``AT`` rows, and a share that falls with the fifth root of the number of rows from there, as nearest
+are at ``AT`` rows, and a share that falls with the tenth root of the number of rows from there, as nearest
 neighbours stand out the more the more rows there are; ``top`` + 1 rows in every tree at least. The rows in
 those leaves are scored exactly, in double precision, and the best are kept.
 
@@ -119,7 +119,7 @@ def _best(scores: np.ndarray, q: np.ndarray, x: np.ndarray, ids: np.ndarray, top
 
 def reach_of(n: int, trees: int, top: int, reach: float = REACH) -> float:
     """How many times ``n`` rows a query visits, a row counted once a tree."""
-    return min(trees, max(reach * (AT / max(n, 1)) ** 0.2, trees * (top + 1) / max(n, 1)))
+    return min(trees, max(reach * (AT / max(n, 1)) ** 0.1, trees * (top + 1) / max(n, 1)))
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, top: int = 20, id: str = "vec_id", vector: str = "embedding", reach: float = REACH, sample: int = SAMPLE) -> DataFrame:
