@@ -193,8 +193,9 @@ def _spread_join(many: DataFrame, one: DataFrame, key: str) -> DataFrame:
 
 #: For duplicates by similarity: words of a shingle, least similarity, bits between whole fingerprints,
 #: partial fingerprints of a document, hashes in a sketch, how far an estimate may be off (five standard
-#: deviations of a sketch of that size), and members of a group of which every two are compared.
-SHINGLE, SIMILAR, NEAR_BITS, DRAWS, SKETCH, MARGIN, SMALL = 5, 0.8, 3, 8, 1024, 0.0625, 12
+#: deviations of a sketch of that size), and members of a group of which every two are compared: in the
+#: first two rounds, with many groups to a document, and in the later ones, with few.
+SHINGLE, SIMILAR, NEAR_BITS, DRAWS, SKETCH, MARGIN, SMALL, LATER = 5, 0.8, 3, 8, 1024, 0.0625, 12, 128
 #: Cells of the counts of shingles.
 COUNTS = 1 << 18
 _ODD = np.random.default_rng(11).integers(0, 2**63, DRAWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -217,14 +218,14 @@ def _ordered(x: str, y: str) -> list:
     return [F.least(x, y).alias("x"), F.greatest(x, y).alias("y")]
 
 
-def _compared(members: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(x, y) to compare of groups (row, draw, key), and the members of groups of more than ``SMALL``, with their heads."""
+def _compared(members: DataFrame, small: int) -> tuple[DataFrame, DataFrame]:
+    """(x, y) to compare of groups (row, draw, key), and the members of groups of more than ``small``, with their heads."""
     heads = members.groupBy("draw", "key").agg(F.min("row").alias("h"), F.min_by("row", F.xxhash64("row", "draw")).alias("h2"), F.count("*").alias("n")).where("n > 1")
     members = members.join(heads, ["draw", "key"])
-    few = members.where(F.col("n") <= SMALL).groupBy("draw", "key").agg(F.array_sort(F.collect_list("row")).alias("rows"))
-    two = F.flatten(F.transform("rows", lambda x, i: F.transform(F.slice("rows", i + 2, SMALL), lambda y: F.struct(x.alias("x"), y.alias("y")))))
+    few = members.where(F.col("n") <= small).groupBy("draw", "key").agg(F.array_sort(F.collect_list("row")).alias("rows"))
+    two = F.flatten(F.transform("rows", lambda x, i: F.transform(F.slice("rows", i + 2, small), lambda y: F.struct(x.alias("x"), y.alias("y")))))
     pairs = few.select(F.explode(two).alias("p")).select("p.x", "p.y")
-    many = members.where(F.col("n") > SMALL)
+    many = members.where(F.col("n") > small)
     return pairs.unionByName(many.select(F.explode(F.array("h", "h2")).alias("head"), "row").where("head <> row").select(*_ordered("head", "row"))), many
 
 
@@ -278,10 +279,11 @@ def _found_links(made: DataFrame, bits: int, least: float, sketches_of, check) -
     two are compared; in a larger one each member with two heads, the smallest row and one by hash. All
     members of larger groups in which a head refuses one (as those that a common passage has brought
     together) are then grouped by their rarest shingles, which no similar pair can avoid to share, and
-    compared likewise. What the heads refuse there is dealt anew, by the group and a draw, until none is left.
+    compared likewise. What the heads refuse there is dealt anew, by the group and a draw, and groups of at
+    most ``LATER`` are then compared whole, until none is left.
     """
     fp, draws = F.struct(F.lit(-1).alias("draw"), F.col("fp").alias("key")), F.transform("draws", lambda h, i: F.struct(i.alias("draw"), h.alias("key")))
-    pairs, many = _compared(made.select("row", F.explode(F.concat(F.array(fp), draws)).alias("k")).select("row", "k.draw", "k.key"))
+    pairs, many = _compared(made.select("row", F.explode(F.concat(F.array(fp), draws)).alias("k")).select("row", "k.draw", "k.key"), SMALL)
     found = materialise(check(pairs.unionByName(_near_fingerprints(made, bits)).where("x <> y").distinct()), "links")
     mixed = _refused(many, found).select("draw", "key").distinct()
     mixed = materialise(many.join(mixed, ["draw", "key"], "left_semi").select("row").distinct(), "mixed")
@@ -293,7 +295,7 @@ def _found_links(made: DataFrame, bits: int, least: float, sketches_of, check) -
         keys = materialise(keys.select("row", "draw", "key"), "keys")
         if not keys.take(1):
             return out
-        pairs, many = _compared(keys)
+        pairs, many = _compared(keys, LATER if turn else SMALL)
         found = materialise(check(pairs.where("x <> y").distinct().join(out.where("sure"), ["x", "y"], "left_anti")), "links")
         out = out.unionByName(found)
         further = F.element_at("draws", F.lit(turn % DRAWS + 1))
