@@ -197,7 +197,7 @@ def restart_jobs(jobs: DataFrame, steps: DataFrame, ids: DataFrame, now) -> tupl
     asked = ids.select(F.col("id").alias("resource_id"), F.lit(True).alias("__asked")).distinct()
     both = jobs.join(asked, "resource_id", "full")
     new = F.col("__asked").isNotNull()
-    values = {"status": F.lit("queued"), "error": F.lit(None).cast("string"), "updated": F.lit(now)}
+    values = {"status": F.lit("queued"), "error": F.lit(None).cast("string"), "updated": F.lit(now).cast(jobs.schema["updated"].dataType)}
     queued = both.select(*[F.when(new, values[c]).otherwise(F.col(c)).alias(c) if c in values else F.col(c) for c in jobs.columns])
     return queued, steps.join(asked, "resource_id", "left_anti")
 

@@ -11,6 +11,7 @@ from ..functions import text
 from ..operators import admin, health, listing, lookup, mutations, ranked, search
 from ..sources import files
 from ..sources.catalog import Catalog
+from ..streaming import jobs
 from .search_queries import bm25_sql
 from .views import query
 
@@ -112,6 +113,18 @@ def office(c: Catalog):
     )
 
 
+def messages(c: Catalog):
+    """Every event as a message; some are malformed, some of an unknown type."""
+    kind = F.when(F.col("event_id") % 3 == 0, "process-resource").when(F.col("event_id") % 3 == 1, "health-check").otherwise("other")
+    body = F.to_json(F.struct(F.col("event_id").cast("string").alias("id"), kind.alias("type"), F.col("event_type").alias("data")))
+    return c.raw("events").select(F.when(F.col("event_id") % 10 == 0, F.lit("not json")).otherwise(body).alias("value"))
+
+
+def turned_away(c: Catalog):
+    rejected = jobs.rate_limited(c.raw("events").select("event_id", "user_id", "ts"), "user_id", "ts", 6 * 3600, "event_id").where("NOT accepted")
+    return jobs.deferred(rejected, "ts").select("event_id", "not_before", "status")
+
+
 def chunks_of(c: Catalog, limit: int, last_break: bool):
     docs = c.raw("documents").select(F.col("doc_id").cast("string").alias("resource_id"), F.col("source").alias("package_id"), F.lit("text").alias("content_type"), "text")
     return text.chunk_totals(text.content_chunks(docs, limit, last_break=last_break), docs)
@@ -187,6 +200,10 @@ SPARK = {
     "scalar_problems": lambda c: c.package_core.select("id", s.package_problem(F.when(F.col("id").cast("int") % 5 == 0, F.lit("Bad Name")).otherwise(F.col("name")), F.col("title"), F.when(F.col("id").cast("int") % 3 == 0, "no url").otherwise("https://a.example/x"), F.when(F.col("id").cast("int") % 7 == 0, "a@b").otherwise(F.when(F.col("id").cast("int") % 2 == 0, "a.b@c.example").otherwise("")), F.when(F.col("id").cast("int") % 11 == 0, "x").otherwise("0a0a0a0a-aaaa-bbbb-cccc-0a0a0a0a0a0a")).alias("problem")),
     "scalar_escape": lambda c: c.raw("pages").select("page_id", s.escape_html(F.col("html")).alias("text")),
     "scalar_local_date": lambda c: c.package.select("id", s.local_date(F.col("updated").cast("timestamp")).alias("shown")),
+    "jobs_parsed": lambda c: jobs.parse_jobs(messages(c)),
+    "jobs_outcome": lambda c: jobs.pipeline_outcome(c.step),
+    "jobs_deferred": turned_away,
+    "jobs_enqueued": lambda c: jobs.enqueue_all(c.resource, NOW).select("type", "data", "attempts", "done"),
     "content_chunk_totals": lambda c: chunks_of(c, text.CHUNK_BYTES, True),
     "content_chunks_kept_whole": lambda c: chunks_of(c, 2_000, False).select("resource_id", "original", (F.col("indexed") <= F.col("original")).alias("no_more")),
 }
@@ -324,6 +341,13 @@ SQL = {
         WHEN CAST(id AS INTEGER) % 11 = 0 THEN 'owner_org' END AS problem FROM package_core"""),
     "scalar_escape": query("""SELECT page_id, replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#39;') AS text FROM pages"""),
     "scalar_local_date": query("SELECT id, coalesce(strftime(CAST(updated AS TIMESTAMP), '%Y-%m-%dT%H:%M:%S'), '1970-01-01T00:00:00') AS shown FROM package"),
+    "jobs_parsed": query("SELECT CAST(event_id AS VARCHAR) AS job_id, CASE event_id % 3 WHEN 0 THEN 'process-resource' ELSE 'health-check' END AS type, event_type AS data FROM events WHERE event_id % 10 <> 0 AND event_id % 3 <> 2"),
+    "jobs_outcome": query("SELECT resource_id, CASE WHEN bool_or(step_name = 'fetch' AND status = 'error') THEN 'error' ELSE 'complete' END AS status, count(*) FILTER (WHERE status = 'error') AS failed_steps FROM step GROUP BY 1", _STEP),
+    "jobs_deferred": """WITH RECURSIVE taken AS (SELECT user_id, min(ts) AS ts FROM events GROUP BY user_id
+        UNION ALL SELECT a.user_id, min(e.ts) FROM taken a JOIN events e ON e.user_id = a.user_id AND e.ts > a.ts + INTERVAL 6 HOURS GROUP BY a.user_id)
+        SELECT event_id, ts + INTERVAL 2 SECONDS AS not_before, 'queued' AS status FROM (SELECT e.*, t.ts IS NOT NULL AND row_number() OVER (PARTITION BY e.user_id, e.ts ORDER BY event_id) = 1 AS accepted
+            FROM events e LEFT JOIN taken t ON t.user_id = e.user_id AND t.ts = e.ts) WHERE NOT accepted""",
+    "jobs_enqueued": query("""SELECT 'process-resource' AS type, '{"resourceId":"' || id || '"}' AS data, 0 AS attempts, false AS done FROM resource WHERE state = 'active'"""),
     "content_chunk_totals": query("SELECT CAST(doc_id AS VARCHAR) AS resource_id, strlen(text) AS original, 1::BIGINT AS chunks, strlen(text) AS indexed FROM documents WHERE text IS NOT NULL"),
     "content_chunks_kept_whole": query("SELECT CAST(doc_id AS VARCHAR) AS resource_id, strlen(text) AS original, true AS no_more FROM documents WHERE text IS NOT NULL"),
 }
