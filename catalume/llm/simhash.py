@@ -26,11 +26,12 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialise, sieved
 from .components import connected_components
+from .tokens import portions
 
 WORDS, BITS, SEED = 3, 2, 42
 FAN, SHARD, MAX_SHARDS = 16, 1024, 65_536
@@ -207,6 +208,14 @@ def similarity(a: np.ndarray, b: np.ndarray, size: int = SKETCH) -> float:
     return float(np.isin(union, np.intersect1d(a, b, True), True).mean()) if len(union) else 1.0
 
 
+def sketch_similarity(a: Column, b: Column, size: int = SKETCH) -> Column:
+    """The same of two array columns."""
+    union = F.array_union(a, b)
+    least = F.when(F.size(union) <= size, union).otherwise(F.slice(F.sort_array(union), 1, size))
+    both = F.array_intersect(a, b)
+    return F.when(F.size(union) == 0, F.lit(1.0)).otherwise(F.size(F.when(F.size(union) <= size, both).otherwise(F.array_intersect(least, both))) / F.size(least))
+
+
 def _near_fingerprints(made: DataFrame, bits: int) -> DataFrame:
     """(x, y), x < y: rows whose whole fingerprints are near, one row for each fingerprint."""
     of_fp = made.groupBy("fp").agg(F.min("row").alias("row"))
@@ -319,13 +328,13 @@ def similar_classes(df: DataFrame, id: str = "doc_id", text: str = "text", words
     docs = df.select(F.col(id).cast("long").alias("doc_id"), F.col(text).alias("text")).withColumn("row", F.xxhash64(F.struct("doc_id", "text")))
 
     def each(batches):
-        for batch in batches:
+        for rows in (batch[part] for batch in batches for part in portions(batch["text"].str.len().fillna(0).astype(int).tolist(), 3_000_000)):
             out = []
-            for row, doc, t in zip(batch["row"], batch["doc_id"].astype("Int64"), batch["text"], strict=True):
+            for row, doc, t in zip(rows["row"], rows["doc_id"].astype("Int64"), rows["text"], strict=True):
                 h = np.unique(shingle_hashes(t, words))
                 mixed = (h[:, None] ^ _ODD[None, ::-1]) * _ODD
                 draws = (mixed ^ (mixed >> np.uint64(29))).min(0).view(np.int64) if len(h) else np.zeros(0, np.int64)
-                small = h[:SKETCH].view(np.int64)
+                small = np.sort(h.view(np.int64))[:SKETCH]
                 same = xxhash.xxh64_intdigest(h.tobytes()) - 2**63
                 out.append((row, doc, same, fingerprint(t, words), draws, small, len(h)))
             part = pd.DataFrame(out, columns=["row", "doc_id", "same", "fp", "draws", "sketch", "size"])
@@ -342,18 +351,14 @@ def similar_classes(df: DataFrame, id: str = "doc_id", text: str = "text", words
         held = sieved(made.select("row", "sketch", "size"), F.col("row"), rows.select(F.col("row").alias("key"))).where("__maybe").drop("__maybe")
         return held.join(rows, "row", "left_semi").dropDuplicates(["row"])
 
-    def verified(batches):
-        for batch in batches:
-            near = np.array([similarity(a.view(np.uint64), b.view(np.uint64)) for a, b in zip(batch["sx"], batch["sy"], strict=True)], float)
-            doubt = (np.abs(near - least) < MARGIN) & (batch[["nx", "ny"]].max(axis=1).to_numpy() > SKETCH)
-            out = batch[["x", "y"]].assign(sure=~doubt)
-            yield out[doubt | (near >= least)]
-
     def check(pairs: DataFrame) -> DataFrame:
+        """Pairs that hold for sure, and those in doubt; in the JVM, as sketches are long."""
         pairs = materialise(pairs, "pairs")
         sketch = sketches_of(pairs.select(F.explode(F.array("x", "y")).alias("row")).distinct())
         both = pairs.join(sketch.toDF("x", "sx", "nx"), "x").join(sketch.toDF("y", "sy", "ny"), "y")
-        return both.mapInPandas(verified, "x long, y long, sure boolean")
+        both = both.select("x", "y", F.greatest("nx", "ny").alias("n"), sketch_similarity(F.col("sx"), F.col("sy")).alias("near"))
+        doubt = (F.abs(F.col("near") - least) < MARGIN) & (F.col("n") > SKETCH)
+        return both.where(doubt | (F.col("near") >= least)).select("x", "y", (~doubt).alias("sure"))
 
     found = materialise(_found_links(distinct, bits, least, sketches_of, check).distinct(), "found")
     sure, doubt = found.where("sure").select("x", "y"), found.where("NOT sure").select("x", "y")

@@ -90,6 +90,16 @@ def test_similarity_is_exact_on_small_sets():
     assert simhash.similarity(np.array([]), np.array([])) == 1
 
 
+def test_similarity_of_columns_equals_that_of_arrays(spark):
+    rng = np.random.default_rng(8)
+    rows = []
+    for n, m in ((0, 0), (0, 5), (40, 60), (900, 1024), (1024, 1024)):
+        a, b = (np.sort(rng.choice(3000, k, replace=False) - 1500) for k in (n, m))
+        rows.append((a.tolist(), b.tolist(), simhash.similarity(a, b)))
+    df = spark.createDataFrame(rows, "a array<long>, b array<long>, want double")
+    assert all(abs(r.got - r.want) < 1e-12 for r in df.withColumn("got", simhash.sketch_similarity(F.col("a"), F.col("b"))).collect())
+
+
 def test_planted_copies_of_a_large_group_fall_in_one_class(spark):
     rng = np.random.default_rng(2)
     text = [f"t{i}" for i in range(200)]
