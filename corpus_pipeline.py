@@ -3,6 +3,11 @@
 Each stage takes all that its predecessor kept. Null and empty texts go through every stage (the
 classifier decides whether they stay); of near-duplicates the document with the smallest id stays; spans
 of personal data are replaced in the text, and n_chars follows it; what is left is packed.
+
+Edge cases: a null id is a document like others, but stays of its class only if no other has an id; of
+equal rows one stays, as they are near-duplicates; texts without words are one class; a text of any length
+is taken whole; empty tables give an empty result (without labels every score is 0.5, and all stay);
+columns beyond those of ``documents`` are dropped by the first stage, whatever their names.
 """
 
 from __future__ import annotations
