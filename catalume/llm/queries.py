@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chunkcodec, fingerprints, htmltext, neighbours, packing, privacy, quality, sharding, simhash, tokenfiles
+from . import chunkcodec, conversations, fingerprints, htmltext, linerules, neighbours, oracles, packing, privacy, quality, resampling, sharding, simhash, tokenfiles
 from .common import shared_path, table
 
 
@@ -62,6 +62,18 @@ def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return htmltext.main_text(table(spark, sf_dir, "pages"))
 
 
+def op11_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repair_damaged(table(spark, sf_dir, "conversations"))
+
+
+def op13_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linerules.verdicts(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_fingerprints": op1_fingerprints,
@@ -74,21 +86,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_chunk_codec": op8_chunk_codec,
         "op9_neighbours": op9_neighbours,
         "op10_main_text": op10_main_text,
+        "op11_resampling": op11_resampling,
+        "op12_conversations": op12_conversations,
+        "op13_line_rules": op13_line_rules,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     """Only for what SQL can express; the other operators are tested against brute force."""
-    numbers = ",".join(map(str, sharding.lookup_table(sharding.SHARDS)))
-    return {
-        "op4_sharding": f"""
-            WITH lookup AS (SELECT string_split('{numbers}', ',') AS numbers),
-            placed AS (
-                SELECT doc_id, source, n_chars,
-                       CAST(('0x' || substr(md5(coalesce('=' || CAST(doc_id AS VARCHAR), '-')), 1, 15))::BIGINT % {sharding.TABLE_SIZE} AS INTEGER) AS slot
-                FROM documents
-            )
-            SELECT doc_id, source, n_chars, slot, 'shard-' || lpad(numbers[slot + 1], 3, '0') AS shard
-            FROM placed, lookup
-        """,
-    }
+    return oracles.oracle_sql()
