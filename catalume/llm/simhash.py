@@ -25,6 +25,8 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -185,11 +187,11 @@ def near_duplicates(df: DataFrame, id: str = "doc_id", text: str = "text", words
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def _spread_join(many: DataFrame, one: DataFrame, key: str) -> DataFrame:
+def _spread_join(many: DataFrame, one: DataFrame, *keys: str) -> DataFrame:
     """``many`` with the columns of ``one``, which has a row for each key: a key of many copies goes to ``SALTS`` tasks."""
     salted = one.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     dealt = many.withColumn("__salt", F.pmod(F.xxhash64(*many.columns), F.lit(SALTS)).cast("int"))
-    return dealt.join(salted, [key, "__salt"]).drop("__salt")
+    return dealt.join(salted, [*keys, "__salt"]).drop("__salt")
 
 
 #: For duplicates by similarity: words of a shingle, least similarity, bits between whole fingerprints,
@@ -198,7 +200,10 @@ def _spread_join(many: DataFrame, one: DataFrame, key: str) -> DataFrame:
 #: first two rounds, with many groups to a document, and in the later ones, with few.
 SHINGLE, SIMILAR, NEAR_BITS, DRAWS, SKETCH, MARGIN, SMALL, LATER = 5, 0.8, 3, 8, 1024, 0.0625, 12, 128
 #: Cells of the counts of shingles.
-COUNTS = 1 << 18
+COUNTS = 1 << 20
+#: About how many members of a larger group the others are compared with in the first round by rare shingles,
+#: and how many times as many in each further one.
+PIVOTS, MORE = 2, 8
 _ODD = np.random.default_rng(11).integers(0, 2**63, DRAWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -230,7 +235,7 @@ def _ordered(x: str, y: str) -> list:
 def _compared(members: DataFrame, small: int) -> tuple[DataFrame, DataFrame]:
     """(x, y) to compare of groups (row, draw, key), and the members of groups of more than ``small``, with their heads."""
     heads = members.groupBy("draw", "key").agg(F.min("row").alias("h"), F.min_by("row", F.xxhash64("row", "draw")).alias("h2"), F.count("*").alias("n")).where("n > 1")
-    members = members.join(heads, ["draw", "key"])
+    members = _spread_join(members, heads, "draw", "key")
     few = members.where(F.col("n") <= small).groupBy("draw", "key").agg(F.array_sort(F.collect_list("row")).alias("rows"))
     two = F.flatten(F.transform("rows", lambda x, i: F.transform(F.slice("rows", i + 2, small), lambda y: F.struct(x.alias("x"), y.alias("y")))))
     pairs = few.select(F.explode(two).alias("p")).select("p.x", "p.y")
@@ -248,68 +253,106 @@ def _refused(many: DataFrame, found: DataFrame) -> DataFrame:
     return rest
 
 
-def _rare_keys(sketches: DataFrame, least: float) -> DataFrame:
-    """(row, key): the rarest shingles of each sketch, of which two sets that reach ``least`` share one.
+def _rare_keys(sets: DataFrame, least: float) -> DataFrame:
+    """(row, key, n, rem): the rarest shingles of each whole set, of which two sets that reach ``least`` share one.
 
-    Rare is by counts in ``COUNTS`` cells, so the order is one for all rows, however good the counts are. A
-    set in which ``least`` of the shingles have to be in the other needs the first n - least n + 1; of a
-    set that its sketch doesn't hold, or that may meet such a one, ``MARGIN`` more are taken.
+    ``n`` is the size of the set, ``rem`` how many of its shingles are no rarer than the key. Rare is by
+    counts in ``COUNTS`` cells, so the order is one for all rows, however good the counts are. The first
+    n - least n + 1 are enough; of these, one that no other row can have is left out.
     """
 
     def counted(batches):
         table = np.zeros(COUNTS, np.int64)
         for batch in batches:
-            for h in batch["sketch"]:
-                np.add.at(table, h % COUNTS, 1)
+            table += np.bincount(batch.column("all").flatten().to_numpy() % COUNTS, minlength=COUNTS)
         at = np.flatnonzero(table)
-        yield pd.DataFrame({"cell": at, "n": table[at]})
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(table[at])], names=["cell", "n"])
 
-    found = sketches.select("sketch").mapInPandas(counted, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()  # COUNTS rows at most
-    counts = np.zeros(COUNTS, np.int64)
-    counts[found["cell"]] = found["n"]
+    found = sets.select("all").mapInArrow(counted, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()  # COUNTS rows at most
+    counts = np.zeros(COUNTS, np.int32)
+    counts[found["cell"]] = np.minimum(found["n"], 2**31 - 1)
+    sent = sets.sparkSession.sparkContext.broadcast(counts)
 
     def rarest(batches):
         for batch in batches:
-            rows, keys = [], []
-            for row, h, size in zip(batch["row"], batch["sketch"], batch["size"], strict=True):
-                share = least if size <= least * SKETCH else least - MARGIN
-                own = h[np.lexsort((h, counts[h % COUNTS]))][: len(h) - int(np.ceil(share * len(h) - 1e-9)) + 1]
-                rows.append(np.full(len(own), row))
-                keys.append(own)
-            yield pd.DataFrame({"row": np.concatenate([np.zeros(0, np.int64), *rows]), "key": np.concatenate([np.zeros(0, np.int64), *keys])})
+            flat, ends = batch.column("all").flatten().to_numpy(), np.r_[0, np.cumsum(pc.list_value_length(batch.column("all")).to_numpy())]
+            out = [np.zeros((4, 0), np.int64)]
+            for row, begin, end in zip(batch.column("row").to_numpy(), ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+                h = flat[begin:end]
+                often = sent.value[h % COUNTS]
+                own = np.lexsort((h, often))[: len(h) - int(np.ceil(least * len(h) - 1e-9)) + 1]
+                at = np.flatnonzero(often[own] > 1)
+                out.append(np.stack([np.full(len(at), row), h[own[at]], np.full(len(at), len(h)), len(h) - at]))
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in np.concatenate(out, 1)], names=["row", "key", "n", "rem"])
+
+    return sets.select("row", "all").mapInArrow(rarest, "row long, key long, n long, rem long")
+
+
+def _live(keys: DataFrame, least: float) -> DataFrame:
+    """The members (row, key, n, rem) of groups that may still be similar to another one, with the group's size ``m`` and head ``h``.
+
+    If the key is the rarest shingle that two sets share, they share no more than the smaller ``rem`` of them;
+    a similarity of ``least`` asks for least / (1 + least) of both sizes together. That bounds the size of a
+    set that a member can be similar to, and a group whose least set is larger than that has none for it. The
+    bound is met exactly where the members share a passage and have the rest for themselves.
+    """
+    most = F.col("rem") * ((1 + least) / least) - F.col("n") + 1e-6
+    for _ in range(2):
+        groups = keys.groupBy("key").agg(F.count("*").alias("m"), F.min("n").alias("__n"), F.max(most).alias("__most"), F.min(F.struct("n", "row")).alias("__h")).where("m > 1")
+        held = _spread_join(keys.select("row", "key", "n", "rem"), groups, "key")
+        keys = held.where((most >= F.col("__n")) & (F.col("n") <= F.col("__most"))).select("row", "key", "n", "rem", "m", F.col("__h.row").alias("h"))
+    return keys
+
+
+def _by_rare_shingles(keys: DataFrame, known: DataFrame, check, least: float) -> DataFrame:
+    """``known`` links (x, y, sure) and those found between rows that share a rare shingle.
 
-    return sketches.select("row", "sketch", "size").mapInPandas(rarest, "row long, key long")
+    Groups of at most ``SMALL`` (after the first round: ``LATER``) are compared whole. In a larger one all
+    members are compared with its smallest set and with some drawn by hash; those that one of them accepts,
+    and the drawn ones themselves, are done, and the rest goes on to the next round with ``MORE`` times as many
+    drawn. So the number of rounds grows with the logarithm of the largest group.
+    """
+    out, pivots, small = known, PIVOTS, SMALL
+    share = least / (1 + least)
+    fits = lambda x, y: F.least(x["rem"], y["rem"]) + 1e-6 >= share * (x["n"] + y["n"])
+    while True:
+        keys = materialise(_live(keys, least), "keys")
+        if not keys.take(1):
+            return out
+        own = F.struct("row", "n", "rem")
+        few = keys.where(F.col("m") <= small).groupBy("key").agg(F.array_sort(F.collect_list(own)).alias("rows"))
+        two = F.flatten(F.transform("rows", lambda x, i: F.transform(F.filter(F.slice("rows", i + 2, small), lambda y: fits(x, y)), lambda y: F.struct(x["row"].alias("x"), y["row"].alias("y")))))
+        drawn = (F.col("row") == F.col("h")) | (F.pmod(F.xxhash64("row", "key", F.lit(pivots)), F.ceil(F.col("m") / pivots)) == 0)
+        many = keys.where(F.col("m") > small).withColumn("drawn", drawn)
+        heads = many.where("drawn").groupBy("key").agg(F.collect_list(own).alias("heads"))
+        met = F.filter("heads", lambda p: (p["row"] != F.col("row")) & fits(p, own))
+        asked = materialise(_spread_join(many.select("row", "key", "n", "rem"), heads, "key").select("key", "row", F.explode(met).alias("p")).select("key", "row", F.col("p.row").alias("head")), "asked")
+        pairs = few.select(F.explode(two).alias("p")).select("p.x", "p.y").unionByName(asked.select(*_ordered("head", "row"))).distinct()
+        found = materialise(check(pairs.join(out.select("x", "y"), ["x", "y"], "left_anti")), "links")
+        out = out.unionByName(found)
+        sure = out.where("sure").distinct()
+        both = sure.select(F.col("x").alias("head"), F.col("y").alias("row")).unionByName(sure.select(F.col("y").alias("head"), F.col("x").alias("row")))
+        accepted = asked.join(both, ["head", "row"], "left_semi").select("key", "row").distinct()
+        keys = many.where("NOT drawn").join(accepted, ["key", "row"], "left_anti").select("row", "key", "n", "rem")
+        pivots, small = pivots * MORE, LATER
 
 
-def _found_links(made: DataFrame, bits: int, least: float, sketches_of, check) -> DataFrame:
+def _found_links(made: DataFrame, bits: int, least: float, sets_of, check) -> DataFrame:
     """(x, y, sure) of candidates that hold or are in doubt; ``check`` says which of a frame of pairs (x, y) do.
 
     Rows that share a fingerprint, whole or partial, form a group. In a group of at most ``SMALL`` every
     two are compared; in a larger one each member with two heads, the smallest row and one by hash. All
     members of larger groups in which a head refuses one (as those that a common passage has brought
-    together) are then grouped by their rarest shingles, which no similar pair can avoid to share, and
-    compared likewise. What the heads refuse there is dealt anew, by the group and a draw, and groups of at
-    most ``LATER`` are then compared whole, until none is left.
+    together) are then grouped by their rarest shingles, which no similar pair can avoid to share.
     """
     fp, draws = F.struct(F.lit(-1).alias("draw"), F.col("fp").alias("key")), F.transform("draws", lambda h, i: F.struct(i.alias("draw"), h.alias("key")))
     pairs, many = _compared(made.select("row", F.explode(F.concat(F.array(fp), draws)).alias("k")).select("row", "k.draw", "k.key"), SMALL)
     found = materialise(check(pairs.unionByName(_near_fingerprints(made, bits)).where("x <> y").distinct()), "links")
     mixed = _refused(many, found).select("draw", "key").distinct()
     mixed = materialise(many.join(mixed, ["draw", "key"], "left_semi").select("row").distinct(), "mixed")
-    out, turn = found, 0
     if not mixed.take(1):
-        return out
-    keys = _rare_keys(sketches_of(mixed), least).withColumn("draw", F.lit(0))
-    while True:
-        keys = materialise(keys.select("row", "draw", "key"), "keys")
-        if not keys.take(1):
-            return out
-        pairs, many = _compared(keys, LATER if turn else SMALL)
-        found = materialise(check(pairs.where("x <> y").distinct().join(out.where("sure"), ["x", "y"], "left_anti")), "links")
-        out = out.unionByName(found)
-        further = F.element_at("draws", F.lit(turn % DRAWS + 1))
-        keys = _refused(many, out).select("row", "draw", "key").join(made.select("row", "draws"), "row").select("row", "draw", F.xxhash64("key", further).alias("key"))
-        turn += 1
+        return found
+    return _by_rare_shingles(_rare_keys(sets_of(mixed), least), found, check, least)
 
 
 def similar_classes(df: DataFrame, id: str = "doc_id", text: str = "text", words: int = SHINGLE, least: float = SIMILAR, bits: int = NEAR_BITS) -> DataFrame:
@@ -328,19 +371,23 @@ def similar_classes(df: DataFrame, id: str = "doc_id", text: str = "text", words
     docs = df.select(F.col(id).cast("long").alias("doc_id"), F.col(text).alias("text")).withColumn("row", F.xxhash64(F.struct("doc_id", "text")))
 
     def each(batches):
-        for rows in (batch[part] for batch in batches for part in portions(batch["text"].str.len().fillna(0).astype(int).tolist(), 3_000_000)):
-            out = []
-            for row, doc, t in zip(rows["row"], rows["doc_id"].astype("Int64"), rows["text"], strict=True):
-                h = np.unique(shingle_hashes(t, words))
-                mixed = (h[:, None] ^ _ODD[None, ::-1]) * _ODD
-                draws = (mixed ^ (mixed >> np.uint64(29))).min(0).view(np.int64) if len(h) else np.zeros(0, np.int64)
-                small = np.sort(h.view(np.int64))[:SKETCH]
-                same = xxhash.xxh64_intdigest(h.tobytes()) - 2**63
-                out.append((row, doc, same, fingerprint(t, words), draws, small, len(h)))
-            part = pd.DataFrame(out, columns=["row", "doc_id", "same", "fp", "draws", "sketch", "size"])
-            yield part.astype({"doc_id": "Int64"})
-
-    made = docs.mapInPandas(each, "row long, doc_id long, same long, fp long, draws array<long>, sketch array<long>, size int")
+        for batch in batches:
+            for part in portions(pc.fill_null(pc.utf8_length(batch.column("text")), 0).to_pylist(), 1_000_000):
+                rows = batch.slice(part.start, part.stop - part.start)
+                one, draws, sketch = [], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+                for t in rows.column("text").to_pylist():
+                    h = np.unique(shingle_hashes(t, words))
+                    if len(h):
+                        mixed = (h[:, None] ^ _ODD[None, ::-1]) * _ODD
+                        draws.append((mixed ^ (mixed >> np.uint64(29))).min(0).view(np.int64))
+                    sketch.append(np.sort(h.view(np.int64))[:SKETCH])
+                    one.append((xxhash.xxh64_intdigest(h.tobytes()) - 2**63, fingerprint(t, words), len(h)))
+                same, fp, size = (np.array(c, np.int64) for c in zip(*one, strict=True))
+                of_draws = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(np.where(size > 0, DRAWS, 0))].astype(np.int32)), pa.array(np.concatenate(draws)))
+                of_sketch = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(np.minimum(size, SKETCH))].astype(np.int32)), pa.array(np.concatenate(sketch)))
+                yield pa.RecordBatch.from_arrays([rows.column("row"), rows.column("doc_id"), pa.array(same), pa.array(fp), of_draws, of_sketch, pa.array(size.astype(np.int32))], names=["row", "doc_id", "same", "fp", "draws", "sketch", "size"])
+
+    made = docs.mapInArrow(each, "row long, doc_id long, same long, fp long, draws array<long>, sketch array<long>, size int")
     made = materialise(made, "sketches")
     own = made.groupBy("same").agg(F.min("row").alias("row"))
     distinct = made.select("row", "same", "fp", "draws").join(own, ["same", "row"], "left_semi").dropDuplicates(["row"])
@@ -351,16 +398,34 @@ def similar_classes(df: DataFrame, id: str = "doc_id", text: str = "text", words
         held = sieved(made.select("row", "sketch", "size"), F.col("row"), rows.select(F.col("row").alias("key"))).where("__maybe").drop("__maybe")
         return held.join(rows, "row", "left_semi").dropDuplicates(["row"])
 
+    def whole(batches):
+        for batch in batches:
+            for row, t in zip(batch.column("row").to_numpy(), batch.column("text").to_pylist(), strict=True):
+                yield pa.RecordBatch.from_arrays([pa.array([row]), pa.array([np.unique(shingle_hashes(t, words)).view(np.int64)], pa.list_(pa.int64()))], names=["row", "all"])
+
+    def texts_of(rows: DataFrame) -> DataFrame:
+        held = sieved(docs, F.col("row"), rows.select(F.col("row").alias("key"))).where("__maybe").drop("__maybe")
+        return held.join(rows, "row", "left_semi").dropDuplicates(["row"]).mapInArrow(whole, "row long, all array<long>")
+
+    def sets_of(rows: DataFrame) -> DataFrame:
+        """The whole sets of some rows; a sketch that holds all of its set is that set."""
+        held = materialise(sketches_of(rows), "short")
+        long = materialise(texts_of(held.where(F.col("size") > SKETCH).select("row")), "long")
+        return held.where(F.col("size") <= SKETCH).select("row", F.col("sketch").alias("all")).unionByName(long)
+
     def check(pairs: DataFrame) -> DataFrame:
         """Pairs that hold for sure, and those in doubt; in the JVM, as sketches are long."""
         pairs = materialise(pairs, "pairs")
         sketch = sketches_of(pairs.select(F.explode(F.array("x", "y")).alias("row")).distinct())
         both = pairs.join(sketch.toDF("x", "sx", "nx"), "x").join(sketch.toDF("y", "sy", "ny"), "y")
-        both = both.select("x", "y", F.greatest("nx", "ny").alias("n"), sketch_similarity(F.col("sx"), F.col("sy")).alias("near"))
+        n = F.greatest("nx", "ny")
+        shared = F.size(F.array_intersect("sx", "sy"))
+        exact = F.when(F.col("nx") + F.col("ny") == 0, F.lit(1.0)).otherwise(shared / (F.col("nx") + F.col("ny") - shared))
+        both = both.select("x", "y", n.alias("n"), F.when(n <= SKETCH, exact).otherwise(sketch_similarity(F.col("sx"), F.col("sy"))).alias("near"))
         doubt = (F.abs(F.col("near") - least) < MARGIN) & (F.col("n") > SKETCH)
         return both.where(doubt | (F.col("near") >= least)).select("x", "y", (~doubt).alias("sure"))
 
-    found = materialise(_found_links(distinct, bits, least, sketches_of, check).distinct(), "found")
+    found = materialise(_found_links(distinct, bits, least, sets_of, check).distinct(), "found")
     sure, doubt = found.where("sure").select("x", "y"), found.where("NOT sure").select("x", "y")
     stars = connected_components(sure)
     if doubt.count():
@@ -368,17 +433,13 @@ def similar_classes(df: DataFrame, id: str = "doc_id", text: str = "text", words
         apart = doubt.join(root("x"), "x", "left").join(root("y"), "y", "left").where(F.coalesce("rx", "x") != F.coalesce("ry", "y"))
         apart = materialise(apart.select("x", "y"), "doubts")
 
-        def whole(batches):
-            for batch in batches:
-                yield pd.DataFrame({"row": batch["row"], "all": [np.unique(shingle_hashes(t, words)).view(np.int64) for t in batch["text"]]})
-
         def exact(batches):
             for batch in batches:
                 held = [similarity(np.sort(a), np.sort(b), len(a) + len(b)) >= least for a, b in zip(batch["ax"], batch["ay"], strict=True)]
                 yield batch.loc[held, ["x", "y"]]
 
         asked = apart.select(F.explode(F.array("x", "y")).alias("row")).distinct()
-        full = materialise(docs.join(asked, "row", "left_semi").dropDuplicates(["row"]).mapInPandas(whole, "row long, all array<long>"), "shingles")
+        full = materialise(texts_of(asked), "shingles")
         pairs = apart.join(full.toDF("x", "ax"), "x").join(full.toDF("y", "ay"), "y").mapInPandas(exact, "x long, y long")
         stars = connected_components(sure.unionByName(pairs))
     rooted = own.join(stars.withColumnRenamed("node", "row"), "row", "left").select("same", F.coalesce("root", "row").alias("root"))

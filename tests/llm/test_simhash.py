@@ -173,6 +173,40 @@ def test_mixed_groups_of_a_common_passage_lose_no_link(spark):
     assert found_classes(documents(spark, rows)) == want
 
 
+@pytest.mark.parametrize("spread", [0, 40])
+def test_rounds_do_not_grow_with_a_family_of_one_template(spark, monkeypatch, spread):
+    """A passage of 300 words and some of their own: just under 0.8 if all have 42, on both sides of it if they have 22 to 62."""
+    passage = " ".join(f"common{i}" for i in range(300))
+    rounds, live = [], simhash._live
+    monkeypatch.setattr(simhash, "_live", lambda *a: rounds.append(1) or live(*a))
+    taken = {}
+    for n in (700, 5000):
+        rng = np.random.default_rng(3)
+        sizes = 42 + rng.integers(-(spread // 2), spread // 2 + 1, n)
+        rows = [(i, f"{passage} " + " ".join(f"own{i}x{j}" for j in range(k))) for i, k in enumerate(sizes.tolist())]
+        rounds.clear()
+        got = found_classes(documents(spark, rows))
+        taken[n] = len(rounds)
+        # two documents share 296 shingles; the smallest one decides who has a partner
+        have = sizes + 296
+        root = [i for i in range(n) if 296 >= 0.8 * (have[i] + np.delete(have, i).min() - 296)]
+        assert sorted(map(len, got)) == sorted([1] * (n - len(root)) + [len(root)] * bool(root))
+    assert taken[5000] <= taken[700] + 1 <= 4
+
+
+def test_long_documents_of_one_template(spark):
+    """The same with sets beyond a sketch, and pairs among them whose likeness lies in their own words."""
+    passage = " ".join(f"common{i}" for i in range(1500))
+    rows = []
+    for i in range(60):
+        own = [f"own{i}x{j}" for j in range(230)]
+        rows.append((2 * i, f"{passage} {' '.join(own)}"))
+        rows.append((2 * i + 1, f"{passage} {' '.join(own[:200] + [f'other{i}x{j}' for j in range(30)])}"))
+    want, pairs = plain_classes(rows)
+    assert pairs >= 60 and len(want) == 60
+    assert found_classes(documents(spark, rows)) == want
+
+
 @pytest.mark.parametrize("size", ["sf0.01", "sf0.1"])
 def test_classes_of_whole_tables_equal_plain_ones(spark, size):
     df = spark.read.parquet(f"/root/testdata/{size}/documents.parquet").select("doc_id", "text")
