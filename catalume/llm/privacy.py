@@ -6,29 +6,29 @@ overlap; matches that fail the kind's test (parts at most 255; 12 to 19 digits w
 
 The method then asks the corpus which other terms reveal a protected entity, as one that always stands
 in documents with one address does. For each entity (kind and value) and each term that stands outside the
-base spans of a document with the entity, documents with both are counted; so are, over the whole corpus,
-the documents of the term and of the entity. P(e|t) is (n(t,e) + A P(e)) / (n(t) + A) with A = ``PRIOR``
-documents, so that a term of few documents is drawn towards no information; no count is too low to be
-asked. The pointwise mutual information of term and entity, divided by the entity's own information
-content, is log(P(e|t) / P(e)) / log(1 / P(e)): 1 if the term never occurs without the entity. A term
-discloses an entity if this ratio is at least ``DISCLOSES`` and the term leaves at most ``LEFT`` bits,
--log2 P(e|t), of the entity open; the second bound holds alike however many documents there are. Such a
-term is a term span (kind ``term``) wherever it occurs outside base spans. Sanitising generalises every
-span to its kind, as in ``[EMAIL]`` or ``[TERM]``.
-
-Counting is bounded without a loss: a term in more documents than an entity could ever answer for is left
-out before pairs are made, and of the entities of a single document one stands for all. The terms'
-places are found without spreading the corpus: documents with entities are known from the count; the
-others are searched only for terms that occur outside of those, and only words that pass a sieve go
-through a shuffle. A sieve is a table of ``CELLS`` x 64 bits, whatever the data, with a bit set for each
-key; it keeps all keys and few others, and the join behind it decides. Texts that hold such a term pass
-a sieve likewise, so the rest of the corpus isn't shuffled.
-
-Everything is DataFrame functions. A term is counted once a document by partial sums. Texts are told apart
+base spans of a document with the entity, texts with both are counted; so are, over the whole corpus, the
+texts of the term and of the entity. Copies of a text are no further evidence and count once. P(e|t) is
+(n(t,e) + A P(e)) / (n(t) + A) with A = ``PRIOR`` texts, so that a term of few texts is drawn towards no
+information. A term discloses an entity if it leaves at most ``LEFT`` bits, -log2 P(e|t), of the entity open,
+and tells at least ``GAINS`` bits, log2(P(e|t) / P(e)), about it; the second bound keeps out entities that
+stand in a large share of all texts. Neither the prior nor the bounds depend on the number of documents: with
+two texts of prior and one bit, a term of a single text never discloses anything, one of two does if both
+hold the entity, one of four if three do. Such a term is a term span (kind ``term``) wherever it occurs outside
+base spans. Sanitising generalises every span to its kind, as in ``[EMAIL]`` or ``[TERM]``.
+
+Base spans, terms and hashes of all rows are written once, and everything after reads them. Counting is
+bounded without a loss: an entity or a term that couldn't reach the bounds whatever the rest is left out
+before pairs are made. The terms' places are found without spreading the corpus: texts with entities are
+known from the count; the others are searched only for terms that occur outside of those, and only words that
+pass a sieve go through a shuffle. A sieve is a table of ``CELLS`` x 64 bits, whatever the data, with a bit set
+for each key; it keeps all keys and few others, and the join behind it decides. Texts that hold such a term
+pass a sieve likewise, so the rest of the corpus isn't shuffled.
+
+Everything is DataFrame functions. A term is counted once a text by partial sums. Texts are told apart
 by 128 bits of hash.
 
-Edge cases: null and empty texts have no spans; a null id is kept; equal texts count as often as they
-occur; a text may be one long line or one long word; positions are code points, ends exclusive; an empty
+Edge cases: null and empty texts have no spans; a null id is kept; equal texts have equal
+spans; a text may be one long line or one long word; positions are code points, ends exclusive; an empty
 table gives an empty result; other columns are kept as they are by ``all_spans`` and ``sanitise``, but
 for ``base`` and ``spans``, which ``all_spans`` replaces.
 """
@@ -52,7 +52,7 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 _PART = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
-PRIOR, DISCLOSES, LEFT = 1.0, 0.9, 1.0
+PRIOR, LEFT, GAINS = 2.0, 1.0, 2.0
 _OPEN, _CLOSE = "", ""  # marks around a match; where a text holds them they count as "|"
 _TERM = r"\p{L}[\p{L}\p{M}\p{N}_]*+"
 
@@ -133,74 +133,81 @@ def _words(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(_TERM), F.lit(0)))
 
 
-def _text_key(text: Column) -> list[Column]:
-    return [F.xxhash64(text).alias("k1"), F.xxhash64(F.lit(1), text).alias("k2")]
+def _prepared(df: DataFrame, text: str) -> DataFrame:
+    """``df`` with base spans, its distinct terms, those outside base spans, a number and two hashes of the text; written once."""
+    bare = F.when(F.size("base") > 0, _words(_replaced(text_or_empty(text), "base", lambda s: F.lit(" "))))
+    k1, k2 = F.xxhash64(F.col(text)).alias("__k1"), F.xxhash64(F.lit(1), F.col(text)).alias("__k2")
+    made = base_spans(df, text).select("*", k1, k2, _words(text_or_empty(text)).alias("__terms"), bare.alias("__bare"), F.monotonically_increasing_id().alias("__doc"))
+    return materialise(made, "spans")
 
 
-def _counted(spanned: DataFrame, text: str, prior: float, discloses: float, left: float) -> tuple[DataFrame, DataFrame]:
-    """(k1, k2, term, n_term) of the documents with entities, for terms that may disclose one; (term, n_term, ratio, n_held) of those that do.
+def _once(made: DataFrame) -> DataFrame:
+    """One row of each text; only rows that pass a sieve of the further copies are shuffled."""
+    slim = made.select("__doc", "__k1", "__k2")
+    first = slim.groupBy("__k1", "__k2").agg(F.min("__doc").alias("__doc"))
+    more = materialise(slim.select("__doc").join(first.select("__doc"), "__doc", "left_anti"), "copies")
+    held = sieved(made.select("__doc", "__k1", "__k2", "base", "__terms", "__bare"), F.xxhash64("__doc"), more.select(F.xxhash64("__doc").alias("key")))
+    return held.where("NOT __maybe").unionByName(held.where("__maybe").join(more, "__doc", "left_anti")).drop("__maybe")
 
-    ``n_held`` is in how many documents with entities the term stands outside base spans.
+
+def _counted(made: DataFrame, prior: float, left: float, gains: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The texts; (k1, k2, term, n_term) of those with entities, for terms that may disclose one; (term, n_term, ratio, n_held) of those that do.
+
+    ``n_held`` is in how many texts with entities the term stands outside base spans.
     """
     entity = lambda s: F.concat_ws(":", s["kind"], F.lower(s["match"]))
-    bare = _words(_replaced(text_or_empty(text), "base", lambda s: F.lit(" ")))
-    docs = spanned.where(F.size("base") > 0).select(F.monotonically_increasing_id().alias("doc"), *_text_key(F.col(text)), F.array_distinct(F.transform("base", entity)).alias("entities"), bare.alias("terms"))
-    docs = materialise(docs, "entities")  # numbered once
-    held = docs.select("doc", F.explode("entities").alias("entity"))
+    texts = _once(made)
+    n = float(made.select("__k1", "__k2").distinct().count())
+    docs = texts.where(F.size("base") > 0)
+    held = docs.select(F.col("__doc").alias("doc"), F.explode(F.array_distinct(F.transform("base", entity))).alias("entity"))
     n_entity = held.groupBy("entity").agg(F.count("*").alias("n_entity"))
-    n = float(spanned.count())
-    # an entity in every document has no information to give away
-    asked = held.join(n_entity.where(F.col("n_entity") < n), "entity")
-    once = F.when(F.col("n_entity") == 1, F.lit("")).otherwise(F.col("entity"))
-    asked = asked.groupBy("doc", once.alias("same")).agg(F.min("entity").alias("entity"), F.min("n_entity").alias("n_entity"))
-    # the most documents that a term may have: P(e|t) >= the least that discloses, with n(t,e) <= n(e)
-    share = F.col("n_entity") / F.lit(n)
-    enough = F.greatest(F.pow(share, F.lit(1 - discloses)), F.lit(2.0**-left))
-    asked = asked.withColumn("most", (F.col("n_entity") + prior * share) / enough - prior + 1e-6)
-    asked = materialise(asked.select("doc", "entity", "n_entity", "most"), "asked")
+    # the most texts that a term may have: P(e|t) >= the least that discloses, with n(t,e) <= n(e)
+    share = F.col("n_entity") / F.lit(max(n, 1.0))
+    enough = F.greatest(share * 2.0**gains, F.lit(2.0**-left))
+    most = (F.col("n_entity") + prior * share) / enough - prior + 1e-6
+    asked = materialise(held.join(n_entity.withColumn("most", most).where("most >= 1"), "entity"), "asked")
     bound = asked.agg(F.max("most")).first()[0]
-    words = spanned.select(F.explode(_words(text_or_empty(text))).alias("term"))
+    words = texts.select(F.explode("__terms").alias("term"))
     terms = words.groupBy("term").agg(F.count("*").alias("n_term")).where(F.col("n_term") <= F.lit(0.0 if bound is None else bound))
-    rare = materialise(docs.select("doc", "k1", "k2", F.explode("terms").alias("term")).join(terms, "term"), "rare")
+    inside = docs.join(asked.select(F.col("doc").alias("__doc")).distinct(), "__doc", "left_semi")
+    rare = materialise(inside.select(F.col("__doc").alias("doc"), F.col("__k1").alias("k1"), F.col("__k2").alias("k2"), F.explode("__bare").alias("term")).join(terms, "term"), "rare")
     pairs = rare.join(asked, "doc").where(F.col("n_term") <= F.col("most"))
     together = pairs.groupBy("entity", "term").agg(F.count("*").alias("n_both"), F.first("n_entity").alias("n_entity"), F.first("n_term").alias("n_term"))
     given = (F.col("n_both") + prior * share) / (F.col("n_term") + F.lit(prior))
-    scored = together.withColumn("ratio", F.log(given / share) / F.log(1 / share)).where((F.col("ratio") >= discloses) & (-F.log2(given) <= left + 1e-9))
+    scored = together.where((F.log2(given / share) >= gains - 1e-9) & (-F.log2(given) <= left + 1e-9)).withColumn("ratio", F.log(given / share) / F.log(1 / share))
     found = scored.groupBy("term").agg(F.max("ratio").alias("ratio"))
     n_held = rare.groupBy("term").agg(F.first("n_term").alias("n_term"), F.count("*").alias("n_held"))
-    return rare.drop("doc"), found.join(n_held, "term")
+    return texts, rare.drop("doc"), found.join(n_held, "term")
 
 
-def disclosing_terms(spanned: DataFrame, text: str = "text", prior: float = PRIOR, discloses: float = DISCLOSES, left: float = LEFT) -> DataFrame:
-    """(term, ratio) of the terms that reveal an entity; ``spanned`` has ``base`` spans."""
-    return _counted(spanned, text, prior, discloses, left)[1].select("term", "ratio")
+def disclosing_terms(df: DataFrame, text: str = "text", prior: float = PRIOR, left: float = LEFT, gains: float = GAINS) -> DataFrame:
+    """(term, ratio) of the terms that reveal an entity, with the largest share of an entity's information that each tells."""
+    return _counted(_prepared(df.drop("base", "spans"), text), prior, left, gains)[2].select("term", "ratio")
 
 
-def all_spans(df: DataFrame, text: str = "text", prior: float = PRIOR, discloses: float = DISCLOSES, left: float = LEFT) -> DataFrame:
+def all_spans(df: DataFrame, text: str = "text", prior: float = PRIOR, left: float = LEFT, gains: float = GAINS) -> DataFrame:
     """``df`` with ``base`` and ``spans`` (base and term spans): arrays of (kind, start, end, match).
 
     Columns of these names are replaced.
     """
-    df = df.drop("base", "spans")
-    rare, terms = _counted(base_spans(df, text), text, prior, discloses, left)
+    made = _prepared(df.drop("base", "spans"), text)
+    texts, rare, terms = _counted(made, prior, left, gains)
     terms = materialise(terms, "terms")
     inside = rare.join(terms.select("term"), "term").select("k1", "k2", "term")
-    # terms of other documents too: these are searched
+    # terms of texts without a word of an entity beside them: these are searched
     abroad = materialise(terms.where("n_held < n_term").select("term", F.xxhash64("term").alias("key")), "abroad")
-    words = df.select(*_text_key(F.col(text)), F.explode(_words(text_or_empty(text))).alias("term"))
+    words = texts.select(F.col("__k1").alias("k1"), F.col("__k2").alias("k2"), F.explode("__terms").alias("term"))
     outside = sieved(words, F.xxhash64("term"), abroad).where("__maybe").select("k1", "k2", "term").join(abroad.select("term"), "term")
     hits = inside.unionByName(outside.select("k1", "k2", "term")).distinct().groupBy("k1", "k2").agg(F.collect_list("term").alias("__hits"))
-    hits = materialise(hits, "hits")
-    k1, k2 = _text_key(F.col(text))
-    passed = sieved(df, k1, hits.select(F.col("k1").alias("key")))
-    clear = base_spans(passed.where("NOT __maybe").drop("__maybe"), text).withColumn("spans", F.col("base"))
-    keyed = passed.where("__maybe").drop("__maybe").select("*", k1.alias("__k1"), k2.alias("__k2"))
-    held = keyed.join(hits.withColumnsRenamed({"k1": "__k1", "k2": "__k2"}), ["__k1", "__k2"], "left").drop("__k1", "__k2")
+    hits = materialise(hits.withColumnsRenamed({"k1": "__k1", "k2": "__k2"}), "hits")
+    passed = sieved(made.drop("__terms", "__bare", "__doc"), F.col("__k1"), hits.select(F.col("__k1").alias("key")))
+    clear = passed.where("NOT __maybe").drop("__maybe", "__k1", "__k2").withColumn("spans", F.col("base"))
+    held = passed.where("__maybe").drop("__maybe").join(hits, ["__k1", "__k2"], "left").drop("__k1", "__k2")
     own = F.filter(
         _found(F.replace(F.replace(text_or_empty(text), F.lit(_OPEN), F.lit("|")), F.lit(_CLOSE), F.lit("|")), "term", _TERM, lambda m: F.array_contains("__hits", F.lower(m))),
         lambda s: ~F.exists("base", lambda b: (s["start"] < b["end"]) & (b["start"] < s["end"])),
     )
-    marked = base_spans(held, text).withColumn("spans", F.when(F.size("__hits") > 0, _sorted(F.concat("base", own))).otherwise(F.col("base"))).drop("__hits")
+    marked = held.withColumn("spans", F.when(F.size("__hits") > 0, _sorted(F.concat("base", own))).otherwise(F.col("base"))).drop("__hits")
     return clear.unionByName(marked)
 
 

@@ -105,12 +105,13 @@ def plain_spans(rows):
     mails = [[(m.start(), m.end(), m.group().lower()) for m in re.finditer(r"\w+@x\.y", t)] for _, t in rows]
     words = [[(m.start(), m.end(), m.group().lower()) for m in re.finditer(r"[a-zA-Z]\w*", t)] for _, t in rows]
     free = [[w for w in ws if not any(w[0] < e and s < w[1] for s, e, _ in ms)] for ws, ms in zip(words, mails, strict=True)]
-    n, nt, ne, both = len(rows), Counter(), Counter(), Counter()
-    for ws, fs, ms in zip(words, free, mails, strict=True):
+    n, nt, ne, both = len({t for _, t in rows}), Counter(), Counter(), Counter()
+    once = {t: k for k, (_, t) in enumerate(rows)}  # copies of a text are one text
+    for ws, fs, ms in ((words[k], free[k], mails[k]) for k in once.values()):
         own = {m for _, _, m in ms}
         nt.update({w for *_, w in ws}), ne.update(own), both.update((e, w) for e in own for w in {w for *_, w in fs})
-    given = {(e, w): (k + ne[e] / n) / (nt[w] + 1) for (e, w), k in both.items()}
-    terms = {w for (e, w), g in given.items() if ne[e] < n and g >= 0.5 - 1e-12 and math.log(g * n / ne[e]) / math.log(n / ne[e]) >= 0.9}
+    given = {(e, w): (k + 2 * ne[e] / n) / (nt[w] + 2) for (e, w), k in both.items()}
+    terms = {w for (e, w), g in given.items() if g >= 0.5 - 1e-12 and math.log2(g * n / ne[e]) >= 2 - 1e-12}
     out = []
     for (i, _), fs, ms in zip(rows, free, mails, strict=True):
         spans = sorted([(s, 0, e, "email") for s, e, _ in ms] + [(s, 1, e, "term") for s, e, w in fs if w in terms])
@@ -132,7 +133,7 @@ def test_spans_equal_a_plain_count(spark):
     rows += [(i, rows[i][1]) for i in range(0, 90, 9)]  # repeated rows
     want, terms = plain_spans(rows)
     got = sorted((r.doc_id, r.spans) for r in privacy.report(documents(spark, rows)).collect())
-    assert got == want and any("term" in s for i, s in got if i % 50 == 1 and i % 9) and len(terms) > 40
+    assert got == want and any("term" in s for i, s in got if i % 50 == 1 and i % 9) and len(terms) > 30
 
 
 def test_a_word_of_two_documents_stays_in_the_one_without_an_entity_at_every_size(spark):
@@ -142,6 +143,24 @@ def test_a_word_of_two_documents_stays_in_the_one_without_an_entity_at_every_siz
         assert got == {-1: "email:7:22", -2: ""}
 
 
+@pytest.mark.parametrize("n", [40, 900, 1_100, 100_000])
+def test_few_texts_count_alike_at_every_size(spark, n):
+    """A word of one text discloses nothing, however often the text is copied; one of two with the entity does, whatever the size."""
+    rows = [(i, f"common words here and v{i % 37}") for i in range(n)]
+    rows += [(-1, "harrow a@b.example.org"), (-2, "wexley c@d.example.org one"), (-3, "wexley c@d.example.org two")]
+    rows += [(-4, "morrow e@f.example.org"), (-5, "morrow e@f.example.org")]
+    got = {r.doc_id: r.spans for r in privacy.report(documents(spark, rows)).collect() if r.doc_id < 0}
+    assert got == {-1: "email:7:22", -2: "term:0:6,email:7:22", -3: "term:0:6,email:7:22", -4: "email:7:22", -5: "email:7:22"}
+
+
+def test_the_share_of_documents_with_terms_is_alike_at_both_sizes(spark):
+    share = {}
+    for size in ("sf0.01", "sf0.1"):
+        df = privacy.report(spark.read.parquet(f"/root/testdata/{size}/documents.parquet"))
+        share[size] = df.agg(F.avg(F.contains("spans", F.lit("term:")).cast("int"))).first()[0]
+    assert abs(share["sf0.01"] - share["sf0.1"]) < 0.02 and max(share.values()) < 0.05, share
+
+
 def test_sanitise_replaces_spans_and_keeps_columns(revealing):
     out = privacy.sanitise(revealing)
     assert out.columns == revealing.columns
@@ -156,7 +175,7 @@ def test_terms_of_an_entity_are_found_in_its_whole_documents_and_at_low_counts(s
     rows += [(5000, "Quorra again."), (5001, "Call +1 (202) 555-0147 and filler.\nVesper waits."), (5002, "Write again.")]
     got = {r.doc_id: r.spans for r in privacy.report(documents(spark, rows)).collect()}
     assert got[5000] == "term:0:6" and "term" in got[0]
-    assert "term:35:41" in got[5001]  # one document of the entity and of the term
+    assert got[5001] == "phone:5:22"  # a word of one document is no evidence
     assert got[5002] == got[100] == ""
 
 
@@ -165,8 +184,7 @@ def test_ratios_equal_a_plain_count(spark):
     from collections import Counter
 
     rows = [(i, f"w{i % 7} v{i % 50} u{i} common " + (f"e{i % 50}@x.y f{i % 7}@x.y" if i % 3 == 0 else "")) for i in range(300)]
-    spanned = privacy.base_spans(documents(spark, rows).drop("base"))
-    got = {r.term: r.ratio for r in privacy.disclosing_terms(spanned, discloses=0.3, left=1e3).collect()}
+    got = {r.term: r.ratio for r in privacy.disclosing_terms(documents(spark, rows), gains=1.0, left=1e3).collect()}
     n, nt, ne, both = len(rows), Counter(), Counter(), Counter()
     for _, t in rows:
         words, mails = set(re.findall(r"[a-z]\w*", t)), set(re.findall(r"\w+@x\.y", t))
@@ -175,8 +193,9 @@ def test_ratios_equal_a_plain_count(spark):
     want: dict = {}
     for (e, w), k in both.items():
         p = ne[e] / n
-        want[w] = max(want.get(w, -9), math.log((k + p) / (nt[w] + 1) / p) / math.log(1 / p))
-    want = {w: v for w, v in want.items() if v >= 0.3}
+        given = (k + 2 * p) / (nt[w] + 2)
+        if math.log2(given / p) >= 1:
+            want[w] = max(want.get(w, -9), math.log(given / p) / math.log(1 / p))
     assert got.keys() == want.keys() and all(abs(got[w] - v) < 1e-9 for w, v in want.items())
 
 
