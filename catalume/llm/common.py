@@ -43,7 +43,7 @@ def materialise(df: DataFrame, kind: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = shared_path(spark, kind)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -28,7 +28,7 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialise, sieved
@@ -200,7 +200,7 @@ def _spread_join(many: DataFrame, one: DataFrame, *keys: str) -> DataFrame:
 #: first two rounds, with many groups to a document, and in the later ones, with few.
 SHINGLE, SIMILAR, NEAR_BITS, DRAWS, SKETCH, MARGIN, SMALL, LATER = 5, 0.8, 3, 8, 1024, 0.0625, 12, 128
 #: Cells of the counts of shingles.
-COUNTS = 1 << 20
+COUNTS = 1 << 18
 #: About how many members of a larger group the others are compared with in the first round by rare shingles,
 #: and how many times as many in each further one.
 PIVOTS, MORE = 2, 8
@@ -213,12 +213,18 @@ def similarity(a: np.ndarray, b: np.ndarray, size: int = SKETCH) -> float:
     return float(np.isin(union, np.intersect1d(a, b, True), True).mean()) if len(union) else 1.0
 
 
-def sketch_similarity(a: Column, b: Column, size: int = SKETCH) -> Column:
-    """The same of two array columns."""
-    union = F.array_union(a, b)
-    least = F.when(F.size(union) <= size, union).otherwise(F.slice(F.sort_array(union), 1, size))
-    both = F.array_intersect(a, b)
-    return F.when(F.size(union) == 0, F.lit(1.0)).otherwise(F.size(F.when(F.size(union) <= size, both).otherwise(F.array_intersect(least, both))) / F.size(least))
+def with_similarity(pairs: DataFrame, least: float, size: int = SKETCH) -> DataFrame:
+    """``pairs`` of sketches (sx, sy) and sizes of their sets (nx, ny) with ``near``, each array made once.
+
+    Sets that their sketches hold are compared exactly; of others an estimate below ``least`` may be 0.
+    """
+    shared = pairs.withColumn("shared", F.array_intersect("sx", "sy"))
+    n, both, union = F.size("shared"), F.greatest("nx", "ny"), F.size("sx") + F.size("sy") - F.size("shared")
+    smallest = F.slice(F.sort_array(F.array_union("sx", "sy")), 1, size)
+    exact = F.when(union == 0, F.lit(1.0)).otherwise(n / union)
+    # no more can be shared among the smallest of both than among all
+    near = F.when((both <= size) | (union <= size), exact).when(n < least * size, F.lit(0.0)).otherwise(F.size(F.array_intersect(smallest, "shared")) / size)
+    return shared.withColumn("near", near).drop("shared")
 
 
 def _near_fingerprints(made: DataFrame, bits: int) -> DataFrame:
@@ -271,7 +277,6 @@ def _rare_keys(sets: DataFrame, least: float) -> DataFrame:
     found = sets.select("all").mapInArrow(counted, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()  # COUNTS rows at most
     counts = np.zeros(COUNTS, np.int32)
     counts[found["cell"]] = np.minimum(found["n"], 2**31 - 1)
-    sent = sets.sparkSession.sparkContext.broadcast(counts)
 
     def rarest(batches):
         for batch in batches:
@@ -279,7 +284,7 @@ def _rare_keys(sets: DataFrame, least: float) -> DataFrame:
             out = [np.zeros((4, 0), np.int64)]
             for row, begin, end in zip(batch.column("row").to_numpy(), ends[:-1].tolist(), ends[1:].tolist(), strict=True):
                 h = flat[begin:end]
-                often = sent.value[h % COUNTS]
+                often = counts[h % COUNTS]
                 own = np.lexsort((h, often))[: len(h) - int(np.ceil(least * len(h) - 1e-9)) + 1]
                 at = np.flatnonzero(often[own] > 1)
                 out.append(np.stack([np.full(len(at), row), h[own[at]], np.full(len(at), len(h)), len(h) - at]))
@@ -418,10 +423,7 @@ def similar_classes(df: DataFrame, id: str = "doc_id", text: str = "text", words
         pairs = materialise(pairs, "pairs")
         sketch = sketches_of(pairs.select(F.explode(F.array("x", "y")).alias("row")).distinct())
         both = pairs.join(sketch.toDF("x", "sx", "nx"), "x").join(sketch.toDF("y", "sy", "ny"), "y")
-        n = F.greatest("nx", "ny")
-        shared = F.size(F.array_intersect("sx", "sy"))
-        exact = F.when(F.col("nx") + F.col("ny") == 0, F.lit(1.0)).otherwise(shared / (F.col("nx") + F.col("ny") - shared))
-        both = both.select("x", "y", n.alias("n"), F.when(n <= SKETCH, exact).otherwise(sketch_similarity(F.col("sx"), F.col("sy"))).alias("near"))
+        both = with_similarity(both, least - MARGIN).select("x", "y", F.greatest("nx", "ny").alias("n"), "near")
         doubt = (F.abs(F.col("near") - least) < MARGIN) & (F.col("n") > SKETCH)
         return both.where(doubt | (F.col("near") >= least)).select("x", "y", (~doubt).alias("sure"))
 

@@ -91,13 +91,18 @@ def test_similarity_is_exact_on_small_sets():
 
 
 def test_similarity_of_columns_equals_that_of_arrays(spark):
+    """Whole sets exactly, sketches as estimated, and 0 only below the bound."""
     rng = np.random.default_rng(8)
     rows = []
-    for n, m in ((0, 0), (0, 5), (40, 60), (900, 1024), (1024, 1024)):
-        a, b = (np.sort(rng.choice(3000, k, replace=False) - 1500) for k in (n, m))
-        rows.append((a.tolist(), b.tolist(), simhash.similarity(a, b)))
-    df = spark.createDataFrame(rows, "a array<long>, b array<long>, want double")
-    assert all(abs(r.got - r.want) < 1e-12 for r in df.withColumn("got", simhash.sketch_similarity(F.col("a"), F.col("b"))).collect())
+    for n, m, common in ((0, 0, 0), (0, 5, 0), (40, 60, 30), (900, 1000, 800), (1024, 1020, 300), (3000, 2500, 2400), (3000, 3000, 100), (1500, 900, 850)):
+        pool = rng.choice(1 << 40, n + m, replace=False) - (1 << 39)
+        a, b = pool[:n], np.concatenate([pool[: min(common, n)], pool[n : n + m - min(common, n)]])
+        sa, sb = np.sort(a)[:1024], np.sort(b)[:1024]
+        want = simhash.similarity(np.sort(a), np.sort(b), n + m) if max(n, m) <= 1024 else simhash.similarity(sa, sb)
+        rows.append((sa.tolist(), sb.tolist(), n, m, want))
+    df = spark.createDataFrame(rows, "sx array<long>, sy array<long>, nx int, ny int, want double")
+    for r in simhash.with_similarity(df, 0.7).collect():
+        assert abs(r.near - r.want) < 1e-12 or r.near == 0 and r.want < 0.7
 
 
 def test_planted_copies_of_a_large_group_fall_in_one_class(spark):
