@@ -92,10 +92,12 @@ def word_vectors(df: DataFrame, text: str = "text") -> tuple[np.ndarray, np.ndar
 
     names = ["n", *(f"c{i}" for i in range(SIZE))]
     parts = df.select(F.col(text).alias("text")).mapInPandas(sums, "bucket int, " + ", ".join(f"{c} long" for c in names))
-    found = parts.groupBy("bucket").agg(*[F.sum(c).alias(c) for c in names]).toPandas()  # BUCKETS rows at most
+    found = parts.groupBy("bucket").agg(*[F.sum(c).alias(c) for c in names]).toArrow()  # BUCKETS rows at most
     vectors, counts = np.zeros((BUCKETS, SIZE)), np.zeros(BUCKETS)
-    vectors[found["bucket"]] = found[names[1:]].to_numpy(float)
-    counts[found["bucket"]] = found["n"]
+    at = found["bucket"].to_numpy()
+    for i, name in enumerate(names[1:]):
+        vectors[at, i] = found[name].to_numpy()
+    counts[at] = found["n"].to_numpy()
     # the mean context says nothing of a word: what all words share is taken off
     vectors -= counts[:, None] * (vectors.sum(0) / max(1.0, counts.sum()))
     vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9)
@@ -193,10 +195,10 @@ def fit(df: DataFrame, labels: DataFrame, label: str = "quality", sample: int =
         for batch in batches:
             yield pd.DataFrame({"doc_id": batch["doc_id"], "y": batch["y"], "x": list(pool(list(batch["text"])))})
 
-    found = df.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").mapInPandas(features, "doc_id long, y double, x array<float>").toPandas()
-    found = found.iloc[np.lexsort((found["x"].map(lambda v: float(np.sum(v))), found["y"], found["doc_id"].map(lambda d: zlib.crc32(str(d).encode()))))]
-    x = np.stack(found["x"].to_list()).astype(float) if len(found) else np.zeros((0, pool.size))
-    return pool, Network().fit(x if len(x) else np.zeros((1, pool.size)), found["y"].to_numpy(float) if len(found) else np.full(1, 0.5))
+    found = df.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").mapInPandas(features, "doc_id long, y double, x array<float>").toArrow()
+    x, y = found["x"].combine_chunks().flatten().to_numpy().reshape(-1, pool.size).astype(float), found["y"].to_numpy()
+    order = np.lexsort((x.sum(1), y, [zlib.crc32(str(d).encode()) for d in found["doc_id"].to_pylist()]))
+    return pool, Network().fit(x[order] if len(x) else np.zeros((1, pool.size)), y[order] if len(y) else np.full(1, 0.5))
 
 
 def score(df: DataFrame, pool: Pooling, network: Network, text: str = "text", to: str = "score") -> DataFrame:

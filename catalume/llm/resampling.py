@@ -96,9 +96,9 @@ def bucket_counts(made: DataFrame, buckets: int = BUCKETS) -> np.ndarray:
         at = np.flatnonzero(table)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(table[at])], names=["bucket", "n"])
 
-    found = made.select("bucket", "n").mapInArrow(each, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
+    found = made.select("bucket", "n").mapInArrow(each, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
     counts = np.zeros(buckets, np.int64)
-    counts[found["bucket"]] = found["n"]
+    counts[found["bucket"].to_numpy()] = found["n"].to_numpy()
     return counts
 
 

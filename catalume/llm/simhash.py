@@ -133,9 +133,9 @@ def links(codes: DataFrame, bits: int = BITS) -> DataFrame:
     ordered = codes.select("fp", gray_rank("fp").alias("rank")).repartitionByRange(parts, "rank").sortWithinPartitions("rank").select("fp")
     members = materialise(ordered.mapInPandas(cut, "shard long, fp long"), "gray")
     # at most MAX_SHARDS + `parts` rows, whatever the data
-    tops = members.groupBy("shard").agg(F.bit_and("fp").alias("ones"), F.bit_or("fp").alias("some")).orderBy("shard").toPandas()
-    ones, some = (tops[c].to_numpy(np.int64).view(np.uint64) for c in ("ones", "some"))
-    tree, numbers = Tree(~(ones ^ some), ones), tops["shard"].to_numpy(np.int64)
+    tops = members.groupBy("shard").agg(F.bit_and("fp").alias("ones"), F.bit_or("fp").alias("some")).orderBy("shard").toArrow()
+    ones, some = (tops[c].to_numpy().view(np.uint64) for c in ("ones", "some"))
+    tree, numbers = Tree(~(ones ^ some), ones), tops["shard"].to_numpy()
 
     def route(batches):
         for batch in batches:
@@ -274,9 +274,9 @@ def _rare_keys(sets: DataFrame, least: float) -> DataFrame:
         at = np.flatnonzero(table)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(table[at])], names=["cell", "n"])
 
-    found = sets.select("all").mapInArrow(counted, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()  # COUNTS rows at most
+    found = sets.select("all").mapInArrow(counted, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()  # COUNTS rows at most
     counts = np.zeros(COUNTS, np.int32)
-    counts[found["cell"]] = np.minimum(found["n"], 2**31 - 1)
+    counts[found["cell"].to_numpy()] = np.minimum(found["n"].to_numpy(), 2**31 - 1)
 
     def rarest(batches):
         for batch in batches:
