@@ -1,10 +1,9 @@
-"""Text helpers that need whole values or codecs: encodings, byte limits, chunks. Arrow-batched."""
+"""Text helpers: encodings (by codecs, in Arrow batches), byte limits and chunks (by JVM functions)."""
 
 from __future__ import annotations
 
 import re
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -58,72 +57,74 @@ def decode_bytes(data: pd.Series, encoding: pd.Series) -> pd.Series:
     return pd.Series([None if b is None else decoded(bytes(b), e) for b, e in zip(data, encoding, strict=True)])
 
 
-def truncated(text: str, limit: int) -> str:
-    """At most ``limit`` UTF-8 bytes, no character split."""
-    return text.encode()[:limit].decode("utf-8", "ignore")
+_CUT = "array<struct<at:int,n:int,long:boolean>>"
 
 
-def split_chunks(text: str, limit: int = CHUNK_BYTES, most: int | None = None, whole: bool = False, last_break: bool = True) -> list[str]:
-    """Chunks of whole lines, as many in each as its ``limit`` in bytes holds.
+def _char_end(data: Column, start: Column, limit: int) -> Column:
+    """Where a piece of at most ``limit`` bytes from ``start`` ends, no character split."""
+    end = F.least(start + limit, F.octet_length(data))
+    free = lambda p: (p >= F.octet_length(data)) | ~F.hex(F.substring(data, p + 1, F.lit(1))).between("80", "BF")
+    return F.when(free(end), end).when(free(end - 1), end - 1).when(free(end - 2), end - 2).otherwise(end - 3)
+
+
+def _pieces(line: Column, limit: int, whole: bool) -> Column:
+    """A line cut off at ``limit`` bytes, or with ``whole`` cut up at it."""
+    cut = lambda data, start, end: F.decode(F.substring(data, start + 1, end - start), "UTF-8")
+
+    def of(data: Column) -> Column:
+        if not whole:
+            return F.array(cut(data, F.lit(0), _char_end(data, F.lit(0), limit)))
+        begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+
+        def step(acc: Column, _: Column) -> Column:
+            end = F.transform(F.array(_char_end(data, acc["at"], limit)), lambda e: F.struct(e.alias("at"), F.concat(acc["out"], F.array(cut(data, acc["at"], e))).alias("out")))[0]
+            return F.when(acc["at"] < F.octet_length(data), end).otherwise(acc)
+
+        most = F.ceil(F.octet_length(data) / F.lit(limit - 3)).cast("int")
+        return F.aggregate(F.sequence(F.lit(1), F.greatest(most, F.lit(1))), begin, step, lambda acc: acc["out"])
+
+    return F.transform(F.array(F.encode(line, "UTF-8")), of)[0]
+
+
+def chunked(text: Column, limit: int = CHUNK_BYTES, most: int | None = None, whole: bool = False, last_break: bool = True) -> Column:
+    """An array of chunks of whole lines, as many in each as its ``limit`` in bytes (4 at least) holds.
 
     A line counts with its newline; without ``last_break``, the newline at a chunk's end doesn't count. A
     longer line is a chunk of its own: cut off at the limit, or with ``whole`` cut up at it, so that the
-    chunks hold all of the text. A text within the limit, also an empty one, is a single chunk.
+    chunks hold all of the text. A text within the limit, also an empty one, is a single chunk. One fold over
+    the lines' sizes finds where chunks begin, and they are cut out once.
     """
-    if len(text.encode()) <= limit:
-        return [text]
-    lines = text.split("\n")
-    sizes = np.array([len(line.encode()) for line in lines], np.int64)
-    ends = np.concatenate([[0], np.cumsum(sizes + 1)])
-    long = sizes + last_break > limit
-    out, at = [], 0
-    while at < len(lines) and (most is None or len(out) < most):
-        if long[at]:
-            out += pieces(lines[at], limit) if whole else [truncated(lines[at], limit)]
-            at += 1
-            continue
-        # the lines up to the one whose end goes beyond the limit, or up to a long one
-        to = int(np.searchsorted(ends, ends[at] + limit + (not last_break), "right")) - 1
-        stop = np.flatnonzero(long[at:to])
-        to = max(at + 1, at + int(stop[0]) if len(stop) else to)
-        out.append("\n".join(lines[at:to]))
-        at = to
-    return out[:most]
-
-
-def pieces(line: str, limit: int) -> list[str]:
-    """A line in pieces of at most ``limit`` bytes, no character split."""
-    data, out = line.encode(), []
-    while data:
-        to = min(limit, len(data))
-        while to < len(data) and to > 1 and data[to] & 0xC0 == 0x80:
-            to -= 1
-        out.append(data[:to].decode("utf-8", "ignore"))
-        data = data[to:]
-    return out
+    lines = F.split(text, "\n", -1)
+    room = limit + (not last_break)
+    begin = F.struct(F.lit(0).alias("i"), F.lit(-1).alias("open"), F.lit(0).alias("used"), F.array().cast(_CUT).alias("cuts"))
+    cut = lambda at, n, long: F.array(F.struct(at.alias("at"), n.alias("n"), F.lit(long).alias("long")))
+
+    def closed(acc: Column) -> Column:
+        return F.when(acc["open"] >= 0, F.concat(acc["cuts"], cut(acc["open"], acc["i"] - acc["open"], False))).otherwise(acc["cuts"])
+
+    def step(acc: Column, size: Column) -> Column:
+        at = lambda open_, used, cuts: F.struct((acc["i"] + 1).alias("i"), open_.alias("open"), used.alias("used"), cuts.alias("cuts"))
+        alone = at(F.lit(-1), F.lit(0), F.concat(closed(acc), cut(acc["i"], F.lit(1), True)))
+        full = at(acc["i"], size + 1, closed(acc))
+        return F.when(size + int(last_break) > limit, alone).when((acc["open"] < 0) | (acc["used"] + size + 1 > room), full).otherwise(at(acc["open"], acc["used"] + size + 1, acc["cuts"]))
+
+    def parts(ls: Column) -> Column:
+        cuts = F.aggregate(F.transform(ls, F.octet_length), begin, step, closed)
+        out = F.flatten(F.transform(cuts, lambda c: F.when(c["long"], _pieces(F.get(ls, c["at"]), limit, whole)).otherwise(F.array(F.array_join(F.slice(ls, c["at"] + 1, c["n"]), "\n")))))
+        return out if most is None else F.slice(out, 1, most)
+
+    return F.when(F.octet_length(text) <= limit, F.array(text)).otherwise(F.transform(F.array(lines), parts)[0])
 
 
 def content_chunks(df: DataFrame, limit: int = CHUNK_BYTES, most: int | None = None, whole: bool = True, last_break: bool = True) -> DataFrame:
     """(resource_id, package_id, content_type, chunk_index, chunk_size, extracted_text) of texts.
 
-    ``df`` has resource_id, package_id, content_type and text; null texts have no chunk. Texts within the
-    limit never leave the JVM; longer ones are split by ``split_chunks``.
+    ``df`` has resource_id, package_id, content_type and text; null texts have no chunk. Texts are split by
+    ``chunked``.
     """
-    columns = ["resource_id", "package_id", "content_type"]
-    df = df.select(*columns, "text").where("text IS NOT NULL")
-
-    def cut(batches):
-        for batch in batches:
-            parts = [split_chunks(t, limit, most, whole, last_break) for t in batch["text"]]
-            n = [len(p) for p in parts]
-            out = batch[columns].loc[batch.index.repeat(n)]
-            texts = [x for p in parts for x in p]
-            yield out.assign(chunk_index=[i for k in n for i in range(k)], chunk_size=[len(x.encode()) for x in texts], extracted_text=texts)
-
-    schema = "resource_id string, package_id string, content_type string, chunk_index int, chunk_size int, extracted_text string"
-    fits = F.octet_length("text") <= limit
-    short = df.where(fits).select(*[F.col(c).cast("string") for c in columns], F.lit(0).alias("chunk_index"), F.octet_length("text").alias("chunk_size"), F.col("text").alias("extracted_text"))
-    return short.unionByName(df.where(~fits).mapInPandas(cut, schema))
+    columns = [F.col(c).cast("string").alias(c) for c in ("resource_id", "package_id", "content_type")]
+    found = df.where("text IS NOT NULL").select(*columns, F.posexplode(chunked(F.col("text"), limit, most, whole, last_break)).alias("chunk_index", "extracted_text"))
+    return found.select("resource_id", "package_id", "content_type", "chunk_index", F.octet_length("extracted_text").alias("chunk_size"), "extracted_text")
 
 
 def chunk_totals(chunks: DataFrame, texts: DataFrame) -> DataFrame:
@@ -134,8 +135,5 @@ def chunk_totals(chunks: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def truncate_column(c: Column, limit: int) -> Column:
-    @F.pandas_udf(StringType())
-    def cut(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: None if t is None else truncated(t, limit))
-
-    return cut(c)
+    """At most ``limit`` UTF-8 bytes of a text, no character split."""
+    return F.when(F.octet_length(c) <= limit, c).otherwise(F.transform(F.array(F.encode(c, "UTF-8")), lambda d: F.decode(F.substring(d, F.lit(1), _char_end(d, F.lit(0), limit)), "UTF-8"))[0])

@@ -73,11 +73,3 @@ def chunk_listing(chunks: DataFrame, resource: str, limit: int = 100) -> DataFra
 def browse(docs: DataFrame, key: str, offset: int = 0, limit: int = 20) -> DataFrame:
     """One page of an index without its long text; at most 100 rows."""
     return docs.drop("extracted_text").orderBy(key).offset(offset).limit(min(limit, 100))
-
-
-def queue_stats(queue: DataFrame, now) -> DataFrame:
-    """(pending, in_flight, delayed) of a queue table (received_at, not_before, done)."""
-    open_ = ~F.col("done")
-    taken = F.col("received_at").isNotNull()
-    later = F.col("not_before") > F.lit(now)
-    return queue.agg(F.count_if(open_ & ~taken & ~F.coalesce(later, F.lit(False))).alias("pending"), F.count_if(open_ & taken).alias("in_flight"), F.count_if(open_ & ~taken & F.coalesce(later, F.lit(False))).alias("delayed"))

@@ -1,40 +1,36 @@
 """Ranked search: BM25 over packages, resources and text chunks, merged to one ranking.
 
-A query has few terms, so no postings are built: one scan counts documents, mean lengths and document
-frequencies of the query's terms (a single row), a second one scores the rows that hold the terms. Both
-are narrow; only the merge by package shuffles.
+Without an index a query is answered by two scans: one counts documents, mean lengths and document
+frequencies of the query's terms (a single row), a second one scores the rows that hold the terms. With a
+kept ``SearchIndex`` the rows of its terms are read in place of texts, and the scores are the same.
 """
 
 from __future__ import annotations
 
 import math
-import re
-from functools import reduce
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import strip_tags_but_mark
+from ..functions import analysis, fragments
 from ..sources.catalog import Catalog
+from ..sources.shared import materialise
+from . import postings as index
 from .listing import package_list
 from .search import Filters, keep_order, matching
 
 K1, B = 1.2, 0.75
 RESOURCE_WEIGHT, CONTENT_SCORE, LEG_TOP = 0.4, 0.4, 100
-TOKEN = r"[\p{L}\p{N}]+"
 
 
 def tokens(c: Column) -> Column:
-    """Words of letters and digits, in lower case."""
-    return F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(TOKEN), F.lit(0))
+    """Words in lower case, with runs of Han and kana as pairs."""
+    return analysis.words(c)
 
 
 def query_terms(q: str) -> list[str]:
-    return list(dict.fromkeys(re.findall(r"[^\W_]+", q.lower())))
-
-
-def _tf(field: str, term: str) -> Column:
-    return F.size(F.filter(F.col(field), lambda w: w == term))
+    return [a.text for a in analysis.asked(q)]
 
 
 def bm25(df: DataFrame, q: str, fields: dict[str, float], to: str = "score") -> DataFrame:
@@ -43,14 +39,14 @@ def bm25(df: DataFrame, q: str, fields: dict[str, float], to: str = "score") ->
     A term counts by its best field, with the largest document frequency of the fields, as they are
     searched as one.
     """
-    terms = query_terms(q)
+    terms = analysis.asked(q)
     if not terms:
         return df.withColumn(to, F.lit(0.0))
-    held = df
+    held, _tf = df, lambda f, t: analysis.occurrences(F.col(f), F.col(f"__{f}"), t)
     for f in fields:
         held = held.withColumn(f"__{f}", tokens(F.col(f)))
     sums = [F.count("*").alias("n")] + [F.avg(F.size(f"__{f}")).alias(f"len_{f}") for f in fields]
-    sums += [F.count_if(_tf(f"__{f}", t) > 0).alias(f"df_{f}_{i}") for f in fields for i, t in enumerate(terms)]
+    sums += [F.count_if(_tf(f, t) > 0).alias(f"df_{f}_{i}") for f in fields for i, t in enumerate(terms)]
     stats = held.agg(*sums).first()  # one row
     total, hit = F.lit(0.0), F.lit(True)
     for i, term in enumerate(terms):
@@ -58,7 +54,7 @@ def bm25(df: DataFrame, q: str, fields: dict[str, float], to: str = "score") ->
         idf = math.log(1 + (stats["n"] - n + 0.5) / (n + 0.5))
         scores = []
         for f, boost in fields.items():
-            tf, mean = _tf(f"__{f}", term).cast("double"), stats[f"len_{f}"] or 1.0
+            tf, mean = _tf(f, term).cast("double"), stats[f"len_{f}"] or 1.0
             norm = K1 * (1 - B + B * F.size(f"__{f}") / F.lit(mean))
             scores.append(F.lit(boost * idf) * tf / (tf + norm))
         best = F.greatest(*scores, F.lit(0.0))
@@ -71,9 +67,13 @@ def keyword_score(boost: float, n: Column, df: Column) -> Column:
     return F.lit(boost / (1 + K1)) * F.log(1 + (n - df + 0.5) / (df + 0.5))
 
 
-def package_leg(packages: DataFrame, q: str, tags: DataFrame | None = None) -> DataFrame:
-    """(id, score): all terms in title or notes, or the whole query equal to the name or to a tag (package_id, tag); the best of them."""
-    legs = bm25(packages, q, {"title": 3.0, "notes": 1.0}).select("id", "score")
+def package_leg(packages: DataFrame, q: str, tags: DataFrame | None = None, words: DataFrame | None = None) -> DataFrame:
+    """(id, score): all terms in title or notes, or the whole query equal to the name or to a tag (package_id, tag); the best of them.
+
+    With ``words``, postings of title and notes, no text is read.
+    """
+    boosts = {"title": 3.0, "notes": 1.0}
+    legs = bm25(packages, q, boosts).select("id", "score") if words is None else index.search(words, q, boosts, packages)
     n = packages.agg(F.count("*").alias("n"))  # one row, like the counts below
     named = packages.where(F.col("name") == q).select("id", F.lit(2.0).alias("boost"))
     for hits in (named, *([tags.where(F.col("tag") == q).select(F.col("package_id").alias("id"), F.lit(1.0).alias("boost")).join(packages.select("id"), "id", "left_semi")] if tags is not None else ())):
@@ -83,20 +83,50 @@ def package_leg(packages: DataFrame, q: str, tags: DataFrame | None = None) -> D
     return legs.groupBy("id").agg(F.max("score").alias("score"))
 
 
-def resource_leg(resources: DataFrame, q: str, top: int = LEG_TOP) -> DataFrame:
-    """(id, package_id, score) of the best resources."""
-    found = bm25(resources, q, {"name": 3.0, "description": 2.0})
+def resource_leg(resources: DataFrame, q: str, top: int = LEG_TOP, words: DataFrame | None = None) -> DataFrame:
+    """(id, package_id, score) of the best resources; with ``words``, postings of name and description, no text is read."""
+    boosts = {"name": 3.0, "description": 2.0}
+    found = bm25(resources, q, boosts) if words is None else resources.select("id", "package_id").join(index.search(words, q, boosts, resources), "id")
     return found.orderBy(F.desc("score"), "id").limit(top).select("id", "package_id", "score")
 
 
-def content_leg(chunks: DataFrame, q: str, top: int = LEG_TOP) -> DataFrame:
-    """(resource_id, package_id, chunk_index, score): the best chunk that holds all terms, a row a resource."""
-    found = bm25(chunks, q, {"extracted_text": 1.0})
+def content_leg(chunks: DataFrame, q: str, top: int = LEG_TOP, words: DataFrame | None = None) -> DataFrame:
+    """(resource_id, package_id, chunk_index, score): the best chunk that holds all terms, a row a resource.
+
+    With ``words``, postings of chunks by ``chunk_id``, no text is read.
+    """
+    boosts = {"extracted_text": 1.0}
+    if words is None:
+        found = bm25(chunks, q, boosts)
+    else:
+        keyed = chunks.select("resource_id", "package_id", "chunk_index", chunk_id("resource_id", "chunk_index").alias("id"))
+        found = keyed.join(index.search(words, q, boosts, keyed), "id")
     best = Window.partitionBy("resource_id").orderBy(F.desc("score"), "chunk_index")
     first = found.withColumn("__n", F.row_number().over(best)).where("__n = 1")
     return first.orderBy(F.desc("score"), "resource_id").limit(top).select("resource_id", "package_id", "chunk_index", "score")
 
 
+@dataclass(frozen=True)
+class SearchIndex:
+    """Kept postings of packages, resources and chunks, and the chunks' keys (resource_id, package_id, chunk_index)."""
+
+    packages: DataFrame
+    resources: DataFrame
+    content: DataFrame
+    chunks: DataFrame
+
+
+def write_index(catalog: Catalog, path: str, chunks: DataFrame | None = None) -> SearchIndex:
+    """The index of a catalog's searchable texts, written under ``path`` and read back."""
+    content = (catalog.content if chunks is None else chunks).withColumn("chunk_id", chunk_id("resource_id", "chunk_index"))
+    index.write_postings(index.postings_of(catalog.package_notes, "id", ["title", "notes"]), f"{path}/packages")
+    index.write_postings(index.postings_of(catalog.resource, "id", ["name", "description"]), f"{path}/resources")
+    index.write_postings(index.postings_of(content, "chunk_id", ["extracted_text"]), f"{path}/content")
+    content.select("resource_id", "package_id", "chunk_index").write.parquet(f"{path}/chunks")
+    read = lambda name: index.read_postings(catalog.spark, f"{path}/{name}")
+    return SearchIndex(read("packages"), read("resources"), read("content"), catalog.spark.read.parquet(f"{path}/chunks"))
+
+
 def merge_legs(packages: DataFrame, resources: DataFrame, content: DataFrame) -> DataFrame:
     """(id, score, source): one ranking of packages, before paging.
 
@@ -114,32 +144,37 @@ def merge_legs(packages: DataFrame, resources: DataFrame, content: DataFrame) ->
     return by.select("id", score.alias("score"), source.alias("source"))
 
 
-def ranked_search(catalog: Catalog, q: str, filters: Filters, chunks: DataFrame | None = None) -> DataFrame:
-    """All matching packages (id, score, source, updated); order by score, then the last update."""
-    packages, resources, content = search_legs(catalog, q, filters, chunks)
-    return merge_legs(packages, resources, content).join(visible_packages(catalog, filters).select("id", "updated"), "id")
+def ranked_search(catalog: Catalog, q: str, filters: Filters, chunks: DataFrame | None = None, kept: SearchIndex | None = None) -> DataFrame:
+    """All matching packages (id, score, source, updated); order by score, then the last update. With a ``kept`` index no text is read."""
+    packages, resources, content = search_legs(catalog, q, filters, chunks, kept)
+    return merge_legs(packages, resources, content).join(visible_packages(catalog, filters, False).select("id", "updated"), "id")
 
 
-def visible_packages(catalog: Catalog, filters: Filters) -> DataFrame:
-    return matching(catalog, filters, catalog.package_notes)
+def visible_packages(catalog: Catalog, filters: Filters, notes: bool = True) -> DataFrame:
+    """The packages that pass the filters, with their notes if these are read anyhow."""
+    return matching(catalog, filters, catalog.package_notes if notes or filters.q else catalog.package)
 
 
-def search_legs(catalog: Catalog, q: str, filters: Filters, chunks: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+def search_legs(catalog: Catalog, q: str, filters: Filters, chunks: DataFrame | None = None, kept: SearchIndex | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """What the query finds in the visible packages, in their active resources, and in their chunks of content."""
-    packages = visible_packages(catalog, filters)
+    packages = visible_packages(catalog, filters, kept is None)
     keys = packages.select(F.col("id").alias("package_id"))
     own = lambda df: df.join(keys, "package_id", "left_semi")
-    content = catalog.content if chunks is None else chunks
-    return package_leg(packages, q, catalog.package_tag), resource_leg(own(catalog.resource.where("state = 'active'")), q), content_leg(own(content), q)
+    content = kept.chunks if kept else catalog.content if chunks is None else chunks
+    return (
+        package_leg(packages, q, catalog.package_tag, kept and kept.packages),
+        resource_leg(own(catalog.resource.where("state = 'active'")), q, words=kept and kept.resources),
+        content_leg(own(content), q, words=kept and kept.content),
+    )
 
 
-def ranked_page(catalog: Catalog, q: str, filters: Filters, offset: int = 0, limit: int = 20, chunks: DataFrame | None = None) -> DataFrame:
+def ranked_page(catalog: Catalog, q: str, filters: Filters, offset: int = 0, limit: int = 20, chunks: DataFrame | None = None, kept: SearchIndex | None = None) -> DataFrame:
     """One page (rank, id, score, source, total): one ranking of all packages by score, last update and id, cut after the merge.
 
     Without a query: the latest packages, with score 0.
     """
     if query_terms(q):
-        found = ranked_search(catalog, q, filters, chunks)
+        found = materialise(ranked_search(catalog, q, filters, chunks, kept), "ranking")  # searched once, for the total and the page
     else:
         found = matching(catalog, filters, catalog.package).select("id", F.lit(0.0).alias("score"), F.lit("package").alias("source"), "updated")
     total = found.agg(F.count("*").alias("total"))  # one row
@@ -167,6 +202,14 @@ def chunk_id(resource: str, index: str) -> Column:
     return F.concat_ws("_chunk_", F.col(resource), F.col(index).cast("string"))
 
 
+def resource_highlights(matched: DataFrame, resources: DataFrame, q: str) -> DataFrame:
+    """Matched resources with their marked name and description; null where nothing is marked."""
+    marked = lambda c: F.when(F.contains(c, F.lit("<mark>")), c)
+    own = resources.withColumnRenamed("id", "resource_id").join(matched.select("resource_id"), "resource_id", "left_semi")
+    texts = own.select("resource_id", marked(highlight(F.col("name"), q)).alias("highlighted_name"), marked(highlight(F.col("description"), q)).alias("highlighted_description"))
+    return matched.join(texts, "resource_id", "left")
+
+
 def with_highlights(shown: DataFrame, packages: DataFrame, q: str) -> DataFrame:
     """A page's rows with the marked title and the best stretch of the notes; null where nothing is marked."""
     marked = lambda c: F.when(F.contains(c, F.lit("<mark>")), c)
@@ -189,25 +232,12 @@ def enriched_page(catalog: Catalog, shown: DataFrame) -> DataFrame:
 
 def highlight(text: Column, q: str) -> Column:
     """``text`` with every query term marked, whatever the case, and no tag but the marks."""
-    terms, text = query_terms(q), strip_tags_but_mark(text)
-    if not terms:
-        return text
-    pattern = "|".join(re.escape(t) for t in sorted(terms, key=len, reverse=True))
-    return F.regexp_replace(text, rf"(?iu)(?<![\p{{L}}\p{{N}}])({pattern})(?![\p{{L}}\p{{N}}])", "<mark>$1</mark>")
+    return fragments.marked(text, q)
 
 
 def fragment(text: Column, q: str, size: int = 200) -> Column:
-    """The stretch of ``size`` characters with the most query terms (the first of equals), marked; null without one."""
-    terms, text = query_terms(q), strip_tags_but_mark(text)  # a tag can't be cut in half
-    starts = F.sequence(F.lit(0), F.greatest(F.ceil((F.length(text) - size / 2) / (size / 2)).cast("int"), F.lit(1)) - 1)
-
-    def held(piece: Column, term: str) -> Column:
-        return F.size(F.filter(tokens(piece), lambda w: w == term))
-
-    count = lambda piece: reduce(lambda a, b: a + b, [held(piece, t) for t in terms], F.lit(0))
-    pieces = F.transform(starts, lambda i: F.struct(count(F.substring(text, i * (size // 2) + 1, F.lit(size))).alias("n"), (-i).alias("i")))
-    best = F.array_max(pieces)
-    return F.when(best["n"] > 0, highlight(F.substring(text, -best["i"] * (size // 2) + 1, F.lit(size)), q))
+    """The stretch of at most ``size`` characters with the most query terms (the first of equals), marked; null without one."""
+    return fragments.fragment(text, q, size)["fragment"]
 
 
 def fetch_highlights(chunks: DataFrame, ids: list[str], q: str, size: int = 300) -> DataFrame:

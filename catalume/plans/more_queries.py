@@ -120,11 +120,6 @@ def messages(c: Catalog):
     return c.raw("events").select(F.when(F.col("event_id") % 10 == 0, F.lit("not json")).otherwise(body).alias("value"))
 
 
-def turned_away(c: Catalog):
-    rejected = jobs.rate_limited(c.raw("events").select("event_id", "user_id", "ts"), "user_id", "ts", 6 * 3600, "event_id").where("NOT accepted")
-    return jobs.deferred(rejected, "ts").select("event_id", "not_before", "status")
-
-
 def chunks_of(c: Catalog, limit: int, last_break: bool):
     docs = c.raw("documents").select(F.col("doc_id").cast("string").alias("resource_id"), F.col("source").alias("package_id"), F.lit("text").alias("content_type"), "text")
     return text.chunk_totals(text.content_chunks(docs, limit, last_break=last_break), docs)
@@ -148,7 +143,6 @@ SPARK = {
     "search_toggle": lambda c: c.package_core.select("id", F.array_join(F.array_sort(search.toggled(F.array(F.lit("BUILDING"), F.lit("MACHINERY")), F.col("license_id"))), ",").alias("chosen")),
     "search_deleted_view": lambda c: search.matching(c, search.Filters(state=search.state_shown("deleted", True, None), allowed_orgs=None)).select(F.lit("nobody").alias("user"), "id").unionByName(search.matching(c, search.Filters(state=search.state_shown("deleted", True, "1"), allowed_orgs=None)).select(F.lit("member").alias("user"), "id")),
     # lookups
-    "lookup_licenses": lambda c: lookup.licenses(c.spark),
     "lookup_with_license": lambda c: lookup.with_license(c.package_core.select("id", F.when(F.col("private"), F.lit("cc-by-4.0")).otherwise(F.col("license_id")).alias("license_id"))),
     "lookup_by_id": lambda c: lookup.by_id(c.package_core, "17").select("id", "name"),
     "lookup_by_ids": lambda c: lookup.by_ids(c.package_core, ["9", "missing", "3", "9"]).select("place", "id", "name"),
@@ -202,10 +196,7 @@ SPARK = {
     "scalar_local_date": lambda c: c.package.select("id", s.local_date(F.col("updated").cast("timestamp")).alias("shown")),
     "jobs_parsed": lambda c: jobs.parse_jobs(messages(c)),
     "jobs_outcome": lambda c: jobs.pipeline_outcome(c.step),
-    "jobs_deferred": turned_away,
-    "jobs_enqueued": lambda c: jobs.enqueue_all(c.resource, NOW).select("type", "data", "attempts", "done"),
     "content_chunk_totals": lambda c: chunks_of(c, text.CHUNK_BYTES, True),
-    "content_chunks_kept_whole": lambda c: chunks_of(c, 2_000, False).select("resource_id", "original", (F.col("indexed") <= F.col("original")).alias("no_more")),
 }
 
 _LINES = """content_lines AS (SELECT CAST(doc_id AS VARCHAR) AS resource_id, CAST(doc_id * 7 % 150 + 1 AS VARCHAR) AS package_id, i - 1 AS chunk_index, extracted_text
@@ -275,7 +266,6 @@ SQL = {
     "search_licenses_distinct": query("SELECT DISTINCT license_id FROM package WHERE state = 'active' AND NOT private AND license_id <> ''"),
     "search_toggle": query("SELECT id, CASE license_id WHEN 'BUILDING' THEN 'MACHINERY' WHEN 'MACHINERY' THEN 'BUILDING' ELSE array_to_string(list_sort(['BUILDING', 'MACHINERY', license_id]), ',') END AS chosen FROM package_core"),
     "search_deleted_view": query("SELECT 'nobody' AS user, id FROM package_core WHERE state = 'active' UNION ALL SELECT 'member', id FROM package_core WHERE state = 'deleted'"),
-    "lookup_licenses": f"SELECT CAST(place AS INTEGER) AS place, id, title, url, own FROM (VALUES {_LICENSES}) v(place, id, title, url, own)",
     "lookup_with_license": query("""SELECT id, CASE WHEN private THEN 'cc-by-4.0' ELSE license_id END AS license_id, CASE WHEN private THEN 'Creative Commons Attribution 4.0' ELSE license_id END AS license_title,
         CASE WHEN private THEN 'https://creativecommons.org/licenses/by/4.0/' END AS license_url FROM package_core"""),
     "lookup_by_id": query("SELECT id, name FROM package_core WHERE id = '17'"),
@@ -343,11 +333,5 @@ SQL = {
     "scalar_local_date": query("SELECT id, coalesce(strftime(CAST(updated AS TIMESTAMP), '%Y-%m-%dT%H:%M:%S'), '1970-01-01T00:00:00') AS shown FROM package"),
     "jobs_parsed": query("SELECT CAST(event_id AS VARCHAR) AS job_id, CASE event_id % 3 WHEN 0 THEN 'process-resource' ELSE 'health-check' END AS type, event_type AS data FROM events WHERE event_id % 10 <> 0 AND event_id % 3 <> 2"),
     "jobs_outcome": query("SELECT resource_id, CASE WHEN bool_or(step_name = 'fetch' AND status = 'error') THEN 'error' ELSE 'complete' END AS status, count(*) FILTER (WHERE status = 'error') AS failed_steps FROM step GROUP BY 1", _STEP),
-    "jobs_deferred": """WITH RECURSIVE taken AS (SELECT user_id, min(ts) AS ts FROM events GROUP BY user_id
-        UNION ALL SELECT a.user_id, min(e.ts) FROM taken a JOIN events e ON e.user_id = a.user_id AND e.ts > a.ts + INTERVAL 6 HOURS GROUP BY a.user_id)
-        SELECT event_id, ts + INTERVAL 2 SECONDS AS not_before, 'queued' AS status FROM (SELECT e.*, t.ts IS NOT NULL AND row_number() OVER (PARTITION BY e.user_id, e.ts ORDER BY event_id) = 1 AS accepted
-            FROM events e LEFT JOIN taken t ON t.user_id = e.user_id AND t.ts = e.ts) WHERE NOT accepted""",
-    "jobs_enqueued": query("""SELECT 'process-resource' AS type, '{"resourceId":"' || id || '"}' AS data, 0 AS attempts, false AS done FROM resource WHERE state = 'active'"""),
     "content_chunk_totals": query("SELECT CAST(doc_id AS VARCHAR) AS resource_id, strlen(text) AS original, 1::BIGINT AS chunks, strlen(text) AS indexed FROM documents WHERE text IS NOT NULL"),
-    "content_chunks_kept_whole": query("SELECT CAST(doc_id AS VARCHAR) AS resource_id, strlen(text) AS original, true AS no_more FROM documents WHERE text IS NOT NULL"),
 }

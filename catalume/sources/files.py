@@ -137,14 +137,18 @@ def typed_rows(tables: DataFrame, path: str) -> DataFrame:
     return own.select("row_index", *[F.get("cells", F.lit(i)).alias(n) for i, n in enumerate(first["columns"] if first else [])])
 
 
-def write_preview(table: DataFrame, path: str) -> None:
-    """A table as Parquet, in row order, with a bounded number of rows a file."""
-    table.repartitionByRange(F.col("row_index")).sortWithinPartitions("row_index").write.option("maxRecordsPerFile", ROWS_PER_FILE).parquet(path)
+def write_preview(table: DataFrame, path: str, rows: int = ROWS_PER_FILE) -> None:
+    """A table as Parquet, in row order, ``rows`` rows a page; a page is a folder, named by its number."""
+    paged = table.withColumn("page", F.floor(F.col("row_index") / F.lit(rows)).cast("int"))
+    paged.repartitionByRange("page").sortWithinPartitions("page", "row_index").write.partitionBy("page").parquet(path)
 
 
-def read_rows(df: DataFrame, start: int, end: int) -> DataFrame:
-    """Rows ``start`` to ``end`` (exclusive) of a preview; only the row groups that hold them are read."""
-    return df.where((F.col("row_index") >= start) & (F.col("row_index") < end)).orderBy("row_index")
+def read_rows(df: DataFrame, start: int, end: int, rows: int = ROWS_PER_FILE) -> DataFrame:
+    """Rows ``start`` to ``end`` (exclusive) of a preview; only the pages that hold them are opened."""
+    own = (F.col("row_index") >= start) & (F.col("row_index") < end)
+    if "page" in df.columns:
+        own = own & F.col("page").between(start // rows, max(start, end - 1) // rows)
+    return df.where(own).drop("page").orderBy("row_index")
 
 
 def zip_name(raw: str, flags: int) -> str:
@@ -218,9 +222,22 @@ def split_lines(df: DataFrame, text: str = "text", to: str = "line") -> DataFram
     return df.where(F.col(text) != "").select(*[c for c in df.columns if c != text], F.posexplode(parts).alias("at", to))
 
 
+def collated(name: Column) -> Column:
+    """A name to order by as readers expect it: accents beside their letters, small letters before capital ones."""
+    return F.collate(name, "UNICODE")
+
+
 def tree_order(tree: DataFrame) -> DataFrame:
-    """A tree's nodes in the order in which they are shown: directories first, then by name, whatever the case."""
-    return tree.orderBy("path", F.col("is_directory").desc(), F.lower("node"), "node")
+    """A tree's nodes in the order in which they are shown: directories first, then by name as readers order names."""
+    return tree.orderBy("path", F.col("is_directory").desc(), collated(F.col("node")), "node")
+
+
+def placed(tree: DataFrame) -> DataFrame:
+    """A tree's nodes with ``parent``, ``name`` and their place among the parent's children in the shown order."""
+    at = F.length("node") - F.length(F.substring_index("node", "/", -1))
+    named = tree.select("*", F.substring(F.col("node"), F.lit(1), F.greatest(at - 1, F.lit(0))).alias("parent"), F.substring_index("node", "/", -1).alias("name"))
+    shown = Window.partitionBy("path", "parent").orderBy(F.col("is_directory").desc(), collated(F.col("name")), "name")
+    return named.withColumn("place", F.row_number().over(shown))
 
 
 def path_tree(entries: DataFrame) -> DataFrame:

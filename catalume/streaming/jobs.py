@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 TYPES = ("process-resource", "health-check")
-MAX_RECEIVES = 3
 
 
 def parse_jobs(messages: DataFrame, types: Sequence[str] = TYPES, body: str = "value") -> DataFrame:
@@ -18,62 +17,36 @@ def parse_jobs(messages: DataFrame, types: Sequence[str] = TYPES, body: str = "v
     return messages.withColumn("job", parsed).where(F.col("job.type").isin(*types)).select(F.col("job.id").alias("job_id"), F.col("job.type").alias("type"), F.col("job.data").alias("data"))
 
 
-def accepted_times(times: Sequence[float], interval: float, last: float | None = None) -> tuple[list[bool], float | None]:
-    """Of ascending times, which are accepted: those more than ``interval`` after the last accepted one."""
-    out = []
-    for t in times:
-        ok = last is None or t - last > interval
-        last = t if ok else last
-        out.append(ok)
-    return out, last
-
-
 def rate_limited(events: DataFrame, key: str, time: str, seconds: float, tie: str) -> DataFrame:
     """``events`` with ``accepted``, each key's rows taken in order of time. For tables at rest.
 
     A key's rows are folded in batches as they come, sorted, from a partition of many keys, so only the
-    last accepted time is held, whatever the size of a key.
+    last accepted time is held, whatever the size of a key. From one accepted event the next one is found by a
+    search among the key's times, so the work grows with the accepted events.
     """
     schema = events.withColumn("accepted", F.lit(True)).schema
     dealt = events.repartition(F.col(key)).sortWithinPartitions(key, time, tie)
+    wait = round(seconds * 1_000_000)
 
     def fold(batches):
         own, last = None, None
         for batch in batches:
-            ok = []
-            stamps = batch[time].astype("int64").to_numpy() / (1e9 if "ns" in str(batch[time].dtype) else 1e6)
-            for k, t in zip(batch[key], stamps, strict=True):
-                if k != own:
-                    own, last = k, None
-                (a,), last = accepted_times([t], seconds, last)
-                ok.append(a)
+            times = batch[time].astype("datetime64[us]").astype("int64").to_numpy()
+            keys = batch[key].to_numpy()
+            new = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, int)
+            ok = np.zeros(len(batch), bool)
+            for begin, end in zip(new, np.r_[new[1:], len(keys)], strict=True):
+                if keys[begin] != own:
+                    own, last = keys[begin], None
+                at = begin if last is None else begin + int(np.searchsorted(times[begin:end], last + wait, "right"))
+                while at < end:
+                    ok[at], last = True, int(times[at])
+                    at += int(np.searchsorted(times[at:end], last + wait, "right"))
             yield batch.assign(accepted=ok)
 
     return dealt.mapInPandas(fold, schema)
 
 
-def rate_limited_stream(events: DataFrame, key: str, time: str, seconds: float) -> DataFrame:
-    """The same rule over a stream, with the last accepted time of each key as state: (key, time, accepted)."""
-
-    def fold(keys, batches, state):
-        last = state.get[0] if state.exists else None
-        for batch in batches:
-            batch = batch.sort_values(time)
-            stamps = batch[time].astype("int64").to_numpy() / (1e9 if "ns" in str(batch[time].dtype) else 1e6)
-            ok, last = accepted_times(stamps.tolist(), seconds, last)
-            yield pd.DataFrame({key: batch[key], time: batch[time], "accepted": ok})
-        if last is not None:
-            state.update((last,))
-
-    kinds = dict(events.dtypes)
-    return events.groupBy(key).applyInPandasWithState(fold, f"{key} {kinds[key]}, {time} {kinds[time]}, accepted boolean", "last double", "append", "NoTimeout")
-
-
-def deferred(rejected: DataFrame, time: str, seconds: int = 2) -> DataFrame:
-    """Work that was turned away goes back to the queue, not before some seconds have passed."""
-    return rejected.select("*", (F.col(time) + F.expr(f"INTERVAL {int(seconds)} SECONDS")).alias("not_before"), F.lit("queued").alias("status"))
-
-
 def latest_state(log: DataFrame, key: str, time: str) -> DataFrame:
     """The last status of each job in an event log."""
     return log.groupBy(key).agg(F.max_by("status", F.struct(time, "status")).alias("status"), F.max(time).alias("updated"))
@@ -85,20 +58,6 @@ def pipeline_outcome(steps: DataFrame) -> DataFrame:
     return steps.groupBy("resource_id").agg(F.when(failed("fetch"), "error").otherwise("complete").alias("status"), F.count_if(F.col("status") == "error").alias("failed_steps"))
 
 
-def receive(queue: DataFrame, now, visibility: int = 600, receives: int = MAX_RECEIVES) -> tuple[DataFrame, DataFrame]:
-    """(to work on, dead): messages not in work or taken too long ago; those received too often are dead letters."""
-    taken = F.col("received_at").isNotNull() & (F.col("received_at") > F.lit(now) - F.expr(f"INTERVAL {int(visibility)} SECONDS"))
-    ready = queue.where(~F.col("done") & ~taken & (F.col("not_before").isNull() | (F.col("not_before") <= F.lit(now))))
-    return ready.where(F.col("attempts") < receives), ready.where(F.col("attempts") >= receives)
-
-
-def enqueue_all(resources: DataFrame, now) -> DataFrame:
-    """A queue row for each active resource."""
-    return resources.where("state = 'active'").select(
-        F.expr("uuid()").alias("job_id"), F.lit("process-resource").alias("type"), F.to_json(F.struct(F.col("id").alias("resourceId"))).alias("data"), F.lit(now).cast("timestamp").alias("not_before"), F.lit(0).alias("attempts"), F.lit(None).cast("timestamp").alias("received_at"), F.lit(False).alias("done")
-    )
-
-
 def consume(messages: DataFrame, write, checkpoint: str):
     """Run a job stream to its present end: every micro-batch goes to ``write(batch, id)``, which must be idempotent by id."""
     return parse_jobs(messages).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -1,12 +1,12 @@
 """Golden cases of files, texts, scalars, and the job stream."""
 
 import io
+import itertools
+import random
 import zipfile
 from datetime import datetime, timedelta
 
 import pytest
-from hypothesis import given, settings
-from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from catalume.functions import scalars as s
@@ -94,41 +94,44 @@ def test_geojson(spark):
     assert tuple(files.feature_bounds(features).first()[1:]) == (1.5, -2.0, 139.7, 35.6)
 
 
-def test_chunks():
-    assert len(text.split_chunks("line1\nline2\nline3", 10)) > 1
-    assert len(text.split_chunks("\n".join(f"line {i}" for i in range(100)), 20, 3)) == 3
-    assert text.split_chunks("x" * 200, 50) == ["x" * 50] and text.split_chunks("", 10) == [""]
-    assert text.truncated("日本語", 4) == "日"
-
-
-def plain_chunks(lines, limit, extra, keep):
-    """Line by line: a chunk ends where the next line doesn't fit; ``extra`` bytes are spared at a chunk's end."""
-    out, held, size = [], [], 0
-    for line in lines:
+def plain_chunks(whole, limit, last_break, keep):
+    """Line by line: a chunk ends where the next line doesn't fit; without ``last_break`` its last newline is spared."""
+    extra, out, held, size = 0 if last_break else 1, [], [], 0
+    if len(whole.encode()) <= limit:
+        return [whole]
+    for line in whole.split("\n"):
         n = len(line.encode()) + 1
         if held and (size + n - extra > limit or n - extra > limit):
             out.append("\n".join(held))
             held, size = [], 0
         if n - extra > limit:
-            out += text.pieces(line, limit) if keep else [text.truncated(line, limit)]
+            piece, used = "", 0
+            for ch in line:
+                if used + len(ch.encode()) > limit:
+                    out.append(piece)
+                    piece, used = "", 0
+                    if not keep:
+                        break
+                piece, used = piece + ch, used + len(ch.encode())
+            out += [piece] if piece else []
         else:
             held.append(line)
             size += n
     return out + (["\n".join(held)] if held else [])
 
 
-@settings(max_examples=300, deadline=None)
-@given(st.lists(st.text("ab é漢", max_size=14), min_size=1, max_size=12), st.integers(4, 30), st.booleans(), st.booleans())
-def test_chunks_equal_a_plain_fold(lines, limit, keep, last_break):
-    whole = "\n".join(lines)
-    got = text.split_chunks(whole, limit, whole=keep, last_break=last_break)
-    if len(whole.encode()) <= limit:
-        assert got == [whole]
-    else:
-        assert got == plain_chunks(lines, limit, not last_break, keep)
-        assert all(len(c.encode()) <= limit for c in got)
-        if keep:
-            assert "".join(got).replace("\n", "") == whole.replace("\n", "")
+def test_chunks_equal_a_plain_fold(spark):
+    rng = random.Random(4)
+    texts = ["", "x" * 200, "line1\nline2\nline3", "\n" * 40, "日本語" * 9, "é\n" + "漢😀" * 20]
+    texts += ["\n".join("".join(rng.choice("ab é漢😀") for _ in range(rng.choice((0, 1, 3, 8, 30)))) for _ in range(rng.randrange(1, 10))) for _ in range(300)]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    for limit, keep, last_break in itertools.product((4, 9, 30), (True, False), (True, False)):
+        for r in df.select("t", text.chunked(F.col("t"), limit, None, keep, last_break).alias("c"), text.chunked(F.col("t"), limit, 2, keep, last_break).alias("two")).collect():
+            assert r.c == plain_chunks(r.t, limit, last_break, keep) and r.two == r.c[:2]
+            assert all(len(c.encode()) <= limit for c in r.c)
+            if keep:
+                assert "".join(r.c).replace("\n", "") == r.t.replace("\n", "")
+    assert one(spark, text.truncate_column(F.lit("日本語"), 4)) == "日" and one(spark, text.truncate_column(F.lit("日本語"), 9)) == "日本語"
 
 
 def test_chunks_of_a_table_lose_nothing(spark):
@@ -184,30 +187,21 @@ def test_legs_are_merged(spark):
     assert got == {"a": (3.2, "package"), "b": (0.8, "resource"), "c": (0.4, "content")}
 
 
-def test_rate_limit_twins_agree(spark, tmp_path):
+def test_rate_limit(spark):
     t0 = datetime(2024, 1, 1)
-    events = [(h, t0 + timedelta(milliseconds=ms)) for h, ms in (("a", 0), ("a", 500), ("a", 1001), ("a", 1900), ("a", 2002), ("b", 10), ("b", 1010), ("b", 1011))]
+    events = [(h, t0 + timedelta(milliseconds=ms)) for h, ms in (("a", 0), ("a", 500), ("a", 1001), ("a", 1900), ("a", 2002), ("b", 10), ("b", 1010), ("b", 1011), (None, 5), (None, 6))]
     df = spark.createDataFrame([(i, *e) for i, e in enumerate(events)], "id long, host string, ts timestamp")
     got = [r.accepted for r in jobs.rate_limited(df, "host", "ts", 1.0, "id").orderBy("id").collect()]
-    assert got == [True, False, True, False, True, True, False, True]
-    df.select("host", "ts").coalesce(1).write.parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema("host string, ts timestamp").parquet(str(tmp_path / "in"))
-    query = jobs.rate_limited_stream(stream, "host", "ts", 1.0).writeStream.format("memory").queryName("limited").outputMode("append").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
-    query.awaitTermination()
-    assert sorted((r.host, r.ts, r.accepted) for r in spark.table("limited").collect()) == sorted((*e, a) for e, a in zip(events, got, strict=True))
+    assert got == [True, False, True, False, True, True, False, True, True, False]
+    assert jobs.rate_limited(df.limit(0), "host", "ts", 1.0, "id").count() == 0
 
 
-def test_job_stream_and_queue(spark, tmp_path):
+def test_job_stream(spark, tmp_path):
     lines = ['{"id":"1","type":"process-resource","data":{"x":1}}', "not json", '{"id":"2","type":"other"}']
     spark.createDataFrame([(x,) for x in lines], "value string").coalesce(1).write.text(str(tmp_path / "in"))
     seen = []
     jobs.consume(spark.readStream.text(str(tmp_path / "in")), lambda df, _: seen.extend(r.job_id for r in df.collect()), str(tmp_path / "ck")).awaitTermination()
     assert seen == ["1"]
-    now = datetime(2024, 1, 1)
-    rows = [("new", 0, None, None, False), ("late", 0, None, now + timedelta(1), False), ("dead", 3, None, None, False), ("taken", 1, now, None, False), ("back", 1, now - timedelta(hours=1), None, False), ("done", 1, None, None, True)]
-    queue = spark.createDataFrame(rows, "id string, attempts int, received_at timestamp, not_before timestamp, done boolean")
-    work, dead = jobs.receive(queue, now)
-    assert sorted(r.id for r in work.collect()) == ["back", "new"] and [r.id for r in dead.collect()] == ["dead"]
 
 
 def test_reorder(spark):
