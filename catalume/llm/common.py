@@ -2,49 +2,24 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import materialise, shared_dir, shared_path  # noqa: F401
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One table of a data directory, by whatever file system Spark reads it from."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Where the session names none, one is set up on this machine if Spark runs here alone (as in tests).
-    """
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        held = spark.sparkContext.getCheckpointDir()
-        if held is None:
-            if not spark.sparkContext.master.split("[")[0] == "local":
-                raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="catalume-"))
-            held = spark.sparkContext.getCheckpointDir()
-        path = held
-    return path.rstrip("/")
-
-
-def shared_path(spark: SparkSession, kind: str) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_dir(spark)}/{kind}-{uuid.uuid4().hex}"
-
-
-def materialise(df: DataFrame, kind: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: the lineage ends there.
-
-    The copy outlives any executor, and a recomputed task reads the very same rows.
-    """
+def release(df: DataFrame) -> None:
+    """Delete a table that ``materialise`` wrote, once nothing reads it any more: all that came of it is written."""
     spark = df.sparkSession
-    path = shared_path(spark, kind)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    folders = {f.rsplit("/", 1)[0] for f in df.inputFiles()}
+    for folder in folders:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def text_or_empty(column: str = "text"):

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, release
 
 
 def _star(edges: DataFrame) -> DataFrame:
@@ -28,7 +28,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node that has an edge and isn't the smallest of its component.
 
     ``edges`` has two columns of one orderable type; the order of the ends, repeats and loops don't matter,
-    and edges with a null end are none.
+    and edges with a null end are none; a graph without edges has no rows. A round's edges are deleted when
+    the next ones are written.
     """
     a, b = (F.col(f"`{c}`") for c in edges.columns)
     now = materialise(edges.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).where("a <> b").where(a.isNotNull() & b.isNotNull()).distinct(), "edges")
@@ -37,4 +38,5 @@ def connected_components(edges: DataFrame) -> DataFrame:
         found = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if found == mark or not found[0]:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
-        mark, now = found, materialise(_star(now), "edges")
+        mark, before, now = found, now, materialise(_star(now), "edges")
+        release(before)

@@ -1,17 +1,19 @@
 """Main text of web pages by nearest-URL page differencing.
 
-A page is cut into lines at block elements, menus and footers included. Within each host, pages are
-ordered by URL path; each is paired with the neighbour whose path has the longer common prefix (the one
-before, if equal). The lines that both share, as a longest common subsequence of all lines, are the site's
-own, and are deleted; a line in a menu or advert and one of the text are different lines. Of lines inside an ``article`` or ``main`` element, whose sentences may be quoted by
-another page, only those are that both neighbours share, where there are two. If a pair shares nearly all
-of what could be text (copies of a page), that neighbour isn't asked; copies on both sides delete nothing.
-
-Lines that no neighbour shares may still be the site's: those of a page alone on its host, and what
-changes from page to page (adverts, reader comments, links to other pages). Of these the ones go that
-stand in a menu, header, footer, sidebar, form, notice, advert or comment by their element, role or class;
-an ``article`` isn't left out by its class, nor is an element with ``WRAPS`` or more of the page's
-characters. What is left is the text.
+A page is cut into lines at block elements. Two rules decide which of them are the site's own.
+
+What stands in a menu, header, footer, sidebar, form, notice, advert or comment by its element, role or
+class goes, whether another page shares it or not: most of it changes from page to page, and some pages are
+alone on their host. An ``article`` isn't left out by its class, nor is an element with ``WRAPS`` or more of
+the page's characters.
+
+Of all other lines, differencing decides. Within each host, pages are ordered by URL path; each is paired
+with the neighbour whose path has the longer common prefix (the one before, if equal). The lines that both
+share, as a longest common subsequence of all lines, are deleted. Lines in menus and the like take part in
+that alignment as anchors, but never match a line of the text, and nothing else comes of them. Of lines inside
+an ``article`` or ``main`` element, whose sentences may be quoted by another page, only those are deleted that
+both neighbours share, where there are two. If a pair shares nearly all of what could be text (copies of a
+page), that neighbour isn't asked; copies on both sides delete nothing. What is left is the text.
 
 The pairing moves only hashes of lines; the text of pages crosses one join.
 
@@ -240,12 +242,16 @@ def main_text(pages: DataFrame) -> DataFrame:
     ordered = materialise(ordered, "pages")
     seen = F.struct("host", "path", "lines")
     within = Window.partitionBy("part").orderBy("host", "path", "row")
-    # the first and the last page of each part: as many rows as there are parts
+    # of the first and the last page of each part, the one beside it in the next part: keys first, their lines after
     key = F.struct("host", "path", "row")
-    ends = ordered.groupBy("part").agg(F.min_by(seen, key).alias("first"), F.max_by(seen, key).alias("last"))
-    along = Window.orderBy("part")
-    ends = ends.select("part", F.lag("last").over(along).alias("last_before"), F.lead("first").over(along).alias("first_after"))
-    near = ordered.withColumns({"before": F.lag(seen).over(within), "after": F.lead(seen).over(within)}).join(F.broadcast(ends), "part")
+    ends = ordered.groupBy("part").agg(F.min(key).alias("first"), F.max(key).alias("last"))
+    along = Window.orderBy("part")  # a row a part, without lines
+    ends = ends.select("part", F.lag("last").over(along)["row"].alias("row_before"), F.lead("first").over(along)["row"].alias("row_after"))
+    ends = materialise(ends, "ends")
+    lines_of = ordered.join(ends.select(F.explode(F.array("row_before", "row_after")).alias("row")).distinct(), "row", "left_semi").select("row", seen.alias("seen"))
+    for side in ("before", "after"):
+        ends = ends.join(lines_of.toDF(f"row_{side}", "last_before" if side == "before" else "first_after"), f"row_{side}", "left")
+    near = ordered.withColumns({"before": F.lag(seen).over(within), "after": F.lead(seen).over(within)}).join(ends, "part")
     pairs = near.select("row", "host", "path", "lines", "sizes", "inside", F.coalesce("before", "last_before").alias("before"), F.coalesce("after", "first_after").alias("after"))
     pairs = pairs.where(F.size("lines") > 0)
 

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, sieved
+from .common import materialise, release, sieved
 from .components import connected_components
 from .tokens import portions
 
@@ -320,10 +320,14 @@ def _by_rare_shingles(keys: DataFrame, known: DataFrame, check, least: float) ->
     out, pivots, small = known, PIVOTS, SMALL
     share = least / (1 + least)
     fits = lambda x, y: F.least(x["rem"], y["rem"]) + 1e-6 >= share * (x["n"] + y["n"])
+    done: list[DataFrame] = []
     while True:
         keys = materialise(_live(keys, least), "keys")
+        while done:
+            release(done.pop())
         if not keys.take(1):
             return out
+        done.append(keys)
         own = F.struct("row", "n", "rem")
         few = keys.where(F.col("m") <= small).groupBy("key").agg(F.array_sort(F.collect_list(own)).alias("rows"))
         two = F.flatten(F.transform("rows", lambda x, i: F.transform(F.filter(F.slice("rows", i + 2, small), lambda y: fits(x, y)), lambda y: F.struct(x["row"].alias("x"), y["row"].alias("y")))))
@@ -332,6 +336,7 @@ def _by_rare_shingles(keys: DataFrame, known: DataFrame, check, least: float) ->
         heads = many.where("drawn").groupBy("key").agg(F.collect_list(own).alias("heads"))
         met = F.filter("heads", lambda p: (p["row"] != F.col("row")) & fits(p, own))
         asked = materialise(_spread_join(many.select("row", "key", "n", "rem"), heads, "key").select("key", "row", F.explode(met).alias("p")).select("key", "row", F.col("p.row").alias("head")), "asked")
+        done.append(asked)
         pairs = few.select(F.explode(two).alias("p")).select("p.x", "p.y").unionByName(asked.select(*_ordered("head", "row"))).distinct()
         found = materialise(check(pairs.join(out.select("x", "y"), ["x", "y"], "left_anti")), "links")
         out = out.unionByName(found)

@@ -153,3 +153,127 @@ def test_sentences_that_one_page_quotes_stay_in_an_article(spark):
 
 def test_empty_table(spark):
     assert htmltext.main_text(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+class Tree:
+    """A page by the standard library's parser, as a tree of [name, attributes, children]; written apart from the operator."""
+
+    VOID = set("area base br col embed hr img input link meta param source track wbr".split())
+    SILENT = set("script style noscript template svg iframe textarea title math canvas object".split())
+
+    def __init__(self, page):
+        from html.parser import HTMLParser
+
+        root = ["", {}, []]
+        stack = [root]
+
+        class Parser(HTMLParser):
+            def handle_starttag(self, tag, attrs):
+                node = [tag, {k: v or "" for k, v in attrs}, []]
+                stack[-1][2].append(node)
+                if tag not in Tree.VOID:
+                    stack.append(node)
+
+            def handle_startendtag(self, tag, attrs):
+                stack[-1][2].append([tag, dict(attrs), []])
+
+            def handle_endtag(self, tag):
+                names = [n[0] for n in stack]
+                if tag in names[1:]:
+                    del stack[len(names) - 1 - names[::-1].index(tag) :]
+
+            def handle_data(self, data):
+                stack[-1][2].append(data)
+
+        Parser().feed(page)
+        self.root = root
+
+    def lines(self):
+        """(text, in an article, left out) of each block."""
+        out, held = [], []
+
+        def flush(article, gone):
+            text = " ".join("".join(held).split())
+            if text:
+                out.append((text, article, gone))
+            held.clear()
+
+        def walk(node, article, gone):
+            name, attrs, children = node
+            block = name not in htmltext._INLINE
+            if name in Tree.SILENT:
+                return
+            if block:
+                flush(article, gone)
+            words = " ".join([attrs.get("class", ""), attrs.get("id", "")])
+            inner = gone or name in htmltext._OUT and not (name == "header" and article) or attrs.get("role", "") in htmltext._ROLES or "hidden" in attrs
+            inner = inner or name not in ("html", "body", "main", "article") and bool(htmltext._OUT_CLASS.search(words))
+            into = article or name in ("article", "main")
+            for child in children:
+                if isinstance(child, str):
+                    held.append(child)
+                else:
+                    if child[0] not in htmltext._INLINE:
+                        flush(into, inner)
+                    walk(child, into, inner)
+                    if child[0] not in htmltext._INLINE:
+                        flush(into, inner)
+            if block:
+                flush(into, inner)
+
+        walk(self.root, False, False)
+        flush(False, False)
+        return out
+
+
+def plain_texts(pages):
+    """Every page's text: lines by a tree, neighbours by a sort, common lines by a table."""
+    from urllib.parse import urlsplit
+
+    read = []
+    for page_id, url, page in pages:
+        parts = urlsplit(url or "")
+        read.append((parts.netloc.lower() if parts.netloc else "", parts.path or "/", page_id, Tree(page or "").lines()))
+    out, order = {}, sorted(read, key=lambda r: r[:3])
+    for i, (host, path, page_id, own) in enumerate(order):
+        shared = []
+        beside = [(order[j], j - i) for j in (i - 1, i + 1) if 0 <= j < len(order) and order[j][0] == host]
+        beside.sort(key=lambda b: (-len(os.path.commonprefix([path, b[0][1]])), b[1]))
+        for (_, _, _, other), _ in beside:
+            at = common_places([(t, g) for t, _, g in own], [(t, g) for t, _, g in other])
+            size = lambda k: 0 if own[k][2] else len(own[k][0])
+            whole = sum(map(size, range(len(own))))
+            if not whole or sum(map(size, at)) < 0.8 * whole:
+                shared.append(at)
+        drop = set()
+        if shared:
+            drop = {k for k in shared[0] if k in set(shared[-1]) or not own[k][1]}
+        out[page_id] = " ".join(t for k, (t, _, gone) in enumerate(own) if not gone and k not in drop)
+    return out
+
+
+def common_places(a, b):
+    table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i in range(len(a)):
+        for j in range(len(b)):
+            table[i + 1][j + 1] = table[i][j] + 1 if a[i] == b[j] else max(table[i][j + 1], table[i + 1][j])
+    out, i, j = [], len(a), len(b)
+    while i and j:
+        if a[i - 1] == b[j - 1]:
+            out.append(i - 1)
+            i, j = i - 1, j - 1
+        elif table[i - 1][j] >= table[i][j - 1]:
+            i -= 1
+        else:
+            j -= 1
+    return out
+
+
+def test_whole_table_against_another_parser_and_a_plain_table(spark):
+    """Texts of all pages; where two alignments are equally long the choice may differ, and no more than that."""
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    want = plain_texts([(r.page_id, r.url, r.html) for r in pages.collect()])
+    got = {r.page_id: r.text for r in htmltext.main_text(pages).collect()}
+    assert got.keys() == want.keys() and any(want.values())
+    differ = [i for i in got if got[i] != want[i]]
+    assert len(differ) <= 0.01 * len(got), [(got[i][:300], want[i][:300]) for i in differ[:2]]

@@ -66,3 +66,38 @@ def test_equal_texts_score_alike_to_the_last_bit_in_any_batch(spark, odd_rows):
         for i in range(0, len(texts) * 2, size):
             got = network.score(pool((texts * 2)[i : i + size]))
             assert (got == whole[i : i + size][: len(got)]).all()
+
+
+def test_vectors_and_features_by_plain_loops(spark, odd_rows):
+    """Every word's neighbours added one by one, and every document pooled word by word."""
+    import re
+    import zlib
+
+    texts = [t for _, t in odd_rows if len(t or "") < 20_000] + ["one two one three one two"]
+    places, signs = quality._index_vectors()
+    table, counts = np.zeros((quality.BUCKETS, quality.SIZE)), np.zeros(quality.BUCKETS)
+    cut = [[zlib.crc32(w.encode()) % quality.BUCKETS for w in re.findall(r"\w+|[^\w\s]+", t or "")] for t in texts]
+    for words in cut:
+        for i, w in enumerate(words):
+            counts[w] += 1
+            for j in (i - 2, i - 1, i + 1, i + 2):
+                if 0 <= j < len(words):
+                    for at, sign in zip(places[words[j]], signs[words[j]], strict=True):
+                        table[w, at] += sign
+    mean = table.sum(0) / counts.sum()
+    vectors = np.array([row - n * mean for row, n in zip(table, counts, strict=True)])
+    vectors /= np.maximum(np.sqrt((vectors * vectors).sum(1)), 1e-9)[:, None]
+    got, n = quality.word_vectors(documents(spark, list(enumerate(texts))))
+    assert (n == counts).all() and np.abs(got - vectors).max() < 1e-5
+
+    pool = quality.Pooling(got, n)
+    for features, words in zip(pool(texts), cut, strict=True):
+        want = np.zeros(pool.size)
+        if words:
+            v = [got[w].astype(float) for w in words]
+            rare = [1e-3 / (1e-3 + counts[w] / counts.sum()) for w in words]
+            plain = sum(v) / len(v)
+            weighted = sum(r * x for r, x in zip(rare, v, strict=True)) / sum(rare)
+            beside = sum(float(a @ b) for a, b in zip(v, v[1:])) / max(len(v) - 1, 1)
+            want = np.concatenate([plain, weighted, [beside, np.linalg.norm(plain), np.linalg.norm(weighted), np.log1p(len(v)) / 8, len(set(words)) / len(v)]])
+        assert np.abs(features - want).max() < 1e-3

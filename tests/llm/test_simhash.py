@@ -72,6 +72,12 @@ def test_components_of_a_long_path_and_a_hub(spark):
     assert got == {**{i: 0 for i in range(1, 61)}, **{1001 + i: 1000 for i in range(300)}}
 
 
+def test_components_of_an_empty_graph_and_of_null_ends(spark):
+    assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+    df = spark.createDataFrame([(None, 1), (2, None), (None, None), (4, 4)], "a long, b long")
+    assert connected_components(df).count() == 0
+
+
 def test_deduplicate_keeps_one_of_each_class_and_all_columns(spark, odd_rows):
     text = " ".join(f"word{i}" for i in range(300))
     near = text.replace("word150 ", "changed ")  # shares 291 of 301 shingles of five words
