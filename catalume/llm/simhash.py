@@ -201,6 +201,9 @@ def _spread_join(many: DataFrame, one: DataFrame, *keys: str) -> DataFrame:
 SHINGLE, SIMILAR, NEAR_BITS, DRAWS, SKETCH, MARGIN, SMALL, LATER = 5, 0.8, 3, 8, 1024, 0.0625, 12, 128
 #: Cells of the counts of shingles.
 COUNTS = 1 << 18
+#: Buckets of a short sketch (a power of two), sets from which on it is asked, and how far below the least
+#: similarity its estimate turns a pair away (seven standard deviations).
+BINS, LONG, FAR = 128, 128, 0.25
 #: About how many members of a larger group the others are compared with in the first round by rare shingles,
 #: and how many times as many in each further one.
 PIVOTS, MORE = 2, 8
@@ -213,6 +216,24 @@ def similarity(a: np.ndarray, b: np.ndarray, size: int = SKETCH) -> float:
     return float(np.isin(union, np.intersect1d(a, b, True), True).mean()) if len(union) else 1.0
 
 
+def short_sketch(h: np.ndarray) -> np.ndarray:
+    """Of the smallest of the sorted hashes in each bucket 16 bits, -1 for none; a bucket is told by a hash's first bits."""
+    shift = np.uint64(64 - (BINS.bit_length() - 1))
+    out = np.full(BINS, -1, np.int32)
+    if len(h):
+        at = np.minimum(np.searchsorted(h, np.arange(BINS, dtype=np.uint64) << shift), len(h) - 1)
+        held = (h[at] >> shift) == np.arange(BINS, dtype=np.uint64)
+        out[held] = (h[at] & np.uint64(0xFFFF)).astype(np.int32)[held]
+    return out
+
+
+def not_far(pairs: DataFrame, least: float) -> DataFrame:
+    """``pairs`` (bx, by: short sketches; nx, ny: sizes) without those whose estimate is clearly below ``least``."""
+    same = F.size(F.filter(F.zip_with("bx", "by", lambda a, b: (a == b) & (a >= 0)), lambda x: x))
+    some = F.size(F.filter(F.zip_with("bx", "by", lambda a, b: (a >= 0) | (b >= 0)), lambda x: x))
+    return pairs.where((F.least("nx", "ny") < LONG) | (same >= (least - FAR) * some))
+
+
 def with_similarity(pairs: DataFrame, least: float, size: int = SKETCH) -> DataFrame:
     """``pairs`` of sketches (sx, sy) and sizes of their sets (nx, ny) with ``near``, each array made once.
 
@@ -373,7 +394,8 @@ def similar_classes(df: DataFrame, id: str = "doc_id", text: str = "text", words
     fingerprint. A partial one is the fingerprint of a single shingle, the winner of a min-wise draw, so
     two documents share it with a probability equal to their similarity; of ``DRAWS`` draws, those at
     ``least`` = 0.8 miss all in 3 of a million cases. How a group is compared says ``_found_links``. Every
-    pair is verified: on sketches (the ``SKETCH`` smallest shingle hashes, 64 bits each) where these hold
+    pair is verified: a short sketch turns away what is clearly apart (a pair at ``least`` in one of 10^11 cases),
+    and the rest goes on sketches (the ``SKETCH`` smallest shingle hashes, 64 bits each) where these hold
     all shingles or the estimate is clear of ``least`` by ``MARGIN``; else, unless other links tie the
     two, on all shingles. Classes are the connected components of what holds. ``row`` is a hash of id
     and text.
@@ -384,28 +406,30 @@ def similar_classes(df: DataFrame, id: str = "doc_id", text: str = "text", words
         for batch in batches:
             for part in portions(pc.fill_null(pc.utf8_length(batch.column("text")), 0).to_pylist(), 1_000_000):
                 rows = batch.slice(part.start, part.stop - part.start)
-                one, draws, sketch = [], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+                one, draws, sketch, short = [], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], []
                 for t in rows.column("text").to_pylist():
                     h = np.unique(shingle_hashes(t, words))
                     if len(h):
                         mixed = (h[:, None] ^ _ODD[None, ::-1]) * _ODD
                         draws.append((mixed ^ (mixed >> np.uint64(29))).min(0).view(np.int64))
                     sketch.append(np.sort(h.view(np.int64))[:SKETCH])
+                    short.append(short_sketch(h))
                     one.append((xxhash.xxh64_intdigest(h.tobytes()) - 2**63, fingerprint(t, words), len(h)))
                 same, fp, size = (np.array(c, np.int64) for c in zip(*one, strict=True))
                 of_draws = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(np.where(size > 0, DRAWS, 0))].astype(np.int32)), pa.array(np.concatenate(draws)))
                 of_sketch = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(np.minimum(size, SKETCH))].astype(np.int32)), pa.array(np.concatenate(sketch)))
-                yield pa.RecordBatch.from_arrays([rows.column("row"), rows.column("doc_id"), pa.array(same), pa.array(fp), of_draws, of_sketch, pa.array(size.astype(np.int32))], names=["row", "doc_id", "same", "fp", "draws", "sketch", "size"])
+                of_short = pa.ListArray.from_arrays(pa.array(np.arange(len(short) + 1, dtype=np.int32) * BINS), pa.array(np.concatenate(short)))
+                yield pa.RecordBatch.from_arrays([rows.column("row"), rows.column("doc_id"), pa.array(same), pa.array(fp), of_draws, of_sketch, of_short, pa.array(size.astype(np.int32))], names=["row", "doc_id", "same", "fp", "draws", "sketch", "short", "size"])
 
-    made = docs.mapInArrow(each, "row long, doc_id long, same long, fp long, draws array<long>, sketch array<long>, size int")
+    made = docs.mapInArrow(each, "row long, doc_id long, same long, fp long, draws array<long>, sketch array<long>, short array<int>, size int")
     made = materialise(made, "sketches")
     own = made.groupBy("same").agg(F.min("row").alias("row"))
     distinct = made.select("row", "same", "fp", "draws").join(own, ["same", "row"], "left_semi").dropDuplicates(["row"])
     distinct = materialise(distinct.select("row", "fp", "draws"), "distinct")
 
-    def sketches_of(rows: DataFrame) -> DataFrame:
+    def sketches_of(rows: DataFrame, which: str = "sketch") -> DataFrame:
         """The sketches of some rows; the others' don't go through a shuffle."""
-        held = sieved(made.select("row", "sketch", "size"), F.col("row"), rows.select(F.col("row").alias("key"))).where("__maybe").drop("__maybe")
+        held = sieved(made.select("row", which, "size"), F.col("row"), rows.select(F.col("row").alias("key"))).where("__maybe").drop("__maybe")
         return held.join(rows, "row", "left_semi").dropDuplicates(["row"])
 
     def whole(batches):
@@ -424,8 +448,12 @@ def similar_classes(df: DataFrame, id: str = "doc_id", text: str = "text", words
         return held.where(F.col("size") <= SKETCH).select("row", F.col("sketch").alias("all")).unionByName(long)
 
     def check(pairs: DataFrame) -> DataFrame:
-        """Pairs that hold for sure, and those in doubt; in the JVM, as sketches are long."""
+        """Pairs that hold for sure, and those in doubt: by short sketches first, and of what is left by long ones, in the JVM."""
         pairs = materialise(pairs, "pairs")
+        short = sketches_of(pairs.select(F.explode(F.array("x", "y")).alias("row")).distinct(), "short")
+        near = not_far(pairs.join(short.toDF("x", "bx", "nx"), "x").join(short.toDF("y", "by", "ny"), "y"), least).select("x", "y")
+        pairs, asked = materialise(near, "near"), pairs
+        release(asked)
         sketch = sketches_of(pairs.select(F.explode(F.array("x", "y")).alias("row")).distinct())
         both = pairs.join(sketch.toDF("x", "sx", "nx"), "x").join(sketch.toDF("y", "sy", "ny"), "y")
         both = with_similarity(both, least - MARGIN).select("x", "y", F.greatest("nx", "ny").alias("n"), "near")

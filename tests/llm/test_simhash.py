@@ -111,6 +111,22 @@ def test_similarity_of_columns_equals_that_of_arrays(spark):
         assert abs(r.near - r.want) < 1e-12 or r.near == 0 and r.want < 0.7
 
 
+def test_short_sketches_turn_away_only_what_is_far(spark):
+    rng = np.random.default_rng(4)
+    rows = []
+    for n, near in ((200, 0.8), (200, 0.9), (1000, 0.8), (1000, 0.2), (5000, 0.1), (60, 0.1)):
+        for _ in range(40):
+            shared = round(n * near)
+            pool = np.unique(rng.integers(0, 2**64, 2 * n - shared, dtype=np.uint64))
+            rng.shuffle(pool)
+            a, b = np.sort(pool[: (n + shared) // 2]), np.sort(pool[(n - shared) // 2 : n])
+            rows.append((simhash.short_sketch(a).tolist(), simhash.short_sketch(b).tolist(), len(a), len(b), near))
+    df = spark.createDataFrame(rows, "bx array<int>, by array<int>, nx int, ny int, near double")
+    left = Counter((r.near, r.nx) for r in simhash.not_far(df, 0.8).collect())
+    assert sum(n for (near, _), n in left.items() if near >= 0.8) == 120 and sum(n for (near, size), n in left.items() if near <= 0.2 and size > 128) == 0
+    assert sum(n for (_, size), n in left.items() if size < 128) == 40
+
+
 def test_planted_copies_of_a_large_group_fall_in_one_class(spark):
     rng = np.random.default_rng(2)
     text = [f"t{i}" for i in range(200)]
