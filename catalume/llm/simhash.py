@@ -206,7 +206,7 @@ COUNTS = 1 << 18
 BINS, LONG, FAR = 128, 128, 0.25
 #: About how many members of a larger group the others are compared with in the first round by rare shingles,
 #: and how many times as many in each further one.
-PIVOTS, MORE = 2, 8
+PIVOTS, MORE = 2, 64
 _ODD = np.random.default_rng(11).integers(0, 2**63, DRAWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
