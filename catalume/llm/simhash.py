@@ -206,7 +206,7 @@ COUNTS = 1 << 18
 BINS, LONG, FAR = 128, 128, 0.25
 #: About how many members of a larger group the others are compared with in the first round by rare shingles,
 #: and how many times as many in each further one.
-PIVOTS, MORE = 2, 64
+PIVOTS, MORE = 2, 16
 _ODD = np.random.default_rng(11).integers(0, 2**63, DRAWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -336,7 +336,8 @@ def _by_rare_shingles(keys: DataFrame, known: DataFrame, check, least: float) ->
     Groups of at most ``SMALL`` (after the first round: ``LATER``) are compared whole. In a larger one all
     members are compared with its smallest set and with some drawn by hash; those that one of them accepts,
     and the drawn ones themselves, are done, and the rest goes on to the next round with ``MORE`` times as many
-    drawn. So the number of rounds grows with the logarithm of the largest group.
+    drawn, unless links found anywhere have made it one class. So the number of rounds grows with the logarithm
+    of the largest group.
     """
     out, pivots, small = known, PIVOTS, SMALL
     share = least / (1 + least)
@@ -364,7 +365,12 @@ def _by_rare_shingles(keys: DataFrame, known: DataFrame, check, least: float) ->
         sure = out.where("sure").distinct()
         both = sure.select(F.col("x").alias("head"), F.col("y").alias("row")).unionByName(sure.select(F.col("y").alias("head"), F.col("x").alias("row")))
         accepted = asked.join(both, ["head", "row"], "left_semi").select("key", "row").distinct()
-        keys = many.where("NOT drawn").join(accepted, ["key", "row"], "left_anti").select("row", "key", "n", "rem")
+        rest = materialise(many.where("NOT drawn").join(accepted, ["key", "row"], "left_anti").select("row", "key", "n", "rem"), "rest")
+        done.append(rest)
+        # what is in one class already needs no link among its own
+        root = connected_components(out.where("sure").select("x", "y")).withColumnRenamed("node", "row")
+        classes = rest.join(root, "row", "left").groupBy("key").agg(F.min(F.coalesce("root", "row")).alias("a"), F.max(F.coalesce("root", "row")).alias("b"))
+        keys = rest.join(classes.where("a <> b").select("key"), "key", "left_semi")
         pivots, small = pivots * MORE, LATER
 
 
