@@ -206,7 +206,7 @@ COUNTS = 1 << 18
 BINS, LONG, FAR = 128, 128, 0.25
 #: About how many members of a larger group the others are compared with in the first round by rare shingles,
 #: and how many times as many in each further one.
-PIVOTS, MORE = 2, 16
+PIVOTS, MORE = 2, 8
 _ODD = np.random.default_rng(11).integers(0, 2**63, DRAWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -336,8 +336,7 @@ def _by_rare_shingles(keys: DataFrame, known: DataFrame, check, least: float) ->
     Groups of at most ``SMALL`` (after the first round: ``LATER``) are compared whole. In a larger one all
     members are compared with its smallest set and with some drawn by hash; those that one of them accepts,
     and the drawn ones themselves, are done, and the rest goes on to the next round with ``MORE`` times as many
-    drawn, unless links found anywhere have made it one class. So the number of rounds grows with the logarithm
-    of the largest group.
+    drawn. So the number of rounds grows with the logarithm of the largest group.
     """
     out, pivots, small = known, PIVOTS, SMALL
     share = least / (1 + least)
@@ -365,12 +364,7 @@ def _by_rare_shingles(keys: DataFrame, known: DataFrame, check, least: float) ->
         sure = out.where("sure").distinct()
         both = sure.select(F.col("x").alias("head"), F.col("y").alias("row")).unionByName(sure.select(F.col("y").alias("head"), F.col("x").alias("row")))
         accepted = asked.join(both, ["head", "row"], "left_semi").select("key", "row").distinct()
-        rest = materialise(many.where("NOT drawn").join(accepted, ["key", "row"], "left_anti").select("row", "key", "n", "rem"), "rest")
-        done.append(rest)
-        # what is in one class already needs no link among its own
-        root = connected_components(out.where("sure").select("x", "y")).withColumnRenamed("node", "row")
-        classes = rest.join(root, "row", "left").groupBy("key").agg(F.min(F.coalesce("root", "row")).alias("a"), F.max(F.coalesce("root", "row")).alias("b"))
-        keys = rest.join(classes.where("a <> b").select("key"), "key", "left_semi")
+        keys = many.where("NOT drawn").join(accepted, ["key", "row"], "left_anti").select("row", "key", "n", "rem")
         pivots, small = pivots * MORE, LATER
 
 
@@ -433,10 +427,13 @@ def similar_classes(df: DataFrame, id: str = "doc_id", text: str = "text", words
     distinct = made.select("row", "same", "fp", "draws").join(own, ["same", "row"], "left_semi").dropDuplicates(["row"])
     distinct = materialise(distinct.select("row", "fp", "draws"), "distinct")
 
-    def sketches_of(rows: DataFrame, which: str = "sketch") -> DataFrame:
+    def some_sketches(rows: DataFrame, which: str = "sketch") -> DataFrame:
+        """The sketches of rows that pass a sieve of ``rows``: of these, and of few others; repeated rows stay."""
+        return sieved(made.select("row", which, "size"), F.col("row"), rows.select(F.col("row").alias("key"))).where("__maybe").drop("__maybe")
+
+    def sketches_of(rows: DataFrame) -> DataFrame:
         """The sketches of some rows; the others' don't go through a shuffle."""
-        held = sieved(made.select("row", which, "size"), F.col("row"), rows.select(F.col("row").alias("key"))).where("__maybe").drop("__maybe")
-        return held.join(rows, "row", "left_semi").dropDuplicates(["row"])
+        return some_sketches(rows).join(rows, "row", "left_semi").dropDuplicates(["row"])
 
     def whole(batches):
         for batch in batches:
@@ -456,11 +453,12 @@ def similar_classes(df: DataFrame, id: str = "doc_id", text: str = "text", words
     def check(pairs: DataFrame) -> DataFrame:
         """Pairs that hold for sure, and those in doubt: by short sketches first, and of what is left by long ones, in the JVM."""
         pairs = materialise(pairs, "pairs")
-        short = sketches_of(pairs.select(F.explode(F.array("x", "y")).alias("row")).distinct(), "short")
+        ends = lambda of: of.select(F.col("x").alias("row")).unionByName(of.select(F.col("y").alias("row")))
+        short = some_sketches(ends(pairs), "short")
         near = not_far(pairs.join(short.toDF("x", "bx", "nx"), "x").join(short.toDF("y", "by", "ny"), "y"), least).select("x", "y")
         pairs, asked = materialise(near, "near"), pairs
         release(asked)
-        sketch = sketches_of(pairs.select(F.explode(F.array("x", "y")).alias("row")).distinct())
+        sketch = some_sketches(ends(pairs))
         both = pairs.join(sketch.toDF("x", "sx", "nx"), "x").join(sketch.toDF("y", "sy", "ny"), "y")
         both = with_similarity(both, least - MARGIN).select("x", "y", F.greatest("nx", "ny").alias("n"), "near")
         doubt = (F.abs(F.col("near") - least) < MARGIN) & (F.col("n") > SKETCH)
