@@ -10,7 +10,6 @@ import csv
 import io
 import re
 import zipfile
-from datetime import datetime
 from html import unescape
 
 import pandas as pd
@@ -19,6 +18,8 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import charset, escape_html, prefixed_sha256
 from ..functions.text import decode_bytes, detect_encoding
+from .archives import zip_entries  # noqa: F401
+from .rtf import rtf_text
 
 #: Limits of the job: bytes of a source, of a preview and of an encoding sample; columns; entries kept of an archive.
 MAX_FETCH, PREVIEW, SAMPLE, MAX_COLUMNS, MAX_ENTRIES, ROWS_PER_FILE = 100 << 20, 1 << 20, 64 << 10, 500, 10_000, 5_000
@@ -151,44 +152,6 @@ def read_rows(df: DataFrame, start: int, end: int, rows: int = ROWS_PER_FILE) ->
     return df.where(own).drop("page").orderBy("row_index")
 
 
-def zip_name(raw: str, flags: int) -> str:
-    """An entry's name: UTF-8 by its flag, else by trial, else Shift_JIS."""
-    if flags & 0x800:
-        return raw
-    data = raw.encode("cp437", "replace")
-    for name in ("utf-8", "cp932"):
-        try:
-            return data.decode(name)
-        except UnicodeDecodeError:
-            continue
-    return raw
-
-
-_ENTRIES = "path string, name string, size long, compressed_size long, last_modified string, is_directory boolean"
-
-
-def zip_entries(df: DataFrame) -> DataFrame:
-    """All entries of each archive, from its directory alone. An archive that can't be read has none."""
-
-    def read(batches):
-        for batch in batches:
-            for path, content in zip(batch["path"], batch["content"], strict=True):
-                rows = []
-                try:
-                    with zipfile.ZipFile(io.BytesIO(bytes(content))) as archive:
-                        for e in archive.infolist():
-                            try:
-                                when = datetime(*e.date_time).isoformat()
-                            except ValueError:
-                                when = "1970-01-01T00:00:00"
-                            rows.append((path, zip_name(e.orig_filename, e.flag_bits), e.file_size, e.compress_size, when, e.is_dir()))
-                except (zipfile.BadZipFile, OSError, EOFError):
-                    continue
-                yield pd.DataFrame(rows, columns=["path", "name", "size", "compressed_size", "last_modified", "is_directory"])
-
-    return df.select("path", "content").mapInPandas(read, _ENTRIES)
-
-
 def zip_manifest(entries: DataFrame, most: int = MAX_ENTRIES) -> DataFrame:
     """(path, files, size, compressed, truncated) of each archive, over all entries."""
     return entries.groupBy("path").agg(
@@ -281,7 +244,9 @@ _PARTS = {"docx": r"word/document\.xml", "pptx": r"ppt/slides/slide\d+\.xml", "x
 
 
 def office_text(content: bytes, fmt: str) -> str | None:
-    """The text of an office file that is an archive of XML; null for other formats."""
+    """The text of an office file that is an archive of XML, or of an RTF file; null for other formats."""
+    if (fmt or "").lower() == "rtf":
+        return rtf_text(content)
     pattern = _PARTS.get((fmt or "").lower())
     if not pattern:
         return None
@@ -319,7 +284,7 @@ def document_texts(df: DataFrame) -> DataFrame:
                 try:
                     text = office_text(bytes(content), fmt)
                     rows.append((path, text, None if text is not None else "unsupported"))
-                except (zipfile.BadZipFile, KeyError, OSError) as error:
+                except (zipfile.BadZipFile, KeyError, OSError, ValueError) as error:
                     rows.append((path, None, str(error)))
             yield pd.DataFrame(rows, columns=["path", "text", "error"])
 
