@@ -72,6 +72,7 @@ SPARK = {
     "search_own_organizations_none": lambda c: search.matching(c, search.Filters(own_orgs=())).select("id"),
     "search_creator_deleted": lambda c: search.matching(c, search.Filters(state="deleted", creator="1", allowed_orgs=None)).select("id"),
     "search_facets": lambda c: search.facets(c, flagship(c)),
+    "search_facets_top": lambda c: search.facets(c, flagship(c), top=3),
     "search_facets_zero_filled": lambda c: search.zero_filled(c, search.facets(c, flagship(c))),
     "search_matched_resources": lambda c: search.matched_resources(c, flagship(c), "urgent").select("package_id", "id", "name", "format", "rank"),
     "search_resource_count": lambda c: search.resource_count(c, flagship(c)),
@@ -246,5 +247,6 @@ _FACETS = """
         UNION ALL SELECT 'group', g.name, count(DISTINCT package_id) FROM package_group JOIN flagship p ON p.id = package_id JOIN grp g ON g.id = group_id GROUP BY 2)
 """
 SQL["search_facets"] = query("SELECT facet, name, count FROM counted", f"{FLAGSHIP_SQL}, {_FACETS}")
+SQL["search_facets_top"] = query("SELECT facet, name, count FROM counted QUALIFY row_number() OVER (PARTITION BY facet ORDER BY count DESC, name) <= 3", f"{FLAGSHIP_SQL}, {_FACETS}")
 SQL["search_facets_zero_filled"] = query("""SELECT k.facet, k.name, k.title, coalesce(c.count, 0) AS count FROM (SELECT 'organization' AS facet, name, title FROM organization WHERE state = 'active'
     UNION ALL SELECT 'group', name, title FROM grp) k LEFT JOIN counted c ON c.facet = k.facet AND c.name = k.name""", f"{FLAGSHIP_SQL}, {_FACETS}")
