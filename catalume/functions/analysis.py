@@ -16,7 +16,10 @@ from pyspark.sql import functions as F
 
 #: Fixed value: scripts that are written without spaces, with the mark that lengthens a vowel.
 _SCRIPTS = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}ー"
-RUNS = rf"[{_SCRIPTS}]+|[\p{{L}}\p{{N}}&&[^{_SCRIPTS}]]+"
+_PLAIN_RUN = rf"[\p{{L}}\p{{N}}&&[^{_SCRIPTS}]]"
+RUNS = rf"[{_SCRIPTS}]+|{_PLAIN_RUN}+"
+#: Fixed value: no character of these scripts comes before this one.
+_FIRST = 0x2E80
 _DENSE_SET = "々-〇ぁ-ゖゝ-ゟァ-ヺー-ヿㇰ-ㇿ㐀-䶿一-鿿豈-﫿ｦ-ﾝ\U00020000-\U0003ffff"
 _PLAIN = re.compile(f"[{_DENSE_SET}]+|[^\\W_{_DENSE_SET}]+")
 _DENSE = re.compile(f"[{_DENSE_SET}]")
@@ -54,7 +57,7 @@ def runs(text: Column) -> Column:
 
 def _words(run: Column) -> Column:
     pairs = F.transform(F.sequence(F.lit(1), F.length(run)), lambda i: F.substring(run, i, F.lit(2)))
-    return F.when(run.rlike(rf"^[{_SCRIPTS}]"), pairs).otherwise(F.array(run))
+    return F.when((F.ascii(run) >= _FIRST) & run.rlike(rf"^[{_SCRIPTS}]"), pairs).otherwise(F.array(run))
 
 
 def words(text: Column) -> Column:
@@ -68,12 +71,13 @@ def placed_words(text: Column) -> Column:
     return F.flatten(F.transform(runs(text), of_run))
 
 
-def occurrences(text: Column, found: Column, a: Asked) -> Column:
-    """How often a text with the words ``found`` holds what is asked for."""
-    if not a.dense:
-        return F.size(F.filter(found, lambda w: w == a.text))
-    if len(a.text) == 1:
-        return F.size(F.filter(found, lambda w: w.startswith(a.text)))
-    low = _lower(text)
-    starts = F.filter(F.sequence(F.lit(1), F.length(low)), lambda i: F.substring(low, i, F.lit(len(a.text))) == a.text)
-    return F.when(F.contains(low, F.lit(a.text)), F.size(starts)).otherwise(F.lit(0))
+def length(text: Column) -> Column:
+    """How many words a text has; they are only counted."""
+    return F.regexp_count(_lower(text), F.lit(rf"[{_SCRIPTS}]|{_PLAIN_RUN}++"))
+
+
+def occurrences(text: Column, a: Asked) -> Column:
+    """How often a text holds what is asked for, without its words being made: a word between others, or a stretch at any place."""
+    low, asked = _lower(text), re.escape(a.text)
+    pattern = rf"(?={asked})" if a.dense else rf"(?<!{_PLAIN_RUN}){asked}(?!{_PLAIN_RUN})"
+    return F.when(F.contains(low, F.lit(a.text)), F.regexp_count(low, F.lit(pattern))).otherwise(F.lit(0))

@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -42,24 +44,27 @@ def bm25(df: DataFrame, q: str, fields: dict[str, float], to: str = "score") ->
     terms = analysis.asked(q)
     if not terms:
         return df.withColumn(to, F.lit(0.0))
-    held, _tf = df, lambda f, t: analysis.occurrences(F.col(f), F.col(f"__{f}"), t)
-    for f in fields:
-        held = held.withColumn(f"__{f}", tokens(F.col(f)))
-    sums = [F.count("*").alias("n")] + [F.avg(F.size(f"__{f}")).alias(f"len_{f}") for f in fields]
-    sums += [F.count_if(_tf(f, t) > 0).alias(f"df_{f}_{i}") for f in fields for i, t in enumerate(terms)]
+    counts = {f"__len_{f}": analysis.length(F.col(f)) for f in fields}
+    counts |= {f"__tf_{f}_{i}": analysis.occurrences(F.col(f), t) for f in fields for i, t in enumerate(terms)}
+    held = df.withColumns(counts)
+    sums = [F.count("*").alias("n")] + [F.avg(f"__len_{f}").alias(f"len_{f}") for f in fields]
+    sums += [F.count_if(F.col(f"__tf_{f}_{i}") > 0).alias(f"df_{f}_{i}") for f in fields for i in range(len(terms))]
     stats = held.agg(*sums).first()  # one row
     total, hit = F.lit(0.0), F.lit(True)
-    for i, term in enumerate(terms):
+    for i in range(len(terms)):
         n = max(stats[f"df_{f}_{i}"] for f in fields)
         idf = math.log(1 + (stats["n"] - n + 0.5) / (n + 0.5))
         scores = []
         for f, boost in fields.items():
-            tf, mean = _tf(f, term).cast("double"), stats[f"len_{f}"] or 1.0
-            norm = K1 * (1 - B + B * F.size(f"__{f}") / F.lit(mean))
+            tf, mean = F.col(f"__tf_{f}_{i}").cast("double"), stats[f"len_{f}"] or 1.0
+            norm = K1 * (1 - B + B * F.col(f"__len_{f}") / F.lit(mean))
             scores.append(F.lit(boost * idf) * tf / (tf + norm))
         best = F.greatest(*scores, F.lit(0.0))
         total, hit = total + best, hit & (best > 0)
-    return held.withColumn(to, total).where(hit).drop(*[f"__{f}" for f in fields])
+    for term in terms:  # what no field holds isn't measured
+        held_by = [F.contains(F.lower(f), F.lit(term.text)) for f in fields]
+        df = df.where(reduce(or_, held_by))
+    return df.withColumns(counts).withColumn(to, total).where(hit).drop(*counts)
 
 
 def keyword_score(boost: float, n: Column, df: Column) -> Column:
