@@ -88,15 +88,20 @@ def package_leg(packages: DataFrame, q: str, tags: DataFrame | None = None, word
     return legs.groupBy("id").agg(F.max("score").alias("score"))
 
 
-def resource_leg(resources: DataFrame, q: str, top: int = LEG_TOP, words: DataFrame | None = None) -> DataFrame:
-    """(id, package_id, score) of the best resources; with ``words``, postings of name and description, no text is read."""
+def _best(found: DataFrame, key: str, top: int | None) -> DataFrame:
+    """The best ``top`` rows by score and key; None: all."""
+    return found if top is None else found.orderBy(F.desc("score"), key).limit(top)
+
+
+def resource_leg(resources: DataFrame, q: str, top: int | None = LEG_TOP, words: DataFrame | None = None) -> DataFrame:
+    """(id, package_id, score) of the best resources (``top`` None: of all that match); with ``words``, postings of name and description, no text is read."""
     boosts = {"name": 3.0, "description": 2.0}
     found = bm25(resources, q, boosts) if words is None else resources.select("id", "package_id").join(index.search(words, q, boosts, resources), "id")
-    return found.orderBy(F.desc("score"), "id").limit(top).select("id", "package_id", "score")
+    return _best(found, "id", top).select("id", "package_id", "score")
 
 
-def content_leg(chunks: DataFrame, q: str, top: int = LEG_TOP, words: DataFrame | None = None) -> DataFrame:
-    """(resource_id, package_id, chunk_index, score): the best chunk that holds all terms, a row a resource.
+def content_leg(chunks: DataFrame, q: str, top: int | None = LEG_TOP, words: DataFrame | None = None) -> DataFrame:
+    """(resource_id, package_id, chunk_index, score): the best chunk that holds all terms, a row a resource (``top`` None: all resources).
 
     With ``words``, postings of chunks by ``chunk_id``, no text is read.
     """
@@ -108,7 +113,7 @@ def content_leg(chunks: DataFrame, q: str, top: int = LEG_TOP, words: DataFrame
         found = keyed.join(index.search(words, q, boosts, keyed), "id")
     best = Window.partitionBy("resource_id").orderBy(F.desc("score"), "chunk_index")
     first = found.withColumn("__n", F.row_number().over(best)).where("__n = 1")
-    return first.orderBy(F.desc("score"), "resource_id").limit(top).select("resource_id", "package_id", "chunk_index", "score")
+    return _best(first, "resource_id", top).select("resource_id", "package_id", "chunk_index", "score")
 
 
 @dataclass(frozen=True)

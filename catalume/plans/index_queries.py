@@ -179,7 +179,7 @@ def fetched_highlights(c: Catalog) -> DataFrame:
 
 
 def resource_marks(c: Catalog) -> DataFrame:
-    matched = ranked.resource_leg(c.resource.where("state = 'active'"), "urgent", 10**6).select("package_id", F.col("id").alias("resource_id"))
+    matched = ranked.resource_leg(c.resource.where("state = 'active'"), "urgent", None).select("package_id", F.col("id").alias("resource_id"))
     return ranked.resource_highlights(matched, c.resource, "urgent order").select("resource_id", "highlighted_name", "highlighted_description")
 
 

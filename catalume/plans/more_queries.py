@@ -135,7 +135,7 @@ SPARK = {
     "ranked_matched_resources": matched,
     "ranked_snippets": snippets,
     "ranked_highlights_sanitised": highlights,
-    "ranked_chunks": lambda c: ranked.content_leg(c.content_lines, "the and", 10**6).select("resource_id", "chunk_index", F.round("score", 4).alias("score")),
+    "ranked_chunks": lambda c: ranked.content_leg(c.content_lines, "the and", None).select("resource_id", "chunk_index", F.round("score", 4).alias("score")),
     "ranked_enriched_page": lambda c: ranked.enriched_page(c, _page(c, "1")).select("rank", "id", "name", "formats", "resource_count", "tags"),
     # exact search in full
     "search_exact_matched": lambda c: search.exact_search(c, search.Filters(q="urgent", tags=("Brand#1",)), limit=30).select("id", "total", "organization", "tags", F.array_join("matched", ",").alias("matched")),

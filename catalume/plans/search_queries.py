@@ -85,7 +85,7 @@ SPARK = {
     "ranked_content": lambda c: ranked.bm25(c.content, "the und", {"extracted_text": 1.0}).select("resource_id", F.round("score", 4).alias("score")),
     "ranked_search": merged_ranking,
     "ranked_highlight": lambda c: c.package_core.select("id", ranked.highlight(F.col("title"), "machinery customer").alias("title")),
-    "ranked_content_match": lambda c: ranked.content_leg(c.content, "the and", 10**6).select("resource_id"),
+    "ranked_content_match": lambda c: ranked.content_leg(c.content, "the and", None).select("resource_id"),
     # listings
     "list_packages": lambda c: listing.package_list(c, c.package_core.where("state = 'active'").select("id", "name")),
     "list_package_documents": lambda c: listing.package_documents(c).select("id", "organization", "formats", "tags", "groups", F.length("notes").cast("long").alias("n_notes")),
