@@ -58,8 +58,12 @@ def active_formats(catalog: Catalog) -> DataFrame:
 
 
 def matching(catalog: Catalog, f: Filters, packages: DataFrame | None = None) -> DataFrame:
-    """The packages that pass all filters. A text is sought in names, titles, notes and active resources."""
-    base = packages if packages is not None else catalog.package_notes if f.q else catalog.package
+    """The packages that pass all filters. A text is sought in names, titles, notes and active resources.
+
+    Unless ``packages`` are given, notes are searched once each, and go only to packages that pass.
+    """
+    keyed = bool(f.q) and packages is None
+    base = packages if packages is not None else catalog.with_note_key(catalog.package) if keyed else catalog.package
     df = base.where(F.col("state") == f.state).where(visible(f.allowed_orgs))
     if f.name_prefix:
         df = df.where(F.col("name").ilike(escape_like(f.name_prefix) + "%"))
@@ -75,7 +79,11 @@ def matching(catalog: Catalog, f: Filters, packages: DataFrame | None = None) ->
         hit = catalog.resource.where("state = 'active'").where(contains(f.q, "name", "description")).select(F.col("package_id").alias("id")).distinct()
         by_resource = hit.withColumn("__hit", F.lit(True))
         own = [c for c in ("name", "title", "notes") if c in df.columns]
-        df = df.join(by_resource, "id", "left").where(contains(f.q, *own) | F.col("__hit").isNotNull()).drop("__hit")
+        found = contains(f.q, *own) | F.col("__hit").isNotNull()
+        if keyed:
+            by_note = catalog.note.where(contains(f.q, "notes")).select("at", F.lit(True).alias("__noted"))
+            df, found = df.join(by_note, "at", "left"), found | F.col("__noted").isNotNull()
+        df = df.join(by_resource, "id", "left").where(found).drop("__hit", "__noted")
     if f.organizations:
         orgs = catalog.organization.where(F.col("name").isin(*f.organizations)).select(F.col("id").alias("owner_org"))
         df = df.join(orgs, "owner_org", "left_semi")
@@ -86,7 +94,7 @@ def matching(catalog: Catalog, f: Filters, packages: DataFrame | None = None) ->
     if f.groups:
         named = catalog.package_group.join(catalog.grp.select(F.col("id").alias("group_id"), "name"), "group_id")
         df = df.join(having_all(named, "package_id", "name", f.groups), "id", "left_semi")
-    return df
+    return df.join(catalog.note, "at", "left").drop("at") if keyed else df
 
 
 SORTS = {"updated": "updated", "created": "created", "name": "name"}

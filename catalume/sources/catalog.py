@@ -51,13 +51,19 @@ class Catalog:
         dates = self.raw("orders").groupBy(F.col("o_custkey").cast("string").alias("id")).agg(F.min("o_orderdate").alias("created"), F.max("o_orderdate").alias("updated"))
         return self.package_core.join(dates, "id", "left")
 
+    @cached_property
+    def note(self) -> DataFrame:
+        """(at, notes): the texts that packages have as notes, each once."""
+        return self.raw("documents").select(F.col("doc_id").alias("at"), F.col("text").alias("notes"))
+
+    def with_note_key(self, packages: DataFrame) -> DataFrame:
+        """Packages with the key of their notes (``at``)."""
+        return packages.withColumn("at", F.col("id").cast("long") % self.raw("documents").count())
+
     @cached_property
     def package_notes(self) -> DataFrame:
-        """Packages with their notes."""
-        docs = self.raw("documents")
-        n = docs.count()
-        notes = docs.select(F.col("doc_id").alias("at"), F.col("text").alias("notes"))
-        return self.package.withColumn("at", F.col("id").cast("long") % n).join(notes, "at", "left").drop("at")
+        """Packages with their notes. Many share a text: what is told of notes alone is told of ``note`` and joined by its key."""
+        return self.with_note_key(self.package).join(self.note, "at", "left").drop("at")
 
     @cached_property
     def resource(self) -> DataFrame:
