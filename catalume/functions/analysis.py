@@ -51,8 +51,14 @@ def _lower(text: Column) -> Column:
     return F.lower(F.coalesce(text, F.lit("")))
 
 
+def _ascii(text: Column) -> Column:
+    """Whether a text has ASCII characters alone, for which a short class tells what the long ones do."""
+    return F.octet_length(text) == F.length(text)
+
+
 def runs(text: Column) -> Column:
-    return F.regexp_extract_all(_lower(text), F.lit(RUNS), F.lit(0))
+    low = _lower(text)
+    return F.when(_ascii(low), F.regexp_extract_all(low, F.lit("[a-z0-9]+"), F.lit(0))).otherwise(F.regexp_extract_all(low, F.lit(RUNS), F.lit(0)))
 
 
 def _words(run: Column) -> Column:
@@ -73,11 +79,12 @@ def placed_words(text: Column) -> Column:
 
 def length(text: Column) -> Column:
     """How many words a text has; they are only counted."""
-    return F.regexp_count(_lower(text), F.lit(rf"[{_SCRIPTS}]|{_PLAIN_RUN}++"))
+    low = _lower(text)
+    return F.when(_ascii(low), F.regexp_count(low, F.lit("[a-z0-9]++"))).otherwise(F.regexp_count(low, F.lit(rf"[{_SCRIPTS}]|{_PLAIN_RUN}++")))
 
 
 def occurrences(text: Column, a: Asked) -> Column:
     """How often a text holds what is asked for, without its words being made: a word between others, or a stretch at any place."""
     low, asked = _lower(text), re.escape(a.text)
-    pattern = rf"(?={asked})" if a.dense else rf"(?<!{_PLAIN_RUN}){asked}(?!{_PLAIN_RUN})"
+    pattern = rf"(?={asked})" if a.dense else rf"{asked}(?<!{_PLAIN_RUN}{asked})(?!{_PLAIN_RUN})"  # its letters first, what is around only where they are
     return F.when(F.contains(low, F.lit(a.text)), F.regexp_count(low, F.lit(pattern))).otherwise(F.lit(0))

@@ -1,19 +1,23 @@
 """A kept inverted index: postings by term, so that a search reads its terms' rows and no text.
 
-A posting is (term, field, id, tf, len, at): how often a field of a document holds the word, how many words the
-field has, and their places. Each document also has a row with the empty term for each field, so that means and
-counts over any set of documents need no text either. Postings are written in order of terms, dealt by ranges of
-term and id (a frequent term is spread over several files), so that a filter on terms skips all other row groups.
+A posting is (term, id, field, text, len, tf, at). Each document has a row with the empty term for each field: the
+key of its text and how many words that has, so that means and counts over any set of documents need no text either.
+The words belong to the text, not to the document: a row (term, text, tf, at) tells how often a text holds a word,
+and where. Fields and documents with the same text share these rows, so the index grows with what is distinct.
+Each file of postings is written in order of terms, so that a filter on terms skips all other pages of it.
 
 Documents are added, changed and removed by a new table of postings in which only theirs are replaced; only texts
-that changed are read. Scores are those of ``ranked.bm25`` over the same documents.
+that changed are read. Words of texts that no document has any more stay until ``compacted``, and are not found.
+Scores are those of ``ranked.bm25`` over the same documents.
 
 Edge cases: null fields have no words and count with length 0; a document is known by its id, and of several rows
-with one id each field counts once a row; a query without words gives no rows.
+with one id each field counts once, with the frequencies of the best and the length of the longest; a query without
+words gives no rows. Two texts would be taken for one if their SHA-256 agreed.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Mapping
 from functools import reduce
 
@@ -23,28 +27,57 @@ from pyspark.sql import functions as F
 from ..functions import analysis
 
 K1, B = 1.2, 0.75
+#: Fixed value: the key of a text without a character.
+NO_TEXT = hashlib.sha256(b"").digest()
 
 
-def postings_of(df: DataFrame, id: str, fields: Mapping[str, Column] | list[str]) -> DataFrame:
-    """The postings of documents; ``fields`` are columns with texts."""
+def texts_of(df: DataFrame, id: str, fields: Mapping[str, Column] | list[str]) -> DataFrame:
+    """(id, field, body) of documents; ``fields`` are columns with texts."""
     columns = dict(fields) if isinstance(fields, Mapping) else {f: F.col(f) for f in fields}
-    wide = df.select(F.col(id).cast("string").alias("id"), *[analysis.placed_words(c).alias(f"__{f}") for f, c in columns.items()])
-    each = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f"__{f}").alias("words")) for f in columns])
-    one = wide.select("id", F.explode(each).alias("f")).select("id", "f.field", F.size("f.words").alias("len"), "f.words")
+    each = F.array(*[F.struct(F.lit(f).alias("field"), F.coalesce(c, F.lit("")).alias("body")) for f, c in columns.items()])
+    return df.select(F.col(id).cast("string").alias("id"), F.explode(each).alias("f")).select("id", "f.field", "f.body")
+
+
+def _key(body: Column) -> Column:
+    return F.unhex(F.sha2(body, 256))
+
+
+def held(texts: DataFrame, id: str) -> DataFrame:
+    """(``id``, field, text, len): which text each field of a document holds, by its key, and how many words that has."""
+    return texts.select(F.col("id").alias(id), "field", _key(F.col("body")).alias("text"), analysis.length(F.col("body")).alias("len"))
+
+
+def postings_from(owners: DataFrame, texts: DataFrame) -> DataFrame:
+    """The postings of documents (id, field, text, len) whose texts are among ``texts`` (``body``); equal texts are cut to words once.
+
+    Texts are dealt by their keys, so a text's words are gathered where it is.
+    """
     none = F.array().cast("array<bigint>")
-    documents = one.select(F.lit("").alias("term"), "field", "id", F.lit(0).alias("tf"), "len", none.alias("at"))
-    held = one.select("id", "field", "len", F.explode("words").alias("w")).groupBy(F.col("w.term").alias("term"), "field", "id")
-    found = held.agg(F.count("*").cast("int").alias("tf"), F.first("len").alias("len"), F.array_sort(F.collect_list("w.at")).alias("at"))
-    return documents.unionByName(found)
+    documents = owners.select(F.lit("").alias("term"), "id", "field", "text", "len", F.lit(0).alias("tf"), none.alias("at"))
+    distinct = texts.where("body <> ''").groupBy(_key(F.col("body")).alias("text")).agg(F.first("body").alias("body"))
+    placed = distinct.select("text", F.explode(analysis.placed_words(F.col("body"))).alias("w")).select("text", "w.term", "w.at")
+    found = placed.groupBy("text", "term").agg(F.count("*").cast("int").alias("tf"), F.sort_array(F.collect_list("at")).alias("at"))
+    return documents.unionByName(found.select("term", F.lit(None).cast("string").alias("id"), F.lit(None).cast("string").alias("field"), "text", F.lit(None).cast("int").alias("len"), "tf", "at"))
+
+
+def postings_of(df: DataFrame, id: str, fields: Mapping[str, Column] | list[str]) -> DataFrame:
+    """The postings of documents; ``fields`` are columns with texts."""
+    texts = texts_of(df, id, fields)
+    return postings_from(held(texts, "id"), texts)
 
 
 def write_postings(postings: DataFrame, path: str) -> None:
-    order = ["term", "id", "field"]
-    postings.repartitionByRange(*order).sortWithinPartitions(*order).write.option("compression", "zstd").mode("errorifexists").parquet(path)
+    postings.sortWithinPartitions("term", "text", "id", "field").write.option("compression", "zstd").mode("errorifexists").parquet(path)
 
 
 def read_postings(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema("term string, field string, id string, tf int, len int, at array<bigint>").parquet(path)
+    return spark.read.schema("term string, id string, field string, text binary, len int, tf int, at array<bigint>").parquet(path)
+
+
+def compacted(postings: DataFrame) -> DataFrame:
+    """The postings without words of texts that no document has any more, and without words that are there twice."""
+    live = postings.where("term = ''").select("text").distinct()
+    return postings.where("term = ''").unionByName(postings.where("term <> ''").dropDuplicates(["text", "term"]).join(live, "text", "left_semi").select(*postings.columns))
 
 
 def replaced(postings: DataFrame, changed: DataFrame | None = None, removed: DataFrame | None = None) -> DataFrame:
@@ -54,9 +87,9 @@ def replaced(postings: DataFrame, changed: DataFrame | None = None, removed: Dat
     return kept if changed is None else kept.unionByName(changed)
 
 
-def _read(postings: DataFrame, wanted: list[analysis.Asked]) -> DataFrame:
-    """The rows of the query's terms, and of all documents; a filter that the scan takes over."""
-    terms = {"", *(p for a in wanted for p in ([a.text] if not a.dense else a.pairs if len(a.text) > 1 else []))}
+def _words(postings: DataFrame, wanted: list[analysis.Asked]) -> DataFrame:
+    """The rows of the query's terms; a filter that the scan takes over."""
+    terms = {p for a in wanted for p in ([a.text] if not a.dense else a.pairs if len(a.text) > 1 else [])}
     held = F.col("term").isin(*sorted(terms))
     for a in wanted:
         if a.dense and len(a.text) == 1:
@@ -65,11 +98,12 @@ def _read(postings: DataFrame, wanted: list[analysis.Asked]) -> DataFrame:
 
 
 def _frequency(a: analysis.Asked) -> Column:
-    """An aggregate over a document's rows: how often a field holds what is asked for."""
+    """An aggregate over a text's rows, of which some may be there twice: how often it holds what is asked for."""
     if not a.dense:
         return F.max(F.when(F.col("term") == a.text, F.col("tf")))
     if len(a.text) == 1:
-        return F.sum(F.when(F.col("term").startswith(a.text), F.col("tf"))).cast("int")
+        each = F.collect_set(F.when(F.col("term").startswith(a.text), F.struct("term", "tf")))
+        return F.aggregate(each, F.lit(0), lambda n, x: n + x["tf"])
     places = [F.coalesce(F.max(F.when(F.col("term") == p, F.col("at"))), F.array().cast("array<bigint>")) for p in a.pairs]
     back = lambda k: lambda x: x - k
     begins = [F.transform(c, back(k)) for k, c in enumerate(places)]
@@ -83,13 +117,15 @@ def search(postings: DataFrame, q: str, boosts: Mapping[str, float], ids: DataFr
     frequencies are those of the documents asked.
     """
     wanted = analysis.asked(q)
-    own = _read(postings, wanted).where(F.col("field").isin(*boosts))
-    if ids is not None:
-        own = own.join(ids.select("id").distinct(), "id", "left_semi")
-    none = own.sparkSession.createDataFrame([], "id string, score double")
+    none = postings.sparkSession.createDataFrame([], "id string, score double")
     if not wanted:
         return none
-    by = own.groupBy("field", "id").agg(F.max("len").alias("len"), *[F.coalesce(_frequency(a), F.lit(0)).alias(f"tf{i}") for i, a in enumerate(wanted)])
+    own = postings.where(F.col("term") == "").where(F.col("field").isin(*boosts)).select("id", "field", "text", "len")
+    if ids is not None:
+        own = own.join(ids.select("id").distinct(), "id", "left_semi")
+    tf = [f"tf{i}" for i in range(len(wanted))]
+    held_by = _words(postings, wanted).groupBy("text").agg(*[F.coalesce(_frequency(a), F.lit(0)).alias(c) for a, c in zip(wanted, tf, strict=True)])
+    by = own.join(held_by, "text", "left").groupBy("field", "id").agg(F.max("len").alias("len"), *[F.coalesce(F.max(c), F.lit(0)).alias(c) for c in tf])
     seen = by.groupBy("field").agg(F.count("*").alias("n"), F.avg("len").alias("mean"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(wanted))])
     most = seen.agg(*[F.max(f"df{i}").alias(f"most{i}") for i in range(len(wanted))])  # one row, as fields are few
     scored = by.where(reduce(lambda a, b: a | b, [F.col(f"tf{i}") > 0 for i in range(len(wanted))]))

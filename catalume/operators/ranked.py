@@ -8,6 +8,7 @@ kept ``SearchIndex`` the rows of its terms are read in place of texts, and the s
 from __future__ import annotations
 
 import math
+from collections.abc import Iterable
 from dataclasses import dataclass
 from functools import reduce
 from operator import or_
@@ -35,18 +36,36 @@ def query_terms(q: str) -> list[str]:
     return [a.text for a in analysis.asked(q)]
 
 
+def _count_names(field: str, terms: int) -> list[str]:
+    return [f"__len_{field}", *[f"__tf_{field}_{i}" for i in range(terms)]]
+
+
+def counted(df: DataFrame, q: str, fields: Iterable[str]) -> DataFrame:
+    """``df`` with the number of words of each field, and how often it holds each term of ``q``."""
+    terms = analysis.asked(q)
+    columns = {f: [analysis.length(F.col(f)), *[analysis.occurrences(F.col(f), t) for t in terms]] for f in fields}
+    return df.withColumns({n: c for f, cs in columns.items() for n, c in zip(_count_names(f, len(terms)), cs, strict=True)})
+
+
+def with_note_counts(catalog: Catalog, packages: DataFrame, q: str) -> DataFrame:
+    """Packages with the counts of their notes, of which each is read once, however many packages share it."""
+    names = _count_names("notes", len(analysis.asked(q)))
+    told = counted(catalog.note, q, ["notes"]).select("at", *names)
+    return catalog.with_note_key(packages).join(told, "at", "left").drop("at").na.fill(0, names)
+
+
 def bm25(df: DataFrame, q: str, fields: dict[str, float], to: str = "score") -> DataFrame:
     """The rows of ``df`` that hold every term of ``q`` in one of the fields, with their score.
 
     A term counts by its best field, with the largest document frequency of the fields, as they are
-    searched as one.
+    searched as one. A field whose counts stand beside it already (``counted``) needs no text.
     """
     terms = analysis.asked(q)
     if not terms:
         return df.withColumn(to, F.lit(0.0))
-    counts = {f"__len_{f}": analysis.length(F.col(f)) for f in fields}
-    counts |= {f"__tf_{f}_{i}": analysis.occurrences(F.col(f), t) for f in fields for i, t in enumerate(terms)}
-    held = df.withColumns(counts)
+    counts = [c for f in fields for c in _count_names(f, len(terms))]
+    made = [f for f in fields if _count_names(f, 0)[0] not in df.columns]
+    held = counted(df, q, made)
     sums = [F.count("*").alias("n")] + [F.avg(f"__len_{f}").alias(f"len_{f}") for f in fields]
     sums += [F.count_if(F.col(f"__tf_{f}_{i}") > 0).alias(f"df_{f}_{i}") for f in fields for i in range(len(terms))]
     stats = held.agg(*sums).first()  # one row
@@ -61,10 +80,10 @@ def bm25(df: DataFrame, q: str, fields: dict[str, float], to: str = "score") ->
             scores.append(F.lit(boost * idf) * tf / (tf + norm))
         best = F.greatest(*scores, F.lit(0.0))
         total, hit = total + best, hit & (best > 0)
-    for term in terms:  # what no field holds isn't measured
-        held_by = [F.contains(F.lower(f), F.lit(term.text)) for f in fields]
+    for i, term in enumerate(terms):  # what no field holds isn't measured
+        held_by = [F.contains(F.lower(f), F.lit(term.text)) if f in made else F.col(f"__tf_{f}_{i}") > 0 for f in fields]
         df = df.where(reduce(or_, held_by))
-    return df.withColumns(counts).withColumn(to, total).where(hit).drop(*counts)
+    return counted(df, q, made).withColumn(to, total).where(hit).drop(*counts)
 
 
 def keyword_score(boost: float, n: Column, df: Column) -> Column:
@@ -129,7 +148,11 @@ class SearchIndex:
 def write_index(catalog: Catalog, path: str, chunks: DataFrame | None = None) -> SearchIndex:
     """The index of a catalog's searchable texts, written under ``path`` and read back."""
     content = (catalog.content if chunks is None else chunks).withColumn("chunk_id", chunk_id("resource_id", "chunk_index"))
-    index.write_postings(index.postings_of(catalog.package_notes, "id", ["title", "notes"]), f"{path}/packages")
+    titles = index.texts_of(catalog.package_core, "id", ["title"])
+    notes = index.texts_of(catalog.note, "at", ["notes"])
+    shared = catalog.with_note_key(catalog.package_core.select("id")).join(index.held(notes, "at").withColumn("at", F.col("at").cast("long")), "at", "left")
+    owners = index.held(titles, "id").unionByName(shared.select("id", F.lit("notes").alias("field"), F.coalesce("text", F.lit(index.NO_TEXT)).alias("text"), F.coalesce("len", F.lit(0)).alias("len")))
+    index.write_postings(index.postings_from(owners, titles.unionByName(notes)), f"{path}/packages")
     index.write_postings(index.postings_of(catalog.resource, "id", ["name", "description"]), f"{path}/resources")
     index.write_postings(index.postings_of(content, "chunk_id", ["extracted_text"]), f"{path}/content")
     content.select("resource_id", "package_id", "chunk_index").write.parquet(f"{path}/chunks")
@@ -157,22 +180,17 @@ def merge_legs(packages: DataFrame, resources: DataFrame, content: DataFrame) ->
 def ranked_search(catalog: Catalog, q: str, filters: Filters, chunks: DataFrame | None = None, kept: SearchIndex | None = None) -> DataFrame:
     """All matching packages (id, score, source, updated); order by score, then the last update. With a ``kept`` index no text is read."""
     packages, resources, content = search_legs(catalog, q, filters, chunks, kept)
-    return merge_legs(packages, resources, content).join(visible_packages(catalog, filters, False).select("id", "updated"), "id")
-
-
-def visible_packages(catalog: Catalog, filters: Filters, notes: bool = True) -> DataFrame:
-    """The packages that pass the filters, with their notes if these are read anyhow."""
-    return matching(catalog, filters, catalog.package_notes if notes or filters.q else catalog.package)
+    return merge_legs(packages, resources, content).join(matching(catalog, filters).select("id", "updated"), "id")
 
 
 def search_legs(catalog: Catalog, q: str, filters: Filters, chunks: DataFrame | None = None, kept: SearchIndex | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """What the query finds in the visible packages, in their active resources, and in their chunks of content."""
-    packages = visible_packages(catalog, filters, kept is None)
+    packages = matching(catalog, filters).drop("notes")
     keys = packages.select(F.col("id").alias("package_id"))
     own = lambda df: df.join(keys, "package_id", "left_semi")
     content = kept.chunks if kept else catalog.content if chunks is None else chunks
     return (
-        package_leg(packages, q, catalog.package_tag, kept and kept.packages),
+        package_leg(packages if kept or not query_terms(q) else with_note_counts(catalog, packages, q), q, catalog.package_tag, kept and kept.packages),
         resource_leg(own(catalog.resource.where("state = 'active'")), q, words=kept and kept.resources),
         content_leg(own(content), q, words=kept and kept.content),
     )

@@ -2,8 +2,10 @@
 
 from pyspark.sql import functions as F
 
-from catalume.operators import ranked
+from catalume.functions import analysis
+from catalume.operators import postings, ranked, search
 from catalume.plans import index_queries, more_queries, search_queries
+from catalume.sources.catalog import Catalog
 
 
 def plan(df):
@@ -11,11 +13,42 @@ def plan(df):
 
 
 def test_highlights_of_all_matches_are_not_cut(spark):
-    from catalume.sources.catalog import Catalog
-
     c = Catalog(spark, "/root/testdata/sf0.001")
     for query in (index_queries.SPARK["ranked_resource_highlights"], search_queries.SPARK["ranked_content_match"], more_queries.SPARK["ranked_chunks"]):
         assert "GlobalLimit" not in plan(query(c))
     live = c.resource.where("state = 'active'")
     assert ranked.resource_leg(live, "urgent", 3).count() == 3
     assert ranked.resource_leg(live, "urgent", None).count() == live.where(F.col("description").contains("URGENT")).count() > 3
+
+
+def test_equal_texts_share_their_postings(spark):
+    df = spark.range(500).select(F.col("id").cast("string").alias("id"), F.lit("the harbour, the 東京都").alias("title"), F.when(F.col("id") % 2 == 0, "the harbour, the 東京都").alias("notes"))
+    held = postings.postings_of(df, "id", ["title", "notes"])
+    assert held.where("term <> ''").count() == 5 and held.where("term = ''").count() == 1000
+    changed = postings.postings_of(df.where("id = '7'").withColumn("title", F.lit("the harbour, the 東京都")), "id", ["title", "notes"])
+    after = postings.replaced(held, changed, df.where("id = '8'").select("id"))
+    assert postings.compacted(after).where("term <> ''").count() == 5
+    for q in ("harbour", "京", "東京都"):
+        want = {r.id: round(r.score, 9) for r in ranked.bm25(df.where("id <> '8'"), q, {"title": 3.0, "notes": 1.0}).collect()}
+        for kept in (after, postings.compacted(after)):
+            assert {r.id: round(r.score, 9) for r in postings.search(kept, q, {"title": 3.0, "notes": 1.0}).collect()} == want
+
+
+def test_notes_are_searched_once_each(spark):
+    c = Catalog(spark, "/root/testdata/sf0.001")
+    assert "notes#" not in plan(search.matching(c, search.Filters(q="urgent")).agg(F.count("*")))
+    packages, _, _ = ranked.search_legs(c, "the", search.Filters(allowed_orgs=None))
+    assert "notes#" not in plan(packages).replace("__tf_notes_0", "").replace("__len_notes", "")
+    assert search.matching(c, search.Filters(q="urgent")).columns == c.package_notes.columns
+
+
+def test_short_classes_count_as_the_long_ones_do(spark):
+    import re
+
+    texts = ["", "a-b a_b ab a", "a1 a", "aa a", "éa a é a", "ａ a ー a 東a a", "A,a;a\na"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = df.select("t", analysis.occurrences(F.col("t"), analysis.Asked("a")).alias("n"), analysis.length(F.col("t")).alias("len"), F.size(analysis.runs(F.col("t"))).alias("runs")).collect()
+    script = "々-〇ぁ-ゖゝ-ゟァ-ヺー-ヿ㐀-䶿一-鿿"
+    for r in got:
+        plain = re.findall(f"[^\\W_{script}]+", r.t.lower())
+        assert r.n == plain.count("a") and r.len == len(plain) + len(re.findall(f"[{script}]", r.t)) and r.runs == len(plain) + len(re.findall(f"[{script}]+", r.t))
