@@ -28,10 +28,10 @@ def pattern(q: str) -> str | None:
     """A pattern for the query's words; those of scripts with spaces as whole words only."""
     found = sorted(analysis.asked(q), key=lambda a: -len(a.text))
     dense = [re.escape(a.text) for a in found if a.dense]
-    plain = [re.escape(a.text) for a in found if not a.dense]
-    parts = [f"(?:{'|'.join(dense)})"] if dense else []
     letter = r"[\p{L}\p{N}&&[^\p{IsHan}\p{IsHiragana}\p{IsKatakana}ー]]"
-    parts += [rf"(?<!{letter})(?:{'|'.join(plain)})(?!{letter})"] if plain else []
+    plain = [rf"{w}(?<!{letter}{w})" for w in (re.escape(a.text) for a in found if not a.dense)]  # its letters first, what is around only where they are
+    parts = [f"(?:{'|'.join(dense)})"] if dense else []
+    parts += [rf"(?:{'|'.join(plain)})(?!{letter})"] if plain else []
     return f"(?iu)({'|'.join(parts)})" if parts else None
 
 
@@ -61,11 +61,16 @@ def hits(text: Column, q: str) -> Column:
 def window(found: Column, length: Column, size: int) -> Column:
     """(n, start, end) of the best window over hits in order; null without a hit that fits in one."""
 
-    def held(h: Column, i: Column) -> Column:
-        inside = F.filter(F.slice(found, i + 1, size), lambda x: x["end"] <= h["start"] + size)
-        return F.struct(F.size(inside).alias("n"), (-i).alias("i"), h["start"].alias("start"), F.get(inside, F.size(inside) - 1)["end"].alias("end"))
+    # the window of hits ``left`` to ``i`` grows by a hit that fits or moves on by one, and never shrinks
+    begin = F.struct(F.lit(0).alias("left"), F.lit(0).alias("i"), F.lit(0).alias("n"), F.lit(0).alias("start"), F.lit(0).alias("end"))
+
+    def step(acc: Column, h: Column) -> Column:
+        fits = h["end"] <= F.get(found, acc["left"])["start"] + size
+        more = F.struct(acc["left"].alias("left"), (acc["i"] + 1).alias("i"), (acc["i"] - acc["left"] + 1).alias("n"), F.get(found, acc["left"])["start"].alias("start"), h["end"].alias("end"))
+        same = F.struct((acc["left"] + 1).alias("left"), (acc["i"] + 1).alias("i"), acc["n"].alias("n"), acc["start"].alias("start"), acc["end"].alias("end"))
+        return F.when(F.coalesce(fits, F.lit(False)), more).otherwise(same)
 
-    best = F.array_max(F.transform(found, held))
+    best = F.aggregate(found, begin, step)
     spare = F.lit(size) - (best["end"] - best["start"])
     start = F.greatest(F.lit(0), best["start"] - F.floor(spare / 2).cast("int"))
     return F.when(best["n"] > 0, F.struct(best["n"].alias("n"), start.alias("start"), F.least(length, start + size).alias("end")))
