@@ -48,15 +48,32 @@ def decoded(data: bytes, encoding: str) -> str:
 
 
 @F.pandas_udf(StringType())
-def detect_encoding(data: pd.Series) -> pd.Series:
+def _detected(data: pd.Series) -> pd.Series:
     return data.map(lambda b: None if b is None else encoding_of(bytes(b)))
 
 
 @F.pandas_udf(StringType())
-def decode_bytes(data: pd.Series, encoding: pd.Series) -> pd.Series:
+def _decoded(data: pd.Series, encoding: pd.Series) -> pd.Series:
     return pd.Series([None if b is None else decoded(bytes(b), e) for b, e in zip(data, encoding, strict=True)])
 
 
+def detect_encoding(data: Column) -> Column:
+    """The encoding of bytes, by ``encoding_of``; bytes that are plainly ASCII or UTF-8 don't go to Python."""
+    plain = F.decode(data, "ISO-8859-1")
+    open_ = plain.rlike(r"(?i)<\?xml|\x1b(?:\$|\(J)")
+    ascii_ = F.octet_length(F.encode(plain, "UTF-8")) == F.octet_length(data)
+    whole = lambda cut: F.is_valid_utf8(F.substring(data, F.lit(1), F.greatest(F.octet_length(data) - cut, F.lit(0))).cast("string"))
+    known = F.when(F.octet_length(data) == 0, "UTF8").when(open_, None).when(ascii_, "ASCII").when(whole(0) | whole(1) | whole(2) | whole(3), "UTF8")
+    return F.coalesce(known, _detected(F.when(known.isNull(), data)))
+
+
+def decode_bytes(data: Column, encoding: Column) -> Column:
+    """Bytes as text, by ``decoded``; valid UTF-8 doesn't go to Python."""
+    text = data.cast("string")
+    known = F.when(F.coalesce(encoding, F.lit("")).isin("SJIS", "EUCJP", "JIS"), None).when(F.is_valid_utf8(text), text)
+    return F.coalesce(known, _decoded(F.when(known.isNull(), data), encoding))
+
+
 _CUT = "array<struct<at:int,n:int,long:boolean>>"
 
 

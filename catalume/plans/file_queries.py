@@ -7,10 +7,12 @@ import zipfile
 from html import escape
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
 
+from ..functions.batches import batched, rows_of
 from ..operators import incremental, listing, lookup, mutations
 from ..sources import files
 from ..sources.catalog import Catalog
@@ -24,13 +26,12 @@ CODECS = ("ascii", "utf-8", "cp932", "euc_jp", "iso2022_jp")
 def _files(c: Catalog, write) -> DataFrame:
     """(path, content, format): a file for each document, by ``write(doc_id, text)``."""
 
+    schema = pa.schema([("path", pa.string()), ("content", pa.binary()), ("format", pa.string())])
+
     def make(batches):
-        for batch in batches:
-            for doc, text in zip(batch["doc_id"], batch["text"], strict=True):
-                content, fmt = write(int(doc), text or "")
-                yield pd.DataFrame({"path": [str(doc)], "content": [content], "format": [fmt]})
+        return batched(((str(doc), *write(int(doc), text or "")) for doc, text in rows_of(batches, ["doc_id", "text"])), schema)
 
-    return c.raw("documents").select("doc_id", "text").mapInPandas(make, "path string, content binary, format string")
+    return c.raw("documents").select("doc_id", "text").mapInArrow(make, "path string, content binary, format string")
 
 
 def _archive(doc: int, text: str) -> tuple[bytes, str]:

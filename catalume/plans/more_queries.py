@@ -186,7 +186,7 @@ SPARK = {
     "source_preview": lambda c: files.text_preview(_objects(c).withColumn("encoding", F.lit("UTF8")), limit=1 << 20).select("path", F.length("text").alias("chars"), "truncated"),
     "source_manifest": lambda c: files.zip_manifest(office(c), 3),
     "source_entries_kept": lambda c: files.kept_entries(office(c), 3).select("path", "name"),
-    "source_tree": lambda c: files.tree_order(files.path_tree(office(c))),
+    "source_tree": lambda c: files.tree_order(files.path_tree(office(c), by_range=True)),
     "source_geojson": lambda c: _geojson(c).select("path", F.element_at("properties", "name").alias("name"), F.col("geometry.type").alias("type")),
     "source_geojson_rows": lambda c: files.property_table(_geojson(c)).select("path", "rows"),
     "source_geojson_bounds": lambda c: files.bounds_or_centre(files.feature_bounds(_geojson(c)), c.organization.select(F.col("id").alias("path")).unionByName(c.grp.select(F.col("name").alias("path")))),

@@ -12,10 +12,11 @@ import re
 import zipfile
 from html import unescape
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.batches import batched, rows_of
 from ..functions.scalars import charset, escape_html, prefixed_sha256
 from ..functions.text import decode_bytes, detect_encoding
 from .archives import zip_entries  # noqa: F401
@@ -111,24 +112,26 @@ def extract_tables(df: DataFrame) -> DataFrame:
     row carries its names and cells as arrays; ``typed_rows`` gives one file's table.
     """
 
-    def parse(batches):
+    schema = pa.schema([("path", pa.string()), ("row_index", pa.int64()), ("columns", pa.list_(pa.string())), ("cells", pa.list_(pa.string())), ("error", pa.string())])
+
+    def parsed(rows):
         from ..functions.text import decoded
 
-        for batch in batches:
-            for path, content, encoding in zip(batch["path"], batch["content"], batch["encoding"], strict=True):
-                try:
-                    rows = table_rows(decoded(bytes(content), encoding))
-                    names = column_names(rows[0]) if rows else []
-                    if len(names) > MAX_COLUMNS:
-                        raise ValueError(f"more than {MAX_COLUMNS} columns")
-                    cells = [(r + [""] * len(names))[: len(names)] for r in rows[1:]]
-                    for i in range(0, len(cells), ROWS_PER_FILE):
-                        part = cells[i : i + ROWS_PER_FILE]
-                        yield pd.DataFrame({"path": path, "row_index": range(i, i + len(part)), "columns": [names] * len(part), "cells": part, "error": None})
-                except (ValueError, csv.Error) as error:
-                    yield pd.DataFrame({"path": [path], "row_index": [-1], "columns": [[]], "cells": [[]], "error": [str(error)]})
+        for path, content, encoding in rows:
+            try:
+                table = table_rows(decoded(content, encoding))
+                names = column_names(table[0]) if table else []
+                if len(names) > MAX_COLUMNS:
+                    raise ValueError(f"more than {MAX_COLUMNS} columns")
+                for i, r in enumerate(table[1:]):
+                    yield path, i, names, (r + [""] * len(names))[: len(names)], None
+            except (ValueError, csv.Error) as error:
+                yield path, -1, [], [], str(error)
+
+    def parse(batches):
+        return batched(parsed(rows_of(batches, ["path", "content", "encoding"])), schema)
 
-    return df.select("path", "content", "encoding").mapInPandas(parse, "path string, row_index long, columns array<string>, cells array<string>, error string")
+    return df.select("path", "content", "encoding").mapInArrow(parse, "path string, row_index long, columns array<string>, cells array<string>, error string")
 
 
 def typed_rows(tables: DataFrame, path: str) -> DataFrame:
@@ -139,9 +142,13 @@ def typed_rows(tables: DataFrame, path: str) -> DataFrame:
 
 
 def write_preview(table: DataFrame, path: str, rows: int = ROWS_PER_FILE) -> None:
-    """A table as Parquet, in row order, ``rows`` rows a page; a page is a folder, named by its number."""
+    """A table as Parquet, in row order, ``rows`` rows a page; a page is a folder, named by its number.
+
+    Many files' tables (``path``) may be written at once; a page of them is spread over several files.
+    """
+    of = [c for c in ("path",) if c in table.columns]
     paged = table.withColumn("page", F.floor(F.col("row_index") / F.lit(rows)).cast("int"))
-    paged.repartitionByRange("page").sortWithinPartitions("page", "row_index").write.partitionBy("page").parquet(path)
+    paged.repartitionByRange("page", *of).sortWithinPartitions("page", *of, "row_index").write.partitionBy("page").parquet(path)
 
 
 def read_rows(df: DataFrame, start: int, end: int, rows: int = ROWS_PER_FILE) -> DataFrame:
@@ -149,7 +156,7 @@ def read_rows(df: DataFrame, start: int, end: int, rows: int = ROWS_PER_FILE) ->
     own = (F.col("row_index") >= start) & (F.col("row_index") < end)
     if "page" in df.columns:
         own = own & F.col("page").between(start // rows, max(start, end - 1) // rows)
-    return df.where(own).drop("page").orderBy("row_index")
+    return df.where(own).drop("page").orderBy("row_index", *[c for c in ("path",) if c in df.columns])
 
 
 def zip_manifest(entries: DataFrame, most: int = MAX_ENTRIES) -> DataFrame:
@@ -203,12 +210,17 @@ def placed(tree: DataFrame) -> DataFrame:
     return named.withColumn("place", F.row_number().over(shown))
 
 
-def path_tree(entries: DataFrame) -> DataFrame:
-    """(path, node, is_directory): entries and the directories they imply; order directories first, then by name."""
+def path_tree(entries: DataFrame, by_range: bool = False) -> DataFrame:
+    """(path, node, is_directory): entries and the directories they imply; order directories first, then by name.
+
+    With ``by_range`` entries are dealt by ranges of the path before they become nodes, which then are gathered
+    and ordered where they are: for many archives whose nodes are mostly distinct.
+    """
     from ..functions.scalars import path_prefixes
 
     own = F.regexp_replace("name", "/+$", "")
-    nodes = entries.select("path", own.alias("full"), "is_directory", F.explode(path_prefixes(own)).alias("node"))
+    dealt = entries.repartitionByRange("path") if by_range else entries
+    nodes = dealt.select("path", own.alias("full"), "is_directory", F.explode(path_prefixes(own)).alias("node"))
     return nodes.groupBy("path", "node").agg(F.max((F.col("node") != F.col("full")) | F.col("is_directory")).alias("is_directory"))
 
 
@@ -277,15 +289,17 @@ def office_text(content: bytes, fmt: str) -> str | None:
 def document_texts(df: DataFrame) -> DataFrame:
     """(path, text, error) of office files with ``content`` and ``format``."""
 
+    schema = pa.schema([("path", pa.string()), ("text", pa.string()), ("error", pa.string())])
+
+    def texts(rows):
+        for path, content, fmt in rows:
+            try:
+                text = office_text(content, fmt)
+                yield path, text, None if text is not None else "unsupported"
+            except (zipfile.BadZipFile, KeyError, OSError, ValueError) as error:
+                yield path, None, str(error)
+
     def read(batches):
-        for batch in batches:
-            rows = []
-            for path, content, fmt in zip(batch["path"], batch["content"], batch["format"], strict=True):
-                try:
-                    text = office_text(bytes(content), fmt)
-                    rows.append((path, text, None if text is not None else "unsupported"))
-                except (zipfile.BadZipFile, KeyError, OSError, ValueError) as error:
-                    rows.append((path, None, str(error)))
-            yield pd.DataFrame(rows, columns=["path", "text", "error"])
-
-    return df.select("path", "content", "format").mapInPandas(read, "path string, text string, error string")
+        return batched(texts(rows_of(batches, ["path", "content", "format"])), schema)
+
+    return df.select("path", "content", "format").mapInArrow(read, "path string, text string, error string")
