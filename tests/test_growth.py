@@ -2,9 +2,10 @@
 
 from pyspark.sql import functions as F
 
-from catalume.functions import analysis
-from catalume.operators import postings, ranked, search
+from catalume.functions import analysis, fragments
+from catalume.operators import postings, ranked, search, trigrams
 from catalume.plans import index_queries, more_queries, search_queries
+from catalume.sources import files
 from catalume.sources.catalog import Catalog
 
 
@@ -52,3 +53,89 @@ def test_short_classes_count_as_the_long_ones_do(spark):
     for r in got:
         plain = re.findall(f"[^\\W_{script}]+", r.t.lower())
         assert r.n == plain.count("a") and r.len == len(plain) + len(re.findall(f"[{script}]", r.t)) and r.runs == len(plain) + len(re.findall(f"[{script}]+", r.t))
+
+
+def test_small_files_share_batches():
+    import pyarrow as pa
+
+    from catalume.functions.batches import batched
+
+    schema = pa.schema([("path", pa.string()), ("n", pa.int64()), ("cells", pa.list_(pa.string()))])
+    rows = [(str(i), i, ["x" * 1000] * (i % 3)) for i in range(1_000)]
+    got = list(batched(rows, schema, 100, 20_000))
+    assert 30 < len(got) < 60 and max(b.num_rows for b in got) <= 100 and max(b.nbytes for b in got) < 30_000
+    assert [tuple(r.values()) for b in got for r in b.to_pylist()] == rows
+
+
+def test_encodings_of_plain_bytes_are_told_without_python(spark):
+    import random
+
+    from catalume.functions.text import decode_bytes, decoded, detect_encoding, encoding_of
+
+    rng = random.Random(5)
+    texts = ["", "plain", "人口統計", "é", "a\x1b(J", "<?XML version='1' encoding='euc-jp'?>é", "\x7f\x80"]
+    given = [t.encode() for t in texts] + ["人口統計データ".encode(k) for k in ("cp932", "euc_jp", "iso2022_jp")] + ["統計".encode()[:n] for n in range(6)] + ["\U0001f600".encode()[:n] for n in range(5)] + [b"\xed\xa0\x80", b"\xc0\x80", b"\xf4\x90\x80\x80"]
+    given += [bytes(rng.choices([0x41, 0x80, 0xBF, 0xC2, 0xE3, 0x81, 0xF0, 0x9F, 0x1B, 0x24], k=rng.randrange(1, 7))) for _ in range(400)]
+    df = spark.createDataFrame([(b,) for b in [*given, None]], "b binary").withColumn("e", detect_encoding(F.col("b"))).withColumn("t", decode_bytes(F.col("b"), F.col("e")))
+    for r in df.collect():
+        assert (r.e, r.t) == ((None, None) if r.b is None else (encoding_of(bytes(r.b)), decoded(bytes(r.b), r.e)))
+    sent = df.where("e IN ('ASCII', 'UTF8')").select(F.count("*")).first()[0]
+    assert sent > 20
+
+
+def test_a_term_is_sought_by_its_rarest_gram(spark, tmp_path):
+    df = spark.range(300).select(F.col("id").cast("string").alias("id"), F.concat(F.lit("customer-"), F.col("id").cast("string")).alias("name"))
+    made = trigrams.grams(df.unionByName(df), "id", ["name"])
+    assert made.count() == made.distinct().count()
+    trigrams.write_grams(made, str(tmp_path / "g"))
+    held = trigrams.read_grams(spark, str(tmp_path / "g"))
+    for q in ("customer-299", "er"):  # no table of ids is made in memory
+        assert "Aggregate" not in plan(trigrams.candidates(held, q))
+    assert trigrams.candidates(held, "customer-299").count() == 1
+    assert [r.id for r in trigrams.containing(df, held, "customer-299", "id", ["name"]).collect()] == ["299"]
+
+
+def test_pages_of_many_tables_are_dealt_by_table(spark, tmp_path):
+    table = spark.range(40_000).select(F.col("id").cast("string").alias("path"), F.lit(0).cast("long").alias("row_index"))
+    coalesce = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(coalesce, "false")  # so small a table would be put together again
+    try:
+        files.write_preview(table, str(tmp_path / "p"), 2)
+    finally:
+        spark.conf.unset(coalesce)
+    held = spark.read.parquet(str(tmp_path / "p"))
+    sizes = [r["count"] for r in held.groupBy(F.col("_metadata.file_path")).count().collect()]
+    assert sum(sizes) == 40_000 and max(sizes) < 20_000
+    assert files.read_rows(held, 0, 1, 2).count() == 40_000
+
+
+def test_a_tree_is_dealt_and_ordered_by_one_shuffle(spark):
+    entries = spark.range(500).select((F.col("id") % 50).cast("string").alias("path"), F.concat(F.lit("d/e"), (F.col("id") % 3).cast("string"), F.lit("/f"), F.col("id").cast("string")).alias("name"), F.lit(False).alias("is_directory"))
+    want = files.tree_order(files.path_tree(entries))
+    got = files.tree_order(files.path_tree(entries, by_range=True))
+    assert got.collect() == want.collect() and got.count() == 50 + 150 + 500
+    assert got._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].count("Exchange") == 1
+
+
+def test_windows_of_many_hits_are_found_in_one_pass(spark):
+    import random
+
+    rng = random.Random(6)
+    rows = []
+    for _ in range(300):
+        at, hits = 0, []
+        for _ in range(rng.randrange(12)):
+            start = at + rng.randrange(1, 9)
+            at = start + rng.randrange(1, 14)
+            hits.append((start, at))
+        rows.append((hits,))
+    for size in (5, 12, 40):
+        df = spark.createDataFrame(rows, "f array<struct<start:int,end:int>>")
+        for r in df.select("f", fragments.window(F.col("f"), F.lit(10_000), size).alias("w")).collect():
+            tried = [(sum(h.start >= s.start and h.end <= s.start + size for h in r.f), -s.start) for s in r.f]
+            n, start = max(tried, default=(0, 0))
+            assert (r.w is None) == (n == 0) and (r.w is None or r.w.n == n)
+            if n:
+                end = max(h.end for h in r.f if h.start >= -start and h.end <= -start + size)
+                assert r.w.start == max(0, -start - (size - (end + start)) // 2)
+    assert "filter(" not in spark.createDataFrame(rows, df.schema).select(fragments.window(F.col("f"), F.lit(9), 5).alias("w"))._jdf.queryExecution().optimizedPlan().toString()
