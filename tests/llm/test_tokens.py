@@ -1,6 +1,7 @@
 """Token files and the chunk codec against the tokenizers library."""
 
 import hashlib
+import time
 import zlib
 
 import numpy as np
@@ -128,6 +129,27 @@ def test_blocks_are_smaller_than_deflated_ones():
     assert (rangecoder.unpack_segment(data) == ids).all() and len(data) < 0.85 * deflated
 
 
+def test_coding_and_reading_cost_less_than_the_encoding():
+    texts = [t or "" for t in pq.read_table("/root/testdata/sf0.1/documents.parquet", columns=["text"])["text"].to_pylist()[:3000]]
+    ENCODERS[BYTES].encode(texts[:10])
+    began = time.process_time()
+    ids = np.frombuffer(b"".join(ENCODERS[BYTES].encode(texts)), "<u4").astype("<u2")
+    encoded = time.process_time() - began
+    data = rangecoder.pack_segment(ids)  # what is done once a process
+    began = time.process_time()
+    data = rangecoder.pack_segment(ids)
+    got = rangecoder.unpack_segment(data)
+    assert time.process_time() - began < encoded and (got == ids).all()
+
+
+def test_counted_chances_are_kept_in_the_head():
+    ids = np.tile(np.arange(700), 300)
+    shares, chances = rangecoder.shares_of(ids), rangecoder.chances_of()
+    counted = rangecoder.pack_segment(ids)
+    plain = sum(map(len, rangecoder.encode_blocks(ids, shares=shares)))
+    assert chances.sum(1).max() < 65536 and (rangecoder.unpack_segment(counted) == ids).all() and len(counted) < plain
+
+
 def test_token_files_round_trip(spark, odd_rows, tmp_path):
     path = str(tmp_path / "tokens")
     tokenfiles.write_tokens(documents(spark, odd_rows), path, BYTES, segment=2000)
