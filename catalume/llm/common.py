@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,6 +27,40 @@ def release(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def give_back() -> None:
+    """Return to the system what this Python process has freed: the driver and the workers live on, and would keep it."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def giving_back(each: Callable) -> Callable:
+    """``each``, a function over the batches of a task, with ``give_back`` at the end of the task."""
+
+    def run(batches):
+        yield from each(batches)
+        give_back()
+
+    return run
+
+
+#: Rows of a batch of whole texts or sets that is sent to Python.
+FEW = 512
+
+
+@contextlib.contextmanager
+def few_rows(spark: SparkSession) -> Iterator[None]:
+    """Within it, what is run sends ``FEW`` rows at most to Python at once: both sides hold a batch whole."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = int(spark.conf.get(key))
+    spark.conf.set(key, min(FEW, before) if before > 0 else FEW)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def text_or_empty(column: str = "text"):
     return F.coalesce(F.col(column), F.lit(""))
 

@@ -30,6 +30,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import few_rows, give_back, giving_back
+
 BUCKETS, SIZE, NONZERO, REACH = 1 << 14, 64, 2, 2
 SAMPLE, HIDDEN, EPOCHS = 20_000, 32, 40
 _WORD = re.compile(r"\w+|[^\w\s]+")
@@ -91,8 +93,9 @@ def word_vectors(df: DataFrame, text: str = "text") -> tuple[np.ndarray, np.ndar
         yield out
 
     names = ["n", *(f"c{i}" for i in range(SIZE))]
-    parts = df.select(F.col(text).alias("text")).mapInPandas(sums, "bucket int, " + ", ".join(f"{c} long" for c in names))
-    found = parts.groupBy("bucket").agg(*[F.sum(c).alias(c) for c in names]).toArrow()  # BUCKETS rows at most
+    parts = df.select(F.col(text).alias("text")).mapInPandas(giving_back(sums), "bucket int, " + ", ".join(f"{c} long" for c in names))
+    with few_rows(df.sparkSession):
+        found = parts.groupBy("bucket").agg(*[F.sum(c).alias(c) for c in names]).toArrow()  # BUCKETS rows at most
     vectors, counts = np.zeros((BUCKETS, SIZE)), np.zeros(BUCKETS)
     at = found["bucket"].to_numpy()
     for i, name in enumerate(names[1:]):
@@ -195,10 +198,14 @@ def fit(df: DataFrame, labels: DataFrame, label: str = "quality", sample: int =
         for batch in batches:
             yield pd.DataFrame({"doc_id": batch["doc_id"], "y": batch["y"], "x": list(pool(list(batch["text"])))})
 
-    found = df.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").mapInPandas(features, "doc_id long, y double, x array<float>").toArrow()
+    with few_rows(df.sparkSession):
+        found = df.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").mapInPandas(giving_back(features), "doc_id long, y double, x array<float>").toArrow()
     x, y = found["x"].combine_chunks().flatten().to_numpy().reshape(-1, pool.size).astype(float), found["y"].to_numpy()
     order = np.lexsort((x.sum(1), y, [zlib.crc32(str(d).encode()) for d in found["doc_id"].to_pylist()]))
-    return pool, Network().fit(x[order] if len(x) else np.zeros((1, pool.size)), y[order] if len(y) else np.full(1, 0.5))
+    network = Network().fit(x[order] if len(x) else np.zeros((1, pool.size)), y[order] if len(y) else np.full(1, 0.5))
+    del found, x
+    give_back()
+    return pool, network
 
 
 def score(df: DataFrame, pool: Pooling, network: Network, text: str = "text", to: str = "score") -> DataFrame:
@@ -210,7 +217,7 @@ def score(df: DataFrame, pool: Pooling, network: Network, text: str = "text", to
         for batch in batches:
             yield batch.assign(**{to: network.score(pool(list(batch[text])))})
 
-    return df.mapInPandas(scored, schema)
+    return df.mapInPandas(giving_back(scored), schema)
 
 
 def classify(df: DataFrame, labels: DataFrame) -> DataFrame:

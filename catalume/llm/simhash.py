@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, release, sieved
+from .common import few_rows, give_back, giving_back, materialise, release, sieved
 from .components import connected_components
 from .tokens import portions
 
@@ -131,7 +131,7 @@ def links(codes: DataFrame, bits: int = BITS) -> DataFrame:
             seen += len(batch)
 
     ordered = codes.select("fp", gray_rank("fp").alias("rank")).repartitionByRange(parts, "rank").sortWithinPartitions("rank").select("fp")
-    members = materialise(ordered.mapInPandas(cut, "shard long, fp long"), "gray")
+    members = materialise(ordered.mapInPandas(giving_back(cut), "shard long, fp long"), "gray")
     # at most MAX_SHARDS + `parts` rows, whatever the data
     tops = members.groupBy("shard").agg(F.bit_and("fp").alias("ones"), F.bit_or("fp").alias("some")).orderBy("shard").toArrow()
     ones, some = (tops[c].to_numpy().view(np.uint64) for c in ("ones", "some"))
@@ -170,9 +170,9 @@ def links(codes: DataFrame, bits: int = BITS) -> DataFrame:
                     new = np.where(own, a < b, True)
                     yield pd.DataFrame({"a": a[new], "b": b[new]})
 
-    sent = members.mapInPandas(route, "shard int, salt int, query boolean, own boolean, fp long")
+    sent = members.mapInPandas(giving_back(route), "shard int, salt int, query boolean, own boolean, fp long")
     dealt = sent.repartition("shard", "salt").sortWithinPartitions("shard", "salt", "query", gray_rank("fp"))
-    return dealt.mapInPandas(search, "a long, b long")
+    return dealt.mapInPandas(giving_back(search), "a long, b long")
 
 
 def near_duplicates(df: DataFrame, id: str = "doc_id", text: str = "text", words: int = WORDS, bits: int = BITS) -> DataFrame:
@@ -295,7 +295,8 @@ def _rare_keys(sets: DataFrame, least: float) -> DataFrame:
         at = np.flatnonzero(table)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(table[at])], names=["cell", "n"])
 
-    found = sets.select("all").mapInArrow(counted, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()  # COUNTS rows at most
+    with few_rows(sets.sparkSession):
+        found = sets.select("all").mapInArrow(giving_back(counted), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()  # COUNTS rows at most
     counts = np.zeros(COUNTS, np.int32)
     counts[found["cell"].to_numpy()] = np.minimum(found["n"].to_numpy(), 2**31 - 1)
 
@@ -311,7 +312,7 @@ def _rare_keys(sets: DataFrame, least: float) -> DataFrame:
                 out.append(np.stack([np.full(len(at), row), h[own[at]], np.full(len(at), len(h)), len(h) - at]))
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in np.concatenate(out, 1)], names=["row", "key", "n", "rem"])
 
-    return sets.select("row", "all").mapInArrow(rarest, "row long, key long, n long, rem long")
+    return sets.select("row", "all").mapInArrow(giving_back(rarest), "row long, key long, n long, rem long")
 
 
 def _live(keys: DataFrame, least: float) -> DataFrame:
@@ -331,7 +332,7 @@ def _live(keys: DataFrame, least: float) -> DataFrame:
 
 
 def _by_rare_shingles(keys: DataFrame, known: DataFrame, check, least: float) -> DataFrame:
-    """``known`` links (x, y, sure) and those found between rows that share a rare shingle.
+    """``known`` links (x, y, sure) and those found between rows that share a rare shingle; the table ``keys`` is deleted.
 
     Groups of at most ``SMALL`` (after the first round: ``LATER``) are compared whole. In a larger one all
     members are compared with its smallest set and with some drawn by hash; those that one of them accepts,
@@ -341,7 +342,7 @@ def _by_rare_shingles(keys: DataFrame, known: DataFrame, check, least: float) ->
     out, pivots, small = known, PIVOTS, SMALL
     share = least / (1 + least)
     fits = lambda x, y: F.least(x["rem"], y["rem"]) + 1e-6 >= share * (x["n"] + y["n"])
-    done: list[DataFrame] = []
+    done = [keys]
     while True:
         keys = materialise(_live(keys, least), "keys")
         while done:
@@ -383,7 +384,11 @@ def _found_links(made: DataFrame, bits: int, least: float, sets_of, check) -> Da
     mixed = materialise(many.join(mixed, ["draw", "key"], "left_semi").select("row").distinct(), "mixed")
     if not mixed.take(1):
         return found
-    return _by_rare_shingles(_rare_keys(sets_of(mixed), least), found, check, least)
+    sets = sets_of(mixed)
+    with few_rows(made.sparkSession):  # the keys are read several times
+        keys = materialise(_rare_keys(sets, least), "rare")
+    give_back()
+    return _by_rare_shingles(keys, found, check, least)
 
 
 def similar_classes(df: DataFrame, id: str = "doc_id", text: str = "text", words: int = SHINGLE, least: float = SIMILAR, bits: int = NEAR_BITS) -> DataFrame:
@@ -421,8 +426,9 @@ def similar_classes(df: DataFrame, id: str = "doc_id", text: str = "text", words
                 of_short = pa.ListArray.from_arrays(pa.array(np.arange(len(short) + 1, dtype=np.int32) * BINS), pa.array(np.concatenate(short)))
                 yield pa.RecordBatch.from_arrays([rows.column("row"), rows.column("doc_id"), pa.array(same), pa.array(fp), of_draws, of_sketch, of_short, pa.array(size.astype(np.int32))], names=["row", "doc_id", "same", "fp", "draws", "sketch", "short", "size"])
 
-    made = docs.mapInArrow(each, "row long, doc_id long, same long, fp long, draws array<long>, sketch array<long>, short array<int>, size int")
-    made = materialise(made, "sketches")
+    made = docs.mapInArrow(giving_back(each), "row long, doc_id long, same long, fp long, draws array<long>, sketch array<long>, short array<int>, size int")
+    with few_rows(made.sparkSession):
+        made = materialise(made, "sketches")
     own = made.groupBy("same").agg(F.min("row").alias("row"))
     distinct = made.select("row", "same", "fp", "draws").join(own, ["same", "row"], "left_semi").dropDuplicates(["row"])
     distinct = materialise(distinct.select("row", "fp", "draws"), "distinct")
@@ -442,12 +448,13 @@ def similar_classes(df: DataFrame, id: str = "doc_id", text: str = "text", words
 
     def texts_of(rows: DataFrame) -> DataFrame:
         held = sieved(docs, F.col("row"), rows.select(F.col("row").alias("key"))).where("__maybe").drop("__maybe")
-        return held.join(rows, "row", "left_semi").dropDuplicates(["row"]).mapInArrow(whole, "row long, all array<long>")
+        return held.join(rows, "row", "left_semi").dropDuplicates(["row"]).mapInArrow(giving_back(whole), "row long, all array<long>")
 
     def sets_of(rows: DataFrame) -> DataFrame:
         """The whole sets of some rows; a sketch that holds all of its set is that set."""
         held = materialise(sketches_of(rows), "short")
-        long = materialise(texts_of(held.where(F.col("size") > SKETCH).select("row")), "long")
+        with few_rows(made.sparkSession):
+            long = materialise(texts_of(held.where(F.col("size") > SKETCH).select("row")), "long")
         return held.where(F.col("size") <= SKETCH).select("row", F.col("sketch").alias("all")).unionByName(long)
 
     def check(pairs: DataFrame) -> DataFrame:
@@ -478,8 +485,9 @@ def similar_classes(df: DataFrame, id: str = "doc_id", text: str = "text", words
                 yield batch.loc[held, ["x", "y"]]
 
         asked = apart.select(F.explode(F.array("x", "y")).alias("row")).distinct()
-        full = materialise(texts_of(asked), "shingles")
-        pairs = apart.join(full.toDF("x", "ax"), "x").join(full.toDF("y", "ay"), "y").mapInPandas(exact, "x long, y long")
+        with few_rows(made.sparkSession):
+            full = materialise(texts_of(asked), "shingles")
+        pairs = apart.join(full.toDF("x", "ax"), "x").join(full.toDF("y", "ay"), "y").mapInPandas(giving_back(exact), "x long, y long")
         stars = connected_components(sure.unionByName(pairs))
     rooted = own.join(stars.withColumnRenamed("node", "row"), "row", "left").select("same", F.coalesce("root", "row").alias("root"))
     return _spread_join(made.select("row", "doc_id", "same"), rooted, "same").select("row", "doc_id", "root").dropDuplicates(["row"])

@@ -3,6 +3,7 @@
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline as pipeline
@@ -86,3 +87,33 @@ def test_odd_and_empty_documents(spark, odd_rows, tmp_path):
         spark.createDataFrame(kept, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{d}/documents.parquet")
         spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
         assert pipeline.run(spark, d).count() >= len(kept) * 0.5
+
+
+def test_batches_of_whole_texts_are_small_and_freed_memory_goes_back(spark):
+    from catalume.llm import common
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], names=["n"])
+
+    def held(batches):
+        def resident():
+            with open("/proc/self/status") as file:
+                return next(int(line.split()[1]) for line in file if line.startswith("VmRSS"))
+
+        list(batches)
+        before = resident()
+        small = [bytes(2000) for _ in range(100_000)]
+        kept = small[-1:]  # the last piece keeps all before it from going back by itself
+        del small
+        left = resident()
+        common.give_back()
+        yield pa.RecordBatch.from_arrays([pa.array([left - before - len(kept)]), pa.array([resident() - before])], names=["left", "after"])
+
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    with common.few_rows(spark):
+        assert max(r.n for r in spark.range(0, 3000, 1, 1).mapInArrow(common.giving_back(sizes), "n long").collect()) <= common.FEW
+    assert spark.conf.get(key) == before
+    got = spark.range(0, 1, 1, 1).mapInArrow(held, "left long, after long").first()
+    assert got.left > 150_000 and got.after < 50_000
