@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import gc
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -35,6 +36,13 @@ def give_back() -> None:
         trim(0)
 
 
+def settle(spark: SparkSession) -> None:
+    """Let the driver collect its garbage: the shuffle files and broadcasts of tables that nothing reads any more go, and memory goes back."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    give_back()
+
+
 def giving_back(each: Callable) -> Callable:
     """``each``, a function over the batches of a task, with ``give_back`` at the end of the task."""
 

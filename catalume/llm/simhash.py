@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import few_rows, give_back, giving_back, materialise, release, sieved
+from .common import few_rows, giving_back, materialise, release, settle, sieved
 from .components import connected_components
 from .tokens import portions
 
@@ -204,6 +204,8 @@ COUNTS = 1 << 18
 #: Buckets of a short sketch (a power of two), sets from which on it is asked, and how far below the least
 #: similarity its estimate turns a pair away (seven standard deviations).
 BINS, LONG, FAR = 128, 128, 0.25
+#: Members of a family that decide about its template.
+DRAWN = 16
 #: About how many members of a larger group the others are compared with in the first round by rare shingles,
 #: and how many times as many in each further one.
 PIVOTS, MORE = 2, 8
@@ -271,102 +273,166 @@ def _compared(members: DataFrame, small: int) -> tuple[DataFrame, DataFrame]:
 
 
 def _refused(many: DataFrame, found: DataFrame) -> DataFrame:
-    """The members that neither head of their group accepts."""
+    """The members that neither head of their group accepts; a second head that the first refuses is one too."""
     sure = found.where("sure")
     both = sure.select(F.col("x").alias("head"), F.col("y").alias("row")).unionByName(sure.select(F.col("y").alias("head"), F.col("x").alias("row")))
-    rest = many.where((F.col("row") != F.col("h")) & (F.col("row") != F.col("h2")))
+    rest = many.where(F.col("row") != F.col("h"))
     for head in ("h", "h2"):
         rest = rest.join(both.withColumnRenamed("head", head), [head, "row"], "left_anti")
     return rest
 
 
-def _rare_keys(sets: DataFrame, least: float) -> DataFrame:
-    """(row, key, n, rem): the rarest shingles of each whole set, of which two sets that reach ``least`` share one.
+def _families(members: DataFrame) -> DataFrame:
+    """(row, fam) of the members of large groups (row, draw, key, n): rows of one template get one family, whichever groups they are in.
 
-    ``n`` is the size of the set, ``rem`` how many of its shingles are no rarer than the key. Rare is by
-    counts in ``COUNTS`` cells, so the order is one for all rows, however good the counts are. The first
-    n - least n + 1 are enough; of these, one that no other row can have is left out.
+    A row names its largest group; it belongs to the one that most members of that group have named.
     """
+    named = members.groupBy("row").agg(F.max(F.struct("n", "draw", "key")).alias("g")).select("row", F.col("g.draw").alias("draw"), F.col("g.key").alias("key"), F.xxhash64("g.draw", "g.key").alias("fam"))
+    votes = members.select("row", "draw", "key").join(named.select("row", "fam"), "row").groupBy("draw", "key", "fam").agg(F.count("*").alias("n"))
+    chosen = votes.groupBy("draw", "key").agg(F.max(F.struct("n", "fam")).alias("v")).select("draw", "key", F.col("v.fam").alias("fam"))
+    return _spread_join(named.select("row", "draw", "key"), chosen, "draw", "key").select("row", "fam")
+
+
+def _edits(sets: DataFrame) -> DataFrame:
+    """(row, fam, all, edits) of whole sets (row, fam, all): what tells each from the template of its family.
+
+    The template has the shingles that most of about ``DRAWN`` members, drawn by hash, hold. Any template gives right results, as
+    two sets differ in just what their edits differ in; a good one leaves few edits.
+    """
+    families = sets.groupBy("fam").agg(F.count("*").alias("m"))
+    drawn = _spread_join(sets, families, "fam").where(F.pmod(F.xxhash64("row"), F.ceil(F.col("m") / DRAWN)) == 0).select("fam", "all", F.count("*").over(Window.partitionBy("fam")).alias("k"))
+    common = drawn.select("fam", "k", F.explode("all").alias("s")).groupBy("fam", "s").agg(F.count("*").alias("n"), F.first("k").alias("k")).where("2 * n > k")
+    templates = families.join(common.groupBy("fam").agg(F.collect_list("s").alias("base")), "fam", "left").select("fam", F.coalesce("base", F.array().cast("array<long>")).alias("base"))
+    return _spread_join(sets, templates, "fam").select("row", "fam", "all", F.concat(F.array_except("all", "base"), F.array_except("base", "all")).alias("edits"))
+
+
+def _alike_by_template(edits: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
+    """``edits`` with ``k``, ``inner`` and ``low``, and the links (x, y, sure) of inner members with the head of their family.
+
+    Two sets reach ``least`` if they differ in at most q of both sizes together, q = (1 - least) / (1 + least). They differ in
+    no more than the edits of both; with s, the edits less q of the size, they reach it for sure if both s come to 0 or less, and
+    else have to share half of that sum of edits. The head has the least s; inner members reach it for sure, so that they are one
+    class, named by ``k``, and two of them need no comparison. ``low`` is the least s that a partner still to be sought can have.
+    """
+    q = (1 - least) / (1 + least)
+    held = edits.withColumn("s", F.size("edits") - q * F.size("all"))
+    heads = held.groupBy("fam").agg(F.min(F.struct("s", "row")).alias("h")).select("fam", F.col("h.s").alias("low"), F.col("h.row").alias("h"))
+    inner = F.col("s") + F.col("low") <= 1e-9
+    outer = _spread_join(held.select("fam", "row", "s"), heads, "fam").where(~inner).groupBy("fam").agg(F.min("s").alias("outer"))
+    held = _spread_join(held, heads.join(outer, "fam", "left"), "fam").withColumn("inner", inner | (F.col("row") == F.col("h")))
+    tied = held.where(F.col("inner") & (F.col("row") != F.col("h"))).select(*_ordered("h", "row"), F.lit(True).alias("sure"))
+    return held.select("row", "fam", "all", "edits", F.when(F.col("inner"), F.col("h")).otherwise(F.col("row")).alias("k"), "inner", F.when(F.col("inner"), F.col("outer")).otherwise(F.col("low")).alias("low")), tied
+
+
+def _rare_keys(edits: DataFrame, least: float) -> DataFrame:
+    """(row, key, s, rem, c, k, inner): the rarest shingles of each whole set and the rarest of its edits.
+
+    Two sets that reach ``least`` share a shingle among the rarest n - least n + 1 of each; two of one family also share one among
+    the rarest of their edits, so that shingles need no comparison of equal ``c``, the family, and edits none of equal ``k``, the
+    class. ``rem`` is how many are no rarer than the key; what two sets share has to come to half of both ``s``. Rare is by counts
+    in ``COUNTS`` cells, so the order is one for all rows, however good the counts are. A key that no other row can have is left out.
+    """
+    q = (1 - least) / (1 + least)
 
     def counted(batches):
-        table = np.zeros(COUNTS, np.int64)
+        table = np.zeros(2 * COUNTS, np.int64)
         for batch in batches:
-            table += np.bincount(batch.column("all").flatten().to_numpy() % COUNTS, minlength=COUNTS)
+            for first, name in ((0, "all"), (COUNTS, "edits")):
+                flat = batch.column(name).flatten().to_numpy()
+                if first:
+                    flat = flat ^ np.repeat(batch.column("fam").to_numpy(), pc.list_value_length(batch.column(name)).to_numpy())
+                table[first : first + COUNTS] += np.bincount(flat % COUNTS, minlength=COUNTS)
         at = np.flatnonzero(table)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(table[at])], names=["cell", "n"])
 
-    with few_rows(sets.sparkSession):
-        found = sets.select("all").mapInArrow(giving_back(counted), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()  # COUNTS rows at most
-    counts = np.zeros(COUNTS, np.int32)
+    with few_rows(edits.sparkSession):
+        found = edits.select("fam", "all", "edits").mapInArrow(giving_back(counted), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()  # 2 COUNTS rows at most
+    counts = np.zeros(2 * COUNTS, np.int32)
     counts[found["cell"].to_numpy()] = np.minimum(found["n"].to_numpy(), 2**31 - 1)
 
     def rarest(batches):
         for batch in batches:
-            flat, ends = batch.column("all").flatten().to_numpy(), np.r_[0, np.cumsum(pc.list_value_length(batch.column("all")).to_numpy())]
-            out = [np.zeros((4, 0), np.int64)]
-            for row, begin, end in zip(batch.column("row").to_numpy(), ends[:-1].tolist(), ends[1:].tolist(), strict=True):
-                h = flat[begin:end]
-                often = counts[h % COUNTS]
-                own = np.lexsort((h, often))[: len(h) - int(np.ceil(least * len(h) - 1e-9)) + 1]
-                at = np.flatnonzero(often[own] > 1)
-                out.append(np.stack([np.full(len(at), row), h[own[at]], np.full(len(at), len(h)), len(h) - at]))
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in np.concatenate(out, 1)], names=["row", "key", "n", "rem"])
-
-    return sets.select("row", "all").mapInArrow(giving_back(rarest), "row long, key long, n long, rem long")
-
-
-def _live(keys: DataFrame, least: float) -> DataFrame:
-    """The members (row, key, n, rem) of groups that may still be similar to another one, with the group's size ``m`` and head ``h``.
-
-    If the key is the rarest shingle that two sets share, they share no more than the smaller ``rem`` of them;
-    a similarity of ``least`` asks for least / (1 + least) of both sizes together. That bounds the size of a
-    set that a member can be similar to, and a group whose least set is larger than that has none for it. The
-    bound is met exactly where the members share a passage and have the rest for themselves.
+            out = []
+            for row, fam, h, e, k, inner, low in zip(*(batch.column(c) for c in ("row", "fam", "all", "edits", "k", "inner", "low")), strict=True):
+                row, fam, low, n, m = row.as_py(), fam.as_py(), low.as_py(), len(h.values), len(e.values)
+                kinds = [(h.values.to_numpy(), 0, n - int(np.ceil(least * n - 1e-9)) + 1, (1 - q) * n, fam, False)]
+                if low is not None:
+                    # what one has and the other hasn't is at most a share 1 / least - 1 of its size
+                    need = max(1, int(np.ceil((m - q * n + low) / 2 - 1e-6)), m - int((1 / least - 1) * n + 1e-9))
+                    kinds.append((e.values.to_numpy() ^ fam, COUNTS, m - need + 1, m - q * n, row, inner.as_py()))
+                for keys, first, most, s, c, alike in kinds:
+                    often = counts[first + keys % COUNTS]
+                    own = np.lexsort((keys, often))[: max(0, most)]
+                    at = np.flatnonzero(often[own] > 1)
+                    out.append((len(at), keys[own[at]], len(keys) - at, row, s, c, k.as_py(), alike))
+            if out:
+                times, key, rem, *same = zip(*out, strict=True)
+                row, s, c, k, alike = (np.repeat(np.array(x), times) for x in same)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (row, np.concatenate(key), s, np.concatenate(rem), c, k, alike)], names=["row", "key", "s", "rem", "c", "k", "inner"])
+
+    return edits.mapInArrow(giving_back(rarest), "row long, key long, s double, rem long, c long, k long, inner boolean")
+
+
+def _live(keys: DataFrame) -> DataFrame:
+    """The members (row, key, s, rem, c, k, inner) of groups that may still be similar to another one, with the group's size ``m`` and head ``h``.
+
+    If the key is the rarest shingle that two sets share, they share no more than the smaller ``rem`` of them, and have to
+    share half of both ``s``. That bounds the ``s`` of a set that a member can be similar to, and a group whose least one is
+    larger than that has none for it; inner members are similar to no further inner one. The bound is met exactly where the
+    members share a passage and have the rest for themselves.
     """
-    most = F.col("rem") * ((1 + least) / least) - F.col("n") + 1e-6
+    most = 2 * F.col("rem") - F.col("s") + 1e-6
+    columns = ["row", "key", "s", "rem", "c", "k", "inner"]
     for _ in range(2):
-        groups = keys.groupBy("key").agg(F.count("*").alias("m"), F.min("n").alias("__n"), F.max(most).alias("__most"), F.min(F.struct("n", "row")).alias("__h")).where("m > 1")
-        held = _spread_join(keys.select("row", "key", "n", "rem"), groups, "key")
-        keys = held.where((most >= F.col("__n")) & (F.col("n") <= F.col("__most"))).select("row", "key", "n", "rem", "m", F.col("__h.row").alias("h"))
+        bounds = [F.min("s").alias("__s"), F.max(most).alias("__most"), F.min(F.when(~F.col("inner"), F.col("s"))).alias("__outer_s"), F.max(F.when(~F.col("inner"), most)).alias("__outer_most")]
+        groups = keys.groupBy("key").agg(F.count("*").alias("m"), F.min(F.struct("s", "row")).alias("__h"), *[f(c).alias(f"__{name}_{c}") for c in ("c", "k") for name, f in (("min", F.min), ("max", F.max))], *bounds).where("m > 1 AND __min_c <> __max_c AND __min_k <> __max_k")
+        held = _spread_join(keys.select(columns), groups, "key")
+        least, largest = (F.when(F.col("inner"), F.col(f"__outer_{c}")).otherwise(F.col(f"__{c}")) for c in ("s", "most"))
+        keys = held.where((most >= least) & (F.col("s") <= largest)).select(*columns, "m", F.col("__h.row").alias("h"))
     return keys
 
 
-def _by_rare_shingles(keys: DataFrame, known: DataFrame, check, least: float) -> DataFrame:
+def _by_rare_shingles(keys: DataFrame, known: DataFrame, check) -> DataFrame:
     """``known`` links (x, y, sure) and those found between rows that share a rare shingle; the table ``keys`` is deleted.
 
     Groups of at most ``SMALL`` (after the first round: ``LATER``) are compared whole. In a larger one all
-    members are compared with its smallest set and with some drawn by hash; those that one of them accepts,
-    and the drawn ones themselves, are done, and the rest goes on to the next round with ``MORE`` times as many
-    drawn. So the number of rounds grows with the logarithm of the largest group.
+    members are compared with its least set and with some drawn by hash, which are then done. Those that one of
+    them accepts take over its class ``k``, and go on with the others to the next round with ``MORE`` times as many
+    drawn, where only members of different classes are compared, until the group is one class or nothing is left.
+    So no link is lost, and the number of rounds grows with the logarithm of the largest group.
     """
     out, pivots, small = known, PIVOTS, SMALL
-    share = least / (1 + least)
-    fits = lambda x, y: F.least(x["rem"], y["rem"]) + 1e-6 >= share * (x["n"] + y["n"])
+    fits = lambda x, y: (x["c"] != y["c"]) & (x["k"] != y["k"]) & (F.least(x["rem"], y["rem"]) + 1e-6 >= (x["s"] + y["s"]) / 2)
     done = [keys]
     while True:
-        keys = materialise(_live(keys, least), "keys")
+        keys = materialise(_live(keys), "keys")
         while done:
             release(done.pop())
+        settle(keys.sparkSession)
         if not keys.take(1):
             return out
         done.append(keys)
-        own = F.struct("row", "n", "rem")
+        own = F.struct("row", "s", "rem", "c", "k")
         few = keys.where(F.col("m") <= small).groupBy("key").agg(F.array_sort(F.collect_list(own)).alias("rows"))
         two = F.flatten(F.transform("rows", lambda x, i: F.transform(F.filter(F.slice("rows", i + 2, small), lambda y: fits(x, y)), lambda y: F.struct(x["row"].alias("x"), y["row"].alias("y")))))
         drawn = (F.col("row") == F.col("h")) | (F.pmod(F.xxhash64("row", "key", F.lit(pivots)), F.ceil(F.col("m") / pivots)) == 0)
         many = keys.where(F.col("m") > small).withColumn("drawn", drawn)
         heads = many.where("drawn").groupBy("key").agg(F.collect_list(own).alias("heads"))
         met = F.filter("heads", lambda p: (p["row"] != F.col("row")) & fits(p, own))
-        asked = materialise(_spread_join(many.select("row", "key", "n", "rem"), heads, "key").select("key", "row", F.explode(met).alias("p")).select("key", "row", F.col("p.row").alias("head")), "asked")
+        asked = materialise(_spread_join(many.select("row", "key", "s", "rem", "c", "k"), heads, "key").select("key", "row", "k", F.explode(met).alias("p")).select("key", "row", "k", F.col("p.row").alias("head"), F.col("p.k").alias("of_head")), "asked")
         done.append(asked)
         pairs = few.select(F.explode(two).alias("p")).select("p.x", "p.y").unionByName(asked.select(*_ordered("head", "row"))).distinct()
         found = materialise(check(pairs.join(out.select("x", "y"), ["x", "y"], "left_anti")), "links")
         out = out.unionByName(found)
         sure = out.where("sure").distinct()
         both = sure.select(F.col("x").alias("head"), F.col("y").alias("row")).unionByName(sure.select(F.col("y").alias("head"), F.col("x").alias("row")))
-        accepted = asked.join(both, ["head", "row"], "left_semi").select("key", "row").distinct()
-        keys = many.where("NOT drawn").join(accepted, ["key", "row"], "left_anti").select("row", "key", "n", "rem")
+        accepted = asked.join(both, ["head", "row"], "left_semi")
+        # heads may accept each other: the class of a head is the least of theirs
+        named = accepted.groupBy("key", "row").agg(F.min(F.least("k", "of_head")).alias("least_k"))
+        taken = accepted.join(named.select("key", F.col("row").alias("head"), F.col("least_k").alias("of_heads")), ["key", "head"], "left").groupBy("key", "row").agg(F.min(F.least("k", "of_head", "of_heads")).alias("taken"))
+        keys = many.where("NOT drawn").join(taken, ["key", "row"], "left").withColumn("k", F.least("k", "taken")).select("row", "key", "s", "rem", "c", "k", "inner")
         pivots, small = pivots * MORE, LATER
+        settle(keys.sparkSession)
 
 
 def _found_links(made: DataFrame, bits: int, least: float, sets_of, check) -> DataFrame:
@@ -375,20 +441,27 @@ def _found_links(made: DataFrame, bits: int, least: float, sets_of, check) -> Da
     Rows that share a fingerprint, whole or partial, form a group. In a group of at most ``SMALL`` every
     two are compared; in a larger one each member with two heads, the smallest row and one by hash. All
     members of larger groups in which a head refuses one (as those that a common passage has brought
-    together) are then grouped by their rarest shingles, which no similar pair can avoid to share.
+    together) are then told by what tells them from their family's template: those that it makes alike are
+    linked, and the others are grouped by their rarest shingles and edits, which no similar pair can avoid to share.
     """
     fp, draws = F.struct(F.lit(-1).alias("draw"), F.col("fp").alias("key")), F.transform("draws", lambda h, i: F.struct(i.alias("draw"), h.alias("key")))
     pairs, many = _compared(made.select("row", F.explode(F.concat(F.array(fp), draws)).alias("k")).select("row", "k.draw", "k.key"), SMALL)
     found = materialise(check(pairs.unionByName(_near_fingerprints(made, bits)).where("x <> y").distinct()), "links")
+    settle(made.sparkSession)
     mixed = _refused(many, found).select("draw", "key").distinct()
-    mixed = materialise(many.join(mixed, ["draw", "key"], "left_semi").select("row").distinct(), "mixed")
+    mixed = materialise(_families(many.join(mixed, ["draw", "key"], "left_semi")), "mixed")
     if not mixed.take(1):
         return found
-    sets = sets_of(mixed)
+    edits = materialise(_edits(sets_of(mixed.select("row")).join(mixed, "row")), "edits")
+    held, tied = _alike_by_template(edits, least)
+    held, tied = materialise(held, "held"), materialise(tied, "links")
+    release(edits)
+    settle(made.sparkSession)
     with few_rows(made.sparkSession):  # the keys are read several times
-        keys = materialise(_rare_keys(sets, least), "rare")
-    give_back()
-    return _by_rare_shingles(keys, found, check, least)
+        keys = materialise(_rare_keys(held, least), "rare")
+    release(held)
+    settle(made.sparkSession)
+    return _by_rare_shingles(keys, found.unionByName(tied), check)
 
 
 def similar_classes(df: DataFrame, id: str = "doc_id", text: str = "text", words: int = SHINGLE, least: float = SIMILAR, bits: int = NEAR_BITS) -> DataFrame:
@@ -465,6 +538,7 @@ def similar_classes(df: DataFrame, id: str = "doc_id", text: str = "text", words
         near = not_far(pairs.join(short.toDF("x", "bx", "nx"), "x").join(short.toDF("y", "by", "ny"), "y"), least).select("x", "y")
         pairs, asked = materialise(near, "near"), pairs
         release(asked)
+        settle(made.sparkSession)
         sketch = some_sketches(ends(pairs))
         both = pairs.join(sketch.toDF("x", "sx", "nx"), "x").join(sketch.toDF("y", "sy", "ny"), "y")
         both = with_similarity(both, least - MARGIN).select("x", "y", F.greatest("nx", "ny").alias("n"), "near")
@@ -473,7 +547,9 @@ def similar_classes(df: DataFrame, id: str = "doc_id", text: str = "text", words
 
     found = materialise(_found_links(distinct, bits, least, sets_of, check).distinct(), "found")
     sure, doubt = found.where("sure").select("x", "y"), found.where("NOT sure").select("x", "y")
+    settle(made.sparkSession)
     stars = connected_components(sure)
+    settle(made.sparkSession)
     if doubt.count():
         root = lambda end: stars.select(F.col("node").alias(end), F.col("root").alias(f"r{end}"))
         apart = doubt.join(root("x"), "x", "left").join(root("y"), "y", "left").where(F.coalesce("rx", "x") != F.coalesce("ry", "y"))

@@ -234,6 +234,30 @@ def test_long_documents_of_one_template(spark):
     assert found_classes(documents(spark, rows)) == want
 
 
+def test_a_large_group_of_near_copies_is_compared_with_few_rows_and_loses_no_link(spark, monkeypatch):
+    """Copies of one text with 0 to 7 words changed: those with few changes are alike by the template, those with many have no partner."""
+    rng = np.random.default_rng(21)
+    text = [f"t{i}" for i in range(150)]
+    rows = []
+    for i in range(1200):
+        own = list(text)
+        for n, at in enumerate(rng.choice(150, int(rng.integers(0, 8)), replace=False)):
+            own[at] = f"edit{i}x{n}"
+        rows.append((i, " ".join(own)))
+    compared, write = [], simhash.materialise
+
+    def counted(df, kind):
+        out = write(df, kind)
+        if kind == "pairs":
+            compared.append(out.count())
+        return out
+
+    monkeypatch.setattr(simhash, "materialise", counted)
+    want, pairs = plain_classes(rows)
+    assert found_classes(documents(spark, rows)) == want and pairs > 30_000
+    assert sum(compared) < 40 * len(rows), compared
+
+
 @pytest.mark.parametrize("size", ["sf0.01", "sf0.1"])
 def test_classes_of_whole_tables_equal_plain_ones(spark, size):
     df = spark.read.parquet(f"/root/testdata/{size}/documents.parquet").select("doc_id", "text")
