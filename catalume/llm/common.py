@@ -43,6 +43,13 @@ def settle(spark: SparkSession) -> None:
     give_back()
 
 
+def settled(df: DataFrame, kind: str) -> DataFrame:
+    """``materialise`` and ``settle``: cuts a long query into short ones, each planned by itself, with the driver's memory given back in between."""
+    out = materialise(df, kind)
+    settle(df.sparkSession)
+    return out
+
+
 def giving_back(each: Callable) -> Callable:
     """``each``, a function over the batches of a task, with ``give_back`` at the end of the task."""
 

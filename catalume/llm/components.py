@@ -11,17 +11,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, release
+from .common import materialise, release, settle, settled
 
 
 def _star(edges: DataFrame) -> DataFrame:
-    """Both steps over edges (a, b), a > b."""
+    """Both steps over edges (a, b), a > b, each a query of its own; the result is written."""
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
-    large = both.join(least, "a").where("b > a AND b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+    large = settled(both.join(least, "a").where("b > a AND b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), "edges")
     least = large.groupBy("a").agg(F.min("b").alias("m"))
     small = large.join(least, "a").select(F.explode(F.array(F.struct("a", "m"), F.struct(F.col("b").alias("a"), "m"))).alias("e"))
-    return small.select(F.col("e.a").alias("a"), F.col("e.m").alias("b")).where("a <> b").distinct()
+    out = materialise(small.select(F.col("e.a").alias("a"), F.col("e.m").alias("b")).where("a <> b").distinct(), "edges")
+    release(large)
+    return out
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -38,5 +40,6 @@ def connected_components(edges: DataFrame) -> DataFrame:
         found = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if found == mark or not found[0]:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
-        mark, before, now = found, now, materialise(_star(now), "edges")
+        mark, before, now = found, now, _star(now)
         release(before)
+        settle(now.sparkSession)

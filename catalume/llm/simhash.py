@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import few_rows, giving_back, materialise, release, settle, sieved
+from .common import few_rows, giving_back, materialise, release, settle, settled, sieved
 from .components import connected_components
 from .tokens import portions
 
@@ -131,7 +131,7 @@ def links(codes: DataFrame, bits: int = BITS) -> DataFrame:
             seen += len(batch)
 
     ordered = codes.select("fp", gray_rank("fp").alias("rank")).repartitionByRange(parts, "rank").sortWithinPartitions("rank").select("fp")
-    members = materialise(ordered.mapInPandas(giving_back(cut), "shard long, fp long"), "gray")
+    members = settled(ordered.mapInPandas(giving_back(cut), "shard long, fp long"), "gray")
     # at most MAX_SHARDS + `parts` rows, whatever the data
     tops = members.groupBy("shard").agg(F.bit_and("fp").alias("ones"), F.bit_or("fp").alias("some")).orderBy("shard").toArrow()
     ones, some = (tops[c].to_numpy().view(np.uint64) for c in ("ones", "some"))
@@ -262,9 +262,12 @@ def _ordered(x: str, y: str) -> list:
 
 
 def _compared(members: DataFrame, small: int) -> tuple[DataFrame, DataFrame]:
-    """(x, y) to compare of groups (row, draw, key), and the members of groups of more than ``small``, with their heads."""
+    """(x, y) to compare of groups (row, draw, key), and the members of groups of more than ``small``, with their heads.
+
+    The members with their heads are written once, as all that follows reads them.
+    """
     heads = members.groupBy("draw", "key").agg(F.min("row").alias("h"), F.min_by("row", F.xxhash64("row", "draw")).alias("h2"), F.count("*").alias("n")).where("n > 1")
-    members = _spread_join(members, heads, "draw", "key")
+    members = settled(_spread_join(members, heads, "draw", "key"), "grouped")
     few = members.where(F.col("n") <= small).groupBy("draw", "key").agg(F.array_sort(F.collect_list("row")).alias("rows"))
     two = F.flatten(F.transform("rows", lambda x, i: F.transform(F.slice("rows", i + 2, small), lambda y: F.struct(x.alias("x"), y.alias("y")))))
     pairs = few.select(F.explode(two).alias("p")).select("p.x", "p.y")
@@ -289,7 +292,7 @@ def _families(members: DataFrame) -> DataFrame:
     """
     named = members.groupBy("row").agg(F.max(F.struct("n", "draw", "key")).alias("g")).select("row", F.col("g.draw").alias("draw"), F.col("g.key").alias("key"), F.xxhash64("g.draw", "g.key").alias("fam"))
     votes = members.select("row", "draw", "key").join(named.select("row", "fam"), "row").groupBy("draw", "key", "fam").agg(F.count("*").alias("n"))
-    chosen = votes.groupBy("draw", "key").agg(F.max(F.struct("n", "fam")).alias("v")).select("draw", "key", F.col("v.fam").alias("fam"))
+    chosen = settled(votes.groupBy("draw", "key").agg(F.max(F.struct("n", "fam")).alias("v")).select("draw", "key", F.col("v.fam").alias("fam")), "families")
     return _spread_join(named.select("row", "draw", "key"), chosen, "draw", "key").select("row", "fam")
 
 
@@ -303,7 +306,7 @@ def _edits(sets: DataFrame) -> DataFrame:
     drawn = _spread_join(sets, families, "fam").where(F.pmod(F.xxhash64("row"), F.ceil(F.col("m") / DRAWN)) == 0).select("fam", "all", F.count("*").over(Window.partitionBy("fam")).alias("k"))
     common = drawn.select("fam", "k", F.explode("all").alias("s")).groupBy("fam", "s").agg(F.count("*").alias("n"), F.first("k").alias("k")).where("2 * n > k")
     templates = families.join(common.groupBy("fam").agg(F.collect_list("s").alias("base")), "fam", "left").select("fam", F.coalesce("base", F.array().cast("array<long>")).alias("base"))
-    return _spread_join(sets, templates, "fam").select("row", "fam", "all", F.concat(F.array_except("all", "base"), F.array_except("base", "all")).alias("edits"))
+    return _spread_join(sets, settled(templates, "templates"), "fam").select("row", "fam", "all", F.concat(F.array_except("all", "base"), F.array_except("base", "all")).alias("edits"))
 
 
 def _alike_by_template(edits: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
@@ -405,10 +408,9 @@ def _by_rare_shingles(keys: DataFrame, known: DataFrame, check) -> DataFrame:
     fits = lambda x, y: (x["c"] != y["c"]) & (x["k"] != y["k"]) & (F.least(x["rem"], y["rem"]) + 1e-6 >= (x["s"] + y["s"]) / 2)
     done = [keys]
     while True:
-        keys = materialise(_live(keys), "keys")
+        keys = settled(_live(keys), "keys")
         while done:
             release(done.pop())
-        settle(keys.sparkSession)
         if not keys.take(1):
             return out
         done.append(keys)
@@ -422,17 +424,17 @@ def _by_rare_shingles(keys: DataFrame, known: DataFrame, check) -> DataFrame:
         asked = materialise(_spread_join(many.select("row", "key", "s", "rem", "c", "k"), heads, "key").select("key", "row", "k", F.explode(met).alias("p")).select("key", "row", "k", F.col("p.row").alias("head"), F.col("p.k").alias("of_head")), "asked")
         done.append(asked)
         pairs = few.select(F.explode(two).alias("p")).select("p.x", "p.y").unionByName(asked.select(*_ordered("head", "row"))).distinct()
-        found = materialise(check(pairs.join(out.select("x", "y"), ["x", "y"], "left_anti")), "links")
+        found = settled(check(pairs.join(out.select("x", "y"), ["x", "y"], "left_anti")), "links")
         out = out.unionByName(found)
         sure = out.where("sure").distinct()
         both = sure.select(F.col("x").alias("head"), F.col("y").alias("row")).unionByName(sure.select(F.col("y").alias("head"), F.col("x").alias("row")))
-        accepted = asked.join(both, ["head", "row"], "left_semi")
+        accepted = settled(asked.join(both, ["head", "row"], "left_semi"), "accepted")
         # heads may accept each other: the class of a head is the least of theirs
         named = accepted.groupBy("key", "row").agg(F.min(F.least("k", "of_head")).alias("least_k"))
         taken = accepted.join(named.select("key", F.col("row").alias("head"), F.col("least_k").alias("of_heads")), ["key", "head"], "left").groupBy("key", "row").agg(F.min(F.least("k", "of_head", "of_heads")).alias("taken"))
-        keys = many.where("NOT drawn").join(taken, ["key", "row"], "left").withColumn("k", F.least("k", "taken")).select("row", "key", "s", "rem", "c", "k", "inner")
+        keys = settled(many.where("NOT drawn").join(taken, ["key", "row"], "left").withColumn("k", F.least("k", "taken")).select("row", "key", "s", "rem", "c", "k", "inner"), "rest")
+        done += [accepted, keys]
         pivots, small = pivots * MORE, LATER
-        settle(keys.sparkSession)
 
 
 def _found_links(made: DataFrame, bits: int, least: float, sets_of, check) -> DataFrame:
@@ -445,22 +447,27 @@ def _found_links(made: DataFrame, bits: int, least: float, sets_of, check) -> Da
     linked, and the others are grouped by their rarest shingles and edits, which no similar pair can avoid to share.
     """
     fp, draws = F.struct(F.lit(-1).alias("draw"), F.col("fp").alias("key")), F.transform("draws", lambda h, i: F.struct(i.alias("draw"), h.alias("key")))
+    near = settled(_near_fingerprints(made, bits), "alike")
     pairs, many = _compared(made.select("row", F.explode(F.concat(F.array(fp), draws)).alias("k")).select("row", "k.draw", "k.key"), SMALL)
-    found = materialise(check(pairs.unionByName(_near_fingerprints(made, bits)).where("x <> y").distinct()), "links")
-    settle(made.sparkSession)
-    mixed = _refused(many, found).select("draw", "key").distinct()
-    mixed = materialise(_families(many.join(mixed, ["draw", "key"], "left_semi")), "mixed")
-    if not mixed.take(1):
+    found = settled(check(pairs.unionByName(near).where("x <> y").distinct()), "links")
+    refused = settled(_refused(many, found).select("draw", "key").distinct(), "refused")
+    members = settled(many.join(refused, ["draw", "key"], "left_semi"), "members")
+    release(many)
+    if not members.take(1):
         return found
-    edits = materialise(_edits(sets_of(mixed.select("row")).join(mixed, "row")), "edits")
+    mixed = settled(_families(members), "mixed")
+    release(members)
+    whole = sets_of(mixed.select("row"))
+    sets = settled(whole.join(mixed, "row"), "sets")
+    release(whole)
+    edits = settled(_edits(sets), "edits")
+    release(sets)
     held, tied = _alike_by_template(edits, least)
-    held, tied = materialise(held, "held"), materialise(tied, "links")
+    held, tied = settled(held, "held"), settled(tied, "links")
     release(edits)
-    settle(made.sparkSession)
     with few_rows(made.sparkSession):  # the keys are read several times
-        keys = materialise(_rare_keys(held, least), "rare")
+        keys = settled(_rare_keys(held, least), "rare")
     release(held)
-    settle(made.sparkSession)
     return _by_rare_shingles(keys, found.unionByName(tied), check)
 
 
@@ -501,10 +508,10 @@ def similar_classes(df: DataFrame, id: str = "doc_id", text: str = "text", words
 
     made = docs.mapInArrow(giving_back(each), "row long, doc_id long, same long, fp long, draws array<long>, sketch array<long>, short array<int>, size int")
     with few_rows(made.sparkSession):
-        made = materialise(made, "sketches")
+        made = settled(made, "sketches")
     own = made.groupBy("same").agg(F.min("row").alias("row"))
     distinct = made.select("row", "same", "fp", "draws").join(own, ["same", "row"], "left_semi").dropDuplicates(["row"])
-    distinct = materialise(distinct.select("row", "fp", "draws"), "distinct")
+    distinct = settled(distinct.select("row", "fp", "draws"), "distinct")
 
     def some_sketches(rows: DataFrame, which: str = "sketch") -> DataFrame:
         """The sketches of rows that pass a sieve of ``rows``: of these, and of few others; repeated rows stay."""
@@ -533,27 +540,26 @@ def similar_classes(df: DataFrame, id: str = "doc_id", text: str = "text", words
     def check(pairs: DataFrame) -> DataFrame:
         """Pairs that hold for sure, and those in doubt: by short sketches first, and of what is left by long ones, in the JVM."""
         pairs = materialise(pairs, "pairs")
+        settle(made.sparkSession)
         ends = lambda of: of.select(F.col("x").alias("row")).unionByName(of.select(F.col("y").alias("row")))
         short = some_sketches(ends(pairs), "short")
         near = not_far(pairs.join(short.toDF("x", "bx", "nx"), "x").join(short.toDF("y", "by", "ny"), "y"), least).select("x", "y")
-        pairs, asked = materialise(near, "near"), pairs
+        pairs, asked = settled(near, "near"), pairs
         release(asked)
-        settle(made.sparkSession)
         sketch = some_sketches(ends(pairs))
         both = pairs.join(sketch.toDF("x", "sx", "nx"), "x").join(sketch.toDF("y", "sy", "ny"), "y")
         both = with_similarity(both, least - MARGIN).select("x", "y", F.greatest("nx", "ny").alias("n"), "near")
         doubt = (F.abs(F.col("near") - least) < MARGIN) & (F.col("n") > SKETCH)
         return both.where(doubt | (F.col("near") >= least)).select("x", "y", (~doubt).alias("sure"))
 
-    found = materialise(_found_links(distinct, bits, least, sets_of, check).distinct(), "found")
+    found = settled(_found_links(distinct, bits, least, sets_of, check).distinct(), "found")
     sure, doubt = found.where("sure").select("x", "y"), found.where("NOT sure").select("x", "y")
-    settle(made.sparkSession)
     stars = connected_components(sure)
     settle(made.sparkSession)
     if doubt.count():
         root = lambda end: stars.select(F.col("node").alias(end), F.col("root").alias(f"r{end}"))
         apart = doubt.join(root("x"), "x", "left").join(root("y"), "y", "left").where(F.coalesce("rx", "x") != F.coalesce("ry", "y"))
-        apart = materialise(apart.select("x", "y"), "doubts")
+        apart = settled(apart.select("x", "y"), "doubts")
 
         def exact(batches):
             for batch in batches:
@@ -562,7 +568,7 @@ def similar_classes(df: DataFrame, id: str = "doc_id", text: str = "text", words
 
         asked = apart.select(F.explode(F.array("x", "y")).alias("row")).distinct()
         with few_rows(made.sparkSession):
-            full = materialise(texts_of(asked), "shingles")
+            full = settled(texts_of(asked), "shingles")
         pairs = apart.join(full.toDF("x", "ax"), "x").join(full.toDF("y", "ay"), "y").mapInPandas(giving_back(exact), "x long, y long")
         stars = connected_components(sure.unionByName(pairs))
     rooted = own.join(stars.withColumnRenamed("node", "row"), "row", "left").select("same", F.coalesce("root", "row").alias("root"))
@@ -572,7 +578,7 @@ def similar_classes(df: DataFrame, id: str = "doc_id", text: str = "text", words
 def deduplicate(df: DataFrame, id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """The rows of ``df`` without near-duplicates: of each class the row with the smallest id stays, once."""
     classes = similar_classes(df, id, text, **options)
-    stay = classes.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("s")).select(F.col("s.row").alias("__row"))
+    stay = settled(classes.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("s")).select(F.col("s.row").alias("__row")), "stay")
     keyed = df.withColumn("__row", F.xxhash64(F.struct(F.col(id).cast("long").alias("doc_id"), F.col(text).alias("text"))))
     once = Window.partitionBy("__row").orderBy("__row")
     kept = keyed.join(stay, "__row", "left_semi").withColumn("__n", F.row_number().over(once)).where("__n = 1")

@@ -8,7 +8,7 @@ import xxhash
 from conftest_llm import PROSE, documents
 from pyspark.sql import functions as F
 
-from catalume.llm import simhash
+from catalume.llm import common, components, simhash
 from catalume.llm.components import connected_components
 
 
@@ -258,6 +258,22 @@ def test_a_large_group_of_near_copies_is_compared_with_few_rows_and_loses_no_lin
     assert sum(compared) < 40 * len(rows), compared
 
 
+def test_near_duplicates_plan_short_queries_only(spark, monkeypatch):
+    """A query's plan is kept by the driver and made anew after each of its stages: none may have more than ten shuffles."""
+    passage = " ".join(f"common{i}" for i in range(120))
+    rows = [(i, f"{passage} " + " ".join(f"own{i // 2}x{j}" if j > 2 else f"own{i}x{j}" for j in range(70))) for i in range(60)]
+    shuffles, write = {}, common.materialise
+
+    def counted(df, kind):
+        shuffles[kind] = max(shuffles.get(kind, 0), df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning"))
+        return write(df, kind)
+
+    for module in (common, simhash, components):
+        monkeypatch.setattr(module, "materialise", counted)
+    assert len(found_classes(documents(spark, rows))) == 30
+    assert {"mixed", "edits", "keys", "edges"} <= set(shuffles) and max(shuffles.values()) <= 10, shuffles
+
+
 @pytest.mark.parametrize("size", ["sf0.01", "sf0.1"])
 def test_classes_of_whole_tables_equal_plain_ones(spark, size):
     df = spark.read.parquet(f"/root/testdata/{size}/documents.parquet").select("doc_id", "text")
