@@ -70,6 +70,19 @@ def _codec(number, codecs=CODECS):
     return F.get(F.array(*[F.lit(k) for k in codecs]), (number % len(codecs)).cast("int"))
 
 
+def _encoded_files(df: DataFrame) -> DataFrame:
+    """(path, content) of texts (path, text, codec), each encoded once.
+
+    As a step of its own: a column by ``_encoded`` is put in place of its name wherever that is used, and encoded there anew.
+    """
+    schema = pa.schema([("path", pa.string()), ("content", pa.binary())])
+
+    def make(batches):
+        return batched(((path, text.encode(codec)) for path, text, codec in rows_of(batches, ["path", "text", "codec"])), schema)
+
+    return df.select("path", "text", "codec").mapInArrow(make, "path string, content binary")
+
+
 def reencoded(c: Catalog) -> DataFrame:
     """Titles with Japanese words in each encoding, told and decoded again."""
     number = F.col("id").cast("long")
@@ -83,7 +96,7 @@ def reencoded_tables(c: Catalog) -> DataFrame:
     """Orders of each customer as a table in one of four encodings: a title row, Japanese names, cells with commas, a footer."""
     plain = more_queries._csv(c).select("path", F.decode("content", "UTF-8").alias("t"))
     text = F.concat(F.lit("注文の一覧表です,,\n"), F.replace("t", F.lit("key,priority,status"), F.lit("番号,優先度の名前,状態")))
-    made = plain.select("path", _encoded(text, _codec(F.col("path").cast("long"), CODECS[1:])).alias("content"))
+    made = _encoded_files(plain.select("path", text.alias("text"), _codec(F.col("path").cast("long"), CODECS[1:]).alias("codec")))
     cells = files.extract_tables(files.with_encoding(made))
     return cells.select("path", F.col("row_index").cast("long").alias("row_index"), F.array_join("columns", "|").alias("names"), F.array_join("cells", "|").alias("cells"))
 

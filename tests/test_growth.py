@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from catalume.functions import analysis, fragments
 from catalume.operators import postings, ranked, search, trigrams
-from catalume.plans import index_queries, more_queries, search_queries
+from catalume.plans import file_queries, index_queries, more_queries, search_queries
 from catalume.sources import files
 from catalume.sources.catalog import Catalog
 
@@ -139,3 +139,10 @@ def test_windows_of_many_hits_are_found_in_one_pass(spark):
                 end = max(h.end for h in r.f if h.start >= -start and h.end <= -start + size)
                 assert r.w.start == max(0, -start - (size - (end + start)) // 2)
     assert "filter(" not in spark.createDataFrame(rows, df.schema).select(fragments.window(F.col("f"), F.lit(9), 5).alias("w"))._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_files_are_made_and_encoded_once(spark):
+    made = plan(file_queries.reencoded_tables(Catalog(spark, "/root/testdata/sf0.001")))
+    assert made.count("collect_list(") == 1 and "_encoded(" not in made
+    texts = spark.createDataFrame([("a", "東京,1", "cp932"), ("b", "é", "utf-8")], "path string, text string, codec string")
+    assert {r.path: bytes(r.content) for r in file_queries._encoded_files(texts).collect()} == {"a": "東京,1".encode("cp932"), "b": "é".encode()}
