@@ -20,13 +20,17 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Mapping
 from functools import reduce
+from operator import add, and_, or_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import analysis
+from ..sources.shared import materialise
 
 K1, B = 1.2, 0.75
+#: Texts that hold a query's terms: so many may go to all tasks with their counts, at some 100 bytes each.
+FEW = 100_000
 #: Fixed value: the key of a text without a character.
 NO_TEXT = hashlib.sha256(b"").digest()
 
@@ -114,27 +118,41 @@ def search(postings: DataFrame, q: str, boosts: Mapping[str, float], ids: DataFr
     """(id, score) of the documents (of ``ids``, if given) that hold all that ``q`` asks for.
 
     A term counts by its best field, with the largest document frequency of the fields; means and
-    frequencies are those of the documents asked.
+    frequencies are those of the documents asked. Documents get the counts of their texts where they are
+    read (``FEW`` texts at most go to all tasks, more are joined), and meet ``ids`` in the one shuffle that gathers their fields.
     """
     wanted = analysis.asked(q)
     none = postings.sparkSession.createDataFrame([], "id string, score double")
     if not wanted:
         return none
+    terms, fields = range(len(wanted)), range(len(boosts))
+    held_by = _words(postings, wanted).groupBy("text").agg(*[F.coalesce(_frequency(a), F.lit(0)).alias(f"tf{i}") for i, a in enumerate(wanted)])
+    held_by = held_by.where(reduce(or_, [F.col(f"tf{i}") > 0 for i in terms]))
+    few = held_by.limit(FEW + 1).count() <= FEW  # one number
     own = postings.where(F.col("term") == "").where(F.col("field").isin(*boosts)).select("id", "field", "text", "len")
+    own = own.join(F.broadcast(held_by) if few else held_by, "text", "left")
+    counts = {f"len_{k}": F.when(F.col("field") == f, F.col("len")) for k, f in enumerate(boosts)}
+    counts |= {f"tf_{k}_{i}": F.when(F.col("field") == f, F.col(f"tf{i}")) for k, f in enumerate(boosts) for i in terms}
+    rows = own.select("id", F.lit(ids is None).alias("asked"), *[c.alias(name) for name, c in counts.items()])
     if ids is not None:
-        own = own.join(ids.select("id").distinct(), "id", "left_semi")
-    tf = [f"tf{i}" for i in range(len(wanted))]
-    held_by = _words(postings, wanted).groupBy("text").agg(*[F.coalesce(_frequency(a), F.lit(0)).alias(c) for a, c in zip(wanted, tf, strict=True)])
-    by = own.join(held_by, "text", "left").groupBy("field", "id").agg(F.max("len").alias("len"), *[F.coalesce(F.max(c), F.lit(0)).alias(c) for c in tf])
-    seen = by.groupBy("field").agg(F.count("*").alias("n"), F.avg("len").alias("mean"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(wanted))])
-    most = seen.agg(*[F.max(f"df{i}").alias(f"most{i}") for i in range(len(wanted))])  # one row, as fields are few
-    scored = by.where(reduce(lambda a, b: a | b, [F.col(f"tf{i}") > 0 for i in range(len(wanted))]))
-    scored = scored.join(F.broadcast(seen), "field").join(F.broadcast(most))
-    boost = reduce(lambda c, f: c.when(F.col("field") == f, F.lit(float(boosts[f]))), boosts, F.when(F.lit(False), F.lit(0.0)))
-    norm = K1 * (1 - B + B * F.col("len") / F.coalesce(F.nullif("mean", F.lit(0.0)), F.lit(1.0)))
+        rows = rows.unionByName(ids.where("id IS NOT NULL").select(F.col("id").cast("string").alias("id"), F.lit(True).alias("asked")), allowMissingColumns=True)
+    by = rows.groupBy("id").agg(F.max("asked").alias("asked"), *[F.max(name).alias(name) for name in counts]).where("asked").drop("asked")
+    by = materialise(by, "counts")  # gathered once, for the means and for the scores
+    sums = [x for k in fields for x in (F.count(f"len_{k}").alias(f"n_{k}"), F.avg(f"len_{k}").alias(f"mean_{k}"))]
+    seen = by.agg(*sums, *[_largest([F.count_if(F.col(f"tf_{k}_{i}") > 0) for k in fields]).alias(f"most_{i}") for i in terms])  # one row
+    scored = by.where(reduce(and_, [reduce(or_, [F.coalesce(F.col(f"tf_{k}_{i}"), F.lit(0)) > 0 for k in fields]) for i in terms])).join(F.broadcast(seen))
     parts = []
-    for i in range(len(wanted)):
-        idf = F.log(1 + (F.col("n") - F.col(f"most{i}") + 0.5) / (F.col(f"most{i}") + 0.5))
-        parts.append(F.max(boost * idf * F.col(f"tf{i}") / (F.col(f"tf{i}") + norm)).alias(f"s{i}"))
-    best = scored.groupBy("id").agg(*parts)
-    return best.where(reduce(lambda a, b: a & b, [F.col(f"s{i}") > 0 for i in range(len(wanted))])).select("id", reduce(lambda a, b: a + b, [F.col(f"s{i}") for i in range(len(wanted))]).alias("score"))
+    for i in terms:
+        of_field = []
+        for k, boost in enumerate(boosts.values()):
+            tf, idf = F.col(f"tf_{k}_{i}"), F.log(1 + (F.col(f"n_{k}") - F.col(f"most_{i}") + 0.5) / (F.col(f"most_{i}") + 0.5))
+            norm = K1 * (1 - B + B * F.col(f"len_{k}") / F.coalesce(F.nullif(f"mean_{k}", F.lit(0.0)), F.lit(1.0)))
+            of_field.append(F.lit(float(boost)) * idf * tf / (tf + norm))
+        parts.append(_largest(of_field))
+    best = scored.select("id", *[c.alias(f"s{i}") for i, c in enumerate(parts)])
+    return best.where(reduce(and_, [F.col(f"s{i}") > 0 for i in terms])).select("id", reduce(add, [F.col(f"s{i}") for i in terms]).alias("score"))
+
+
+def _largest(columns: list[Column]) -> Column:
+    """The largest of some columns that isn't null."""
+    return F.greatest(*columns) if len(columns) > 1 else columns[0]

@@ -185,7 +185,7 @@ def ranked_search(catalog: Catalog, q: str, filters: Filters, chunks: DataFrame
 
 def search_legs(catalog: Catalog, q: str, filters: Filters, chunks: DataFrame | None = None, kept: SearchIndex | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """What the query finds in the visible packages, in their active resources, and in their chunks of content."""
-    packages = matching(catalog, filters).drop("notes")
+    packages = matching(catalog, filters, None if filters.q else catalog.package_core).drop("notes")  # no leg asks for dates
     keys = packages.select(F.col("id").alias("package_id"))
     own = lambda df: df.join(keys, "package_id", "left_semi")
     content = kept.chunks if kept else catalog.content if chunks is None else chunks

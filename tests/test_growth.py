@@ -146,3 +146,20 @@ def test_files_are_made_and_encoded_once(spark):
     assert made.count("collect_list(") == 1 and "_encoded(" not in made
     texts = spark.createDataFrame([("a", "東京,1", "cp932"), ("b", "é", "utf-8")], "path string, text string, codec string")
     assert {r.path: bytes(r.content) for r in file_queries._encoded_files(texts).collect()} == {"a": "東京,1".encode("cp932"), "b": "é".encode()}
+
+
+def test_an_index_search_gathers_documents_by_one_shuffle(spark, monkeypatch):
+    df = spark.range(400).select(F.col("id").cast("string").alias("id"), F.concat(F.lit("harbour "), F.col("id") % 9).alias("title"), F.when(F.col("id") % 3 == 0, "the harbour, the 東京都").alias("notes"))
+    held, some, boosts = postings.postings_of(df, "id", ["title", "notes"]), df.where("id % 2 = 0"), {"title": 3.0, "notes": 1.0}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plans = [postings.search(held, q, boosts, some)._jdf.queryExecution().executedPlan().toString() for q in ("harbour 3", "東京")]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert not any("SortMergeJoin" in p or "hashpartitioning" in p for p in plans)
+    for few in (postings.FEW, 1):  # more texts than go to all tasks are joined
+        monkeypatch.setattr(postings, "FEW", few)
+        for q in ("harbour 3", "東京", "the"):
+            want = {r.id: round(r.score, 9) for r in ranked.bm25(some, q, boosts).collect()}
+            assert want and {r.id: round(r.score, 9) for r in postings.search(held, q, boosts, some).collect()} == want
+    assert not postings.search(held, "harbour", boosts, df.limit(0)).count()
