@@ -71,10 +71,21 @@ def words(text: Column) -> Column:
     return F.flatten(F.transform(runs(text), _words))
 
 
-def placed_words(text: Column) -> Column:
-    """The words with their places: an array of (term, at); neighbours in one run have neighbouring places."""
+def plain_words(text: Column) -> Column:
+    """The words that aren't pairs of Han or kana: an array of strings."""
+    low = _lower(text)
+    return F.when(_ascii(low), F.regexp_extract_all(low, F.lit("[a-z0-9]+"), F.lit(0))).otherwise(F.regexp_extract_all(low, F.lit(rf"{_PLAIN_RUN}+"), F.lit(0)))
+
+
+def has_pairs(text: Column) -> Column:
+    """Whether a text has Han or kana."""
+    return ~_ascii(text) & text.rlike(f"[{_SCRIPTS}]")
+
+
+def placed_pairs(text: Column) -> Column:
+    """The pairs of Han and kana with their places: an array of (term, at); neighbours in one run have neighbouring places."""
     of_run = lambda run, j: F.transform(_words(run), lambda w, i: F.struct(w.alias("term"), (F.shiftleft(j.cast("long"), RUN_BITS) + i).alias("at")))
-    return F.flatten(F.transform(runs(text), of_run))
+    return F.flatten(F.transform(F.regexp_extract_all(_lower(text), F.lit(f"[{_SCRIPTS}]+"), F.lit(0)), of_run))
 
 
 def length(text: Column) -> Column:

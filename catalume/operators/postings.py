@@ -3,7 +3,7 @@
 A posting is (term, id, field, text, len, tf, at). Each document has a row with the empty term for each field: the
 key of its text and how many words that has, so that means and counts over any set of documents need no text either.
 The words belong to the text, not to the document: a row (term, text, tf, at) tells how often a text holds a word,
-and where. Fields and documents with the same text share these rows, so the index grows with what is distinct.
+and where if it is a pair of Han or kana, as only these are asked for in a row. Fields and documents with the same text share these rows, so the index grows with what is distinct.
 Each file of postings is written in order of terms, so that a filter on terms skips all other pages of it.
 
 Documents are added, changed and removed by a new table of postings in which only theirs are replaced; only texts
@@ -12,12 +12,11 @@ Scores are those of ``ranked.bm25`` over the same documents.
 
 Edge cases: null fields have no words and count with length 0; a document is known by its id, and of several rows
 with one id each field counts once, with the frequencies of the best and the length of the longest; a query without
-words gives no rows. Two texts would be taken for one if their SHA-256 agreed.
+words gives no rows. A text of less than 32 bytes is its own key; two longer texts would be taken for one if their SHA-256 agreed.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Mapping
 from functools import reduce
 from operator import add, and_, or_
@@ -31,8 +30,8 @@ from ..sources.shared import materialise
 K1, B = 1.2, 0.75
 #: Texts that hold a query's terms: so many may go to all tasks with their counts, at some 100 bytes each.
 FEW = 100_000
-#: Fixed value: the key of a text without a character.
-NO_TEXT = hashlib.sha256(b"").digest()
+#: The bytes of a key by SHA-256; the key of a text without a character.
+KEY_BYTES, NO_TEXT = 32, b""
 
 
 def texts_of(df: DataFrame, id: str, fields: Mapping[str, Column] | list[str]) -> DataFrame:
@@ -43,7 +42,7 @@ def texts_of(df: DataFrame, id: str, fields: Mapping[str, Column] | list[str]) -
 
 
 def _key(body: Column) -> Column:
-    return F.unhex(F.sha2(body, 256))
+    return F.when(F.octet_length(body) < KEY_BYTES, body.cast("binary")).otherwise(F.unhex(F.sha2(body, 256)))
 
 
 def held(texts: DataFrame, id: str) -> DataFrame:
@@ -57,11 +56,23 @@ def postings_from(owners: DataFrame, texts: DataFrame) -> DataFrame:
     Texts are dealt by their keys, so a text's words are gathered where it is.
     """
     none = F.array().cast("array<bigint>")
-    documents = owners.select(F.lit("").alias("term"), "id", "field", "text", "len", F.lit(0).alias("tf"), none.alias("at"))
-    distinct = texts.where("body <> ''").groupBy(_key(F.col("body")).alias("text")).agg(F.first("body").alias("body"))
-    placed = distinct.select("text", F.explode(analysis.placed_words(F.col("body"))).alias("w")).select("text", "w.term", "w.at")
-    found = placed.groupBy("text", "term").agg(F.count("*").cast("int").alias("tf"), F.sort_array(F.collect_list("at")).alias("at"))
-    return documents.unionByName(found.select("term", F.lit(None).cast("string").alias("id"), F.lit(None).cast("string").alias("field"), "text", F.lit(None).cast("int").alias("len"), "tf", "at"))
+    out = owners.select(F.lit("").alias("term"), "id", "field", "text", "len", F.lit(0).alias("tf"), none.alias("at"))
+    word = lambda df: df.select("term", F.lit(None).cast("string").alias("id"), F.lit(None).cast("string").alias("field"), "text", F.lit(None).cast("int").alias("len"), "tf", "at")
+    for some in _distinct(texts):
+        plain = some.select("text", F.explode(analysis.plain_words(F.col("body"))).alias("term")).groupBy("text", "term")
+        out = out.unionByName(word(plain.agg(F.count("*").cast("int").alias("tf")).withColumn("at", none)))
+    for some in _distinct(texts.where(analysis.has_pairs(F.col("body")))):
+        placed = some.select("text", F.explode(analysis.placed_pairs(F.col("body"))).alias("w")).select("text", "w.term", "w.at").groupBy("text", "term")
+        out = out.unionByName(word(placed.agg(F.count("*").cast("int").alias("tf"), F.sort_array(F.collect_list("at")).alias("at"))))
+    return out
+
+
+def _distinct(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(text, body) of short texts, which are their own keys, and of long ones; each once, and none without a character."""
+    size = F.octet_length("body")
+    short = texts.where((size > 0) & (size < KEY_BYTES)).select(F.col("body").cast("binary").alias("text")).distinct()
+    long = texts.where(size >= KEY_BYTES).groupBy(_key(F.col("body")).alias("text")).agg(F.first("body").alias("body"))
+    return short.withColumn("body", F.col("text").cast("string")), long
 
 
 def postings_of(df: DataFrame, id: str, fields: Mapping[str, Column] | list[str]) -> DataFrame:
@@ -71,7 +82,7 @@ def postings_of(df: DataFrame, id: str, fields: Mapping[str, Column] | list[str]
 
 
 def write_postings(postings: DataFrame, path: str) -> None:
-    postings.sortWithinPartitions("term", "text", "id", "field").write.option("compression", "zstd").mode("errorifexists").parquet(path)
+    postings.sortWithinPartitions("term").write.option("compression", "zstd").mode("errorifexists").parquet(path)
 
 
 def read_postings(spark: SparkSession, path: str) -> DataFrame:

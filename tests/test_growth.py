@@ -163,3 +163,11 @@ def test_an_index_search_gathers_documents_by_one_shuffle(spark, monkeypatch):
             want = {r.id: round(r.score, 9) for r in ranked.bm25(some, q, boosts).collect()}
             assert want and {r.id: round(r.score, 9) for r in postings.search(held, q, boosts, some).collect()} == want
     assert not postings.search(held, "harbour", boosts, df.limit(0)).count()
+
+
+def test_words_of_an_index_are_only_counted(spark):
+    df = spark.createDataFrame([("1", "harbour x 東京 harbour 東京都", None), ("2", "harbour", ""), ("3", "東京の港", "harbour")], "id string, title string, notes string")
+    held = postings.postings_of(df, "id", ["title", "notes"])
+    got = sorted((len(r.text), r.term, r.tf, len(r.at)) for r in held.where("term IN ('harbour', 'x', '東京')").collect())
+    assert got == [(7, "harbour", 1, 0), (12, "東京", 1, 1), (32, "harbour", 2, 0), (32, "x", 1, 0), (32, "東京", 2, 2)]
+    assert {bytes(r.text) for r in held.where("term = ''").collect() if len(r.text) < 32} == {b"", b"harbour", "東京の港".encode()}
