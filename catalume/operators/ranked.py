@@ -24,7 +24,7 @@ from .listing import package_list
 from .search import Filters, keep_order, matching
 
 K1, B = 1.2, 0.75
-RESOURCE_WEIGHT, CONTENT_SCORE, LEG_TOP = 0.4, 0.4, 100
+RESOURCE_WEIGHT, CONTENT_SCORE = 0.4, 0.4
 
 
 def tokens(c: Column) -> Column:
@@ -112,15 +112,15 @@ def _best(found: DataFrame, key: str, top: int | None) -> DataFrame:
     return found if top is None else found.orderBy(F.desc("score"), key).limit(top)
 
 
-def resource_leg(resources: DataFrame, q: str, top: int | None = LEG_TOP, words: DataFrame | None = None) -> DataFrame:
-    """(id, package_id, score) of the best resources (``top`` None: of all that match); with ``words``, postings of name and description, no text is read."""
+def resource_leg(resources: DataFrame, q: str, top: int | None = None, words: DataFrame | None = None) -> DataFrame:
+    """(id, package_id, score) of the resources that match (with ``top``, of the best of them); with ``words``, postings of name and description, no text is read."""
     boosts = {"name": 3.0, "description": 2.0}
     found = bm25(resources, q, boosts) if words is None else resources.select("id", "package_id").join(index.search(words, q, boosts, resources), "id")
     return _best(found, "id", top).select("id", "package_id", "score")
 
 
-def content_leg(chunks: DataFrame, q: str, top: int | None = LEG_TOP, words: DataFrame | None = None) -> DataFrame:
-    """(resource_id, package_id, chunk_index, score): the best chunk that holds all terms, a row a resource (``top`` None: all resources).
+def content_leg(chunks: DataFrame, q: str, top: int | None = None, words: DataFrame | None = None) -> DataFrame:
+    """(resource_id, package_id, chunk_index, score): the best chunk that holds all terms, a row a resource (with ``top``, of the best of them).
 
     With ``words``, postings of chunks by ``chunk_id``, no text is read.
     """
@@ -177,32 +177,32 @@ def merge_legs(packages: DataFrame, resources: DataFrame, content: DataFrame) ->
     return by.select("id", score.alias("score"), source.alias("source"))
 
 
-def ranked_search(catalog: Catalog, q: str, filters: Filters, chunks: DataFrame | None = None, kept: SearchIndex | None = None) -> DataFrame:
+def ranked_search(catalog: Catalog, q: str, filters: Filters, chunks: DataFrame | None = None, kept: SearchIndex | None = None, top: int | None = None) -> DataFrame:
     """All matching packages (id, score, source, updated); order by score, then the last update. With a ``kept`` index no text is read."""
-    packages, resources, content = search_legs(catalog, q, filters, chunks, kept)
+    packages, resources, content = search_legs(catalog, q, filters, chunks, kept, top)
     return merge_legs(packages, resources, content).join(matching(catalog, filters).select("id", "updated"), "id")
 
 
-def search_legs(catalog: Catalog, q: str, filters: Filters, chunks: DataFrame | None = None, kept: SearchIndex | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """What the query finds in the visible packages, in their active resources, and in their chunks of content."""
+def search_legs(catalog: Catalog, q: str, filters: Filters, chunks: DataFrame | None = None, kept: SearchIndex | None = None, top: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What the query finds in the visible packages, in their active resources, and in their chunks of content; with ``top``, of these two only the best."""
     packages = matching(catalog, filters, None if filters.q else catalog.package_core).drop("notes")  # no leg asks for dates
     keys = packages.select(F.col("id").alias("package_id"))
     own = lambda df: df.join(keys, "package_id", "left_semi")
     content = kept.chunks if kept else catalog.content if chunks is None else chunks
     return (
         package_leg(packages if kept or not query_terms(q) else with_note_counts(catalog, packages, q), q, catalog.package_tag, kept and kept.packages),
-        resource_leg(own(catalog.resource.where("state = 'active'")), q, words=kept and kept.resources),
-        content_leg(own(content), q, words=kept and kept.content),
+        resource_leg(own(catalog.resource.where("state = 'active'")), q, top, kept and kept.resources),
+        content_leg(own(content), q, top, kept and kept.content),
     )
 
 
-def ranked_page(catalog: Catalog, q: str, filters: Filters, offset: int = 0, limit: int = 20, chunks: DataFrame | None = None, kept: SearchIndex | None = None) -> DataFrame:
+def ranked_page(catalog: Catalog, q: str, filters: Filters, offset: int = 0, limit: int = 20, chunks: DataFrame | None = None, kept: SearchIndex | None = None, top: int | None = None) -> DataFrame:
     """One page (rank, id, score, source, total): one ranking of all packages by score, last update and id, cut after the merge.
 
     Without a query: the latest packages, with score 0.
     """
     if query_terms(q):
-        found = materialise(ranked_search(catalog, q, filters, chunks, kept), "ranking")  # searched once, for the total and the page
+        found = materialise(ranked_search(catalog, q, filters, chunks, kept, top), "ranking")  # searched once, for the total and the page
     else:
         found = matching(catalog, filters, catalog.package).select("id", F.lit(0.0).alias("score"), F.lit("package").alias("source"), "updated")
     total = found.agg(F.count("*").alias("total"))  # one row

@@ -17,29 +17,31 @@ from .views import query
 
 NOW = datetime(1999, 1, 1)
 ALL = search.Filters(allowed_orgs=None)
+#: Resources and contents that some pages rank, as their SQL does; the others rank all that match.
+LEG_TOP = 100
 
 
-def _page(c: Catalog, q: str, offset: int = 0, limit: int = 50):
-    return ranked.ranked_page(c, q, ALL, offset, limit, c.content_lines)
+def _page(c: Catalog, q: str, offset: int = 0, limit: int = 50, top: int | None = None):
+    return ranked.ranked_page(c, q, ALL, offset, limit, c.content_lines, top=top)
 
 
 def _shown(df):
     return df.select("rank", "id", F.round("score", 4).alias("score"), "source", "total")
 
 
-def matched(c: Catalog, q: str = "1"):
-    _, resources, content = ranked.search_legs(c, q, ALL, c.content_lines)
-    return ranked.matched_resources(resources, content, _page(c, q))
+def matched(c: Catalog, q: str = "1", top: int | None = None):
+    _, resources, content = ranked.search_legs(c, q, ALL, c.content_lines, top=top)
+    return ranked.matched_resources(resources, content, _page(c, q, top=top))
 
 
 def snippets(c: Catalog):
-    found = ranked.with_snippets(matched(c), c.content_lines, "1")
+    found = ranked.with_snippets(matched(c, top=LEG_TOP), c.content_lines, "1")
     return found.select("package_id", "resource_id", "match_source", "chunk_id", "place", F.contains("snippet", F.lit("<mark>1</mark>")).alias("marked"))
 
 
 def highlights(c: Catalog):
     packages = c.package_notes.select("id", F.concat(F.lit("<script>alert(1)</script>"), "title").alias("title"), F.lit("<b>The</b> machinery is here").alias("notes"))
-    shown = _page(c, "machinery")
+    shown = _page(c, "machinery", top=LEG_TOP)
     return ranked.with_highlights(shown, packages, "machinery").select("rank", "id", "highlighted_title", "highlighted_notes")
 
 
@@ -127,12 +129,12 @@ def chunks_of(c: Catalog, limit: int, last_break: bool):
 
 SPARK = {
     # ranked search in full
-    "ranked_page_all_legs": lambda c: _shown(_page(c, "1")),
-    "ranked_page_offset": lambda c: _shown(_page(c, "1", 7, 5)),
-    "ranked_page_by_tag": lambda c: _shown(_page(c, "Brand#1")),
-    "ranked_page_by_name": lambda c: _shown(_page(c, "customer-000000007")),
+    "ranked_page_all_legs": lambda c: _shown(_page(c, "1", top=LEG_TOP)),
+    "ranked_page_offset": lambda c: _shown(_page(c, "1", 7, 5, LEG_TOP)),
+    "ranked_page_by_tag": lambda c: _shown(_page(c, "Brand#1", top=LEG_TOP)),
+    "ranked_page_by_name": lambda c: _shown(_page(c, "customer-000000007", top=LEG_TOP)),
     "ranked_page_without_query": lambda c: _shown(_page(c, "")),
-    "ranked_matched_resources": matched,
+    "ranked_matched_resources": lambda c: matched(c, top=LEG_TOP),
     "ranked_snippets": snippets,
     "ranked_highlights_sanitised": highlights,
     "ranked_chunks": lambda c: ranked.content_leg(c.content_lines, "the and", None).select("resource_id", "chunk_index", F.round("score", 4).alias("score")),
@@ -206,16 +208,17 @@ _LINES = """content_lines AS (SELECT CAST(doc_id AS VARCHAR) AS resource_id, CAS
     live_lines AS (SELECT * FROM content_lines WHERE package_id IN (SELECT id FROM live))"""
 
 
-def legs_sql(q: str, terms: list[str]) -> str:
-    """The three legs and their ranking."""
+def legs_sql(q: str, terms: list[str], top: int | None = None) -> str:
+    """The three legs and their ranking; with ``top``, only of the best resources and contents."""
+    best = lambda key: "" if top is None else f" ORDER BY score DESC, {key} LIMIT {top}"
     keyword = lambda boost, df: f"{boost} / 2.2 * ln(1 + ((SELECT count(*) FROM live) - {df} + 0.5) / ({df} + 0.5))"
     return f"""{_LINES},
         named AS (SELECT id FROM live WHERE name = '{q}'), tagged AS (SELECT package_id AS id FROM package_tag WHERE tag = '{q}' AND package_id IN (SELECT id FROM live)),
         package_leg AS (SELECT id, max(score) AS score FROM (SELECT id, score FROM {bm25_sql('live', {'title': 3.0, 'notes': 1.0}, terms, 'id')}
             UNION ALL SELECT id, {keyword(2.0, '(SELECT count(*) FROM named)')} FROM named UNION ALL SELECT id, {keyword(1.0, '(SELECT count(*) FROM tagged)')} FROM tagged) GROUP BY id),
-        resource_leg AS (SELECT id, package_id, score FROM {bm25_sql('live_resource', {'name': 3.0, 'description': 2.0}, terms, 'id, package_id')} ORDER BY score DESC, id LIMIT 100),
+        resource_leg AS (SELECT id, package_id, score FROM {bm25_sql('live_resource', {'name': 3.0, 'description': 2.0}, terms, 'id, package_id')}{best('id')}),
         content_leg AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY resource_id ORDER BY score DESC, chunk_index) AS n
-            FROM {bm25_sql('live_lines', {'extracted_text': 1.0}, terms, 'resource_id, package_id, chunk_index')}) WHERE n = 1 ORDER BY score DESC, resource_id LIMIT 100),
+            FROM {bm25_sql('live_lines', {'extracted_text': 1.0}, terms, 'resource_id, package_id, chunk_index')}) WHERE n = 1{best('resource_id')}),
         merged AS (SELECT id, CASE WHEN p IS NULL AND r IS NULL THEN 0.4 ELSE coalesce(p, 0) + coalesce(r * 0.4, 0) END AS score,
             CASE WHEN p IS NOT NULL THEN 'package' WHEN r IS NOT NULL THEN 'resource' ELSE 'content' END AS source
             FROM (SELECT id, max(score) FILTER (WHERE leg = 'p') AS p, max(score) FILTER (WHERE leg = 'r') AS r FROM (SELECT 'p' AS leg, id, score FROM package_leg
@@ -223,8 +226,8 @@ def legs_sql(q: str, terms: list[str]) -> str:
         ranking AS (SELECT CAST(row_number() OVER (ORDER BY score DESC, updated DESC NULLS LAST, id) AS INTEGER) AS rank, id, score, source, count(*) OVER () AS total FROM merged JOIN live USING (id))"""
 
 
-def page_sql(q: str, terms: list[str], offset: int = 0, limit: int = 50) -> str:
-    return query(f"SELECT rank, id, round(score, 4) AS score, source, total FROM ranking WHERE rank > {offset} AND rank <= {offset + limit}", legs_sql(q, terms))
+def page_sql(q: str, terms: list[str], offset: int = 0, limit: int = 50, top: int | None = None) -> str:
+    return query(f"SELECT rank, id, round(score, 4) AS score, source, total FROM ranking WHERE rank > {offset} AND rank <= {offset + limit}", legs_sql(q, terms, top))
 
 
 _MATCHED = """, matched AS (SELECT package_id, resource_id, CASE WHEN chunk_index IS NOT NULL THEN 'content' ELSE 'metadata' END AS match_source, resource_id || '_chunk_' || chunk_index AS chunk_id,
@@ -244,16 +247,16 @@ _LICENSES = ", ".join(f"({i}, '{a}', '{t}', '{u}', {'true' if i < lookup.OWN_LIC
 _NEW = "new AS (SELECT 'new-' || id AS id, 'new-' || replace(name, '_', '-') AS name, id AS owner_org FROM organization WHERE state = 'active')"
 
 SQL = {
-    "ranked_page_all_legs": page_sql("1", ["1"]),
-    "ranked_page_offset": page_sql("1", ["1"], 7, 5),
-    "ranked_page_by_tag": page_sql("Brand#1", ["brand", "1"]),
-    "ranked_page_by_name": page_sql("customer-000000007", ["customer", "000000007"]),
+    "ranked_page_all_legs": page_sql("1", ["1"], top=LEG_TOP),
+    "ranked_page_offset": page_sql("1", ["1"], 7, 5, LEG_TOP),
+    "ranked_page_by_tag": page_sql("Brand#1", ["brand", "1"], top=LEG_TOP),
+    "ranked_page_by_name": page_sql("customer-000000007", ["customer", "000000007"], top=LEG_TOP),
     "ranked_page_without_query": query("""SELECT CAST(row_number() OVER (ORDER BY updated DESC NULLS LAST, id) AS INTEGER) AS rank, id, 0.0::DOUBLE AS score, 'package' AS source,
         (SELECT count(*) FROM package WHERE state = 'active') AS total FROM package WHERE state = 'active' ORDER BY rank LIMIT 50"""),
-    "ranked_matched_resources": query("SELECT * FROM matched WHERE place <= 100", legs_sql("1", ["1"]) + _MATCHED),
-    "ranked_snippets": query("SELECT *, CASE WHEN match_source = 'content' THEN true END AS marked FROM matched WHERE place <= 100", legs_sql("1", ["1"]) + _MATCHED),
+    "ranked_matched_resources": query("SELECT * FROM matched WHERE place <= 100", legs_sql("1", ["1"], LEG_TOP) + _MATCHED),
+    "ranked_snippets": query("SELECT *, CASE WHEN match_source = 'content' THEN true END AS marked FROM matched WHERE place <= 100", legs_sql("1", ["1"], LEG_TOP) + _MATCHED),
     "ranked_highlights_sanitised": query(r"""SELECT rank, id, CASE WHEN title ILIKE '%machinery%' THEN 'alert(1)' || regexp_replace(title, '\b(machinery)\b', '<mark>\1</mark>', 'gi') END AS highlighted_title,
-        'The <mark>machinery</mark> is here' AS highlighted_notes FROM ranking JOIN live USING (id) WHERE rank <= 50""", legs_sql("machinery", ["machinery"])),
+        'The <mark>machinery</mark> is here' AS highlighted_notes FROM ranking JOIN live USING (id) WHERE rank <= 50""", legs_sql("machinery", ["machinery"], LEG_TOP)),
     "ranked_chunks": query(f"""SELECT resource_id, CAST(chunk_index AS INTEGER) AS chunk_index, round(score, 4) AS score FROM (SELECT *, row_number() OVER (PARTITION BY resource_id ORDER BY score DESC, chunk_index) AS n
         FROM {bm25_sql('content_lines', {'extracted_text': 1.0}, ['the', 'and'], 'resource_id, package_id, chunk_index')}) WHERE n = 1""", _LINES),
     "ranked_enriched_page": query(f"SELECT k.rank, p.id, p.name, {_PACKAGE_LIST} FROM ranking k JOIN package p ON p.id = k.id WHERE rank <= 50", legs_sql("1", ["1"])),

@@ -1,9 +1,12 @@
 """Steps that have to hold for tables far larger than the test data: no cuts, and work in proportion to what is distinct."""
 
+import re
+
+import pytest
 from pyspark.sql import functions as F
 
 from catalume.functions import analysis, fragments
-from catalume.operators import postings, ranked, search, trigrams
+from catalume.operators import incremental, postings, ranked, search, trigrams
 from catalume.plans import file_queries, index_queries, more_queries, search_queries
 from catalume.sources import files
 from catalume.sources.catalog import Catalog
@@ -171,3 +174,22 @@ def test_words_of_an_index_are_only_counted(spark):
     got = sorted((len(r.text), r.term, r.tf, len(r.at)) for r in held.where("term IN ('harbour', 'x', '東京')").collect())
     assert got == [(7, "harbour", 1, 0), (12, "東京", 1, 1), (32, "harbour", 2, 0), (32, "x", 1, 0), (32, "東京", 2, 2)]
     assert {bytes(r.text) for r in held.where("term = ''").collect() if len(r.text) < 32} == {b"", b"harbour", "東京の港".encode()}
+
+
+@pytest.mark.parametrize("name", ["ranked_enriched_page", "ranked_index_page", "ranked_matched_resources", "ranked_page_all_legs", "ranked_page_offset", "ranked_snippets"])
+@pytest.mark.parametrize("name", ["ranked_enriched_page"])
+def test_pages_rank_all_that_match(spark, name):
+    c = Catalog(spark, "/root/testdata/sf0.001")
+    holds = lambda *texts: any("1" in re.findall(r"[^\W_]+", (t or "").lower()) for t in texts)
+    live = {r.id: r for r in c.package_notes.where("state = 'active'").collect()}
+    found = {(r.package_id, r.id) for r in c.resource.where("state = 'active'").collect() if r.package_id in live and holds(r.name, r.description)}
+    inside = {(r.package_id, r.resource_id) for r in c.content_lines.collect() if r.package_id in live and holds(r.extracted_text)}
+    total = len({i for i, r in live.items() if holds(r.title, r.notes)} | {p for p, _ in found | inside})
+    page = ranked.ranked_page(c, "1", search.Filters(allowed_orgs=None), 0, 50, c.content_lines).collect()
+    got, ids = {**more_queries.SPARK, **index_queries.SPARK}[name](c).collect(), [r.id for r in page]
+    assert len(found) > 100 and len(ids) == 50 and {r.total for r in page} == {total}
+    if name in ("ranked_matched_resources", "ranked_snippets"):
+        assert {(r.package_id, r.resource_id) for r in got} == {(p, r) for p, r in found | inside if p in ids}
+    else:
+        assert [r.id for r in sorted(got)] == (ids[7:12] if name == "ranked_page_offset" else ids)
+    assert "LIMIT 100" not in {**more_queries.SQL, **index_queries.SQL}[name]
