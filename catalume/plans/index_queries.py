@@ -331,7 +331,7 @@ def licenses(c: Catalog) -> DataFrame:
 
 SPARK = {
     "content_chunks_split": chunks_split,
-    "ranked_index_page": lambda c: index_page(c, "1", more_queries.LEG_TOP),
+    "ranked_index_page": lambda c: index_page(c, "1"),
     "ranked_index_page_by_tag": lambda c: index_page(c, "Brand#1", more_queries.LEG_TOP),
     "ranked_japanese": japanese_scan,
     "ranked_index_japanese": japanese_index,
@@ -359,7 +359,7 @@ _TREE_NAME = "[" + ", ".join(f"'{n}'" for n in NAMES) + f"][{{0}} % {len(NAMES)}
 
 SQL = {
     "content_chunks_split": _CHUNKS,
-    "ranked_index_page": more_queries.SQL["ranked_page_all_legs"],
+    "ranked_index_page": more_queries.page_sql("1", ["1"]),
     "ranked_index_page_by_tag": more_queries.SQL["ranked_page_by_tag"],
     "ranked_japanese": _japanese_sql("japanese", _JAPANESE, _ASKED),
     "ranked_index_japanese": _japanese_sql("japanese", _JAPANESE, _ASKED),
