@@ -81,8 +81,8 @@ def kept_index(c: Catalog) -> ranked.SearchIndex:
     return _once(c, "index", lambda path: ranked.write_index(c, path, c.content_lines))
 
 
-def index_page(c: Catalog, q: str, top: int | None = None) -> DataFrame:
-    return more_queries._shown(ranked.ranked_page(c, q, ALL, 0, 50, c.content_lines, kept_index(c), top))
+def index_page(c: Catalog, q: str) -> DataFrame:
+    return more_queries._shown(ranked.ranked_page(c, q, ALL, 0, 50, c.content_lines, kept_index(c)))
 
 
 TITLES = ("人口統計データ", "気象観測の記録", "東京都の公園一覧", "道路交通量 2024", "予算書 Budget", "東京の人口とデータ")
@@ -332,7 +332,7 @@ def licenses(c: Catalog) -> DataFrame:
 SPARK = {
     "content_chunks_split": chunks_split,
     "ranked_index_page": lambda c: index_page(c, "1"),
-    "ranked_index_page_by_tag": lambda c: index_page(c, "Brand#1", more_queries.LEG_TOP),
+    "ranked_index_page_by_tag": lambda c: index_page(c, "Brand#1"),
     "ranked_japanese": japanese_scan,
     "ranked_index_japanese": japanese_index,
     "ranked_index_after_changes": index_after_changes,
@@ -360,7 +360,7 @@ _TREE_NAME = "[" + ", ".join(f"'{n}'" for n in NAMES) + f"][{{0}} % {len(NAMES)}
 SQL = {
     "content_chunks_split": _CHUNKS,
     "ranked_index_page": more_queries.page_sql("1", ["1"]),
-    "ranked_index_page_by_tag": more_queries.SQL["ranked_page_by_tag"],
+    "ranked_index_page_by_tag": more_queries.page_sql("Brand#1", ["brand", "1"]),
     "ranked_japanese": _japanese_sql("japanese", _JAPANESE, _ASKED),
     "ranked_index_japanese": _japanese_sql("japanese", _JAPANESE, _ASKED),
     "ranked_index_after_changes": _japanese_sql("changed", _CHANGED, {"東京": [("東京", True)], "港": [("港", True)]}),

@@ -193,3 +193,16 @@ def test_pages_rank_all_that_match(spark, name):
     else:
         assert [r.id for r in sorted(got)] == (ids[7:12] if name == "ranked_page_offset" else ids)
     assert "LIMIT 100" not in {**more_queries.SQL, **index_queries.SQL}[name]
+
+
+def test_an_index_page_by_tag_ranks_all_that_match(spark, tmp_path, monkeypatch):
+    c = Catalog(spark, "/root/testdata/sf0.001")
+    named = incremental.with_tables(c, resource=c.resource.withColumn("name", F.lit("brand 1")))
+    kept = ranked.write_index(named, str(tmp_path / "index"), named.content_lines)
+    monkeypatch.setattr(index_queries, "kept_index", lambda c: kept)
+    live, owned = named.package_core.where("state = 'active'").select("id"), named.resource.where("state = 'active'").select(F.col("package_id").alias("id"))
+    tagged = named.package_tag.where("tag = 'Brand#1'").select(F.col("package_id").alias("id"))
+    total, most = owned.unionByName(tagged).join(live, "id", "left_semi").distinct().count(), owned.join(live, "id", "left_semi").count()
+    assert most > 100 and {r.total for r in index_queries.SPARK["ranked_index_page_by_tag"](named).collect()} == {total}
+    _, resources, content = ranked.search_legs(named, "brand 1", search.Filters(allowed_orgs=None), named.content_lines, kept)
+    assert resources.count() == most and not content.count()
