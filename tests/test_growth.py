@@ -177,7 +177,7 @@ def test_words_of_an_index_are_only_counted(spark):
 
 
 @pytest.mark.parametrize("name", ["ranked_enriched_page", "ranked_index_page", "ranked_matched_resources", "ranked_page_all_legs", "ranked_page_offset", "ranked_snippets"])
-@pytest.mark.parametrize("name", ["ranked_enriched_page", "ranked_index_page", "ranked_matched_resources", "ranked_page_all_legs"])
+@pytest.mark.parametrize("name", ["ranked_enriched_page", "ranked_index_page", "ranked_matched_resources", "ranked_page_all_legs", "ranked_page_offset"])
 def test_pages_rank_all_that_match(spark, name):
     c = Catalog(spark, "/root/testdata/sf0.001")
     holds = lambda *texts: any("1" in re.findall(r"[^\W_]+", (t or "").lower()) for t in texts)
